@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, LOWER, PACKED, U64, exchanged, ids_and_texts, packed, partitions, raw_bytes, runs, staged, text_chunks, word_bounds
 from .components import connected_components
 
-PER_TASK = 16
+PER_TASK = 1
 
 
 def fingerprints_of(texts: pa.ChunkedArray, words: int) -> np.ndarray:
