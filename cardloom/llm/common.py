@@ -119,6 +119,23 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_TABLE = 1 << 22
+_down: list[np.ndarray] = []
+
+
+def span_sums(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each span (they follow each other without gaps) the sum of value * _BASE ** place in the span."""
+    n = len(values)
+    if n > _TABLE:  # long texts: no tables of their length
+        return np.add.reduceat(values * powers(int(size.max()))[np.arange(n) - np.repeat(begin, size)], begin)
+    if not _down:
+        out = np.full(_TABLE, _INVERSE)
+        out[0] = 1
+        _down.append(np.cumprod(out, dtype=U64))
+    return np.add.reduceat(values * powers(_TABLE)[:n], begin) * _down[0][begin]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> U64(33))
@@ -149,10 +166,7 @@ def span_hashes(data: np.ndarray, is_word: np.ndarray, starts: np.ndarray, stops
     if not len(starts):
         return np.zeros(0, U64)
     lens = stops - starts
-    first = np.cumsum(lens) - lens
-    at = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    values = _WEIGHTS[data[is_word]] * powers(int(lens.max()))[at]
-    return mixed(np.add.reduceat(values, first) + lens.astype(U64) * _WEIGHTS[0])
+    return mixed(span_sums(_WEIGHTS[data[is_word]], np.cumsum(lens) - lens, lens) + lens.astype(U64) * _WEIGHTS[0])
 
 
 def packed(bucket: np.ndarray, records: np.ndarray, tag: int = 0) -> pa.RecordBatch:

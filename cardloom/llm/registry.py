@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash",)
+MODULES = ("simhash", "tokens_output", "bpe")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
