@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "tokens_output", "bpe")
+MODULES = ("simhash", "tokens_output", "bpe", "sketch", "quality", "decontaminate")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
