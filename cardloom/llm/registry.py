@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "tokens_output", "bpe", "sharding", "warc", "sketch", "quality", "decontaminate")
+MODULES = ("lm", "simhash", "tokens_output", "bpe", "sharding", "warc", "sketch", "quality", "decontaminate")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
