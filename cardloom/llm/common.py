@@ -58,6 +58,16 @@ def ids_and_texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Da
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in more])
 
 
+def carrying(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
+    """The same with the columns named in ``carry`` as a struct ``carried``, whatever their names."""
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *more)
+
+
+def carried_type(rows: DataFrame) -> str:
+    return f", carried {rows.schema['carried'].dataType.simpleString()}" if "carried" in rows.columns else ""
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.Table]:
     """Tables of whole rows with about ``limit`` bytes of text each; one long row may be larger."""
     held: list[pa.RecordBatch] = []
