@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, ids_and_texts, raw_bytes, span_hashes, staged, text_chunks, word_bounds
+from .common import LOWER, carried_type, carrying, raw_bytes, span_hashes, staged, text_chunks, word_bounds
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
@@ -225,13 +225,16 @@ def _scanned(blocks: list, again: bool):
                 "n_hit": pa.array(np.bincount(row[hit], minlength=n)),
                 "spans": spans,
                 "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                **({"carried": chunk.column("carried").combine_chunks()} if "carried" in chunk.column_names else {}),
             })
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 16 << 20, blocks_a_pass: int = 8) -> DataFrame:
-    """(doc_id, text, n_words, n_hit, spans, items) for every row of docs.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 16 << 20, blocks_a_pass: int = 8, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, text, n_words, n_hit, spans, items, carried) for every row of docs.
+
+    carried: a struct of the row's columns named in ``carry`` (absent if none are).
 
     Words are runs of digits, a-z (A-Z become lower case) and code points from 0x80. A window
     is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
@@ -243,8 +246,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bench = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL")
     total = bench.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     count = int(total // block_bytes) + 1
-    rows = ids_and_texts(docs, id_col, text_col)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, n_words long, n_hit long, spans {SPANS}, items array<string>"
+    rows = carrying(docs, id_col, text_col, carry)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, n_words long, n_hit long, spans {SPANS}, items array<string>{carried_type(rows)}"
     numbered = bench.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(count)))
     for begin in range(0, count, blocks_a_pass):
         blocks = []

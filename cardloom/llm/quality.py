@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return fit(table.column("text").combine_chunks(), np.asarray(table.column("label").combine_chunks()).astype(np.int64))
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row; a text without words (null, empty, blank) has the score of no features."""
     rows = ids_and_texts(docs, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -159,6 +159,18 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores ``least`` or more; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches, column=text_col):
+            yield from chunk.filter(pa.array(held.value.scores(chunk.column(at)) >= least)).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
