@@ -31,6 +31,7 @@ END, PAD = 0xFE, 0xFF
 SYMBOLS = 255  # every byte but PAD; END is no byte of UTF-8
 ALPHA = 0.1
 BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20  # of a block's text handled at once
 
 
 def normal_form(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +77,11 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.diff(np.r_[new, len(keys)])
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys, each once."""
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def placed(universe: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Counts of all of universe (sorted), of which keys is a part."""
     out = np.zeros(len(universe), np.int64)
@@ -185,15 +191,17 @@ WORD_DROP, PATH_DROP = 0, 8 * (ORDER - 2)  # a path is dealt by its last three c
 
 def _asked(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        train = np.asarray(table.column("train").combine_chunks())
-        out, row_at, word, row = normal_form(table.column("text"))
-        key, at = paths(out)
-        of_train = train[np.searchsorted(row_at, at, side="right") - 1]
+        found: tuple[list, list] = ([], [])
+        for chunk in text_chunks(table.to_batches(), SLICE_BYTES):
+            train = np.asarray(chunk.column("train").combine_chunks())
+            out, row_at, word, row = normal_form(chunk.column("text"))
+            key, at = paths(out)
+            for side, keys, mine in ((0, word, train[row]), (1, key, train[np.searchsorted(row_at, at, side="right") - 1])):
+                universe, n = counted(keys)
+                found[side].append((universe, n if mine.all() else placed(universe, *counted(keys[mine]))))
         sides = []
-        for keys, mine, drop in ((word, train[row], WORD_DROP), (key, of_train, PATH_DROP)):
-            universe, n = counted(keys)
-            if not mine.all():
-                n = placed(universe, *counted(keys[mine]))
+        for parts, drop in zip(found, (WORD_DROP, PATH_DROP), strict=True):
+            universe, n, _ = _summed([u for u, _ in parts], [n for _, n in parts])
             order, cuts = _dealt(universe, drop, buckets)
             sides.append((universe[order], n[order].astype("<u4"), cuts))
         (w, wn, wc), (p, pn, pcut) = sides
@@ -211,9 +219,9 @@ def _asked(buckets: int):
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their summed counts, and where each input is among them."""
-    whole = np.concatenate(keys)
+    whole = np.concatenate(keys) if keys else np.zeros(0, U64)
     uniq, back = np.unique(whole, return_inverse=True)
-    return uniq, np.bincount(back, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64), back
+    return uniq, np.bincount(back, weights=np.concatenate(counts) if counts else None, minlength=len(uniq)).astype(np.int64), back
 
 
 def _answers(top):
@@ -263,30 +271,38 @@ def _added(buckets: int, train_rows: int, kind: pa.DataType):
             n = int(np.frombuffer(blob, "<u8", 1)[0])
             own[b] = np.frombuffer(blob, "<u8", n, 8)
             lens[b] = np.frombuffer(blob, "<f4", -1, 8 + 8 * n)
-        out, row_at, word, row = normal_form(docs.column("text"))
         n = docs.num_rows
-        uniq, back = np.unique(word, return_inverse=True)
+        words, of_word, sorted_paths, firsts = [], [], [], [0]
+        for chunk in text_chunks(docs.to_batches(), SLICE_BYTES):
+            for a in range(0, chunk.num_rows, 1 << 16):  # rows whose number fits beside a path of 48 bits
+                part = chunk.slice(a, 1 << 16)
+                out, row_at, word, row = normal_form(part.column("text"))
+                words.append(word)
+                of_word.append(row + firsts[-1])
+                key, at = paths(out)
+                key <<= U64(16)
+                key |= (np.searchsorted(row_at, at, side="right") - 1).astype(U64)
+                key.sort()
+                sorted_paths.append(key)
+                firsts.append(firsts[-1] + part.num_rows)
+        row = np.concatenate(of_word)
+        uniq, back = np.unique(np.concatenate(words), return_inverse=True)
         order, _ = _dealt(uniq, WORD_DROP, buckets)
         count = np.zeros(len(uniq), np.int64)
         count[order] = np.concatenate(own)
         ends = train_rows > 0
         part = np.bincount(row, weights=np.log10(count + ALPHA)[back], minlength=n) + np.log10(train_rows + ALPHA)
         n_known = np.bincount(row, weights=(count > 0)[back], minlength=n).astype(np.int64) + int(ends)
-        key, at = paths(out)
-        universe, _ = counted(key)
+        universe = np.unique(np.concatenate([distinct(x >> U64(16)) for x in sorted_paths]))
         order, _ = _dealt(universe, PATH_DROP, buckets)
         length = np.zeros(len(universe))
         length[order] = np.concatenate(lens)
-        of_row = np.searchsorted(row_at, at, side="right") - 1
         score = np.zeros(n)
-        step = 1 << 16  # rows whose number fits beside a path of 48 bits
-        for a in range(0, n, step):
-            mine = slice(None) if n <= step else (of_row >= a) & (of_row < a + step)
-            both = np.sort((key[mine] << U64(16)) | (of_row[mine] - a).astype(U64))
+        for first, after, both in zip(firsts, firsts[1:], sorted_paths, strict=False):
             path = both >> U64(16)
             cuts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
             value = np.repeat(length[np.searchsorted(universe, path[cuts])], np.diff(np.r_[cuts, len(path)]))
-            score[a : a + step] = np.bincount((both & U64(0xFFFF)).astype(np.int64), weights=value, minlength=min(step, n - a))
+            score[first:after] = np.bincount((both & U64(0xFFFF)).astype(np.int64), weights=value, minlength=after - first)
         tokens = np.bincount(row, minlength=n) + 1
         known = sum(answers.column("known").to_pylist())
         return pa.table({
