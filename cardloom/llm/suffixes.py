@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,9 @@ class Fragments:
             np.cumsum(_WEIGHTS[part] * powers(len(part)), out=sums[1:])
             end = at + count + LENGTH - 1
             text = mixed((sums[end] - sums[at]) * _down[0][at] + count.astype(U64))
-            parts.append((at + a, count, seed[at] >> U64(24), text))
+            # smallest hashes crowd at 0: spread them over all 40 bits, one to one
+            spread = ((seed[at] >> U64(24)) * U64(0x9E3779B97F4A7C15)) & U64((1 << 40) - 1)
+            parts.append((at + a, count, spread, text))
         self.at, self.count, self.seed, text = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64))
         self.id = ids[np.searchsorted(offsets, self.at, side="right") - 1]
         _, self.pick, self.of = np.unique(text, return_index=True, return_inverse=True)
@@ -98,6 +101,11 @@ class Fragments:
         np.minimum.at(self.least, self.of, self.id)
 
 
+def ordered(table: pa.Table) -> pa.Table:
+    """A block's rows in one order, however the shuffle brought them: all rounds must number fragments alike."""
+    return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+
+
 def block_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = raw_bytes(table.column("text"))
     ids = np.asarray(table.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(NO_ID))
@@ -119,7 +127,7 @@ def _seed_requests(seed: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.
 
 def _ask_seeds(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        f = Fragments(*block_of(table))
+        f = Fragments(*block_of(ordered(table)))
         seed, several, cuts = _seed_requests(f.seed, f.id, buckets)
         low = seed.astype("<u4")
         own = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
@@ -148,6 +156,7 @@ def _answer_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _ask_fragments(buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = ordered(table)
         data, offsets, ids = block_of(table)
         f = Fragments(data, offsets, ids)
         seed, _, cuts = _seed_requests(f.seed, f.id, buckets)
@@ -261,11 +270,18 @@ def _answer_fragments(most: int):
             seed, least, name, count, source, text = map(np.concatenate, cols)
             size = count + LENGTH - 1
             place = np.cumsum(size) - size
-            order = np.argsort(seed, kind="stable")
+            # equal fragments are sorted once, with their smallest id; all their places go from those with larger ones
+            _, pick, of = np.unique(mixed(span_sums(_WEIGHTS[text], place, size) + count.astype(U64)), return_index=True, return_inverse=True)
+            first = np.full(len(pick), NO_ID, np.int64)
+            np.minimum.at(first, of, least)
+            mask = np.where(least > first[of], (U64(1) << count.astype(U64)) - U64(1), U64(0))
+            order = pick[np.argsort(seed[pick], kind="stable")]
+            least_of = np.full(len(seed), NO_ID, np.int64)
+            least_of[pick] = first
             cuts = np.flatnonzero(np.r_[True, seed[order][1:] != seed[order][:-1]])
             times = np.diff(np.r_[cuts, len(order)])
             order = order[np.repeat(times > 1, times)]
-            mask = np.zeros(len(seed), U64)
+            more = np.zeros(len(seed), U64)
             ends = np.cumsum(count[order])
             a = 0
             while a < len(order):
@@ -279,9 +295,10 @@ def _answer_fragments(most: int):
                 symbols[np.repeat(at, size[own]) + run_at] = text[np.repeat(place[own], size[own]) + run_at].astype(np.uint16) + 1
                 n = count[own]
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                gone = earlier(symbols, np.repeat(at, n) + step, np.repeat(least[own], n))
-                mask[own] = np.add.reduceat(gone.astype(U64) << step.astype(U64), np.cumsum(n) - n)
+                gone = earlier(symbols, np.repeat(at, n) + step, np.repeat(least_of[own], n))
+                more[own] = np.add.reduceat(gone.astype(U64) << step.astype(U64), np.cumsum(n) - n)
                 a = b
+            mask |= more[pick][of]
             blocks = table.column("tag").combine_chunks()
             some = np.flatnonzero(mask)
             per = np.searchsorted(source[some], np.arange(len(blocks) + 1))
@@ -296,6 +313,7 @@ def _answer_fragments(most: int):
 
 def _removed(kind: pa.DataType):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = ordered(table)
         data, offsets, ids = block_of(table)
         f = Fragments(data, offsets, ids)
         mask = np.zeros(len(f.pick), U64)
