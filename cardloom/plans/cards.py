@@ -1,0 +1,204 @@
+"""Queries of the card path: gates, scrubbing, dedupe, folding, merging."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import rules
+from ..functions import fields as f
+from ..functions import scrub as sc
+from ..operators import cards as op
+from . import sqltext as t
+from .base import Plans, view
+
+P = Plans()
+QUERIES, ORACLES = P.queries, P.oracles
+DAY = "2026-08-03"
+DAY_MS = 1785686400000  # its midnight at UTC+8
+
+
+def timed(spark, sf):
+    cards = view(spark, sf, "cards")
+    return cards.withColumns({"published_at": F.timestamp_millis("published_ms"), "created_at": F.timestamp_millis("created_ms")})
+
+
+@P.add("topic_gate", f"SELECT seq, title FROM cards WHERE {t.low('title', rules.TOPIC)} AND NOT {t.low('title', rules.OFF_TOPIC)}")
+def topic_gate(spark, sf):
+    c = view(spark, sf, "cards")
+    return c.where(f.matches_low(F.col("title"), rules.TOPIC) & ~f.matches_low(F.col("title"), rules.OFF_TOPIC)).select("seq", "title")
+
+
+@P.add("text_gate", "SELECT seq FROM cards WHERE " + t.low("title || ' ' || url", "gpt|llm|model|api|opencode"))
+def text_gate(spark, sf):
+    c = view(spark, sf, "cards")
+    return c.where(f.matches_low(F.concat_ws(" ", "title", "url"), "gpt|llm|model|api|opencode")).select("seq")
+
+
+@P.add("scrub_snippets", f"SELECT seq, {t.scrub('snippet')} AS clean, {t.scrub('title', 200)} AS clean_title FROM cards")
+def scrub_snippets(spark, sf):
+    return view(spark, sf, "cards").select("seq", sc.scrub(F.col("snippet")).alias("clean"), sc.scrub(F.col("title"), 200).alias("clean_title"))
+
+
+@P.add("drop_injection_only", f"SELECT seq FROM cards WHERE {t.scrub('CASE WHEN seq % 10 = 0 THEN substr(snippet, length(snippet) - 28) ELSE snippet END')} <> '' OR {t.scrub('CASE WHEN seq % 3 = 0 THEN NULL ELSE title END')} <> ''")
+def drop_injection_only(spark, sf):
+    c = view(spark, sf, "cards")
+    snippet = F.when(F.col("seq") % 10 == 0, F.expr("substr(snippet, length(snippet) - 28)")).otherwise(F.col("snippet"))
+    title = F.when(F.col("seq") % 3 == 0, None).otherwise(F.col("title"))
+    return c.where(~sc.injection_only(snippet, title)).select("seq")
+
+
+_obscure = "clean <> '' AND NOT regexp_matches(clean, '[一-鿿]') AND regexp_matches(clean, '[^\\s,，;；:：|·]') AND len(list_filter(string_split_regex(clean, '[\\s,，;；:：|·]+'), lambda x: regexp_matches(x, '^[A-Za-z]{5,}$'))) = 0"
+
+
+@P.add("clarify_snippets", f"WITH s AS (SELECT seq, {t.scrub('snippet')} AS clean, {t.scrub('title', 200)} AS head FROM cards) SELECT seq, CASE WHEN {_obscure} AND head <> '' THEN {t.scrub("head || '。' || clean")} ELSE clean END AS snippet FROM s")
+def clarify_snippets(spark, sf):
+    return view(spark, sf, "cards").select("seq", sc.clarify(F.col("snippet"), F.col("title")).alias("snippet"))
+
+
+@P.add("local_day_filter", f"SELECT seq, published_ms FROM cards WHERE published_ms >= {DAY_MS} AND published_ms < {DAY_MS} + 86400000")
+def local_day_filter(spark, sf):
+    c = timed(spark, sf)
+    return c.where(op.in_local_day(F.col("published_at"), F.lit(DAY).cast("date"))).select("seq", "published_ms")
+
+
+@P.add("recency_gate", f"SELECT seq, coalesce(coalesce(published_ms, created_ms) <= 0 OR coalesce(published_ms, created_ms) >= {DAY_MS} - grace_days * 86400000, true) AS kept FROM cards")
+def recency_gate(spark, sf):
+    start = F.to_timestamp(F.lit(f"{DAY} 00:00:00")) - F.make_interval(hours=F.lit(8))
+    return op.recency_gate(timed(spark, sf), start).select("seq", "kept")
+
+
+@P.add("event_recency_by_type", "SELECT provider, count(*) FILTER (WHERE k) AS kept, count(*) FILTER (WHERE NOT k) AS dropped FROM (SELECT provider, coalesce(coalesce(published_at, created_at) >= TIMESTAMP '2024-01-14 16:00:00' - to_days(grace_days), true) AS k FROM dated) GROUP BY 1")
+def event_recency_by_type(spark, sf):
+    d = view(spark, sf, "dated").withColumns({c: F.col(c).cast("timestamp") for c in ("published_at", "created_at")})
+    start = F.to_timestamp(F.lit("2024-01-15 00:00:00")) - F.make_interval(hours=F.lit(8))
+    return op.recency_gate(d, start).groupBy("provider").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+
+
+@P.add("top_topics", f"""SELECT day_no, site, seq, rank_score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY day_no, site ORDER BY rank_score DESC, seq) AS INTEGER) AS place FROM
+    (SELECT *, topic_id - CASE WHEN {t.low('title', rules.PROMO)} THEN 1000000 ELSE 0 END AS rank_score FROM cards WHERE {t.low('title', rules.TOPIC)} AND NOT {t.low('title', rules.OFF_TOPIC)})) WHERE place <= 8""")
+def top_topics(spark, sf):
+    return op.top_topics(view(spark, sf, "cards"), 8, ["day_no", "site"]).select("day_no", "site", "seq", "rank_score", "place")
+
+
+@P.add("dedupe_urls", f"SELECT min(seq) AS seq, day_no, {t.norm_url('url')} AS key FROM cards WHERE trim(url) <> '' GROUP BY day_no, key")
+def dedupe_urls(spark, sf):
+    c = view(spark, sf, "cards")
+    return op.dedupe_url(c, ["day_no"], f.norm_url(F.col("url")), ["seq"]).select("seq", "day_no", f.norm_url(F.col("url")).alias("key"))
+
+
+@P.add("dedupe_page_urls", f"SELECT min(seq) AS seq, {t.norm_url('url')} AS key, count(*) AS copies FROM urls GROUP BY 2")
+def dedupe_page_urls(spark, sf):
+    u = view(spark, sf, "urls").withColumn("key", f.norm_url(F.col("url")))
+    once = op.dedupe_url(u, [], F.col("key"), ["seq"]).select("seq", "key")
+    return once.join(u.groupBy("key").agg(F.count("*").alias("copies")), "key")
+
+
+@P.add("rule_match", f"SELECT seq, {t.cluster('title')} AS cluster FROM cards")
+def rule_match(spark, sf):
+    return op.match_rules(view(spark, sf, "cards")).select("seq", "cluster")
+
+
+@P.add("substance_scores", f"SELECT seq, {t.substance('snippet')} AS substance FROM cards")
+def substance_scores(spark, sf):
+    return view(spark, sf, "cards").select("seq", sc.substance(F.col("snippet")).alias("substance"))
+
+
+_headline = "CASE cluster " + " ".join(f"WHEN '{k}' THEN {t.q(h)}" for k, _, _, h in rules.CLUSTERS) + " ELSE title END"
+
+
+@P.add("fold_events", f"""WITH m AS (SELECT *, {t.cluster('title')} AS cluster, {t.substance('snippet')} AS s FROM cards),
+    r AS (SELECT *, row_number() OVER (PARTITION BY day_no, cluster ORDER BY s IS NULL, s DESC, seq) AS rn, min(seq) OVER (PARTITION BY day_no, cluster) AS first_seq FROM m)
+    SELECT day_no, seq, cluster, {_headline} AS title, CASE WHEN cluster IS NULL THEN seq ELSE first_seq END AS position FROM r WHERE cluster IS NULL OR rn = 1""")
+def fold_events(spark, sf):
+    return op.fold_events(view(spark, sf, "cards"), ["day_no"]).select("day_no", "seq", "cluster", "title", "position")
+
+
+def _merge_sql(total: int, primary: int | None) -> str:
+    pool = "0" if primary is None else "CASE WHEN prio > 0 THEN 1 ELSE 0 END"
+    limit = str(total) if primary is None else f"CASE WHEN pool = 0 THEN {primary} ELSE {total} END"
+    return f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY day_no, prio ORDER BY seq) AS n FROM cards),
+    b AS (SELECT day_no, prio, seq, {t.url_key('url')} AS key, {t.scrub('title', 200)} AS title, {t.scrub('snippet')} AS snippet FROM a WHERE (prio > 0 OR n <= {total if primary is None else primary}) AND trim(url) <> ''),
+    c AS (SELECT *, row_number() OVER (PARTITION BY day_no, key ORDER BY prio, seq) AS k FROM b WHERE title <> '' OR snippet <> ''),
+    d AS (SELECT *, {pool} AS pool FROM c WHERE k = 1),
+    e AS (SELECT *, row_number() OVER (PARTITION BY day_no, pool ORDER BY prio, seq) AS n FROM d)
+    SELECT day_no, prio, seq, title, snippet, CAST(row_number() OVER (PARTITION BY day_no ORDER BY prio, seq) AS INTEGER) AS place FROM e WHERE n <= {limit}"""
+
+
+@P.add("merge_sources_split", _merge_sql(18, 12))
+def merge_sources_split(spark, sf):
+    return op.merge_sources(view(spark, sf, "cards"), ["day_no"], 18, 12).select("day_no", "prio", "seq", "title", "snippet", "place")
+
+
+@P.add("merge_sources_pooled", _merge_sql(18, None))
+def merge_sources_pooled(spark, sf):
+    return op.merge_sources(view(spark, sf, "cards"), ["day_no"], 18).select("day_no", "prio", "seq", "title", "snippet", "place")
+
+
+@P.add("combine_cards", f"""WITH a AS (SELECT seq, day_no, url, created_ms, CASE WHEN created_ms IS NULL THEN 1 ELSE 0 END AS part FROM cards WHERE trim(url) <> ''),
+    b AS (SELECT *, row_number() OVER (PARTITION BY day_no, {t.url_key('url')} ORDER BY part, CASE WHEN part = 0 THEN -created_ms ELSE 0 END, seq) AS k FROM a)
+    SELECT day_no, seq, CAST(row_number() OVER (PARTITION BY day_no ORDER BY part, CASE WHEN part = 0 THEN -created_ms ELSE 0 END, seq) AS INTEGER) AS place FROM b WHERE k = 1""")
+def combine_cards(spark, sf):
+    c = timed(spark, sf)
+    return op.combine_cards(c.where("created_at IS NOT NULL"), c.where("created_at IS NULL").drop("created_at"), ["day_no"]).select("day_no", "seq", "place")
+
+
+@P.add("first_k_per_provider", f"SELECT provider, day_no, seq FROM (SELECT *, row_number() OVER (PARTITION BY day_no, provider ORDER BY seq) AS n FROM cards WHERE {t.low('title', rules.TOPIC)}) WHERE n <= 5")
+def first_k_per_provider(spark, sf):
+    c = view(spark, sf, "cards").where(f.matches_low(F.col("title"), rules.TOPIC))
+    return op.first_k(c, 5, ["day_no", "provider"], ["seq"]).select("provider", "day_no", "seq")
+
+
+@P.add("union_providers", "SELECT provider_rank, count(*) AS n, count(publish) AS dated FROM (SELECT 0 AS provider_rank, published_ms AS publish FROM cards WHERE site = 'site0' UNION ALL SELECT 1, NULL FROM urls UNION ALL SELECT 3, NULL FROM claims) GROUP BY 1")
+def union_providers(spark, sf):
+    c, u = view(spark, sf, "cards").where("site = 'site0'"), view(spark, sf, "urls")
+    tables = {"forum": c.selectExpr("seq", "published_ms AS publish"), "pages": u.select("seq", "url"), "off": u.select("seq", "url"), "claims": view(spark, sf, "claims").select("seq", "board")}
+    return op.union_sources(tables, {"off": False}).groupBy("provider_rank").agg(F.count("*").alias("n"), F.count("publish").alias("dated"))
+
+
+@P.add("merge_ranked_lists", "WITH a AS (SELECT doc_id AS id, 0 AS list_no, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY doc_id) FROM documents WHERE lang = 'en'), l AS (SELECT * FROM a WHERE rank <= 80) SELECT id, CAST(list_no AS INTEGER) AS list_no, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY list_no, rank) AS k FROM l) WHERE k = 1 ORDER BY list_no, rank LIMIT 100")
+def merge_ranked_lists(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id AS id", "lang", "n_chars")
+    ranked = lambda df, *order: df.orderBy(*order).limit(80).withColumn("rank", F.row_number().over(op.Window.orderBy(*order))).select("id", "rank")
+    return op.merge_ranked([ranked(d, F.desc("n_chars"), "id"), ranked(d.where("lang = 'en'"), "id")], "id", 100)
+
+
+@P.add("valid_items", f"SELECT seq FROM cards WHERE trim(title) <> '' AND trim(url) <> '' AND prio = 1 AND published_ms >= {DAY_MS}")
+def valid_items(spark, sf):
+    """Title and URL present, the right kind, not before the day's start."""
+    c = timed(spark, sf).withColumn("kind", F.when(F.col("prio") == 1, "story").otherwise("job"))
+    start = F.to_timestamp(F.lit(f"{DAY} 00:00:00")) - F.make_interval(hours=F.lit(8))
+    return c.where((F.trim("title") != "") & (F.trim("url") != "") & (F.col("kind") == "story") & (F.col("published_at") >= start)).select("seq")
+
+
+@P.add("material_window", f"""WITH k AS (SELECT site, prio = 0 AS hard, coalesce(coalesce(published_ms, created_ms) >= {DAY_MS} - grace_days * 86400000, true) AS kept FROM cards WHERE day_no = 2)
+    SELECT site, count(*) FILTER (WHERE hard) AS hard_sources, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, greatest(0, count(*) FILTER (WHERE kept) - count(*) FILTER (WHERE hard)) AS other_sources, count(*) FILTER (WHERE hard) < 8 AS low_material FROM k GROUP BY 1""")
+def material_window(spark, sf):
+    start = F.to_timestamp(F.lit(f"{DAY} 00:00:00")) - F.make_interval(hours=F.lit(8))
+    gated = op.recency_gate(timed(spark, sf).where("day_no = 2"), start).withColumn("hard", F.col("prio") == 0)
+    return op.material_window(gated, ["site"])
+
+
+@P.add("day_path", f"""WITH a AS ({_merge_sql(40, 25).replace('WITH a AS', 'WITH a0 AS').replace('FROM a WHERE', 'FROM a0 WHERE')}),
+    x AS (SELECT a.day_no, a.seq, a.title, a.snippet, a.place, c.published_ms, c.created_ms, c.grace_days FROM a JOIN cards c ON c.seq = a.seq),
+    m AS (SELECT *, {t.cluster('title')} AS cluster, {t.substance('snippet')} AS s FROM x),
+    r AS (SELECT *, row_number() OVER (PARTITION BY day_no, cluster ORDER BY s IS NULL, s DESC, place) AS rn, min(place) OVER (PARTITION BY day_no, cluster) AS p FROM m)
+    SELECT day_no, seq, {_headline} AS title, CASE WHEN cluster IS NULL THEN place ELSE p END AS position, coalesce(coalesce(published_ms, created_ms) >= {DAY_MS} - grace_days * 86400000, true) AS kept FROM r WHERE cluster IS NULL OR rn = 1""")
+def day_path(spark, sf):
+    """Merge, then fold, then recency: a stale card may win a fold and then be dropped."""
+    merged = op.merge_sources(timed(spark, sf), ["day_no"], 40, 25).withColumnsRenamed({"seq": "card", "place": "seq"})
+    start = F.to_timestamp(F.lit(f"{DAY} 00:00:00")) - F.make_interval(hours=F.lit(8))
+    return op.recency_gate(op.fold_events(merged, ["day_no"]), start).select("day_no", F.col("card").alias("seq"), "title", "position", "kept")
+
+
+@P.add("headlines", f"SELECT day_no, seq, title, CAST(n AS INTEGER) AS place FROM (SELECT day_no, seq, {t.scrub('title', 200)} AS title, row_number() OVER (PARTITION BY day_no ORDER BY seq) AS n FROM cards WHERE {t.scrub('title', 200)} <> '') WHERE n <= 8")
+def headlines(spark, sf):
+    c = view(spark, sf, "cards").withColumn("title", sc.scrub(F.col("title"), 200)).where("title <> ''")
+    return op.first_k(c, 8, ["day_no"], ["seq"]).select("day_no", "seq", "title", "place")
+
+
+@P.add("summary_lines", "SELECT day_no, string_agg('- ' || title, chr(10) ORDER BY score DESC, seq) AS lines FROM (SELECT day_no, seq, title, length(snippet) AS score, row_number() OVER (PARTITION BY day_no ORDER BY length(snippet) DESC NULLS LAST, seq) AS n FROM cards) WHERE n <= 10 GROUP BY 1")
+def summary_lines(spark, sf):
+    c = view(spark, sf, "cards").withColumn("score", F.length("snippet"))
+    top = op.first_k(c, 10, ["day_no"], [F.desc_nulls_last("score"), "seq"])
+    lines = F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- "), "title").alias("line"))))
+    return top.groupBy("day_no").agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("lines"))
