@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, raw_bytes, span_hashes, text_chunks, word_bounds
 
 BITS = 18
+SLICE = 250  # sample texts whose features are made at once
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[65:91] = 65
 SHAPE[97:123] = SHAPE[128:] = 97
@@ -70,7 +71,7 @@ def _descent(cuts: np.ndarray, cols: np.ndarray, ratio: np.ndarray, y: np.ndarra
     w, b = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(y))
     rows = [cols[a:e] for a, e in zip(cuts, cuts[1:], strict=False)]
-    values = [ratio[c] / np.sqrt(max(len(c), 1)) for c in rows]
+    values = [(ratio[c] / np.sqrt(max(len(c), 1))).astype(np.float32) for c in rows]
     norm = np.array([float(v @ v) for v in values]) + 1 + 0.5 / cost
     rnd = np.random.RandomState(seed)
     for _ in range(rounds):
@@ -107,7 +108,10 @@ def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, cost: float = 1.0
     if len(set(y.tolist())) < 2:
         p = 0.5 if not len(y) else 0.99 if y[0] > 0 else 0.01
         return Model(np.zeros(1 << BITS), 0.0, 1.0, float(np.log(p / (1 - p))))
-    rows, cols = features(texts)
+    parts = [features(texts.slice(a, SLICE)) for a in range(0, len(y), SLICE)]
+    rows = np.concatenate([r.astype(np.int32) + a for (r, _), a in zip(parts, range(0, len(y), SLICE), strict=True)])
+    cols = np.concatenate([c.astype(np.int32) for _, c in parts])
+    del parts
     cuts = np.searchsorted(rows, np.arange(len(y) + 1))
     learn = np.ones(len(y), bool)
     learn[::5] = False  # for the curve
@@ -132,7 +136,7 @@ def held_out(id_col: str = "doc_id", of: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000) -> Model:
     """Fit on at most ``sample_rows`` labelled rows outside the held-out fifth, chosen by a hash of their id.
 
     Labels and ids that are null are ignored; of several labels or rows of one id the largest
