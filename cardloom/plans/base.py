@@ -85,4 +85,6 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not heads:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ", ".join(heads) + ", " + body[15:]
     return "WITH " + ", ".join(heads) + (", " + body[5:] if body[:5].upper() == "WITH " else " " + body)
