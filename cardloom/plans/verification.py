@@ -50,7 +50,7 @@ def adaptive_tally(spark, sf):
     return op.tally(op.adaptive_votes(view(spark, sf, "votes")))
 
 
-_voted = f"v AS ({_tally} {_adaptive} GROUP BY 1), c AS (SELECT *, {_window} AS "window", seq % 150 AS claim_id FROM claims), p AS (SELECT c.*, v.valid, v.refuted, v.errored, v.survives, CASE WHEN survives THEN CASE WHEN "window" = 'out' THEN 'out_of_window' ELSE 'confirmed' END WHEN is_refuted THEN 'killed' ELSE 'unverified' END AS part FROM c JOIN v USING (claim_id))"
+_voted = f"""v AS ({_tally} {_adaptive} GROUP BY 1), c AS (SELECT *, {_window} AS "window", seq % 150 AS claim_id FROM claims), p AS (SELECT c.*, v.valid, v.refuted, v.errored, v.survives, CASE WHEN survives THEN CASE WHEN "window" = 'out' THEN 'out_of_window' ELSE 'confirmed' END WHEN is_refuted THEN 'killed' ELSE 'unverified' END AS part FROM c JOIN v USING (claim_id))"""
 
 
 def voted(spark, sf):
@@ -60,7 +60,7 @@ def voted(spark, sf):
     return claims.join(verdicts, "claim_id").withColumn("part", op.partition_of(F.col("window")))
 
 
-@P.add("claim_partition", f"WITH {_voted} SELECT seq, "window", part FROM p")
+@P.add("claim_partition", f"""WITH {_voted} SELECT seq, "window", part FROM p""")
 def claim_partition(spark, sf):
     return voted(spark, sf).select("seq", "window", "part")
 
