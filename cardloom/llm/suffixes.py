@@ -76,7 +76,7 @@ class Fragments:
         edge = np.zeros(n + 2, np.int32)
         np.add.at(edge, offsets[:-1][long], 1)
         np.add.at(edge, offsets[1:][long] - LENGTH + 1, -1)
-        ok = np.cumsum(edge)[: n + 1] > 0
+        ok = np.cumsum(edge, dtype=np.int32)[: n + 1] > 0
         for a in range(0, max(0, n - LENGTH + 1), SEGMENT):
             part = data[a : a + SEGMENT + LENGTH - 1]
             seed = seeds(part)
@@ -256,6 +256,15 @@ def earlier(symbols: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndar
     return out
 
 
+def text_hashes(text: np.ndarray, place: np.ndarray, size: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """A hash of each fragment's bytes, some thousand fragments at a time."""
+    out = [np.zeros(0, U64)]
+    for a in range(0, len(place), step):
+        p, n = place[a : a + step], size[a : a + step]
+        out.append(mixed(span_sums(_WEIGHTS[text[p[0] : p[-1] + n[-1]]], p - p[0], n) + n.astype(U64)))
+    return np.concatenate(out)
+
+
 def _answer_fragments(most: int):
     """most: suffixes sorted together (more only if one seed has more)."""
 
@@ -271,7 +280,7 @@ def _answer_fragments(most: int):
             size = count + LENGTH - 1
             place = np.cumsum(size) - size
             # equal fragments are sorted once, with their smallest id; all their places go from those with larger ones
-            _, pick, of = np.unique(mixed(span_sums(_WEIGHTS[text], place, size) + count.astype(U64)), return_index=True, return_inverse=True)
+            _, pick, of = np.unique(text_hashes(text, place, size), return_index=True, return_inverse=True)
             first = np.full(len(pick), NO_ID, np.int64)
             np.minimum.at(first, of, least)
             mask = np.where(least > first[of], (U64(1) << count.astype(U64)) - U64(1), U64(0))
@@ -320,7 +329,7 @@ def _removed(kind: pa.DataType):
         for blob in answers.column("payload").to_pylist():
             n = int(np.frombuffer(blob, "<u8", 1)[0])
             mask[np.frombuffer(blob, "<u4", n, 8)] = np.frombuffer(blob, "<u8", n, 8 + 4 * n)
-        edge = np.zeros(len(data) + 1, np.int64)
+        edge = np.zeros(len(data) + 1, np.int32)
         later = f.id > f.least[f.of]
         np.add.at(edge, f.at[later], 1)
         np.add.at(edge, f.at[later] + f.count[later] + LENGTH - 1, -1)
@@ -329,7 +338,7 @@ def _removed(kind: pa.DataType):
         x, k = np.nonzero(bits)
         np.add.at(edge, f.at[some][x] + k, 1)
         np.add.at(edge, f.at[some][x] + k + LENGTH, -1)
-        gone = np.cumsum(edge)[:-1] > 0
+        gone = np.cumsum(edge, dtype=np.int32)[:-1] > 0
         before = np.r_[False, gone[:-1]]
         before[offsets[:-1][offsets[:-1] < len(data)]] = False
         after = np.r_[gone[1:], False]
@@ -337,7 +346,7 @@ def _removed(kind: pa.DataType):
         begin, end = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after) + 1
         row = np.searchsorted(offsets, begin, side="right") - 1
         per_row = np.bincount(row, minlength=table.num_rows)
-        kept_at = np.r_[0, np.cumsum(~gone)][offsets]
+        kept_at = np.r_[0, np.cumsum(~gone, dtype=np.int32)][offsets]
         carried = {"carried": table.column("carried").combine_chunks()} if "carried" in table.column_names else {}
         return pa.table({
             "doc_id": table.column("doc_id").combine_chunks().cast(kind),
