@@ -270,5 +270,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_OP10 = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+bw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS s FROM bw, UNNEST(range(1, len(w) - least(13, len(w)) + 2)) AS u(k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM win),
+dp AS (SELECT doc_id, k, size, array_to_string(w[k : k + size - 1], ' ') AS s FROM dw, sizes, UNNEST(range(1, len(w) - size + 2)) AS u(k) WHERE len(w) >= size),
+hit AS (SELECT dp.doc_id, dp.k, dp.size, win.item FROM dp JOIN win ON win.size = dp.size AND win.s = dp.s),
+hw AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM hit, UNNEST(range(size)) AS u(j) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hw ON hw.doc_id = dw.doc_id LEFT JOIN it ON it.doc_id = dw.doc_id
+"""
+
 QUERIES = {"op10_benchmark_decontamination": op10_benchmark_decontamination}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_benchmark_decontamination": ORACLE_OP10}

@@ -400,5 +400,19 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE_OP9 = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM d, UNNEST(range(n - {LENGTH - 1})) AS u(i) WHERE n >= {LENGTH}),
+m AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s),
+g AS (SELECT p.doc_id, p.i, lag(p.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS before FROM p JOIN m ON m.s = p.s WHERE m.least < p.doc_id),
+k AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM k GROUP BY doc_id, island),
+e AS (SELECT r.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS since, h FROM r JOIN d ON d.doc_id = r.doc_id),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS last FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, coalesce(t.spans, 0) AS n_spans,
+  sha256(unhex(coalesce(t.head, '') || substr(d.h, 2 * coalesce(t.last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
 QUERIES = {"op9_suffix_array_dedup": op9_suffix_array_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_suffix_array_dedup": ORACLE_OP9}
