@@ -7,7 +7,8 @@ the new state that follows w takes over the arcs that the state after v has at t
 moment. Which arcs a state has is thus settled by following the takeovers back to the
 merge that removed the arc, or to the bytes. The result is deterministic and accepts, for
 each byte string, exactly one sequence of tokens, that which the merges give. Its arcs are
-resolved once and kept in a transition table; a dense byte trie spells out their labels.
+resolved once and kept in a transition table; a byte trie, in a hashed table too, spells out
+their labels.
 
 Pre-split pieces of equal length go through the tables together (numpy); decoding emits the
 labels of the arcs.
@@ -66,10 +67,37 @@ class Automaton:
                     nodes.append({})
                     token.append(-1)
             token[node] = i
-        self.goto = np.zeros((len(nodes), 256), np.uint16 if len(nodes) < 1 << 16 else np.int32)  # 0: no way on
-        for k, arcs in enumerate(nodes):
-            self.goto[k, list(arcs)] = list(arcs.values())
         self.token = np.array(token, np.int32)
+        # the table of arcs, by (node, byte), hashed with linear probing; at most a fifth of it is filled
+        self.arc_key = np.full(1 << max(8, (5 * len(nodes)).bit_length()), -1, np.int32)
+        self.arc_to = np.zeros(len(self.arc_key), np.int32)
+        key = np.array([k << 8 | c for k, arcs in enumerate(nodes) for c in arcs], np.int64)
+        to = np.array([n for arcs in nodes for n in arcs.values()], np.int32)
+        slot = self._slot(key)
+        while len(key):
+            free = self.arc_key[slot] < 0
+            self.arc_key[slot[free]] = key[free]
+            won = self.arc_key[slot] == key
+            self.arc_to[slot[won]] = to[won]
+            key, to, slot = key[~won], to[~won], (slot[~won] + 1) & (len(self.arc_key) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * 0x9E3779B1) >> 12) & (len(self.arc_key) - 1)
+
+    def goto(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Where each arc leads; 0: no such arc."""
+        key = node << 8 | byte
+        slot = self._slot(key)
+        there = self.arc_key[slot]
+        out = np.where(there == key, self.arc_to[slot], 0)
+        todo = np.flatnonzero((there != key) & (there >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.arc_key) - 1)
+            there = self.arc_key[slot[todo]]
+            hit = there == key[todo]
+            out[todo[hit]] = self.arc_to[slot[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+        return out
 
     def _open(self, u: np.ndarray, v: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Whether, of the merges before the given ones, none took the arc v from the state after u."""
@@ -112,9 +140,9 @@ class Automaton:
         last = np.full((size + 1, n), -1, np.int32)
         for s in range(size):
             who = np.arange(n)
-            node = np.zeros(n, np.intp)
+            node = np.zeros(n, np.int64)
             for e in range(s, size):
-                node = self.goto[node, rows[who, e]]
+                node = self.goto(node, rows[who, e]).astype(np.int64)
                 on = node > 0
                 if not on.all():
                     who, node = who[on], node[on]
@@ -188,7 +216,7 @@ def automaton(path: str) -> tuple[Automaton, PieceEncoder]:
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled, encoder = automaton(path)
-        for chunk in text_chunks(batches, 2 << 20):
+        for chunk in text_chunks(batches, 1 << 20):
             ids, counts = encoder([t or "" for t in chunk.column("text").to_pylist()])
             data, per_id = compiled.decode(ids)
             ends = np.cumsum(counts)

@@ -130,20 +130,38 @@ def powers(n: int) -> np.ndarray:
 
 
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_TABLE = 1 << 22
+_TABLE = 1 << 20
 _down: list[np.ndarray] = []
 
 
-def span_sums(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each span (they follow each other without gaps) the sum of value * _BASE ** place in the span."""
-    n = len(values)
-    if n > _TABLE:  # long texts: no tables of their length
-        return np.add.reduceat(values * powers(int(size.max()))[np.arange(n) - np.repeat(begin, size)], begin)
+def inverse_powers() -> np.ndarray:
+    """_BASE ** -i for i < _TABLE."""
     if not _down:
         out = np.full(_TABLE, _INVERSE)
         out[0] = 1
         _down.append(np.cumprod(out, dtype=U64))
-    return np.add.reduceat(values * powers(_TABLE)[:n], begin) * _down[0][begin]
+    return _down[0]
+
+
+def span_sums(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each span (they follow each other without gaps) the sum of value * _BASE ** place in the span."""
+    if len(values) <= _TABLE:
+        return np.add.reduceat(values * powers(_TABLE)[: len(values)], begin) * inverse_powers()[begin]
+    out = np.zeros(len(begin), U64)
+    a = 0
+    while a < len(begin):  # as many spans at once as the tables reach; a longer span alone
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + _TABLE, side="right")) - 1)
+        if b == len(begin) - 1 and begin[b] + size[b] - begin[a] <= _TABLE:
+            b += 1
+        part = values[begin[a] : begin[b - 1] + size[b - 1]]
+        if len(part) <= _TABLE:
+            out[a:b] = np.add.reduceat(part * powers(_TABLE)[: len(part)], begin[a:b] - begin[a]) * inverse_powers()[begin[a:b] - begin[a]]
+        else:
+            factor = np.full(len(part), _BASE)
+            factor[0] = 1
+            out[a] = (part * np.cumprod(factor, dtype=U64)).sum(dtype=U64)
+        a = b
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

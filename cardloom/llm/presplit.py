@@ -114,7 +114,7 @@ class Vocabulary:
 class PieceEncoder:
     """Texts to token ids; ``encode`` gives the ids of unseen pieces: list of str -> (all ids, number of ids of each)."""
 
-    def __init__(self, added: dict[str, int], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 21, pool: int = 8_000_000):
+    def __init__(self, added: dict[str, int], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 21, pool: int = 5_000_000):
         self.added, self.encode, self.slots, self.pool_limit = added, encode, slots, pool
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.reset()

@@ -26,12 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _WEIGHTS, PACKED, U64, _down, carried_type, carrying, exchanged, mixed, partitions, powers, raw_bytes, runs, span_sums
+from .common import _WEIGHTS, PACKED, U64, carried_type, carrying, exchanged, inverse_powers, mixed, partitions, powers, raw_bytes, runs, span_sums
 
 LENGTH = 50
 SEED = 20
 WINDOW = LENGTH - SEED + 1
-SEGMENT = 1 << 21
+SEGMENT = (1 << 20) - 64
 BLOCK_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 
@@ -67,7 +67,6 @@ class Fragments:
     """Runs of places of a block's rows whose strings have one seed, and the distinct ones among them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
-        span_sums(np.zeros(1, U64), np.zeros(1, np.int64), np.ones(1, np.int64))  # fills the table of inverse powers
         parts = []
         n = len(data)
         ok = np.zeros(n + 1, bool)
@@ -90,7 +89,7 @@ class Fragments:
             sums = np.zeros(len(part) + 1, U64)
             np.cumsum(_WEIGHTS[part] * powers(len(part)), out=sums[1:])
             end = at + count + LENGTH - 1
-            text = mixed((sums[end] - sums[at]) * _down[0][at] + count.astype(U64))
+            text = mixed((sums[end] - sums[at]) * inverse_powers()[at] + count.astype(U64))
             # smallest hashes crowd at 0: spread them over all 40 bits, one to one
             spread = ((seed[at] >> U64(24)) * U64(0x9E3779B97F4A7C15)) & U64((1 << 40) - 1)
             parts.append((at + a, count, spread, text))
