@@ -334,7 +334,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = partitions(spark)
     blocks = max(int(total // block_bytes) + 1, buckets)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     table = rows.where("train").select("text").mapInArrow(_top, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).toArrow()
     keys, counts = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "count"))
     train_words, train_rows = (int(counts[keys == k].sum()) for k in (-1, -2))

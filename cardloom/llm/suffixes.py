@@ -374,7 +374,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = partitions(docs.sparkSession)
     blocks = max(int(total // block_bytes) + 1, buckets)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     id_type = rows.schema["doc_id"].dataType
     answer = "block long, bucket int, payload binary"
     shared = exchanged(rows.groupBy("block").applyInArrow(_ask_seeds(buckets), PACKED), 1).mapInArrow(_answer_seeds, answer)

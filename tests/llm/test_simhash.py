@@ -69,3 +69,9 @@ def test_long_chain(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert connected_components(edges).where("component <> 0").count() == 0
     assert connected_components(edges).count() == 61
+
+
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "only here, with other words"), (3, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(df).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (7, 7), (None, None), (3, 3)], key=str)
