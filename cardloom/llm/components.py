@@ -48,8 +48,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
     now = staged(now, "edges")
-    last = None
+    last = None if now.take(1) else (0, None)
     for _ in range(max_rounds):
+        if last == (0, None):
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -58,7 +60,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         now = staged(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000000007)).first()
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000000007)).first())
         if mark == last:
             break
         last = mark
