@@ -20,10 +20,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _WEIGHTS, PACKED, U64, carried_type, carrying, exchanged, inverse_powers, mixed, partitions, powers, raw_bytes, runs, span_sums
@@ -319,7 +318,7 @@ def _answer_fragments(most: int):
     return run
 
 
-def _removed(kind: pa.DataType):
+def _removed(kind: pa.DataType, as_text: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
         data, offsets, ids = block_of(table)
@@ -346,24 +345,34 @@ def _removed(kind: pa.DataType):
         row = np.searchsorted(offsets, begin, side="right") - 1
         per_row = np.bincount(row, minlength=table.num_rows)
         kept_at = np.r_[0, np.cumsum(~gone, dtype=np.int32)][offsets]
+        kept = data[~gone].tobytes()
+        if as_text:
+            texts = [kept[x:y].decode("utf-8", "ignore") for x, y in zip(kept_at.tolist(), kept_at[1:].tolist(), strict=False)]
+            null = np.asarray(table.column("text").combine_chunks().is_null())
+            column = pa.array(texts, pa.string(), mask=null)
+        else:
+            column = pa.Array.from_buffers(pa.binary(), table.num_rows, [None, pa.py_buffer(kept_at.astype(np.int32).tobytes()), pa.py_buffer(kept)])
         carried = {"carried": table.column("carried").combine_chunks()} if "carried" in table.column_names else {}
         return pa.table({
             "doc_id": table.column("doc_id").combine_chunks().cast(kind),
             "n_bytes": pa.array(np.diff(offsets)),
             "spans": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin - offsets[row]), pa.array(end - offsets[row])], ["begin", "end"])),
             "n_removed": pa.array(np.diff(offsets) - np.diff(kept_at)),
-            "kept": pa.Array.from_buffers(pa.binary(), table.num_rows, [None, pa.py_buffer(kept_at.astype(np.int32).tobytes()), pa.py_buffer(data[~gone].tobytes())]),
+            "kept": column,
             **carried,
         })
 
     return run
 
 
-def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, sorted_together: int = 150_000, carry: list[str] = ()) -> DataFrame:
+def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, sorted_together: int = 150_000, carry: list[str] = (), as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, n_removed, kept, carried) for every row of docs; ids are integers.
 
     carried: a struct of the row's columns named in ``carry`` (absent if none are).
 
+    With ``as_text``, kept is a string without the bytes of code points that a removal cut, null
+    where the text is.
+
     spans: the maximal removed byte ranges; kept: the other bytes, concatenated. Null texts are
     empty. Rows with equal ids don't make each other's bytes go; rows with a null id come after
     all others. Texts of fewer than 50 bytes are kept.
@@ -380,18 +389,8 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = exchanged(rows.groupBy("block").applyInArrow(_ask_seeds(buckets), PACKED), 1).mapInArrow(_answer_seeds, answer)
     asked = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_fragments(buckets), PACKED)
     masks = exchanged(asked, 1).mapInArrow(_answer_fragments(sorted_together), answer)
-    schema = f"doc_id {id_type.simpleString()}, n_bytes long, spans array<struct<begin:long,end:long>>, n_removed long, kept binary{carried_type(rows)}"
-    return rows.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(_removed(to_arrow_type(id_type)), schema)
-
-
-def kept_text(text: Column) -> Column:
-    """What is left of the text, without the bytes of code points that a removal cut; as it is if nothing goes."""
-
-    @F.pandas_udf("string")
-    def whole(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    return F.when(F.col("n_removed") == 0, text).otherwise(whole("kept"))
+    schema = f"doc_id {id_type.simpleString()}, n_bytes long, spans array<struct<begin:long,end:long>>, n_removed long, kept {'string' if as_text else 'binary'}{carried_type(rows)}"
+    return rows.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(_removed(to_arrow_type(id_type), as_text), schema)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,9 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = suffixes.repeats_removed(docs, carry=["text", "lang", "source"])
-    columns = ["doc_id", suffixes.kept_text(F.col("carried.text")).alias("text"), F.col("carried.lang").alias("lang"), F.col("carried.source").alias("source")]
-    return found.select(*columns).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    found = suffixes.repeats_removed(docs, carry=["lang", "source"], as_text=True)
+    return found.select("doc_id", F.col("kept").alias("text"), "carried.lang", "carried.source").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
