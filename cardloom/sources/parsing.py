@@ -110,17 +110,19 @@ def parse_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     line, after = F.col("line"), F.lead("line").over(order)
     begins = line.rlike(OWNER) & F.coalesce(after.rlike(NAME) & ~after.rlike(TODAY), F.lit(False))
     marked = lines.withColumn("begins", begins).withColumn("block", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = marked.where("block > 0").groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    first = lambda ls, p: F.get(F.filter(ls, lambda x: x["line"].rlike(p)), 0)
-    today = first(F.col("ls"), TODAY)
-    head = F.filter("ls", lambda x: F.coalesce(x["pos"] < today["pos"], F.lit(True)))
-    numbers = F.filter(head, lambda x: x["line"].rlike(NUMBER) & (x["pos"] < first(head, BUILT_BY)["pos"]))
-    total = F.when(F.size(numbers) > 1, F.get(numbers, F.size(numbers) - 2)).when(F.size(numbers) == 1, F.get(numbers, 0))["line"]
-    below = F.get("ls", 2)["line"]
-    described = below.rlike("\\s") & ~below.rlike(NUMBER) & ~below.rlike(BUILT_BY) & ~below.rlike(TODAY) & ~below.rlike(OWNER)
-    rows = blocks.select(
-        key, "block", F.regexp_extract(F.get("ls", 0)["line"], OWNER, 1).alias("owner"), F.get("ls", 1)["line"].alias("name"),
-        f.int_with_commas(F.regexp_extract(today["line"], TODAY, 1)).alias("today"), f.int_with_commas(total).alias("total"), F.when(described, below).alias("about"))
+    own = Window.partitionBy(key, "block")
+    rows = marked.where("block > 0").withColumn("i", F.col("pos") - F.min("pos").over(own))
+    rows = rows.withColumn("today_at", F.min(F.when(line.rlike(TODAY), F.col("pos"))).over(own))
+    in_time = F.coalesce(F.col("pos") < F.col("today_at"), F.lit(True))
+    rows = rows.withColumn("built_at", F.min(F.when(line.rlike(BUILT_BY) & in_time, F.col("pos"))).over(own))
+    number = line.rlike(NUMBER) & in_time & (F.col("pos") < F.col("built_at"))
+    described = line.rlike("\\s") & ~line.rlike(NUMBER) & ~line.rlike(BUILT_BY) & ~line.rlike(TODAY) & ~line.rlike(OWNER)
+    at = lambda k: F.max(F.when(F.col("i") == k, line))
+    rows = rows.groupBy(key, "block").agg(
+        at(0).alias("head"), at(1).alias("name"), F.max(F.when(F.col("pos") == F.col("today_at"), line)).alias("today_line"),
+        F.sort_array(F.collect_list(F.when(number, F.struct("pos", "line"))), False).alias("numbers"), F.max(F.when((F.col("i") == 2) & described, line)).alias("about"))
+    total = F.coalesce(F.get("numbers", 1), F.get("numbers", 0))["line"]
+    rows = rows.select(key, "block", F.regexp_extract("head", OWNER, 1).alias("owner"), "name", f.int_with_commas(F.regexp_extract("today_line", TODAY, 1)).alias("today"), f.int_with_commas(total).alias("total"), "about")
     said = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("block", c)))[c]
     out = rows.groupBy(key, "owner", "name").agg(said("today").alias("stars_today"), said("total").alias("stars_total"), said("about").alias("description"), F.min("block").alias("position"))
     return out.where("stars_today IS NOT NULL").withColumn("repo", F.concat_ws("/", "owner", "name"))
