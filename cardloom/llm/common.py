@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that a task handles in one go.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -53,13 +53,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts: Arrow batches of 1000 rows, unless the session has its own number."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the needed columns, under fixed names, so that no other column can clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in more])
 
 
 def carrying(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
     """The same with the columns named in ``carry`` as a struct ``carried``, whatever their names."""
+    small_batches(docs.sparkSession)
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *more)
 

@@ -23,6 +23,7 @@ from .common import LOWER, carried_type, carrying, raw_bytes, span_hashes, stage
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
+SHARD_BYTES = 2 << 20
 SPANS = "array<struct<begin:int,end:int>>"
 
 
@@ -184,7 +185,7 @@ class Phrases:
 
 def _scanned(blocks: list, again: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, SHARD_BYTES):
             raw, offsets = raw_bytes(chunk.column("text"))
             n = len(offsets) - 1
             data = LOWER[raw]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, raw_bytes, span_hashes, text_chunks, word_bounds
+from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, raw_bytes, small_batches, span_hashes, text_chunks, word_bounds
 
 BITS = 18
 SLICE = 250  # sample texts whose features are made at once
@@ -165,6 +165,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text scores ``least`` or more; no shuffle."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -31,7 +31,7 @@ LENGTH = 50
 SEED = 20
 WINDOW = LENGTH - SEED + 1
 SEGMENT = (1 << 20) - 64
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo PERIOD is that of two of COVER
