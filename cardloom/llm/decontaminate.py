@@ -150,6 +150,8 @@ class Phrases:
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         symbol = np.where(self.vocabulary[at] == h, at + 1, 0)
         known = symbol > 0
+        if not known.any():
+            return none
         # runs of known words in one row, long enough for the shortest window
         begins = known.copy()
         begins[1:] &= ~(known[:-1] & (row[1:] == row[:-1]))

@@ -69,6 +69,15 @@ def test_short_items_ties_nulls_and_passes(spark):
     assert {k: v[0] for k, v in none.items()} == {k: v[0] for k, v in want.items()} and not any(v[1] for v in none.values())
 
 
+def test_documents_and_benchmark_without_a_common_word(spark):
+    docs = [(1, "alpha beta gamma"), (2, "слова без эталона"), (3, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    for bench in ([(1, "one two three")], [(1, "one"), (2, "two " * 20)]):
+        b = spark.createDataFrame(bench, "item_id long, text string")
+        assert read(digest(dc.contamination(d, b))) == brute(docs, bench)
+        assert read(digest(dc.contamination(d, b, block_bytes=2, blocks_a_pass=1))) == brute(docs, bench)
+
+
 def test_spans_are_byte_ranges(spark):
     d = spark.createDataFrame([(1, "é One two, THREE four. one two three")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
