@@ -7,8 +7,9 @@ of the member's length, below 16 MB; larger records are followed by an empty mem
 Reading: tasks get byte ranges of the files, scan them for gzip magic and own what starts
 inside (Spark's own split reader, with the magic as separator, so any store that Spark reads
 will do). Each candidate is validated by decoding: its first bytes must inflate to a WARC
-header. Magic that occurs by chance inside compressed data is thus no member, and what
-follows it is put back onto the member it belongs to, across range borders too.
+header, and a candidate too short to tell stays open until later pieces do. Magic that occurs
+by chance inside compressed data is thus no member, and what follows it is put back onto the
+member it belongs to, across range borders too.
 
 Files keep the writer's names: the suffix .gz would make readers treat a whole file as one
 gzip stream that can't be split.
@@ -103,22 +104,86 @@ def parse(data: bytes) -> dict | None:
     return {"fields": fields, "payload": payload}
 
 
-def begins_member(piece: bytes) -> bool:
-    """Whether magic + piece opens a gzip member whose text is a WARC header."""
-    try:
-        return zlib.decompressobj(31).decompress(MAGIC + piece[:4096], 64).startswith(b"WARC/")
-    except zlib.error:
-        return False
-
+class Opening:
+    """The first bytes of what magic may open, fed as they come: real is None until it is known
+    whether they inflate to a WARC header."""
+
+    def __init__(self, at: int):
+        self.at = at
+        self.real: bool | None = None
+        self._unpack = zlib.decompressobj(31)
+        self._text = b""
+
+    def feed(self, data: bytes) -> None:
+        for a in range(0, len(data), 4096):
+            try:
+                self._text += self._unpack.decompress(data[a : a + 4096], 64)
+            except zlib.error:
+                self.real = False
+                return
+            if len(self._text) >= 5 or self._unpack.eof or not b"WARC/".startswith(self._text):
+                self.real = self._text.startswith(b"WARC/")
+                return
+
+
+def inflated(data: bytes) -> tuple[list[bytes], bytes]:
+    """The texts of the whole members in data, one behind the other (damaged ones and what is no member are
+    passed over), and the bytes from a last one that isn't whole."""
+    texts, at = [], 0
+    while at >= 0:
+        unpack = zlib.decompressobj(31)
+        try:
+            out = unpack.decompress(memoryview(data)[at:])
+        except zlib.error:
+            at = data.find(MAGIC, at + 1)
+            continue
+        if not unpack.eof:
+            return texts, data[at:]
+        if out:
+            texts.append(out)
+        at = data.find(MAGIC, len(data) - len(unpack.unused_data))
+    return texts, b""
+
+
+class Members:
+    """Pieces between magic bytes, in file order, to members.
+
+    Magic opens a member once its bytes are seen to inflate to a WARC header. That can take
+    several pieces, since magic can occur by chance in a member's first bytes too.
+    """
 
-def inflated(data: bytes) -> bytes | None:
-    """The text of a whole member (an empty one and zero bytes may follow), or None if it isn't whole."""
-    unpack = zlib.decompressobj(31)
-    try:
-        out = unpack.decompress(data)
-    except zlib.error:
-        return None
-    return out if unpack.eof else None
+    def __init__(self):
+        self.held = bytearray()
+        self.real = False  # whether held begins with a member
+        self.open: list[Opening] = []
+
+    def add(self, piece: bytes) -> tuple[bytes, list[bytes]]:
+        """What stands before the first member, and texts, as far as this piece settles them."""
+        new = MAGIC + piece
+        self.open.append(Opening(len(self.held)))
+        self.held += new
+        for x in self.open:
+            x.feed(new)
+        loose, texts = b"", []
+        while (x := next((x for x in self.open if x.real), None)) is not None:
+            before = bytes(self.held[: x.at])
+            if self.real:
+                texts += inflated(before)[0]
+            else:
+                loose = before
+            del self.held[: x.at]
+            self.real = True
+            self.open = [y for y in self.open if y.at > x.at]
+            for y in self.open:
+                y.at -= x.at
+        self.open = [x for x in self.open if x.real is None]
+        return loose, texts
+
+    def end(self) -> tuple[bytes, list[bytes], bytes]:
+        """What stands before the first member, texts, and a last member that isn't whole."""
+        if not self.real:
+            return bytes(self.held), [], b""
+        return b"", *inflated(bytes(self.held))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,39 +198,32 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, value in (("state", state), ("file", file), ("at", at), ("data", data)):
             cols.setdefault(name, []).append(value)
 
-    def settle(file: str, at: int, held: bytes) -> None:
-        text = inflated(held)
-        emit(0, file, at, text) if text is not None else emit(2, file, at, held)
+    def settle(file: str, at: int, loose: bytes, texts: list[bytes], rest: bytes = b"") -> None:
+        if loose:
+            emit(1, file, at, loose)
+        for text in texts:
+            emit(0, file, at, text)
+        if rest:
+            emit(2, file, at, rest)
 
     now: tuple[str, int] | None = None
-    held = loose = None
+    members = Members()
     size = 0
     for batch in batches:
         for piece, file, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (file, at) != now:
-                if now and held is not None:
-                    settle(*now, held)
-                if now and loose:
-                    emit(1, *now, loose)
-                now, held, loose = (file, at), None, b""
+                if now:
+                    settle(*now, *members.end())
+                now, members = (file, at), Members()
                 if at == 0 and piece == b"":
                     continue  # what stands before the first magic of a file
-            if begins_member(piece):
-                if held is not None:
-                    settle(*now, held)
-                held = MAGIC + piece
-            elif held is not None:
-                held += MAGIC + piece
-            else:
-                loose += MAGIC + piece
+            settle(*now, *members.add(piece))
             size += len(piece)
             if size > 4 << 20 and cols:
                 yield pa.record_batch({"state": pa.array(cols["state"], pa.int32()), "file": pa.array(cols["file"]), "at": pa.array(cols["at"], pa.int64()), "data": pa.array(cols["data"], pa.binary())})
                 cols, size = {}, 0
-    if now and held is not None:
-        settle(*now, held)
-    if now and loose:
-        emit(1, *now, loose)
+    if now:
+        settle(*now, *members.end())
     if cols:
         yield pa.record_batch({"state": pa.array(cols["state"], pa.int32()), "file": pa.array(cols["file"]), "at": pa.array(cols["at"], pa.int64()), "data": pa.array(cols["data"], pa.binary())})
 
@@ -196,15 +254,14 @@ def _joined(pdf):
     """Pieces of one file that its ranges couldn't settle: put them together in order."""
     import pandas as pd
 
-    out, held = [], None
+    out, members = [], Members()
     for state, data in pdf.sort_values(["at", "state"])[["state", "data"]].itertuples(index=False):
         if state == 2:
-            held = bytes(data)
-        elif held is not None:
-            held += bytes(data)
-        if held is not None and (text := inflated(held)) is not None:
-            out.append(text)
-            held = None
+            out += members.end()[1]
+            members = Members()
+        for piece in bytes(data).split(MAGIC)[1:]:
+            out += members.add(piece)[1]
+    out += members.end()[1]
     return pd.DataFrame({"data": pd.Series(out, dtype=object)})
 
 

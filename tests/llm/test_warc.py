@@ -58,3 +58,33 @@ def test_pieces_that_ranges_leave_are_joined():
     out = pa.Table.from_batches(list(warc._pieces(iter([batch])))).to_pandas()
     assert set(out.state) == {1, 2}
     assert [warc.parse(x)["payload"] for x in warc._joined(out).data] == [body]
+
+
+def test_magic_in_a_members_first_bytes(spark, tmp_path):
+    """Magic in the time or name of a gzip header, before any text can be inflated, wherever ranges end."""
+    body = lambda k: b"body %d" % k * 9
+    plain = [warc.member(warc.record(str(k), "u", body(k), "d", None, "x")) for k in range(8)]
+    timed = lambda m: m[:4] + warc.MAGIC + b"\0" + m[8:]
+    named = lambda m: m[:3] + b"\x08" + m[4:10] + b"n" + warc.MAGIC + b"\x01" + warc.MAGIC + b"\0" + m[10:]
+    data = [timed(plain[0]), plain[1], timed(plain[2]), named(plain[3]), plain[4], plain[5] + b"\0\0", named(plain[6]), timed(plain[7])]
+    parts = b"".join(data).split(warc.MAGIC)[1:]
+    for size in (1, 2, 3, 5, 100):  # pieces in a range
+        batch = pa.record_batch({"value": pa.array(parts, pa.binary()), "file": pa.array(["f"] * len(parts)), "at": pa.array([100 + k // size for k in range(len(parts))], pa.int64())})
+        out = pa.Table.from_batches(list(warc._pieces(iter([batch])))).to_pandas()
+        got = [warc.parse(x)["payload"] for x in [*out[out.state == 0].data, *warc._joined(out[out.state > 0]).data]]
+        assert sorted(got) == [body(k) for k in range(8)]
+    os.makedirs(tmp_path / "w")
+    (tmp_path / "w/part-0.txt").write_bytes(b"".join(data))
+    assert {r.record_id: bytes(r.payload) for r in warc.read_archive(spark, str(tmp_path / "w")).collect()} == {str(k): body(k) for k in range(8)}
+
+
+def test_damaged_members_leave_their_neighbours():
+    m = [warc.member(warc.record(str(k), "u", b"%d" % k * 99, "d", None, "x")) for k in range(4)]
+    for bad in (m[1][:-30], m[1][:60] + b"\xff\xff" + m[1][62:], m[1][:-8] + b"\1\1\1\1" + m[1][-4:]):
+        late = m[2][:4] + warc.MAGIC + b"\0" + m[2][8:]
+        parts = (m[0] + bad + late + m[3]).split(warc.MAGIC)[1:]
+        for size in (1, 2, 100):
+            batch = pa.record_batch({"value": pa.array(parts, pa.binary()), "file": pa.array(["f"] * len(parts)), "at": pa.array([100 + k // size for k in range(len(parts))], pa.int64())})
+            out = pa.Table.from_batches(list(warc._pieces(iter([batch])))).to_pandas()
+            got = [warc.parse(x) for x in [*out[out.state == 0].data, *warc._joined(out[out.state > 0]).data]]
+            assert sorted(p["fields"]["warc-record-id"][10:-1] for p in got if p) == ["0", "2", "3"]
