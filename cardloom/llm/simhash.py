@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, PACKED, U64, exchanged, ids_and_texts, packed, partitions, raw_bytes, runs, staged, text_chunks, word_bounds
+from .common import IS_SPACE, LOWER, PACKED, U64, carried_type, carrying, exchanged, packed, partitions, raw_bytes, runs, staged, text_chunks, word_bounds
 from .components import connected_components
 
 PER_TASK = 1
@@ -64,20 +64,26 @@ def fingerprints_of(texts: pa.ChunkedArray, words: int) -> np.ndarray:
 def _fingerprint_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            yield pa.record_batch({"doc_id": chunk.column("doc_id").combine_chunks(), "fp": pa.array(fingerprints_of(chunk.column("text"), words).view(np.int64))})
+            yield pa.record_batch({
+                "doc_id": chunk.column("doc_id").combine_chunks(),
+                "fp": pa.array(fingerprints_of(chunk.column("text"), words).view(np.int64)),
+                **({"carried": chunk.column("carried").combine_chunks()} if "carried" in chunk.column_names else {}),
+            })
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp: the fingerprint's 64 bits as a signed long), a row for each row of docs.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, fp: the fingerprint's 64 bits as a signed long, carried), a row for each row of docs.
+
+    carried: a struct of the row's columns named in ``carry`` (absent if none are).
 
     A-Z become lower case, words are split at ASCII white space, repeated shingles count
     each time. A text of fewer words has one shingle, the whole sequence; a text without
     words (null, empty, blank) has fingerprint 0.
     """
-    rows = ids_and_texts(docs, id_col, text_col)
-    return rows.mapInArrow(_fingerprint_rows(words), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = carrying(docs, id_col, text_col, carry)
+    return rows.mapInArrow(_fingerprint_rows(words), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long{carried_type(rows)}")
 
 
 def _probes(per: int):
@@ -163,18 +169,19 @@ def near_links(fps: DataFrame, most: int = 3) -> DataFrame:
     return exchanged(probes, PER_TASK).mapInArrow(_links(most), "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reachable over links of ``most`` bits.
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, fp, carried, component_id, component): the smallest doc_id reachable over links of ``most``
+    bits, and a number that the group's rows alone have (several groups can have one smallest id).
 
     Equal fingerprints are one node. Rows with a null id take part but name no group: a
     group of such rows alone has component_id null. Repeated rows are returned as often.
     """
-    rows = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    rows = staged(fingerprints(docs, id_col, text_col, words, carry), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = staged(connected_components(near_links(fps, most)), "components")
     named = fps.join(found, fps.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lows = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(lows, "component").select(F.col("fp").alias("_fp"), "component_id")
+    of_fp = named.join(lows, "component").select(F.col("fp").alias("_fp"), "component_id", "component")
     return rows.join(of_fp, rows.fp == F.col("_fp"), "left").drop("_fp")
 
 

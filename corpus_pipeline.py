@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each over all that its predecessor kept.
 
 1. quality classifier: documents that score below 0.3 go;
-2. SimHash near-dedup: of each group of near copies the document with the smallest id stays;
+2. SimHash near-dedup: of each group of near copies the row with the smallest id stays;
 3. suffix-array dedup: every byte covered by a 50-byte string that also starts in a document
    with a smaller id goes, and what is left of code points that this cuts (the document stays,
    with an empty text if nothing is left);
@@ -11,7 +11,8 @@
 
 Each stage's function takes (spark, docs, sf_dir); docs has the columns of documents, and all
 stages but the last return them. Rows with a null id stay as they are in stage 2; rows that
-repeat an id count as one document there and stay together.
+repeat an id are told apart there by their texts, so each stays or goes with its own group, and
+of a group's rows with the smallest id one stays.
 """
 
 from __future__ import annotations
@@ -32,8 +33,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = simhash.near_duplicate_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.select(COLUMNS).join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    key = ["doc_id", "_text"]
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
+    found = simhash.near_duplicate_groups(rows, carry=["_text"]).where("doc_id IS NOT NULL")
+    groups = staged(found.select("doc_id", "carried._text", "component", "component_id"), "copies")
+    again = groups.where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("_text").alias("_first"), F.count("*").alias("n")).where("n > 1")
+    later = groups.join(again, ["doc_id", "component"]).where("_text <> _first")
+    copies = groups.where("doc_id <> component_id").select(key).unionByName(later.select(key)).distinct()
+    kept = rows.join(copies, key, "left_anti")
+    if not again.isEmpty():
+        firsts = again.select("doc_id", F.col("_first").alias("_text"))
+        kept = kept.join(firsts, key, "left_anti").unionByName(kept.join(firsts, key, "left_semi").dropDuplicates(key))
+    return kept.select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

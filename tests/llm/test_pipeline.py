@@ -72,3 +72,17 @@ def test_run_and_empty_and_null_rows(spark, sf):
         for _, stage in cp.STAGES:
             now = stage(spark, now, sf)
         assert (now.count() > 0) == (start is odd)
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """Rows that repeat an id stay or go by their own texts."""
+    words = lambda k, n=300: " ".join(f"w{k}x{i}" for i in range(n))
+    near = words(4) + " end"
+    assert [c for _, c in brute_groups([(0, words(4)), (1, near)]).values()] == [0, 0]
+    rows = [(1, words(1)), (5, words(1)), (5, words(2)), (7, words(3)), (7, words(3)), (7, words(4)), (7, near), (8, near), (9, None), (9, ""), (None, words(1)), (None, words(1))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, "").collect()]
+    assert sorted(t for d, t in got if d in (1, 5)) == [words(1), words(2)]
+    seven = [t for d, t in got if d == 7]
+    assert len(seven) == 2 and words(3) in seven and (words(4) in seven or near in seven)
+    assert sum(d == 8 for d, _ in got) == 0 and sum(d == 9 for d, _ in got) == 1 and sum(d is None for d, _ in got) == 2
