@@ -3,9 +3,10 @@
 Every key meets every leaf (shard) with an exponential draw whose rate is the leaf's weight:
 -ln(u) / weight, u from a hash of key and leaf. A rack's draw is the smallest below it, and
 so is a region's; it then is itself exponential with the rate of the whole subtree's weight.
-A key descends to the region, the rack and the shard with the smallest draw. A change of one
-weight changes only the draws on the path above it, so keys move only into or out of that
-subtree, and a new shard takes rows only into itself.
+A key descends to the region, the rack and the shard with the smallest draw, which is that of
+the smallest leaf: the result is that of flat weighted rendezvous hashing, and the levels decide
+nothing. A change of one weight moves keys only into or out of that shard, and a new shard
+takes rows only into itself; a shift of weights inside a rack moves keys of other racks too.
 """
 
 from __future__ import annotations
