@@ -1,14 +1,22 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-Construction: the automaton starts with the byte alphabet, one arc and one state for each
-byte. Every merge (u, v) -> w adds a gadget, in the order of the merges: the arc v leaves
-the state that follows u; the new arc w enters wherever u could enter at that moment, and
-the new state that follows w takes over the arcs that the state after v has at that
-moment. Which arcs a state has is thus settled by following the takeovers back to the
-merge that removed the arc, or to the bytes. The result is deterministic and accepts, for
-each byte string, exactly one sequence of tokens, that which the merges give. Its arcs are
-resolved once and kept in a transition table; a byte trie, in a hashed table too, spells out
-their labels.
+The automaton reads tokens: a state for each token, the one just read, and arcs for the tokens
+that may follow. It is compiled by successive gadgets, one a merge, starting from the bytes, any
+of which may follow any. The gadget of a merge (u, v) -> w, where u can still be followed by v,
+
+* adds the state w, with the arcs that the state v has at that moment;
+* takes the arc v from the state u;
+* adds the arc w to every state that still has the arc u.
+
+A merge whose parts no longer follow each other gets none, and its token is never read. The result
+is deterministic and accepts, for each byte string, one sequence of tokens: that of the merges.
+
+Arcs are numbered so that the table is small. A new arc w enters wherever u is, so an arc that is
+gone takes with it all that would have entered through it later; with arcs numbered in postorder
+of "enters through", siblings by age, an arc and all that it takes along are one interval. A state's row
+is the list of intervals that it lacks: what its right part lacked when it was made, and one for each gadget that
+took an arc from it. 50,000 merges make some 10^6 intervals, where 50,000 x 50,000 arcs would
+be no table. A transition is a binary search in the row; labels are spelled by a byte trie in a hashed table.
 
 Pre-split pieces of equal length go through the tables together (numpy); decoding emits the
 labels of the arcs.
@@ -16,6 +24,7 @@ labels of the arcs.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,33 +33,82 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, text_chunks
+from .common import ids_and_texts, kept, text_chunks, tidy
 from .presplit import PieceEncoder, Vocabulary
 
 
+class Arcs:
+    """The compiled transitions: which arcs (tokens) each state (token) has."""
+
+    def __init__(self, size: int, merges: list[tuple[int, int, int]]):
+        self.size = size
+        self.read = np.ones(size, bool)  # whether a token is ever read
+        born, left, right = [-1] * size, [-1] * size, [-1] * size
+        rows = [array("i") for _ in range(size)]  # gadgets whose taken arc each state lacks
+        entering: list[list[int]] = [[] for _ in range(size)]  # arcs that entered through each, by age
+        taken: dict[int, int] = {}  # state and arc: the gadget that took it
+        older = np.zeros(len(merges), np.int64)  # arcs that had entered through the taken one by then
+        for gadget, (u, v, w) in enumerate(merges):
+            if born[w] >= 0 or not (self.read[u] and self.read[v]) or self._lost(taken, born, left, right, u, v):
+                self.read[w] &= born[w] >= 0
+                continue
+            born[w], left[w], right[w] = gadget, u, v
+            rows[w] = rows[v][:]
+            older[gadget] = len(entering[v])
+            taken[u * size + v] = gadget
+            rows[u].append(gadget)
+            entering[u].append(w)
+        # postorder: an arc's interval ends with itself
+        width = np.ones(size, np.int64)
+        for _, _, w in reversed(merges):
+            if born[w] >= 0:
+                width[left[w]] += width[w]
+        low = np.zeros(size, np.int64)
+        roots = [i for i in range(size) if born[i] < 0]
+        low[roots] = np.cumsum(width[roots]) - width[roots]
+        begins: dict[int, list[int]] = {}  # where the intervals of the arcs that entered through each begin, and its own number
+        for i in sorted((i for i in range(size) if entering[i]), key=lambda i: born[i]):
+            at = [int(low[i])]
+            for w in entering[i]:
+                low[w] = at[-1]
+                at.append(at[-1] + int(width[w]))
+            begins[i] = at
+        self.number = low + width - 1
+        lost_from = np.array([(begins[v][older[k]] if v in begins else low[v]) if born[w] == k else 0 for k, (_, v, w) in enumerate(merges)], np.int64)
+        lost_to = self.number[np.array([v for _, v, _ in merges], np.int64)] if merges else lost_from
+        gadgets = np.concatenate([np.frombuffer(r, np.int32) for r in rows if len(r)] or [np.zeros(0, np.int32)])
+        state = np.repeat(np.arange(size), [len(r) for r in rows])
+        self.begin, self.end = state * size + lost_from[gadgets], state * size + lost_to[gadgets]
+        order = np.argsort(self.end, kind="stable")
+        # a gadget takes only an arc that is there, so a row's intervals are apart
+        self.begin, self.end = np.r_[self.begin[order], size * size], np.r_[self.end[order], size * size]
+
+    @staticmethod
+    def _lost(taken: dict[int, int], born: list[int], left: list[int], right: list[int], u: int, v: int) -> bool:
+        """Whether the state u lacks the arc v by now: whether a gadget took it, or an arc through which it
+        would have entered, from u, or from a state whose arcs u got from before."""
+        size, before = len(born), 1 << 60
+        while u >= 0:
+            arc, until = v, 1 << 60
+            while arc >= 0:
+                gadget = taken.get(u * size + arc)
+                if gadget is not None and gadget < before and gadget <= until:
+                    return True
+                arc, until = left[arc], born[arc]
+            u, before = right[u], born[u]
+        return False
+
+    def has(self, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.size + self.number[arc]
+        return self.begin[np.searchsorted(self.end, key)] > key
+
+
 class Automaton:
     def __init__(self, vocabulary: Vocabulary):
         self.added = vocabulary.added
         size = max(vocabulary.label) + 1
-        self.born = np.full(size, -1, np.int64)
-        self.left, self.right = np.arange(size), np.arange(size)
-        keys, ranks = [], []
-        for rank, (u, v, w) in enumerate(vocabulary.merges):
-            keys.append(u * size + v)
-            ranks.append(rank)
-            self.born[w], self.left[w], self.right[w] = rank, u, v
-        order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.size = size
-        self.pair, self.rank = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
-        self.memo_key = np.full(1 << 20, -1, np.int64)
-        self.memo = np.zeros(1 << 20, bool)
-        # a label is an arc only if the merges that build it survive the merges before them
-        live = np.ones(size, bool)
-        made = np.array([w for _, _, w in vocabulary.merges], np.int64)
-        if len(made):
-            whole = self._open(self.left[made], self.right[made], self.born[made])
-            for w, ok in zip(made.tolist(), whole.tolist(), strict=True):
-                live[w] = ok and live[self.left[w]] and live[self.right[w]]
+        self.arcs = Arcs(size, vocabulary.merges)
         labels = [(vocabulary.label.get(i, b"")) for i in range(size)]
         self.label_at = np.cumsum([0, *map(len, labels)])
         self.labels = np.frombuffer(b"".join(labels), np.uint8)
@@ -58,7 +116,7 @@ class Automaton:
         token = [-1]
         added = set(self.added.values())
         for i, label in enumerate(labels):
-            if not label or not live[i] or i in added:
+            if not label or not self.arcs.read[i] or i in added:
                 continue
             node = 0
             for b in label:
@@ -68,7 +126,7 @@ class Automaton:
                     token.append(-1)
             token[node] = i
         self.token = np.array(token, np.int32)
-        # the table of arcs, by (node, byte), hashed with linear probing; at most a fifth of it is filled
+        # the trie by (node, byte), hashed with linear probing; at most a fifth of it is filled
         self.arc_key = np.full(1 << max(8, (5 * len(nodes)).bit_length()), -1, np.int32)
         self.arc_to = np.zeros(len(self.arc_key), np.int32)
         key = np.array([k << 8 | c for k, arcs in enumerate(nodes) for c in arcs], np.int64)
@@ -99,41 +157,6 @@ class Automaton:
             todo = todo[~hit & (there >= 0)]
         return out
 
-    def _open(self, u: np.ndarray, v: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Whether, of the merges before the given ones, none took the arc v from the state after u."""
-        u, v, before = u.copy(), v.copy(), before.copy()
-        out = np.ones(len(u), bool)
-        todo = np.arange(len(u))
-        while len(todo):
-            a, b = u[todo], v[todo]
-            key = a * self.size + b
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            taken = (self.pair[at] == key) & (self.rank[at] < before[todo])
-            out[todo[taken]] = False
-            later = self.born[a] > self.born[b]  # the younger gadget took its arcs over from its part
-            done = taken | ((self.born[a] < 0) & (self.born[b] < 0))
-            x, y = todo[later & ~done], todo[~later & ~done]
-            before[x], u[x] = self.born[u[x]], self.right[u[x]]
-            before[y], v[y] = self.born[v[y]] + 1, self.left[v[y]]
-            todo = todo[~done]
-        return out
-
-    def arcs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Whether the state after u has the arc v, from the transition table or resolved and entered there."""
-        key = u.astype(np.int64) * self.size + v
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        out = self.memo[slot]
-        miss = np.flatnonzero(self.memo_key[slot] != key)
-        if len(miss):
-            fresh, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
-            ok = self._open(fresh // self.size, fresh % self.size, np.full(len(fresh), np.iinfo(np.int64).max))
-            out[miss] = ok[back]
-            to = slot[miss[first]]
-            self.memo_key[to] = fresh
-            won = self.memo_key[to] == fresh  # of several keys with one slot, one stays
-            self.memo[to[won]] = ok[won]
-        return out
-
     def _same_length(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces of one length: a matrix filled from the right with -1 before, and the counts."""
         n, size = rows.shape
@@ -151,7 +174,7 @@ class Automaton:
                 token = self.token[node]
                 can = np.flatnonzero(token >= 0)
                 if s and len(can):
-                    can = can[self.arcs(last[s, who[can]], token[can])]
+                    can = can[self.arcs.has(last[s, who[can]], token[can])]
                 last[e + 1, who[can]] = token[can]
         out = np.full((n, size), -1, np.int32)
         count = np.zeros(n, np.int64)
@@ -202,18 +225,18 @@ class Automaton:
         return self.labels[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - self.label_at[ids], n)], n
 
 
-_held: dict[str, tuple[Automaton, PieceEncoder]] = {}
+def automaton(path: str) -> tuple[Automaton, PieceEncoder]:
+    """The compiled automaton of a vocabulary file and an encoder over it; one in each Python process."""
 
+    def compiled() -> tuple[Automaton, PieceEncoder]:
+        whole = Automaton(Vocabulary(path))
+        return whole, PieceEncoder(whole.added, whole.encode)
 
-def automaton(path: str) -> tuple[Automaton, PieceEncoder]:
-    """The compiled automaton of a vocabulary file; one in each Python process."""
-    if path not in _held:
-        compiled = Automaton(Vocabulary(path))
-        _held[path] = compiled, PieceEncoder(compiled.added, compiled.encode)
-    return _held[path]
+    return kept(("automaton", path), compiled)
 
 
 def _round_trip(path: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled, encoder = automaton(path)
         for chunk in text_chunks(batches, 1 << 20):

@@ -8,6 +8,7 @@ millions of tiny records stays compact and every bucket is handled alone.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,62 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class _Kept:
+    """What the tasks of one operator keep in a Python worker; workers outlive stages and serve other operators too."""
+
+    owner = ""
+    tables: dict = {}
+
+
+def make_room(owner: str) -> None:
+    """Drop what another operator's tasks have left in this Python worker."""
+    if _Kept.owner != owner:
+        _Kept.owner, _Kept.tables = owner, {}
+
+
+def kept(key, make):
+    """``make()``, made once in a Python worker until another operator's tasks come."""
+    if key not in _Kept.tables:
+        _Kept.tables[key] = make()
+    return _Kept.tables[key]
+
+
+def give_back() -> None:
+    """Free memory of this worker to the system: Arrow's pool and the C heap keep it else, for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def tidy(run):
+    """A function over batches, or over one group's tables, that leaves its worker small: other operators' tables go
+    before it begins and free memory is given back when it ends."""
+
+    def over_batches(batches):
+        make_room(run.__module__)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    def over_group(table):
+        make_room(run.__module__)
+        out = run(table)
+        give_back()
+        return out
+
+    def over_groups(table, other):
+        make_room(run.__module__)
+        out = run(table, other)
+        give_back()
+        return out
+
+    takes = run.__code__.co_varnames[: run.__code__.co_argcount]
+    return over_batches if takes == ("batches",) else over_group if len(takes) == 1 else over_groups
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -124,31 +181,54 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _WEIGHTS = np.random.RandomState(7).randint(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, U64)
+_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_TABLE = 1 << 20
 
 
-def powers(n: int) -> np.ndarray:
-    """_BASE ** i for i < n, modulo 2 ** 64."""
-    global _powers
-    if len(_powers) < n:
-        out = np.full(max(n, 1024, 2 * len(_powers)), _BASE)
-        out[0] = 1
-        _powers = np.cumprod(out, dtype=U64)
-    return _powers[:n]
+def _power_table(base: np.uint64) -> np.ndarray:
+    out = np.full(_TABLE, base)
+    out[0] = 1
+    return np.cumprod(out, dtype=U64)
 
 
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_TABLE = 1 << 20
-_down: list[np.ndarray] = []
+def powers(n: int) -> np.ndarray:
+    """_BASE ** i for i < n, modulo 2 ** 64; n is at most _TABLE."""
+    return kept("powers", lambda: _power_table(_BASE))[:n]
 
 
 def inverse_powers() -> np.ndarray:
     """_BASE ** -i for i < _TABLE."""
-    if not _down:
-        out = np.full(_TABLE, _INVERSE)
-        out[0] = 1
-        _down.append(np.cumprod(out, dtype=U64))
-    return _down[0]
+    return kept("inverse powers", lambda: _power_table(_INVERSE))
+
+
+def same_spans(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray, size: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Whether x and y have the same values from each at_x and at_y on, for as many places as size (above 0) says."""
+    out = np.ones(len(size), bool)
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + step, side="right")))
+        n = size[a:b]
+        begin = ends[a:b] - n - done
+        run = np.arange(int(n.sum()))
+        equal = x[run + np.repeat(at_x[a:b] - begin, n)] == y[run + np.repeat(at_y[a:b] - begin, n)]
+        out[a:b] = np.logical_and.reduceat(equal, begin)
+        a = b
+    return out
+
+
+def exact_groups(hashes: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans with the same bytes, told apart by their hashes and then by the bytes themselves: the first
+    of each group, and each span's group. Spans whose hash is another text's are groups of their own."""
+    _, pick, of = np.unique(hashes, return_index=True, return_inverse=True)
+    rest = np.flatnonzero(pick[of] != np.arange(len(of)))
+    first = pick[of[rest]]
+    same = size[rest] == size[first]
+    same[same] = same_spans(data, at[rest[same]], data, at[first[same]], size[rest[same]])
+    odd = rest[~same]
+    of[odd] = len(pick) + np.arange(len(odd))
+    return np.concatenate([pick, odd]), of
 
 
 def span_sums(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidy
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,20 +34,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[parent[keep]]
 
 
+@tidy
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = forest(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
         yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, contracted: bool = False) -> DataFrame:
     """(node, component): every node of ``edges`` (a, b: long) and the smallest node it can reach.
 
     Nodes without an edge to another node are absent. Null ends and loops are ignored;
-    repeated edges change nothing; an empty table gives an empty table.
+    repeated edges change nothing; an empty table gives an empty table. Each task's edges are
+    reduced to a spanning forest first, unless they come as one (``contracted``).
     """
-    now = edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
-    now = staged(now, "edges")
+    now = edges.select("a", "b").where("a <> b")
+    now = staged((now if contracted else now.mapInArrow(_contract, "a long, b long")).distinct(), "edges")
     last = None if now.take(1) else (0, None)
     for _ in range(max_rounds):
         if last == (0, None):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, carried_type, carrying, raw_bytes, span_hashes, staged, text_chunks, word_bounds
+from .common import LOWER, carried_type, carrying, raw_bytes, span_hashes, staged, text_chunks, tidy, word_bounds
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
@@ -186,6 +186,7 @@ class Phrases:
 
 
 def _scanned(blocks: list, again: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, SHARD_BYTES):
             raw, offsets = raw_bytes(chunk.column("text"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, PACKED, U64, exchanged, mixed, partitions, raw_bytes, runs, span_hashes, staged, text_chunks, word_bounds
+from .common import IS_SPACE, LOWER, PACKED, U64, exchanged, mixed, partitions, raw_bytes, runs, span_hashes, staged, text_chunks, tidy, word_bounds
 
 ORDER = 5
 END, PAD = 0xFE, 0xFF
@@ -157,6 +157,7 @@ def code_lengths(asked: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
     return out
 
 
+@tidy
 def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training counts of paths with two context bytes, and under -1 and -2 the training words and rows."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -190,6 +191,7 @@ WORD_DROP, PATH_DROP = 0, 8 * (ORDER - 2)  # a path is dealt by its last three c
 
 
 def _asked(buckets: int):
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         found: tuple[list, list] = ([], [])
         for chunk in text_chunks(table.to_batches(), SLICE_BYTES):
@@ -225,6 +227,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _answers(top):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = None
         for bucket, table in runs(batches):
@@ -263,6 +266,7 @@ RESULT = "held_out boolean, n_tokens long, n_known long, part double, score doub
 
 
 def _added(buckets: int, train_rows: int, kind: pa.DataType):
+    @tidy
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("bucket")
         own: list[np.ndarray] = [np.zeros(0, "<u8")] * buckets

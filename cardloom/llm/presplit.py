@@ -3,8 +3,8 @@
 A piece is what the split pattern of byte-level BPE matches: a contraction, a run of
 letters, of digits or of other signs, each with one space before it, or white space.
 Pieces are found by comparing neighbouring code points' classes in numpy, hashed, and
-looked up in a bounded direct-mapped cache; only pieces that the cache doesn't hold are
-encoded one by one.
+looked up in a bounded direct-mapped cache, where their code points are compared; only pieces
+that the cache doesn't hold are encoded one by one.
 """
 
 from __future__ import annotations
@@ -17,31 +17,33 @@ import numpy as np
 import regex
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import U64, mixed, span_sums
+from .common import U64, exact_groups, kept, mixed, same_spans, span_sums
 
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 0
-_classes: list[np.ndarray] = []
 
 
 def classes() -> np.ndarray:
     """The class of every code point."""
-    if not _classes:
-        points = [*range(0xD800), *range(0xE000, 0x110000)]
-        whole = "".join(map(chr, points))
-        table = np.zeros(0x110000, np.int8)
+    return kept("code point classes", _code_point_classes)
+
+
+def _code_point_classes() -> np.ndarray:
+    table = np.zeros(0x110000, np.int8)
+    for low in range(0, 0x110000, 0x1000):
+        if 0xD800 <= low < 0xE000:
+            continue  # surrogates
+        block = "".join(map(chr, range(low, low + 0x1000)))
         for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
-            for m in regex.finditer(pattern, whole):
-                table[points[m.start()] : points[m.end() - 1] + 1] = kind
-        table[0xD800:0xE000] = OTHER
-        # regex may know a newer Unicode than the tokenizers library: ask that about young code points
-        young = [c for c in np.flatnonzero(table).tolist() if unicodedata.category(chr(c)) == "Cn"]
-        splitter = ByteLevel(add_prefix_space=False)
-        for lead, kind in (("a", LETTER), ("1", DIGIT)):
-            own = [c for c in young if table[c] == kind]
-            starts = {a for _, (a, _) in splitter.pre_tokenize_str("".join(f"\n{lead}{chr(c)}" for c in own))}
-            table[[c for k, c in enumerate(own) if 3 * k + 2 in starts]] = OTHER
-        _classes.append(table)
-    return _classes[0]
+            for m in regex.finditer(pattern, block):
+                table[low + m.start() : low + m.end()] = kind
+    # regex may know a newer Unicode than the tokenizers library: ask that about young code points
+    young = [c for c in np.flatnonzero(table).tolist() if unicodedata.category(chr(c)) == "Cn"]
+    splitter = ByteLevel(add_prefix_space=False)
+    for lead, kind in (("a", LETTER), ("1", DIGIT)):
+        own = [c for c in young if table[c] == kind]
+        starts = {a for _, (a, _) in splitter.pre_tokenize_str("".join(f"\n{lead}{chr(c)}" for c in own))}
+        table[[c for k, c in enumerate(own) if 3 * k + 2 in starts]] = OTHER
+    return table
 
 
 def piece_starts(points: np.ndarray, row_starts: np.ndarray) -> np.ndarray:
@@ -112,19 +114,41 @@ class Vocabulary:
 
 
 class PieceEncoder:
-    """Texts to token ids; ``encode`` gives the ids of unseen pieces: list of str -> (all ids, number of ids of each)."""
+    """Texts to token ids; ``encode`` gives the ids of unseen pieces: list of str -> (all ids, number of ids of each).
+
+    A seen piece is found by its hash and compared with the code points kept beside it, so a
+    chance collision costs a second encoding and never a wrong id. Slots and pools are of fixed size.
+    """
 
-    def __init__(self, added: dict[str, int], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 21, pool: int = 5_000_000):
+    def __init__(self, added: dict[str, int], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 20, pool: int = 4_000_000):
         self.added, self.encode, self.slots, self.pool_limit = added, encode, slots, pool
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.reset()
 
     def reset(self) -> None:
         self.key = np.zeros(self.slots, U64)
-        self.at = np.zeros(self.slots, np.int32)
+        self.at = np.zeros(self.slots, np.int32)  # of its ids in the pool
         self.size = np.full(self.slots, -1, np.int32)
+        self.text_at = np.zeros(self.slots, np.int32)  # of its code points
+        self.text_size = np.zeros(self.slots, np.int32)
         self.pool = np.zeros(self.pool_limit, np.int32)
-        self.used = 0
+        self.texts = np.zeros(self.pool_limit, np.uint32)
+        self.used = self.text_used = 0
+
+    def _keep(self, key: np.ndarray, ids: np.ndarray, n_ids: np.ndarray, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Enter pieces with their ids; if the pools are full, start over with these alone, as far as they fit."""
+        if self.used + len(ids) > len(self.pool) or self.text_used + int(size.sum()) > len(self.texts):
+            self.reset()
+            fit = (np.cumsum(n_ids) <= len(self.pool)) & (np.cumsum(size) <= len(self.texts))
+            key, n_ids, begin, size = key[fit], n_ids[fit], begin[fit], size[fit]
+            ids = ids[: int(n_ids.sum())]
+        place, text_place = self.used + np.cumsum(n_ids) - n_ids, self.text_used + np.cumsum(size) - size
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.texts[self.text_used : self.text_used + int(size.sum())] = points[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)]
+        self.used += len(ids)
+        self.text_used += int(size.sum())
+        to = (key & U64(self.slots - 1)).astype(np.int64)
+        self.key[to], self.at[to], self.size[to], self.text_at[to], self.text_size[to] = key, place, n_ids, text_place, size
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -153,33 +177,27 @@ class PieceEncoder:
         h = mixed(span_sums(value, begin, size) + size.astype(U64))
         del value
         slot = (h & U64(self.slots - 1)).astype(np.int64)
-        hit = (self.key[slot] == h) & (self.size[slot] >= 0)
-        at, count = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        hit = (self.key[slot] == h) & (self.size[slot] >= 0) & (self.text_size[slot] == size)
+        hit[hit] = same_spans(points, begin[hit], self.texts, self.text_at[slot[hit]], size[hit])
+        count = np.where(hit, self.size[slot], 0).astype(np.int64)
+        known = self.pool[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - self.at[slot], count)]
+        out = known
         miss = np.flatnonzero(~hit)
         if len(miss):
-            fresh, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            b, s = begin[miss[where]].tolist(), size[miss[where]].tolist()
-            ids, n_ids = self.encode([whole[i : i + k] for i, k in zip(b, s, strict=True)])
-            if self.used + len(ids) > len(self.pool):  # start over; what this call has looked up is kept
-                kept = np.flatnonzero(hit)
-                uniq, inv = np.unique(slot[kept], return_inverse=True)
-                old_at, old_n, old_key = self.at[uniq].astype(np.int64), self.size[uniq].astype(np.int64), self.key[uniq]
-                run = np.arange(int(old_n.sum())) - np.repeat(np.cumsum(old_n) - old_n, old_n) + np.repeat(old_at, old_n)
-                old = self.pool[run]
-                self.reset()
-                if len(old) + len(ids) > len(self.pool):
-                    self.pool = np.zeros(len(old) + len(ids), np.int32)
-                self.pool[: len(old)] = old
-                new_at = np.cumsum(old_n) - old_n
-                self.key[uniq], self.at[uniq], self.size[uniq], self.used = old_key, new_at, old_n, len(old)
-                at[kept] = new_at[inv]
-            place = self.used + np.cumsum(n_ids) - n_ids
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            at[miss], count[miss] = place[back], n_ids[back]
-            to = (fresh & U64(self.slots - 1)).astype(np.int64)
-            self.key[to], self.at[to], self.size[to] = fresh, place, n_ids
-        out = self.pool[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - at, count)]
+            pick, back = exact_groups(h[miss], points, begin[miss], size[miss])
+            first = miss[pick]
+            ids, n_ids = self.encode([whole[i : i + k] for i, k in zip(begin[first].tolist(), size[first].tolist(), strict=True)])
+            count[miss] = n_ids[back]
+            at = np.cumsum(count) - count
+            out = np.zeros(int(count.sum()), np.int32)
+            fresh = np.zeros(len(out), bool)
+            n = count[miss]
+            run = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            place = run + np.repeat(at[miss], n)
+            fresh[place] = True
+            out[place] = ids[run + np.repeat((np.cumsum(n_ids) - n_ids)[back], n)]
+            out[~fresh] = known
+            self._keep(h[first], ids, n_ids, points, begin[first], size[first])
         per_row = np.zeros(len(rows), np.int64)
         row_of_piece = np.searchsorted(row_at, begin, side="right") - 1
         per_row[np.flatnonzero(filled)] = np.bincount(row_of_piece, weights=count, minlength=len(row_at)).astype(np.int64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, raw_bytes, small_batches, span_hashes, text_chunks, word_bounds
+from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, raw_bytes, small_batches, span_hashes, text_chunks, tidy, word_bounds
 
 BITS = 18
 SLICE = 250  # sample texts whose features are made at once
@@ -156,6 +156,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = ids_and_texts(docs, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             yield pa.record_batch({"doc_id": chunk.column("doc_id").combine_chunks(), "score": pa.array(held.value.scores(chunk.column("text")))})
@@ -169,6 +170,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.3, text_col: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, column=text_col):
             yield from chunk.filter(pa.array(held.value.scores(chunk.column(at)) >= least)).to_batches()

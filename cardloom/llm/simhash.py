@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, PACKED, U64, carried_type, carrying, exchanged, packed, partitions, raw_bytes, runs, staged, text_chunks, word_bounds
-from .components import connected_components
+from .common import IS_SPACE, LOWER, PACKED, U64, carried_type, carrying, exchanged, packed, partitions, raw_bytes, runs, staged, text_chunks, tidy, word_bounds
+from .components import connected_components, forest
 
 PER_TASK = 1
 
@@ -62,6 +62,7 @@ def fingerprints_of(texts: pa.ChunkedArray, words: int) -> np.ndarray:
 
 
 def _fingerprint_rows(words: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             yield pa.record_batch({
@@ -89,6 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _probes(per: int):
     """Packed (key, fingerprint) records: key = half number, half, and in the lowest bit whether it is a neighbour."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = np.r_[0, 1 << np.arange(32, dtype=np.int64)].astype(U64)
         for batch in batches:
@@ -137,6 +139,7 @@ def linked(entered: np.ndarray, looking: np.ndarray, most: int) -> tuple[list[in
 
 
 def _links(most: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in runs(batches):
             rec = np.frombuffer(b"".join(table.column("payload").to_pylist()), [("key", "<u8"), ("fp", "<u8")])
@@ -154,7 +157,8 @@ def _links(most: int):
                 p, q = linked(rec["fp"][c : c + e], rec["fp"][c + e : c + n], most)
                 a.append(np.array(p, U64).view(np.int64))
                 b.append(np.array(q, U64).view(np.int64))
-            yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+            low, high = forest(np.concatenate(a), np.concatenate(b))  # of the whole bucket's links
+            yield pa.record_batch({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
     return run
 
@@ -178,7 +182,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = staged(fingerprints(docs, id_col, text_col, words, carry), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = staged(connected_components(near_links(fps, most)), "components")
+    found = staged(connected_components(near_links(fps, most), contracted=True), "components")
     named = fps.join(found, fps.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lows = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = named.join(lows, "component").select(F.col("fp").alias("_fp"), "component_id", "component")

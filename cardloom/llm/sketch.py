@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, partitions, raw_bytes, span_hashes, text_chunks, word_bounds
+from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, partitions, raw_bytes, span_hashes, text_chunks, tidy, word_bounds
 
 WORDS, ONE_IN = 5, 8
 
@@ -84,6 +84,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """
     rows = ids_and_texts(docs, id_col, text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             yield pa.record_batch({"doc_id": chunk.column("doc_id").combine_chunks(), "fingerprint": pa.array(texts_of(chunk.num_rows, *sketches(chunk.column("text"), words, one_in)))})
@@ -115,6 +116,7 @@ def with_next(rows: DataFrame) -> DataFrame:
     return dealt.repartitionById(max(n, len(bounds) + 1), "to").sortWithinPartitions("ghost", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).drop("to")
 
 
+@tidy
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
     for chunk in text_chunks(batches):

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _WEIGHTS, PACKED, U64, carried_type, carrying, exchanged, inverse_powers, mixed, partitions, powers, raw_bytes, runs, span_sums
+from .common import _WEIGHTS, PACKED, U64, carried_type, carrying, exact_groups, exchanged, give_back, inverse_powers, mixed, partitions, powers, raw_bytes, runs, span_sums, tidy
 
 LENGTH = 50
 SEED = 20
@@ -94,7 +94,7 @@ class Fragments:
             parts.append((at + a, count, spread, text))
         self.at, self.count, self.seed, text = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64))
         self.id = ids[np.searchsorted(offsets, self.at, side="right") - 1]
-        _, self.pick, self.of = np.unique(text, return_index=True, return_inverse=True)
+        self.pick, self.of = exact_groups(text, data, self.at, self.count + LENGTH - 1)
         self.least = np.full(len(self.pick), NO_ID, np.int64)
         np.minimum.at(self.least, self.of, self.id)
 
@@ -106,6 +106,8 @@ def ordered(table: pa.Table) -> pa.Table:
 
 def block_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = raw_bytes(table.column("text"))
+    if len(data) >= 1 << 31:
+        raise ValueError("a block of documents has over 2 GB of text; set a smaller block_bytes")
     ids = np.asarray(table.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(NO_ID))
     return data, offsets, ids
 
@@ -124,6 +126,7 @@ def _seed_requests(seed: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.
 
 
 def _ask_seeds(buckets: int):
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         f = Fragments(*block_of(ordered(table)))
         seed, several, cuts = _seed_requests(f.seed, f.id, buckets)
@@ -136,6 +139,7 @@ def _ask_seeds(buckets: int):
     return run
 
 
+@tidy
 def _answer_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bits: whether more than one document has the seed (or, rarely, one that looks like it)."""
     for bucket, table in runs(batches):
@@ -153,6 +157,7 @@ def _answer_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _ask_fragments(buckets: int):
+    @tidy
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
         data, offsets, ids = block_of(table)
@@ -266,6 +271,7 @@ def text_hashes(text: np.ndarray, place: np.ndarray, size: np.ndarray, step: int
 def _answer_fragments(most: int):
     """most: suffixes sorted together (more only if one seed has more)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, table in runs(batches):
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -278,7 +284,7 @@ def _answer_fragments(most: int):
             size = count + LENGTH - 1
             place = np.cumsum(size) - size
             # equal fragments are sorted once, with their smallest id; all their places go from those with larger ones
-            _, pick, of = np.unique(text_hashes(text, place, size), return_index=True, return_inverse=True)
+            pick, of = exact_groups(text_hashes(text, place, size), text, place, size)
             first = np.full(len(pick), NO_ID, np.int64)
             np.minimum.at(first, of, least)
             mask = np.where(least > first[of], (U64(1) << count.astype(U64)) - U64(1), U64(0))
@@ -314,11 +320,13 @@ def _answer_fragments(most: int):
                 "bucket": pa.array(np.full(len(blocks), bucket, np.int32)),
                 "payload": pa.array([np.array([y - x], "<u8").tobytes() + name[some[x:y]].tobytes() + mask[some[x:y]].tobytes() for x, y in zip(per, per[1:], strict=False)], pa.binary()),
             })
+            give_back()
 
     return run
 
 
 def _removed(kind: pa.DataType, as_text: bool):
+    @tidy
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
         data, offsets, ids = block_of(table)
@@ -378,7 +386,10 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all others. Texts of fewer than 50 bytes are kept.
     """
     from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import IntegralType
 
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} has to be an integer column: which copy stays is decided by its order")
     rows = carrying(docs, id_col, text_col, carry)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = partitions(docs.sparkSession)

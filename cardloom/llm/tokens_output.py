@@ -20,33 +20,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import ids_and_texts, partitions, shared_dir, text_chunks
+from .common import ids_and_texts, kept, partitions, shared_dir, text_chunks, tidy
 from .presplit import PieceEncoder, Vocabulary
 
-_held: dict[str, PieceEncoder] = {}
-
-
 def library_encoder(path: str) -> PieceEncoder:
     """Texts to ids by the tokenizers library, asked once for each piece that the cache doesn't hold."""
-    if path not in _held:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+    return kept(("library", path), lambda: _library_encoder(path))
+
+
+def _library_encoder(path: str) -> PieceEncoder:
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
 
-        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids: list[int] = []
-            counts = np.zeros(len(pieces), np.int64)
-            for a in range(0, len(pieces), 256):
-                part = tokenizer.encode(pieces[a : a + 256], is_pretokenized=True, add_special_tokens=False)
-                ids += part.ids
-                counts[a : a + 256] = np.bincount(np.array(part.word_ids, np.int64), minlength=len(pieces[a : a + 256]))
-            return np.array(ids, np.int32), counts
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        counts = np.zeros(len(pieces), np.int64)
+        for a in range(0, len(pieces), 256):
+            part = tokenizer.encode(pieces[a : a + 256], is_pretokenized=True, add_special_tokens=False)
+            ids += part.ids
+            counts[a : a + 256] = np.bincount(np.array(part.word_ids, np.int64), minlength=len(pieces[a : a + 256]))
+        return np.array(ids, np.int32), counts
 
-        _held[path] = PieceEncoder(Vocabulary(path).added, encode)
-    return _held[path]
+    return PieceEncoder(Vocabulary(path).added, encode)
 
 
 def _encoded(path: str, end: int | None):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
         part = TaskContext.get().partitionId()
@@ -101,6 +101,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return meta.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, F.col("part") == F.col("_part")).select("part", "row", "doc_id", "n_tokens", (F.col("base") + F.col("upto") - F.col("n_tokens")).alias("start"))
 
 
+@tidy
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(3)

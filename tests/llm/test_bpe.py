@@ -35,6 +35,55 @@ def test_ids_as_the_library(tokenizer, make):
             assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
 
 
+def literal_gadgets(size, merges):
+    """The states' arcs as sets, one gadget after the other, every state touched."""
+    bytes_ = set(range(size)) - {w for _, _, w in merges}
+    arcs = {q: set(bytes_) for q in bytes_}
+    for u, v, w in merges:
+        if u not in arcs or v not in arcs[u]:
+            continue
+        arcs[w] = set(arcs[v])
+        arcs[u].discard(v)
+        for state in arcs.values():
+            if u in state:
+                state.add(w)
+    return arcs
+
+
+def same_arcs(size, merges):
+    want, got = literal_gadgets(size, merges), bpe.Arcs(size, merges)
+    assert {q for q in range(size) if got.read[q]} == set(want)
+    read = np.array(sorted(want))
+    for q in want:
+        assert set(read[got.has(np.full(len(read), q), read)].tolist()) == want[q]
+
+
+def test_compiled_arcs_are_those_of_the_gadgets():
+    rnd = random.Random(8)
+    for _ in range(40):  # merges of any parts, among them such as never meet
+        size = rnd.randint(1, 6)
+        merges = []
+        for u, v in {(rnd.randrange(size + k), rnd.randrange(size + k)): 0 for k in range(rnd.randint(0, 90))}:
+            if max(u, v) < size:
+                merges.append((u, v, size))
+                size += 1
+        same_arcs(size, merges)
+    vocabulary = presplit.Vocabulary(PATH)
+    first = vocabulary.merges[:700]
+    used = sorted({t for m in first for t in m})
+    number = {t: k for k, t in enumerate(used)}
+    same_arcs(len(used), [tuple(number[t] for t in m) for m in first])
+
+
+def test_colliding_pieces_are_told_apart(tokenizer, monkeypatch):
+    """With one hash for all pieces, ids still come from the pieces themselves."""
+    monkeypatch.setattr(presplit, "mixed", lambda h: h * presplit.U64(0) + presplit.U64(5))
+    encoder = presplit.PieceEncoder(bpe.automaton(PATH)[0].added, bpe.automaton(PATH)[0].encode)
+    for part in (["one two three", "two", ""], ["two", "three one"]):
+        ids, n = encoder(part)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_classes_as_the_library(tokenizer):
     """A letter joins a letter, a digit a digit, white space nothing."""
     table = presplit.classes()

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from cardloom.llm import suffixes as sx
 
@@ -77,3 +78,20 @@ def test_fragments_cover_every_place_across_segments(monkeypatch):
     got = sorted(p for a, c in zip(f.at, f.count, strict=True) for p in range(a, a + c))
     assert got == [p for a, b in zip(offsets, offsets[1:], strict=False) for p in range(a, b - 49)]
     assert f.count.max() <= sx.WINDOW
+
+
+def test_equal_hashes_of_unequal_fragments(spark, monkeypatch):
+    """Bytes decide, not hashes: with one hash for all of them every fragment is compared."""
+    from cardloom.llm import common
+
+    rnd = np.random.RandomState(4)
+    data = rnd.randint(97, 99, 900).astype(np.uint8)
+    data[300:420] = data[:120]
+    at, size = np.arange(0, 800, 10), rnd.choice([50, 60], 80)
+    pick, of = common.exact_groups(np.zeros(80, np.uint64), data, at, size)
+    for k in range(80):
+        p = pick[of[k]]
+        assert size[k] == size[p] and (data[at[k] : at[k] + size[k]] == data[at[p] : at[p] + size[p]]).all()
+    assert of[30] == of[0] or size[30] != size[0]
+    with pytest.raises(TypeError):
+        sx.repeats_removed(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
