@@ -66,24 +66,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _descent(cuts: np.ndarray, cols: np.ndarray, ratio: np.ndarray, y: np.ndarray, cost: float, rounds: int, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the squared hinge loss; the bias is one more feature that is always on."""
+def _descent(cuts: np.ndarray, cols: np.ndarray, ratio: np.ndarray, y: np.ndarray, cost: float, rounds: int, seed: int = 5, enough: float = 0.05) -> tuple[np.ndarray, float, np.ndarray]:
+    """Dual coordinate descent for the linear hinge loss: 0 <= alpha <= cost; the bias is one more feature that
+    is always on. Ends after ``rounds``, or when no row's projected gradient exceeds ``enough``. Weights, bias, alpha."""
     w, b = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(y))
     rows = [cols[a:e] for a, e in zip(cuts, cuts[1:], strict=False)]
     values = [(ratio[c] / np.sqrt(max(len(c), 1))).astype(np.float32) for c in rows]
-    norm = np.array([float(v @ v) for v in values]) + 1 + 0.5 / cost
+    norm = np.array([float(v @ v) for v in values]) + 1
     rnd = np.random.RandomState(seed)
     for _ in range(rounds):
+        worst = 0.0
         for i in rnd.permutation(len(y)):
-            g = y[i] * (w[rows[i]] @ values[i] + b) - 1 + alpha[i] * 0.5 / cost
-            new = max(alpha[i] - g / norm[i], 0.0)
+            g = y[i] * (w[rows[i]] @ values[i] + b) - 1
+            new = min(max(alpha[i] - g / norm[i], 0.0), cost)
             if new != alpha[i]:
+                worst = max(worst, abs(g))
                 step = (new - alpha[i]) * y[i]
                 alpha[i] = new
                 w[rows[i]] += step * values[i]
                 b += step
-    return w, b
+        if worst <= enough:
+            break
+    return w, b, alpha
 
 
 def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -102,7 +107,7 @@ def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 1e-3)), float(theta[1])
 
 
-def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, cost: float = 1.0, rounds: int = 8) -> Model:
+def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, cost: float = 1.0, rounds: int = 12) -> Model:
     """A model of P(label = 1). Without rows of both classes every score is the rows' mean (0.5 of none)."""
     y = np.where(labels > 0, 1.0, -1.0)
     if len(set(y.tolist())) < 2:
@@ -123,7 +128,7 @@ def fit(texts: pa.ChunkedArray | pa.Array, labels: np.ndarray, cost: float = 1.0
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
     own = np.flatnonzero(learn)
     picked = np.concatenate([cols[cuts[i] : cuts[i + 1]] for i in own])
-    w, b = _descent(np.r_[0, np.cumsum(np.diff(cuts)[own])], picked, ratio, y[own], cost, rounds)
+    w, b, _ = _descent(np.r_[0, np.cumsum(np.diff(cuts)[own])], picked, ratio, y[own], cost, rounds)
     model = Model(w * ratio, b, 1.0, 0.0)
     margin = model.margins(len(y), rows, cols)
     rest = ~learn if (~learn).any() and len(set(y[~learn].tolist())) == 2 else learn
