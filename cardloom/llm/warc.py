@@ -9,10 +9,12 @@ inside (Spark's own split reader, with the magic as separator, so any store that
 will do). Each candidate is validated by decoding: its first bytes must inflate to a WARC
 header, and a candidate too short to tell stays open until later pieces do. Magic that occurs
 by chance inside compressed data is thus no member, and what follows it is put back onto the
-member it belongs to, across range borders too.
+member it belongs to, across range borders too: a range's unfinished last member and the pieces
+that later ranges have before their first member meet in one group, a group for each such member.
 
-Files keep the writer's names: the suffix .gz would make readers treat a whole file as one
-gzip stream that can't be split.
+Names in .gz make Spark's readers inflate a whole file as one stream. Hadoop switches that off for a
+suffix for which its pass-through codec is declared; declared for ``!.gz``, right behind .gz
+in the codecs' order, it leaves names in .gz without any codec, so that their ranges are read as they are.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, staged, tidy
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY = MAGIC + b"\0\0\0\0\0\0\xff" + b"\x03\0" + b"\0" * 8
@@ -72,6 +74,7 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bo
 
 
 def _members(date: str, level: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
@@ -91,7 +94,7 @@ def write_archive(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
 
 
 def parse(data: bytes) -> dict | None:
-    """Headers (lower-case names) and payload of an inflated record."""
+    """Headers (lower-case names), payload and size of the record that data begins with."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"WARC/"):
         return None
@@ -101,7 +104,16 @@ def parse(data: bytes) -> dict | None:
         fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
     block = rest[: int(fields["content-length"])] if fields.get("content-length", "").isdigit() else rest
     payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
-    return {"fields": fields, "payload": payload}
+    return {"fields": fields, "payload": payload, "size": len(head) + 4 + len(block)}
+
+
+def records(text: bytes) -> list[dict]:
+    """All records of an inflated member (mostly one)."""
+    out = []
+    while (one := parse(text)) is not None:
+        out.append(one)
+        text = text[one["size"] :].lstrip(b"\r\n")
+    return out
 
 
 class Opening:
@@ -126,36 +138,45 @@ class Opening:
                 return
 
 
-def inflated(data: bytes) -> tuple[list[bytes], bytes]:
-    """The texts of the whole members in data, one behind the other (damaged ones and what is no member are
-    passed over), and the bytes from a last one that isn't whole."""
-    texts, at = [], 0
+def inflated(data: bytes) -> tuple[list[bytes], bytes, int]:
+    """The texts of the whole members in data, one behind the other, the bytes from a last one that isn't whole,
+    and how many bytes of damaged members and of what is no member are passed over."""
+    texts, at, lost = [], 0, 0
     while at >= 0:
         unpack = zlib.decompressobj(31)
         try:
             out = unpack.decompress(memoryview(data)[at:])
         except zlib.error:
-            at = data.find(MAGIC, at + 1)
-            continue
-        if not unpack.eof:
-            return texts, data[at:]
-        if out:
-            texts.append(out)
-        at = data.find(MAGIC, len(data) - len(unpack.unused_data))
-    return texts, b""
+            end = at
+        else:
+            if not unpack.eof:
+                return texts, data[at:], lost
+            if out:
+                texts.append(out)
+            end = len(data) - len(unpack.unused_data)
+        at = data.find(MAGIC, max(end, at + 1))
+        lost += len(data[end : at if at >= 0 else len(data)].strip(b"\0"))
+    return texts, b"", lost
 
 
 class Members:
     """Pieces between magic bytes, in file order, to members.
 
     Magic opens a member once its bytes are seen to inflate to a WARC header. That can take
-    several pieces, since magic can occur by chance in a member's first bytes too.
+    several pieces, since magic can occur by chance in a member's first bytes too. What comes
+    before the first member is given out as soon as it can't be the beginning of one.
     """
 
     def __init__(self):
         self.held = bytearray()
         self.real = False  # whether held begins with a member
         self.open: list[Opening] = []
+        self.lost = 0
+
+    def _inflated(self, data: bytes) -> tuple[list[bytes], bytes]:
+        texts, rest, lost = inflated(data)
+        self.lost += lost
+        return texts, rest
 
     def add(self, piece: bytes) -> tuple[bytes, list[bytes]]:
         """What stands before the first member, and texts, as far as this piece settles them."""
@@ -168,7 +189,9 @@ class Members:
         while (x := next((x for x in self.open if x.real), None)) is not None:
             before = bytes(self.held[: x.at])
             if self.real:
-                texts += inflated(before)[0]
+                whole, rest = self._inflated(before)
+                texts += whole
+                self.lost += len(rest)
             else:
                 loose = before
             del self.held[: x.at]
@@ -177,102 +200,151 @@ class Members:
             for y in self.open:
                 y.at -= x.at
         self.open = [x for x in self.open if x.real is None]
+        if not self.real and not self.open:
+            loose += bytes(self.held)
+            self.held.clear()
         return loose, texts
 
-    def end(self) -> tuple[bytes, list[bytes], bytes]:
-        """What stands before the first member, texts, and a last member that isn't whole."""
+    def end(self) -> tuple[bytes, list[bytes], bytes | None]:
+        """What stands before the first member, texts, and a last member that isn't whole (None: no member at all)."""
         if not self.real:
-            return bytes(self.held), [], b""
-        return b"", *inflated(bytes(self.held))
+            return bytes(self.held), [], None
+        return b"", *self._inflated(bytes(self.held))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From pieces between magic bytes, in file order, to whole members; what a range can't settle alone goes on.
+RECORD = "record_id string, record_type string, uri string, refers_to string, digest string, payload_length long, payload binary"
+NAMES = [c.split()[0] for c in RECORD.split(", ")]
+#: part 0: a record; 1: bytes before a range's first member; 2: the unfinished end of a range's last one; 3: bytes passed over;
+#: 4: bytes of a range without a member that may begin with one, as the next range will show.
+SCANNED = f"part int, file string, at long, seq long, data binary, lost long, {RECORD}"
 
-    state 0: data is a whole record's text; 1: pieces before the first member of a range; 2: the
-    last member of a range, should it go on in the next.
-    """
-    cols: dict[str, list] = {}
 
-    def emit(state: int, file: str, at: int, data: bytes) -> None:
-        for name, value in (("state", state), ("file", file), ("at", at), ("data", data)):
-            cols.setdefault(name, []).append(value)
+def _fields_of(one: dict) -> tuple:
+    bare = lambda v: v[len("<urn:page:") : -1] if v and v.startswith("<urn:page:") else v
+    x, payload = one["fields"], one["payload"]
+    again = x.get("warc-type") == "revisit"
+    length = int(x["x-payload-length"]) if again and x.get("x-payload-length", "").isdigit() else len(payload)
+    digest = x.get("warc-payload-digest", "").removeprefix("sha1:") if again else digest_of(payload)
+    return bare(x.get("warc-record-id")), x.get("warc-type"), x.get("warc-target-uri"), bare(x.get("warc-refers-to")), digest, length, payload
 
-    def settle(file: str, at: int, loose: bytes, texts: list[bytes], rest: bytes = b"") -> None:
-        if loose:
-            emit(1, file, at, loose)
-        for text in texts:
-            emit(0, file, at, text)
-        if rest:
-            emit(2, file, at, rest)
 
+class Rows:
+    """Rows of SCANNED, given out as batches of some MB."""
+
+    TYPES = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary())
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.size = 0
+
+    def texts(self, file: str, at: int, texts: list[bytes]) -> int:
+        """Add the records of inflated members; returns the bytes that are no records."""
+        lost = 0
+        for text in texts:
+            found = records(text)
+            lost += 0 if found else len(text)
+            for one in found:
+                self.add(0, file, at, record=_fields_of(one))
+        return lost
+
+    def add(self, part: int, file: str, at: int, seq: int = 0, data: bytes | None = None, lost: int | None = None, record: tuple = (None,) * len(NAMES)) -> None:
+        self.rows.append((part, file, at, seq, data, lost, *record))
+        self.size += len(data or b"") + len(record[-1] or b"") + 200
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) or [()] * len(self.TYPES)
+        names = [c.split()[0] for c in SCANNED.split(", ")]
+        out = pa.record_batch([pa.array(c, t) for c, t in zip(columns, self.TYPES, strict=True)], names=names)
+        self.rows, self.size = [], 0
+        return out
+
+
+@tidy
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pieces between magic bytes, in file order, to records; what a range can't settle alone goes on."""
+    rows = Rows()
     now: tuple[str, int] | None = None
-    members = Members()
-    size = 0
+    members, seq, lost = Members(), 0, 0
+
+    def loose(data: bytes, part: int = 1) -> None:
+        nonlocal seq
+        if data:
+            rows.add(part, *now, seq, data)
+            seq += 1
+
+    def end() -> None:
+        before, texts, rest = members.end()
+        loose(before, 4)  # else it would have been given out
+        gone = lost + rows.texts(*now, texts) + members.lost
+        if rest is not None:
+            rows.add(2, *now, -1, rest)
+        if gone:
+            rows.add(3, *now, lost=gone)
+
     for batch in batches:
         for piece, file, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (file, at) != now:
                 if now:
-                    settle(*now, *members.end())
-                now, members = (file, at), Members()
-                if at == 0 and piece == b"":
-                    continue  # what stands before the first magic of a file
-            settle(*now, *members.add(piece))
-            size += len(piece)
-            if size > 4 << 20 and cols:
-                yield pa.record_batch({"state": pa.array(cols["state"], pa.int32()), "file": pa.array(cols["file"]), "at": pa.array(cols["at"], pa.int64()), "data": pa.array(cols["data"], pa.binary())})
-                cols, size = {}, 0
+                    end()
+                now, members, seq, lost = (file, at), Members(), 0, 0
+                if at == 0:  # what stands before the first magic of a file
+                    lost = len(piece)
+                    continue
+            before, texts = members.add(piece)
+            loose(before)
+            lost += rows.texts(*now, texts)
+            if rows.size > 4 << 20:
+                yield rows.batch()
     if now:
-        settle(*now, *members.end())
-    if cols:
-        yield pa.record_batch({"state": pa.array(cols["state"], pa.int32()), "file": pa.array(cols["file"]), "at": pa.array(cols["at"], pa.int64()), "data": pa.array(cols["data"], pa.binary())})
-
-
-RECORD = "record_id string, record_type string, uri string, refers_to string, digest string, payload_length long, payload binary"
+        end()
+    if rows.rows:
+        yield rows.batch()
+
+
+@tidy
+def _joined(table: pa.Table) -> pa.Table:
+    """The pieces of one member that goes on over ranges, in order."""
+    table = table.sort_by([("at", "ascending"), ("seq", "ascending")])
+    file, at = table.column("file")[0].as_py(), table.column("at")[0].as_py()
+    members, rows = Members(), Rows()
+    lost = 0
+    for piece in b"".join(table.column("data").to_pylist()).split(MAGIC)[1:]:
+        before, texts = members.add(piece)
+        lost += len(before) + rows.texts(file, at, texts)
+    before, texts, rest = members.end()
+    lost += len(before) + len(rest or b"") + rows.texts(file, at, texts) + members.lost
+    if lost:
+        rows.add(3, file, at, lost=lost)
+    return pa.Table.from_batches([rows.batch()])
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    codec = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", "io.compress.passthrough.extension": "!.gz", "org.apache.hadoop.shaded.io.compress.passthrough.extension": "!.gz"}
+    lines = spark.read.options(lineSep=MAGIC.decode("latin-1"), encoding="ISO-8859-1", recursiveFileLookup="true", **codec).text(path)
+    pieces = lines.select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    found = pieces.mapInArrow(_scanned, SCANNED)
+    # of each range at most the end of one member and what another left over: small beside the archive
+    torn = staged(found.where("part IN (1, 2, 4)"), "warc-torn")
+    marks = torn.groupBy("file", "at").agg(*[F.bool_or(F.col("part") == part).alias(name) for part, name in ((2, "tail"), (4, "maybe"))])
+    upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("tail"), F.col("at")), ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first(F.when(F.col("maybe"), F.col("at")), ignorenulls=True).over(upto)
+    owner = marks.select("file", "at", F.coalesce(last, first).alias("owner"))
+    owned = torn.join(owner, ["file", "at"]).withColumn("owner", F.when(F.col("part") == 2, F.col("at")).otherwise(F.col("owner")))
+    whole = owned.where("owner IS NOT NULL").select("file", "owner", "at", "seq", "data").groupBy("file", "owner").applyInArrow(_joined, SCANNED)
+    nowhere = owned.where("owner IS NULL").select("file", F.octet_length("data").cast("long").alias("lost")).withColumn("part", F.lit(3))
+    return found.where("part IN (0, 3)").unionByName(whole).unionByName(nowhere, allowMissingColumns=True)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bare = lambda v: v[len("<urn:page:") : -1] if v and v.startswith("<urn:page:") else v
-    for batch in batches:
-        for a in range(0, batch.num_rows, 500):
-            rows = [p for p in map(parse, batch.column(0).slice(a, 500).to_pylist()) if p]
-            f = [p["fields"] for p in rows]
-            length = [int(x["x-payload-length"]) if x.get("warc-type") == "revisit" and x.get("x-payload-length", "").isdigit() else len(p["payload"]) for p, x in zip(rows, f, strict=True)]
-            digest = [x.get("warc-payload-digest", "").removeprefix("sha1:") if x.get("warc-type") == "revisit" else digest_of(p["payload"]) for p, x in zip(rows, f, strict=True)]
-            yield pa.record_batch({
-                "record_id": pa.array([bare(x.get("warc-record-id")) for x in f], pa.string()),
-                "record_type": pa.array([x.get("warc-type") for x in f], pa.string()),
-                "uri": pa.array([x.get("warc-target-uri") for x in f], pa.string()),
-                "refers_to": pa.array([bare(x.get("warc-refers-to")) for x in f], pa.string()),
-                "digest": pa.array(digest, pa.string()),
-                "payload_length": pa.array(length, pa.int64()),
-                "payload": pa.array([p["payload"] for p in rows], pa.binary()),
-            })
-
-
-def _joined(pdf):
-    """Pieces of one file that its ranges couldn't settle: put them together in order."""
-    import pandas as pd
-
-    out, members = [], Members()
-    for state, data in pdf.sort_values(["at", "state"])[["state", "data"]].itertuples(index=False):
-        if state == 2:
-            out += members.end()[1]
-            members = Members()
-        for piece in bytes(data).split(MAGIC)[1:]:
-            out += members.add(piece)[1]
-    out += members.end()[1]
-    return pd.DataFrame({"data": pd.Series(out, dtype=object)})
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each record of the archive, a file or folder; names in .gz or not. Damaged members and
+    other data are passed over: ``damage`` counts them. Without files: an error of Spark's reader."""
+    return _read(spark, path).where("part = 0").select(NAMES)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archive; damaged members and other data are passed over."""
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
-    pieces = lines.select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    found = pieces.mapInArrow(_pieces, "state int, file string, at long, data binary")
-    whole = found.where("state = 0").select("data").mapInArrow(_parsed, RECORD)
-    torn = found.where("state > 0").groupBy("file").applyInPandas(_joined, "data binary").mapInArrow(_parsed, RECORD)
-    return whole.unionByName(torn)
+def damage(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lost): bytes of each file that belong to no readable record, where there are any (zeros between members don't count)."""
+    return _read(spark, path).where("part = 3").groupBy("file").agg(F.sum("lost").alias("lost"))
 
 
 def op6_warc_splittable(spark: SparkSession, sf_dir: str) -> DataFrame:

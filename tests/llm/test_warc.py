@@ -50,29 +50,41 @@ def test_magic_inside_members_and_range_borders(spark, tmp_path):
         assert got == {str(k): b for k, b in enumerate(bodies)}
 
 
+def scan(parts, ranges):
+    """Payloads and lost bytes of pieces, dealt to ranges by their numbers, joined without Spark."""
+    batch = pa.record_batch({"value": pa.array(parts, pa.binary()), "file": pa.array(["f"] * len(parts)), "at": pa.array([100 + k for k in ranges], pa.int64())})
+    batches = list(warc._scanned(iter([batch])))
+    rows = pa.Table.from_batches(batches).to_pylist() if batches else []
+    owner, groups = None, {}
+    for r in sorted((r for r in rows if r["part"] in (1, 2, 4)), key=lambda r: (r["at"], r["part"] == 2, r["seq"])):
+        owner = r["at"] if r["part"] == 2 or (r["part"] == 4 and owner is None) else owner
+        groups.setdefault(owner, []).append(r)
+    lost = sum(len(r["data"]) for r in groups.pop(None, []))
+    for own in groups.values():
+        rows += warc._joined(pa.Table.from_pylist(own)).to_pylist()
+    return [r["payload"] for r in rows if r["part"] == 0], lost + sum(r["lost"] for r in rows if r["part"] == 3)
+
+
 def test_pieces_that_ranges_leave_are_joined():
     body = warc.MAGIC + b"abc" + warc.MAGIC + b"def" * 50
-    whole = warc.member(warc.record("1", "u", body, "d", None, "x"), 0)
-    parts = whole.split(warc.MAGIC)[1:]
-    batch = pa.record_batch({"value": pa.array(parts, pa.binary()), "file": pa.array(["f"] * len(parts)), "at": pa.array([100 * k for k in range(len(parts))], pa.int64())})
-    out = pa.Table.from_batches(list(warc._pieces(iter([batch])))).to_pandas()
-    assert set(out.state) == {1, 2}
-    assert [warc.parse(x)["payload"] for x in warc._joined(out).data] == [body]
+    parts = warc.member(warc.record("1", "u", body, "d", None, "x"), 0).split(warc.MAGIC)[1:]
+    assert scan(parts, range(len(parts))) == ([body], 0)
+
+
+def timed(m):
+    return m[:4] + warc.MAGIC + b"\0" + m[8:]
 
 
 def test_magic_in_a_members_first_bytes(spark, tmp_path):
     """Magic in the time or name of a gzip header, before any text can be inflated, wherever ranges end."""
     body = lambda k: b"body %d" % k * 9
     plain = [warc.member(warc.record(str(k), "u", body(k), "d", None, "x")) for k in range(8)]
-    timed = lambda m: m[:4] + warc.MAGIC + b"\0" + m[8:]
     named = lambda m: m[:3] + b"\x08" + m[4:10] + b"n" + warc.MAGIC + b"\x01" + warc.MAGIC + b"\0" + m[10:]
     data = [timed(plain[0]), plain[1], timed(plain[2]), named(plain[3]), plain[4], plain[5] + b"\0\0", named(plain[6]), timed(plain[7])]
     parts = b"".join(data).split(warc.MAGIC)[1:]
     for size in (1, 2, 3, 5, 100):  # pieces in a range
-        batch = pa.record_batch({"value": pa.array(parts, pa.binary()), "file": pa.array(["f"] * len(parts)), "at": pa.array([100 + k // size for k in range(len(parts))], pa.int64())})
-        out = pa.Table.from_batches(list(warc._pieces(iter([batch])))).to_pandas()
-        got = [warc.parse(x)["payload"] for x in [*out[out.state == 0].data, *warc._joined(out[out.state > 0]).data]]
-        assert sorted(got) == [body(k) for k in range(8)]
+        got, lost = scan(parts, [k // size for k in range(len(parts))])
+        assert sorted(got) == [body(k) for k in range(8)] and lost == 0
     os.makedirs(tmp_path / "w")
     (tmp_path / "w/part-0.txt").write_bytes(b"".join(data))
     assert {r.record_id: bytes(r.payload) for r in warc.read_archive(spark, str(tmp_path / "w")).collect()} == {str(k): body(k) for k in range(8)}
@@ -81,10 +93,47 @@ def test_magic_in_a_members_first_bytes(spark, tmp_path):
 def test_damaged_members_leave_their_neighbours():
     m = [warc.member(warc.record(str(k), "u", b"%d" % k * 99, "d", None, "x")) for k in range(4)]
     for bad in (m[1][:-30], m[1][:60] + b"\xff\xff" + m[1][62:], m[1][:-8] + b"\1\1\1\1" + m[1][-4:]):
-        late = m[2][:4] + warc.MAGIC + b"\0" + m[2][8:]
-        parts = (m[0] + bad + late + m[3]).split(warc.MAGIC)[1:]
+        parts = (m[0] + bad + timed(m[2]) + m[3]).split(warc.MAGIC)[1:]
         for size in (1, 2, 100):
-            batch = pa.record_batch({"value": pa.array(parts, pa.binary()), "file": pa.array(["f"] * len(parts)), "at": pa.array([100 + k // size for k in range(len(parts))], pa.int64())})
-            out = pa.Table.from_batches(list(warc._pieces(iter([batch])))).to_pandas()
-            got = [warc.parse(x) for x in [*out[out.state == 0].data, *warc._joined(out[out.state > 0]).data]]
-            assert sorted(p["fields"]["warc-record-id"][10:-1] for p in got if p) == ["0", "2", "3"]
+            got, lost = scan(parts, [k // size for k in range(len(parts))])
+            assert sorted(got) == [b"%d" % k * 99 for k in (0, 2, 3)]
+            assert len(bad.rstrip(b"\0")) <= lost <= len(bad)
+
+
+def small_ranges(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+def test_foreign_archives_with_gz_names(spark, tmp_path):
+    """Other writers' gzip headers and names, several records in a member, garbage between and after members, in many ranges."""
+    import gzip
+    import io
+
+    def foreign(k):
+        text = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:%d>\r\nContent-Length: %d\r\n\r\n" % (k, 40 + k) + random.Random(k).randbytes(40 + k) + b"\r\n\r\n"
+        out = io.BytesIO()
+        with gzip.GzipFile(f"name{k}.warc", "wb", fileobj=out, mtime=k) as f:
+            f.write(text)
+        return out.getvalue()
+
+    os.makedirs(tmp_path / "w/sub")
+    whole = [foreign(k) for k in range(300)]
+    two = gzip.compress(b"".join(gzip.decompress(foreign(k)) for k in (300, 301)))
+    (tmp_path / "w/a.warc.gz").write_bytes(b"".join(whole[:150]) + two)
+    (tmp_path / "w/sub/b.WARC.GZ").write_bytes(b"junk" + b"".join(whole[150:200]) + b"more junk" + b"".join(whole[200:]) + whole[0][:30])
+    (tmp_path / "w/c.gz").write_bytes(gzip.compress(random.Random(0).randbytes(9000)) + warc.MAGIC * 3)
+    (tmp_path / "w/d.txt").write_bytes(b"no member at all " * 1000)
+    try:
+        for size in ("700", "20000", "128m"):
+            small_ranges(spark, size)
+            rows = warc.read_archive(spark, str(tmp_path / "w")).collect()
+            assert sorted(r.record_id for r in rows) == sorted(f"<urn:uuid:{k}>" for k in range(302))
+            assert all(r.payload_length == 40 + int(r.record_id[10:-1]) for r in rows)
+            lost = {os.path.basename(r.file): r.lost for r in warc.damage(spark, str(tmp_path / "w")).collect()}
+            assert lost["b.WARC.GZ"] == 4 + 9 + 30 and lost["c.gz"] > 9000 and lost["d.txt"] == 17_000 and "a.warc.gz" not in lost
+        small_ranges(spark, "700")
+        assert warc._read(spark, str(tmp_path / "w")).select("file", "at").where("file LIKE '%a.warc.gz'").distinct().count() > 20  # it was split
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
