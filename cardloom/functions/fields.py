@@ -6,6 +6,8 @@ and the no-break space count too, the pattern names them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,23 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space (blanks, tabs, line ends) at both ends."""
+    return F.btrim(c, F.lit(" \t\n\r\f\x0b"))
+
+
+def bound(value: Column, of) -> Column:
+    """``of(value)`` with value computed once a row, however often ``of`` names it."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+def ascii_bounds(pattern: str) -> str:
+    """A pattern for Java's engine whose word boundaries look at ASCII letters, digits and _ alone: each \\b stands
+    before a word's first or behind its last character."""
+    before = re.sub(r"\\b(?=\w|\(\?:[a-z])", "(?<![A-Za-z0-9_])", pattern)
+    return before.replace("\\b", "(?![A-Za-z0-9_])")
+
+
 def norm_url(u: Column) -> Column:
     """Host without www. and path without the last slash, in lower case; anything else in lower case. Null stays null."""
     path = F.regexp_replace(F.regexp_extract(u, rules.URL, 2), "/$", "")
@@ -132,12 +151,26 @@ def slug(s: Column, most: int = 60, default: str = "section") -> Column:
     return F.when(F.coalesce(short, F.lit("")) == "", F.lit(default)).otherwise(short)
 
 
-def escape_markdown(s: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(s, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", ""), "([\\\\`*_{}\\[\\]<>#|])", "\\\\$1")
+def without_controls(s: Column) -> Column:
+    """Without control characters other than tabs and line ends."""
+    return F.regexp_replace(s, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
+
+
+def escape_markdown(s: Column, multiline: bool = False) -> Column:
+    """Markdown signs escaped; one line unless ``multiline``; null gives empty."""
+    one = F.replace(text_of(s), F.lit("\r"), F.lit(""))
+    one = one if multiline else F.regexp_replace(one, "\n+", " ")
+    return F.regexp_replace(trimmed(without_controls(one)), "([\\\\`*_\\[\\]<>#+.!|()-])", "\\\\$1")
+
+
+def escape_url(s: Column) -> Column:
+    """For a link target in angle brackets."""
+    return F.regexp_replace(s, "([\\\\<>])", "\\\\$1")
 
 
 def escape_cell(s: Column) -> Column:
-    return F.regexp_replace(F.replace(s, F.lit("|"), F.lit("\\|")), "[\\r\\n]+", " ")
+    """For a cell of a Markdown table: bars escaped, one line; null gives empty."""
+    return trimmed(F.replace(F.replace(text_of(s), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))
 
 
 def escape_xml(s: Column, attribute: bool = False) -> Column:

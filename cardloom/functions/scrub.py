@@ -1,37 +1,84 @@
-"""Snippets without orders to a model, and readable ones. Native expressions over split arrays."""
+"""Snippets without orders to a model, and readable ones. Native expressions.
+
+Most texts hold nothing suspicious: one search of the whole text tells, and only the others
+are taken apart into paragraphs and sentences.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .fields import readable_tokens, text_of
+from .fields import ascii_bounds, bound, readable_tokens, text_of, trimmed
 
-SIGNATURES = "(?i)" + "|".join(f"(?:{p})" for p in rules.INSTRUCTIONS)
-ORDERS = f"(?is)(?:{rules.ORDER_VERBS}).{{0,120}}(?:{rules.ORDER_TARGETS})"
+SIGNATURES = "(?i)" + "|".join(f"(?:{ascii_bounds(p)})" for p in rules.INSTRUCTIONS)
+ORDER = "(?i)" + ascii_bounds(rules.ORDER)
+#: What an order is aimed at: a text without any of these (lower case) holds none.
+TARGETS = ["system", "instruction", "rule", "prompt", "系统", "指令", "规则", "提示"]
 
 
-def looks_injected(s: Column) -> Column:
-    return s.rlike(SIGNATURES) | s.rlike(ORDERS)
+def needed(pattern: str) -> str:
+    """The longest run of characters, in lower case, that every match of a pattern without top-level alternatives has."""
+    bare = re.sub(r"\[[^\]]*\][?*+]?", " ", re.sub(r"\\[\[\]]", " ", pattern))
+    while "(" in bare:
+        bare = re.sub(r"\([^()]*\)[?*+]?", " ", bare)
+    bare = re.sub(r"\\[bsS][*+?]?|\.[*+]|\\?.\?|\^|\$|\{[^}]*\}", " ", bare)
+    return max(re.split(r"[\s\\]+", bare), key=len).lower()
 
 
-def scrub(text: Column, most: int = 1000) -> Column:
-    """The text without sentences that read as orders to a model, on one line, cut at ``most`` characters.
+def suspicious(text: Column) -> Column:
+    """True for every text with a paragraph that looks injected, whatever marks lead it, and for few others.
 
-    Paragraphs are lines without quote and list marks. Only a paragraph that looks injected is
-    taken apart into sentences; of these, bare numbers and injected ones go. Null gives empty.
+    Each signature is searched for, without its anchors and word boundaries, only where the words
+    that it needs occur: a plain search for those costs a fraction of the pattern's.
     """
-    lines = F.split(F.replace(text_of(text), F.lit("\r"), F.lit("")), "\n+")
-    lines = F.transform(lines, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "^>\\s?", ""), "^\\s*[-*]\\s+", "")))
+
+    def over(c: Column) -> Column:
+        some = F.lit(False)
+        for p in [x for signature in rules.INSTRUCTIONS for x in ([signature] if "(" in signature else signature.split("|"))]:
+            some = some | (F.contains(c["low"], F.lit(needed(p))) & c["text"].rlike("(?i)" + p.replace("^", "").replace("\\b", "")))
+        aimed = F.lit(False)
+        for word in TARGETS:
+            aimed = aimed | F.contains(c["low"], F.lit(word))
+        return some | (aimed & c["text"].rlike("(?i)" + rules.ORDER.replace("\\b", "")))
+
+    return bound(F.struct(text.alias("text"), F.lower(text).alias("low")), over)
+
+
+def looks_injected(s: Column) -> Column:
+    return s.rlike(SIGNATURES) | s.rlike(ORDER)
+
+
+def _apart(text: Column) -> Column:
+    """Paragraph by paragraph, and where one looks injected sentence by sentence."""
+    lines = F.transform(F.split(text, "\n+"), lambda p: trimmed(F.regexp_replace(F.regexp_replace(p, "^>\\s?", ""), "^\\s*[-*]\\s+", "")))
 
     def clean(p: Column) -> Column:
-        parts = F.transform(F.split(p, "(?<=[。！？!?])\\s*|(?<=[.])\\s+"), lambda s: F.trim(s))
+        parts = F.transform(F.split(p, "(?<=[。！？!?])\\s*|(?<=[.])\\s+"), trimmed)
         good = F.filter(parts, lambda s: (s != "") & ~s.rlike("^[0-9]+[.)]?$") & ~looks_injected(s))
         return F.when(looks_injected(p), F.array_join(good, " ")).otherwise(p)
 
-    kept = F.filter(F.transform(F.filter(lines, lambda p: p != ""), clean), lambda p: p != "")
-    return F.substring(F.trim(F.regexp_replace(F.array_join(kept, " "), "\\s{2,}", " ")), 1, most)
+    return F.array_join(F.filter(F.transform(F.filter(lines, lambda p: p != ""), clean), lambda p: p != ""), " ")
+
+
+def _whole(text: Column) -> Column:
+    """The same for a text without anything suspicious: marks off every line, lines joined."""
+    bare = F.regexp_replace(F.regexp_replace(text, "(?dm)^>[^\\S\n]?", ""), "(?dm)^[^\\S\n]*[-*][^\\S\n]+", "")
+    return F.regexp_replace(bare, "\\s*\n\\s*", " ")
+
+
+def scrub(text: Column, most: int = 1000) -> Column:
+    """The text without sentences that read as orders to a model, on one line, cut at ``most`` characters.
+
+    Paragraphs are lines without quote and list marks. Only a paragraph that looks injected is
+    taken apart into sentences; of these, bare numbers and injected ones go. Null gives empty.
+    """
+    plain = F.replace(text_of(text), F.lit("\r"), F.lit(""))
+    kept = F.when(suspicious(plain), _apart(plain)).otherwise(_whole(plain))
+    return F.substring(trimmed(F.regexp_replace(kept, "\\s{2,}", " ")), 1, most)
 
 
 def is_obscure(clean: Column) -> Column:
@@ -41,17 +88,19 @@ def is_obscure(clean: Column) -> Column:
 
 def clarify(snippet: Column, title: Column, most: int = 1000) -> Column:
     """The scrubbed snippet, led by the title if it is obscure. An empty snippet stays empty."""
-    clean, head = scrub(snippet, most), scrub(title, 200)
-    return F.when(is_obscure(clean) & (head != ""), scrub(F.concat(head, F.lit("。"), clean), most)).otherwise(clean)
+    led = lambda c: F.when(is_obscure(c["clean"]) & (c["head"] != ""), scrub(F.concat(c["head"], F.lit("。"), c["clean"]), most)).otherwise(c["clean"])
+    return bound(F.struct(scrub(snippet, most).alias("clean"), scrub(title, 200).alias("head")), led)
 
 
 def injection_only(snippet: Column, title: Column) -> Column:
     return (scrub(snippet) == "") & (scrub(title) == "")
 
 
-def substance(snippet: Column) -> Column:
-    """Han characters and longer Latin words outside URLs, less 10 for page furniture; null without any text."""
+def substance(snippet: Column, attachments: str | None = "forum-attachments") -> Column:
+    """Han characters and longer Latin words outside URLs, less 10 for page furniture; null without any text.
+    ``attachments``: the name of a site's folder of attachments, furniture too."""
     s = text_of(snippet)
     bare = F.regexp_replace(s, "(?i)https?://\\S+", " ")
     count = F.regexp_count(bare, F.lit("[一-鿿]")) + F.regexp_count(bare, F.lit("[A-Za-z][A-Za-z0-9'./-]{4,}"))
-    return F.when(F.trim(s) != "", count - F.when(F.lower(s).rlike(rules.CHROME), 10).otherwise(0))
+    furniture = ascii_bounds(rules.CHROME) + (f"|{attachments.lower()}" if attachments else "")
+    return F.when(trimmed(s) != "", count - F.when(F.lower(s).rlike(furniture), 10).otherwise(0))

@@ -38,12 +38,39 @@ def dedupe_url(df: DataFrame, by: list[str], key: Column, order: list) -> DataFr
 
 def top_topics(df: DataFrame, k: int, by: list[str], exclude: str | None = rules.OFF_TOPIC) -> DataFrame:
     """On-topic titles; newest ids first, promotions a million behind; k for each run."""
-    rows = df.where(f.matches_low(F.col("title"), rules.TOPIC) & (~f.matches_low(F.col("title"), exclude) if exclude else F.lit(True)))
-    rows = rows.withColumn("rank_score", F.col("topic_id") - F.when(f.is_promo(F.col("title")), 1_000_000).otherwise(0))
+    rows = relevant(df, exclude).withColumn("rank_score", F.col("topic_id") - F.when(f.is_promo(F.col("title")), 1_000_000).otherwise(0))
     place = Window.partitionBy(*by).orderBy(F.desc("rank_score"), "seq")
     return rows.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
 
+def relevant(df: DataFrame, exclude: str | None = rules.OFF_TOPIC) -> DataFrame:
+    """Cards whose title is on topic and not excluded by the site's own list; a null title is off topic."""
+    title = F.col("title")
+    return df.where(f.matches_low(title, rules.TOPIC) & (~f.matches_low(title, exclude) if exclude else F.lit(True)))
+
+
+def relevant_text(df: DataFrame) -> DataFrame:
+    """Cards of feeds whose title or URL is on topic; nulls count as empty."""
+    return df.where(f.matches_low(F.concat_ws(" ", f.text_of(F.col("title")), f.text_of(F.col("url"))), rules.RELEVANT))
+
+
+def valid_items(df: DataFrame, day_start: Column, kind: str = "story") -> DataFrame:
+    """Title and URL present, the right kind, not before the day's start. Null times, kinds, titles and URLs are invalid."""
+    return df.where((F.trim("title") != "") & (F.trim("url") != "") & (F.col("kind") == kind) & (F.col("published_at") >= day_start))
+
+
+def headlines(df: DataFrame, by: list[str], k: int = 8) -> DataFrame:
+    """The first k cards of each run whose scrubbed title isn't empty; place: their number from 1."""
+    return first_k(df.withColumn("title", sc.scrub(F.col("title"), 200)).where("title <> ''"), k, by, ["seq"])
+
+
+def summary_lines(df: DataFrame, by: list[str], k: int = 10) -> DataFrame:
+    """(by, lines): titles of the k cards with the highest score (null: last; ties: seq) as a Markdown list; null titles are empty."""
+    top = first_k(df, k, by, [F.desc_nulls_last("score"), "seq"])
+    lines = F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- "), f.text_of(F.col("title"))).alias("line"))))
+    return top.groupBy(*by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("lines"))
+
+
 def first_k(df: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
 
@@ -94,17 +121,18 @@ def merge_sources(df: DataFrame, by: list[str], total: int, primary: int | None
     With ``primary``: of priority 0 the first that many take part, and the rest shares ``total``
     places. Without: the first ``total`` of priority 0 take part, and all share ``total`` places.
     """
-    rows = df.where(F.coalesce(F.trim("url"), F.lit("")) != "" if primary is None else F.lit(True))
     cap = total if primary is None else primary
-    rows = df.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "prio").orderBy("seq"))).where((F.col("prio") > 0) | (F.col("_at") <= cap)).drop("_at")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("seq"))
+    first = df.where("prio = 0").withColumn("_at", place).where(F.col("_at") <= cap).drop("_at")  # cut before the sort's end
+    rows = first.unionByName(df.where("prio > 0"))
     rows = rows.where(F.coalesce(F.trim("url"), F.lit("")) != "").withColumns({"title": sc.scrub(F.col("title"), 200), "snippet": sc.scrub(F.col("snippet"))})
     rows = rows.where((F.col("title") != "") | (F.col("snippet") != ""))
     once = dedupe_url(rows, by, f.url_key(F.col("url")), ["prio", "seq"])
     pool = F.lit(0) if primary is None else (F.col("prio") > 0).cast("int")
     at = F.row_number().over(Window.partitionBy(*by, "_pool").orderBy("prio", "seq"))
-    kept = once.withColumn("_pool", pool).withColumn("_at", at)
-    limit = F.lit(total) if primary is None else F.when(F.col("_pool") == 0, primary).otherwise(total)
-    kept = kept.where(F.col("_at") <= limit)
+    kept = once.withColumn("_pool", pool).withColumn("_at", at).where(F.col("_at") <= max(total, primary or 0))
+    if primary is not None:
+        kept = kept.where(F.col("_at") <= F.when(F.col("_pool") == 0, primary).otherwise(total))
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("prio", "seq"))).drop("_pool", "_at")
 
 

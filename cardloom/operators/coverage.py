@@ -1,4 +1,7 @@
-"""Coverage: board states, recovery of failed groups, rosters, near misses, diagnostics."""
+"""Coverage: board states, recovery of failed groups, rosters, near misses, diagnostics.
+
+``by`` names the columns of a run; every table has them, so that all runs go through one job.
+"""
 
 from __future__ import annotations
 
@@ -7,88 +10,120 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as f
 
+RUN = ("run",)
+#: Aliases that are searched in one pass, and bytes of them that are broadcast.
+ALIASES, ALIAS_BYTES = 1000, 1 << 20
+
 
-def board_states(membership: DataFrame, returned: DataFrame, recovered: DataFrame | None = None) -> DataFrame:
-    """Per board (membership: board, group_no): degraded, missing, recovered.
+def board_states(membership: DataFrame, returned: DataFrame, recovered: DataFrame | None = None, by=RUN) -> DataFrame:
+    """Per run and board (membership: by, board, group_no): degraded, missing, recovered.
 
-    returned: group_no, degraded; a failed group has no row. degraded: any owning group failed
-    or says so itself; missing: all failed and nothing recovered; recovered: only on that path.
+    returned: by, group_no, degraded; a failed group has no row, repeated rows count together.
+    degraded: any owning group failed or says so itself; missing: all failed and nothing
+    recovered (recovered: by, board); recovered: only on that path.
     """
-    rows = membership.select("board", "group_no").distinct().join(returned.select("group_no", F.lit(True).alias("_in"), F.col("degraded").alias("_bad")), "group_no", "left")
-    states = rows.groupBy("board").agg(F.bool_or(F.col("_in").isNull()).alias("_failed"), F.bool_and(F.col("_in").isNull()).alias("_all"), F.bool_or(F.coalesce("_bad", F.lit(False))).alias("_bad"))
+    said = returned.groupBy(*by, "group_no").agg(F.bool_or(F.coalesce("degraded", F.lit(False))).alias("_bad"))
+    rows = membership.select(*by, "board", "group_no").distinct().join(said, [*by, "group_no"], "left")
+    states = rows.groupBy(*by, "board").agg(F.bool_or(F.col("_bad").isNull()).alias("_failed"), F.bool_and(F.col("_bad").isNull()).alias("_all"), F.bool_or(F.coalesce("_bad", F.lit(False))).alias("_bad"))
     if recovered is None:
         states = states.withColumn("_saved", F.lit(False))
     else:
-        states = states.join(recovered.select("board", F.lit(True).alias("_saved")).distinct(), "board", "left").withColumn("_saved", F.coalesce("_saved", F.lit(False)))
+        states = states.join(recovered.select(*by, "board", F.lit(True).alias("_saved")).distinct(), [*by, "board"], "left").withColumn("_saved", F.coalesce("_saved", F.lit(False)))
     degraded = F.col("_failed") | F.col("_bad")
-    return states.select("board", degraded.alias("degraded"), (F.col("_all") & ~F.col("_saved")).alias("missing"), (F.col("_saved") & degraded).alias("recovered"))
+    return states.select(*by, "board", degraded.alias("degraded"), (F.col("_all") & ~F.col("_saved")).alias("missing"), (F.col("_saved") & degraded).alias("recovered"))
+
 
+def missing_groups(membership: DataFrame, returned: DataFrame, by=RUN) -> DataFrame:
+    """(by, group_no): groups of which a run has no row."""
+    return membership.select(*by, "group_no").distinct().join(returned.select(*by, "group_no"), [*by, "group_no"], "left_anti")
 
-def recover(membership: DataFrame, returned: DataFrame, feeds: DataFrame, entries: DataFrame) -> DataFrame:
-    """Entries of feeds that can stand in for groups without a result, a row for each board that both serve.
 
-    feeds: key, boards (array), group_no (which groups read it), failed; entries: key, url, title, window.
+def recover(membership: DataFrame, returned: DataFrame, feeds: DataFrame, entries: DataFrame, by=RUN) -> DataFrame:
+    """Entries of feeds that can stand in for groups without a result in a run, a row for each board that both serve.
+
+    feeds: by, key, boards (array), group_no (which groups read it), failed; entries: by, key, url, title, window.
     """
-    failed = membership.select("group_no", "board").distinct().join(returned, "group_no", "left_anti")
-    boards = failed.groupBy("group_no").agg(F.collect_set("board").alias("own"))
-    usable = feeds.where(~F.col("failed")).join(boards, "group_no").withColumn("both", F.array_intersect("boards", "own")).where(F.size("both") > 0)
-    hits = usable.join(entries.where("window <> 'out'"), "key").select("group_no", "url", F.coalesce("title", "url").alias("title"), F.explode("both").alias("board"))
+    failed = membership.select(*by, "group_no", "board").distinct().join(returned.select(*by, "group_no"), [*by, "group_no"], "left_anti")
+    boards = failed.groupBy(*by, "group_no").agg(F.collect_set("board").alias("own"))
+    usable = feeds.where(~F.col("failed")).join(boards, [*by, "group_no"]).withColumn("both", F.array_intersect("boards", "own")).where(F.size("both") > 0)
+    hits = usable.join(entries.where("window <> 'out'"), [*by, "key"]).select(*by, "group_no", "url", F.coalesce("title", "url").alias("title"), F.explode("both").alias("board"))
     return hits.distinct()
 
 
-def coverage(boards: DataFrame, sources: DataFrame, claims: DataFrame) -> DataFrame:
-    """Claims and sources of every board, zero where there are none."""
-    n = claims.groupBy("board").agg(F.count("*").alias("claims"))
-    u = sources.groupBy("board").agg(F.countDistinct("url").alias("urls"))
-    return boards.select("board").distinct().join(n, "board", "left").join(u, "board", "left").select("board", F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("urls", F.lit(0)).alias("urls"))
+def coverage(boards: DataFrame, sources: DataFrame, claims: DataFrame, by=RUN) -> DataFrame:
+    """Claims and distinct source URLs of every board of each run (boards: by, board), zero where there are none."""
+    key = [*by, "board"]
+    n = claims.groupBy(*key).agg(F.count("*").alias("claims"))
+    u = sources.groupBy(*key).agg(F.countDistinct("url").alias("urls"))
+    return boards.select(*key).distinct().join(n, key, "left").join(u, key, "left").select(*key, F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("urls", F.lit(0)).alias("urls"))
 
 
-def alias_hits(aliases: DataFrame, texts: DataFrame) -> DataFrame:
-    """Names of which some alias occurs in some text, case and all. aliases: name, alias; texts: text.
+def alias_hits(aliases: DataFrame, texts: DataFrame, by=RUN) -> DataFrame:
+    """(by, name): names of which some alias occurs in some text of the run, case and all.
 
-    The roster is small by nature; beyond a thousand aliases they are searched in blocks, so that no
-    plan holds more than that many at once.
+    aliases: name, alias, the same for all runs; texts: by, text; nulls and empty aliases hit nothing.
+    Blocks of aliases, bounded in number and bytes, are broadcast to where the texts are; beyond one
+    block the texts, staged by the caller or a table, are read once a block. Hits are made distinct
+    before they are shuffled.
     """
-    spark = texts.sparkSession
-    rows = aliases.where("alias <> ''").distinct().orderBy("name", "alias")
+    rows = aliases.where("alias <> '' AND name IS NOT NULL").select("name", "alias").distinct()
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("alias") + F.octet_length("name"))).first()
+    blocks = max(-(-n // ALIASES), -(-(size or 0) // ALIAS_BYTES), 1)
     found = None
-    listed = [(r.name, r.alias) for r in rows.toLocalIterator()]
-    for a in range(0, max(len(listed), 1), 1000):
-        block = listed[a : a + 1000]
-        names = sorted({n for n, _ in block})
-        if not names:
-            break
-        hit = [F.bool_or(F.greatest(*[F.contains("text", F.lit(x)) for n, x in block if n == name] + [F.lit(False), F.lit(False)])).alias(f"h{k}") for k, name in enumerate(names)]
-        row = texts.agg(*hit)
-        pairs = F.filter(F.array(*[F.struct(F.lit(name).alias("name"), F.coalesce(F.col(f"h{k}"), F.lit(False)).alias("hit")) for k, name in enumerate(names)]), lambda x: x.hit)
-        part = row.select(F.explode(pairs).alias("p")).select("p.name")
+    for k in range(blocks):
+        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == k)
+        own = block.agg(F.collect_list(F.struct("name", "alias")).alias("own"))
+        hit = texts.select(*by, "text").join(F.broadcast(own), F.lit(True))
+        names = F.array_distinct(F.transform(F.filter("own", lambda a: F.contains(F.col("text"), a["alias"])), lambda a: a["name"]))
+        part = hit.select(*by, F.explode(names).alias("name")).distinct()
         found = part if found is None else found.unionByName(part).distinct()
-    return found if found is not None else spark.createDataFrame([], "name string")
+    return found
 
 
-def company_states(roster: DataFrame, no_news: DataFrame, states: DataFrame, hits: DataFrame) -> DataFrame:
-    """Per company (name, board): unreached if its board is missing; else has_dynamic, unless it was reported
-    without news, which holds as no_dynamic only if no text names it. evidence says why."""
-    rows = roster.join(states.select("board", "missing"), "board", "left")
-    rows = rows.join(no_news.select("name", F.lit(True).alias("_quiet")).distinct(), "name", "left").join(hits.select("name", F.lit(True).alias("_hit")), "name", "left")
+def company_states(roster: DataFrame, no_news: DataFrame, states: DataFrame, hits: DataFrame, by=RUN) -> DataFrame:
+    """Per run and company (roster: by, name, board): unreached if its board is missing; else has_dynamic, unless it
+    was reported without news, which holds as no_dynamic only if no text names it. evidence says why."""
+    rows = roster.join(states.select(*by, "board", "missing"), [*by, "board"], "left")
+    rows = rows.join(no_news.select(*by, "name", F.lit(True).alias("_quiet")).distinct(), [*by, "name"], "left").join(hits.select(*by, "name", F.lit(True).alias("_hit")), [*by, "name"], "left")
     quiet, hit = F.coalesce("_quiet", F.lit(False)), F.coalesce("_hit", F.lit(False))
     state = F.when(F.coalesce("missing", F.lit(False)), "unreached").when(~quiet | hit, "has_dynamic").otherwise("no_dynamic")
     evidence = F.when(F.coalesce("missing", F.lit(False)), "no_discover").when(quiet & hit, "report_match").otherwise("roster")
-    return rows.select("name", "board", state.alias("state"), evidence.alias("evidence"))
+    return rows.select(*by, "name", "board", state.alias("state"), evidence.alias("evidence"))
+
+
+def state_lists(companies: DataFrame, by=RUN) -> DataFrame:
+    """(by, state, names): each state's companies, each name once, in order."""
+    return companies.groupBy(*by, "state").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def collector_diagnostics(failures: DataFrame, by=RUN) -> DataFrame:
+    """(by, provider, kind, failures, files): failures of each kind and the distinct files they concern (nulls: none)."""
+    return failures.groupBy(*by, "provider", "kind").agg(F.count("*").alias("failures"), F.array_sort(F.collect_set("file")).alias("files"))
+
+
+def _grams(text, q: int):
+    """All runs of q characters of a text, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
 
 
-def drop_overlaps(misses: DataFrame, claims: DataFrame, run: str = "run") -> DataFrame:
+def drop_overlaps(misses: DataFrame, claims: DataFrame, run: str = "run", gram: int = 4) -> DataFrame:
     """Misses (run, name) that no claim of their run contains and that share no distinctive Latin token with one.
 
-    Both halves are joins within a run: on its tokens, and on the run with the containment as a condition.
+    A name that is contained has its first ``gram`` characters in the claim: claims and names of a run meet
+    on those, and only then are compared whole; shorter names meet runs of their own length. An empty or null name overlaps nothing.
     """
     named = misses.withColumn("_name", F.trim(F.coalesce("name", F.lit(""))))
     tokens = claims.select(run, F.explode(f.latin_tokens(F.col("claim"))).alias("_token")).distinct()
     shared = named.select(run, "_name", F.explode(f.latin_tokens(F.col("_name"))).alias("_token")).join(tokens, [run, "_token"], "left_semi").select(run, "_name").distinct()
-    left = named.join(shared, [run, "_name"], "left_anti").alias("m")
-    texts = claims.select(run, F.trim(F.regexp_replace("claim", "\\s+", " ")).alias("_claim")).distinct().alias("c")
-    inside = (F.col(f"m.{run}") == F.col(f"c.{run}")) & (F.col("_name") != "") & F.contains("_claim", "_name")
-    return left.join(texts, inside, "left_anti").drop("_name")
+    left = named.join(shared, [run, "_name"], "left_anti")
+    texts = claims.select(run, F.trim(F.regexp_replace("claim", "\\s+", " ")).alias("_claim")).where("_claim <> ''").distinct()
+    names = left.where("_name <> ''").select(run, "_name").distinct().withColumn("_gram", F.substring("_name", 1, gram))
+    keys = names.select(run, "_gram").distinct()
+    # of the claims' runs only those that some name begins with go on, before the texts are carried along
+    sizes = F.flatten(F.array(*[_grams(F.col("_claim"), q) for q in range(1, gram + 1)]))
+    near = texts.withColumn("_gram", F.explode(sizes)).join(keys, [run, "_gram"], "left_semi")
+    inside = names.join(near, [run, "_gram"]).where(F.contains("_claim", "_name")).select(run, "_name").distinct()
+    return left.join(inside, [run, "_name"], "left_anti").drop("_name")
 
 
 def degraded_flags(errors, dropped, missing, any_degraded, recovered):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import fields as f
 from ..functions import scrub as sc
+from .coverage import drop_overlaps
 
 
 def ordered(position, value: Column, sep: str = "\n") -> Column:
@@ -57,15 +58,30 @@ def bracketed(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(values, ", "), F.lit("]"))
 
 
-def card_line(title: Column, url: Column, provider: Column) -> Column:
-    link = F.when(f.safe_url(url) != "", F.concat(F.lit("["), f.escape_markdown(title), F.lit("]("), f.safe_url(url), F.lit(")"))).otherwise(f.escape_markdown(title))
-    return F.concat(F.lit("- "), link, F.lit(" · "), F.coalesce(provider, F.lit("unknown")))
+def card_line(title: Column, url: Column, snippet: Column) -> Column:
+    """A card: its title (else its URL, else a placeholder) as a link if the URL is safe, and its snippet as a quote."""
+    text = f.escape_markdown(F.coalesce(F.nullif(title, F.lit("")), F.nullif(url, F.lit("")), F.lit("(untitled)")))
+    safe = f.safe_url(f.trimmed(f.text_of(url)))
+    link = F.when(safe != "", F.concat(F.lit("- ["), text, F.lit("](<"), f.escape_url(safe), F.lit(">)"))).otherwise(F.concat(F.lit("- "), text))
+    quote = f.escape_markdown(snippet, multiline=True)
+    return F.concat(link, F.when(quote != "", F.concat(F.lit("\n  > "), F.replace(quote, F.lit("\n"), F.lit("\n  > ")))).otherwise(""))
 
 
-def card_list(cards: DataFrame, by: list[str], empty: str = "_No sources._") -> DataFrame:
-    """One Markdown list for each run; cards: seq, title, url, provider."""
-    line = F.when(F.col("seq").isNotNull(), card_line(f.text_of(F.col("title")), f.text_of(F.col("url")), F.col("provider")))
-    return cards.groupBy(*by).agg(ordered("seq", F.coalesce(line, F.lit(empty))).alias("markdown"))
+def card_list(cards: DataFrame, by: list[str], runs: DataFrame | None = None, empty: str = "_No sources._") -> DataFrame:
+    """(by, markdown): one Markdown list for each run; cards: by, seq, title, url, snippet. Runs of ``runs`` without a
+    card have the text ``empty``."""
+    lists = cards.groupBy(*by).agg(ordered("seq", card_line(F.col("title"), F.col("url"), F.col("snippet"))).alias("markdown"))
+    if runs is None:
+        return lists
+    return runs.select(*by).distinct().join(lists, by, "left").withColumn("markdown", F.coalesce("markdown", F.lit(empty)))
+
+
+def table(rows: DataFrame, by: list[str], position: str, columns: dict[str, Column]) -> DataFrame:
+    """(by, markdown): a Markdown table for each run, its rows in order of position; columns: heading and cell. Cells are
+    escaped; a null one is empty."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[f.escape_cell(c.cast("string")) for c in columns.values()]), F.lit(" |"))
+    head = "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |\n"
+    return rows.groupBy(*by).agg(F.concat(F.lit(head), ordered(position, line)).alias("markdown"))
 
 
 def model_input(cards: DataFrame, by: list[str], most: int = 800) -> DataFrame:
@@ -87,7 +103,7 @@ def cited_sources(bodies: DataFrame, sources: DataFrame, run: str = "run", most:
 
 
 def reference_list(cited: DataFrame, run: str = "run") -> DataFrame:
-    line = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] ["), f.escape_markdown(F.col("title")), F.lit("]("), F.col("url"), F.lit(")"))
+    line = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] ["), f.escape_markdown(F.col("title")), F.lit("](<"), f.escape_url(F.col("url")), F.lit(">)"))
     return cited.groupBy(run).agg(ordered("place", line).alias("markdown"))
 
 
@@ -100,39 +116,82 @@ def joined(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), "\n\n")
 
 
-def report(runs: DataFrame, items: DataFrame, coverage: DataFrame, misses: DataFrame, run: str = "run") -> DataFrame:
-    """(run, markdown): summary, sections with badges and flags, near misses, coverage, references.
+def bullets(values: Column) -> Column:
+    """An array of texts as a Markdown list; null or empty gives null."""
+    return F.when(F.size(values) > 0, F.array_join(F.transform(values, lambda v: F.concat(F.lit("- "), f.text_of(v))), "\n"))
+
+
+def numbered_references(cites: DataFrame, run: str = "run") -> DataFrame:
+    return cites.groupBy(run).agg(ordered("n", F.concat(F.lit("- ["), F.col("n").cast("string"), F.lit("] ["), "title", F.lit("](<"), "url", F.lit(">)"))).alias("references"))
+
+
+def near_misses(misses: DataFrame, named: DataFrame, run: str) -> DataFrame:
+    """Misses (run, seq, name, date, note) that no text of ``named`` (run, claim) has already, as a list."""
+    left = drop_overlaps(misses, named, run)
+    note = F.when(f.text_of(F.col("note")) != "", F.concat(F.lit(": "), F.col("note"))).otherwise("")
+    return left.groupBy(run).agg(ordered("seq", F.concat(F.lit("- "), "name", F.lit(" ("), F.coalesce("date", F.lit("undated")), F.lit(")"), note)).alias("near"))
 
-    runs: run, one_liner, flags (array); items: run, section_no, section, item_no, title, summary,
-    confidence, status, sources; coverage: run, board, claims, urls; misses: run, seq, name, date.
+
+def report(runs: DataFrame, items: DataFrame, coverage: DataFrame, misses: DataFrame, run: str = "run", low: int = 8) -> DataFrame:
+    """(run, markdown): banner of the material, flags, summary, sections with badges, caveats, near misses that no
+    item's title has, open questions, coverage, references; empty sections are left out.
+
+    runs: run, one_liner, exec_summary, flags, caveats, questions (arrays), confirmed, major_out,
+    discovered (counts or null; without all three no banner); items: run, section_no, section, item_no, title, summary,
+    confidence, status, sources; coverage: run, board, claims, urls, degraded; misses: run, seq, name, date, note.
     """
     cites = citations(items, run)
     marked = badges(items, cites, run)
     block = item_block(F.col("title"), F.col("summary"), F.col("confidence"), F.col("status"), F.col("badge"), F.size("sources") > 0)
     sections = marked.groupBy(run, "section_no", "section").agg(ordered("item_no", block, "\n\n").alias("body"))
     body = sections.groupBy(run).agg(ordered("section_no", F.concat(F.lit("### "), "section", F.lit("\n\n"), "body"), "\n\n").alias("sections"))
-    refs = cites.groupBy(run).agg(ordered("n", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] ["), "title", F.lit("]("), "url", F.lit(")"))).alias("references"))
-    cover = coverage.groupBy(run).agg(ordered("board", F.concat(F.lit("- "), "board", F.lit(": "), F.col("claims").cast("string"), F.lit(" claims / "), F.col("urls").cast("string"), F.lit(" sources"))).alias("coverage"))
-    near = misses.groupBy(run).agg(ordered("seq", F.concat(F.lit("- "), "name", F.lit(" ("), F.coalesce("date", F.lit("undated")), F.lit(")"))).alias("near"))
+    mark = F.when(F.coalesce("degraded", F.lit(False)), " `[degraded]`").otherwise("")
+    cover = coverage.groupBy(run).agg(ordered("board", F.concat(F.lit("- **"), "board", F.lit("**: "), F.col("claims").cast("string"), F.lit(" claims / "), F.col("urls").cast("string"), F.lit(" sources"), mark)).alias("coverage"))
+    near = near_misses(misses, items.select(run, F.col("title").alias("claim")), run)
     rows = runs
-    for part in (body, refs, cover, near):
+    for part in (body, numbered_references(cites, run), cover, near):
         rows = rows.join(part, run, "left")
+    known = F.col("confirmed").isNotNull() | F.col("discovered").isNotNull()
+    count = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    banner = F.when(known, F.concat(F.lit("> **Material**: "), count("confirmed"), F.lit(" of the day; "), count("discovered"), F.lit(" sources of late.")))
+    scarce = F.coalesce("confirmed", F.lit(0)) + F.coalesce("major_out", F.lit(0)) < low
+    thin = F.when((known | F.col("major_out").isNotNull()) & scarce, F.lit(f"> **Low material**: fewer than {low} hard sources; mind their age."))
     flags = F.when(F.size("flags") > 0, F.concat(F.lit("> degraded: `"), F.array_join("flags", "`, `"), F.lit("`")))
-    text = joined(F.concat(F.lit("# Daily report "), F.col(run).cast("string")), flags, section("In one line", F.col("one_liner")), section("News", F.col("sections")), section("Outside the window", F.col("near")), section("Coverage", F.col("coverage")), section("References", F.col("references")))
+    text = joined(
+        F.concat(F.lit("# Daily report "), F.col(run).cast("string")), banner, thin, flags,
+        section("In one line", F.col("one_liner")), section("Summary", F.col("exec_summary")), section("News", F.col("sections")), section("Unverified and limits", bullets(F.col("caveats"))),
+        section("Outside the window", F.col("near")), section("Open questions", bullets(F.col("questions"))), section("Coverage", F.col("coverage")), section("References", F.col("references")))
     return rows.select(run, text.alias("markdown"))
 
 
-def degraded_report(claims: DataFrame, coverage: DataFrame, run: str = "run") -> DataFrame:
-    """(run, markdown) without a model: confirmed, out of window and refuted claims, and coverage.
+def degraded_report(claims: DataFrame, coverage: DataFrame, misses: DataFrame, run: str = "run") -> DataFrame:
+    """(run, markdown) without a model: confirmed, major and refuted claims with votes and badges, near misses that no
+    major claim has, the coverage matrix and references; empty sections are left out.
 
-    claims: run, seq, part, claim, source_url, vote.
+    claims: run, seq, part (confirmed, major_out, killed), claim, source_url, source_quality, date, vote,
+    by_vote (whether votes settled it), errored; coverage: run, board, claims, degraded; misses: run, seq, name, date, note.
+    References are numbered by first appearance among confirmed and major claims, then refuted ones.
     """
-    line = F.concat(F.lit("- "), "claim", F.lit(" ("), "vote", F.lit(") — "), "source_url")
-    own = lambda name: ordered("seq", F.when(F.col("part") == name, line)).alias(name)
-    lists = claims.groupBy(run).agg(own("confirmed"), own("out_of_window"), own("killed"))
-    cover = coverage.groupBy(run).agg(ordered("board", F.concat(F.lit("- "), "board", F.lit(": "), F.col("claims").cast("string"))).alias("coverage"))
-    text = joined(F.concat(F.lit("# Daily report "), F.col(run).cast("string"), F.lit(" (degraded)")), section("Within the window", F.col("confirmed")), section("Outside the window", F.col("out_of_window")), section("Refuted", F.col("killed")), section("Coverage", F.col("coverage")))
-    return lists.join(cover, run, "left").select(run, text.alias("markdown"))
+    own = claims.where(F.col("part").isin("confirmed", "major_out", "killed"))
+    items = own.select(run, F.when(F.col("part") == "killed", 1).otherwise(0).alias("section_no"), F.col("seq").alias("item_no"), F.when(F.col("source_url").isNotNull(), F.array("source_url")).otherwise(F.array().cast("array<string>")).alias("sources"))
+    cites = citations(items, run)
+    marked = own.join(badges(items, cites, run).select(run, F.col("item_no").alias("seq"), F.when(F.col("section_no") == 1, True).otherwise(False).alias("_no"), "badge"), [run, "seq"]).where(F.col("_no") == (F.col("part") == "killed"))
+    claim = f.trimmed(F.regexp_replace(f.text_of(F.col("claim")), "\\s+", " "))
+    vote = F.concat(F.when(F.col("by_vote"), "`✓").otherwise("`◇"), F.coalesce("vote", F.lit("?")), F.lit("`"))
+    errors = F.when(F.col("errored") > 0, F.concat(F.lit(" ("), F.col("errored").cast("string"), F.lit(" votes failed)"))).otherwise("")
+    lines = {
+        "confirmed": F.concat(F.lit("- "), vote, F.lit(" "), claim, "badge", F.lit(" — *("), F.coalesce("source_quality", F.lit("?")), F.lit(")*"), errors),
+        "major_out": F.concat(F.lit("- "), claim, F.lit(" ("), F.coalesce("date", F.lit("?")), F.lit(")")),
+        "killed": F.concat(F.lit("- ~~"), claim, F.lit("~~ refuted `"), F.coalesce("vote", F.lit("?")), F.lit("`"), "badge", errors),
+    }
+    lists = marked.groupBy(run).agg(*[ordered("seq", F.when(F.col("part") == name, line)).alias(name) for name, line in lines.items()])
+    cover = table(coverage, [run], "board", {"Board": F.col("board"), "Claims": F.col("claims"), "Note": F.when(F.coalesce("degraded", F.lit(False)), "degraded")}).withColumnRenamed("markdown", "coverage")
+    near = near_misses(misses, own.where("part = 'major_out'"), run)
+    rows = lists
+    for part in (cover, near, numbered_references(cites, run)):
+        rows = rows.join(part, run, "left")
+    text = joined(F.concat(F.lit("# Daily report "), F.col(run).cast("string"), F.lit(" (degraded)")), section("Within the window", F.col("confirmed")), section("Outside the window: milestones", F.col("major_out")), section("Refuted", F.col("killed")), section("Outside the window", F.col("near")), section("Coverage", F.col("coverage")), section("References", F.col("references")))
+    return rows.select(run, text.alias("markdown"))
 
 
 def day_note(cards: DataFrame, by: list[str]) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import scrub as sc
-from ..functions.fields import norm_url, text_of
+from ..functions.fields import norm_url, text_of, trimmed
 
 
 def brief(text: Column, most: int = 100) -> Column:
@@ -32,22 +33,34 @@ def substantive_or(excerpt: Column, placeholder: Column) -> Column:
     return F.when((F.length(e) >= 40) & e.rlike("[一-鿿]{6,}|[A-Za-z]{12,}"), e).otherwise(placeholder)
 
 
+def paragraphs(text: Column, cuts: list[tuple[str, str]]) -> Column:
+    """The lines of a text after the cuts, each squeezed."""
+    body = text_of(text)
+    for pattern, to in cuts:
+        body = F.regexp_replace(body, pattern, to)
+    return F.transform(F.split(body, "\n+"), lambda p: trimmed(F.regexp_replace(p, "\\s+", " ")))
+
+
 def best_paragraph(text: Column, title: Column, most: int = 500) -> Column:
-    """The longest paragraph with real words that scrubbing leaves something of, else the longest such of 24 characters;
-    headings and paragraphs that repeat the title don't count. Ties: the first."""
+    """The scrubbed longest paragraph of a topic page with real words that scrubbing leaves something of, else the
+    longest such of 24 characters. Images, links, tables, banners and lines of page furniture are no
+    paragraphs, nor are headings and what repeats the title. Ties: the first; none: empty."""
     squeeze = lambda s: F.regexp_replace(s, "\\s+", "")
     name = squeeze(text_of(title))
-    lines = F.transform(F.split(text_of(text), "\n+"), lambda p: F.trim(F.regexp_replace(p, "\\s+", " ")))
-    fit = F.filter(lines, lambda p: (F.length(p) >= 24) & ~p.rlike("^#") & p.rlike("[一-鿿A-Za-z0-9]") & ((name == "") | ~F.contains(squeeze(p), name)) & (sc.scrub(p, most) != ""))
-    rank = F.transform(fit, lambda p, i: F.struct((~((F.length(p) >= 40) & p.rlike("[一-鿿]{6,}|[A-Za-z]{12,}"))).alias("weak"), (-F.length(p)).alias("n"), i.alias("i"), p.alias("p")))
-    return F.coalesce(sc.scrub(F.array_min(rank)["p"], most), F.lit(""))
-
-
-def first_paragraph(text: Column) -> Column:
-    """The first line of 20 characters with 4 Han or 8 Latin ones in a row, else the first of 12, else empty."""
-    lines = F.transform(F.split(text_of(text), "\n+"), lambda p: F.trim(F.regexp_replace(p, "\\s+", " ")))
-    good = F.get(F.filter(lines, lambda p: (F.length(p) >= 20) & p.rlike("[一-鿿]{4,}|[A-Za-z]{8,}")), 0)
-    return F.coalesce(good, F.get(F.filter(lines, lambda p: F.length(p) >= 12), 0), F.lit(""))
+    chrome = lambda p: p.rlike("^#") | p.rlike(rules.FORUM_LINES) | p.rlike(rules.FORUM_OPENINGS) | p.rlike(rules.FORUM_BANNERS)
+    fit = F.filter(paragraphs(text, rules.FORUM_CUTS), lambda p: (F.length(p) >= 24) & ~chrome(p) & p.rlike("[一-鿿A-Za-z0-9]") & ((name == "") | ~F.contains(squeeze(p), name)))
+    weak = lambda p: ~((F.length(p) >= 40) & p.rlike("[一-鿿]{6,}|[A-Za-z]{12,}"))
+    ranked = F.array_sort(F.transform(fit, lambda p, i: F.struct(weak(p).alias("weak"), (-F.length(p)).alias("n"), i.alias("i"), p.alias("p"))))
+    clean = F.filter(F.transform(ranked, lambda r: sc.scrub(r["p"], most)), lambda p: p != "")
+    return F.coalesce(F.get(clean, 0), F.lit(""))
+
+
+def first_paragraph(text: Column, most: int = 500) -> Column:
+    """The scrubbed first paragraph of a board page with 20 characters and 4 Han or 8 Latin ones in a row, else the
+    first of 12, else empty. Images, links, mentions, headings and lines of page furniture are no paragraphs."""
+    lines = F.filter(paragraphs(text, rules.BOARD_CUTS), lambda p: (F.length(p) >= 12) & ~p.rlike("^#") & ~p.rlike(rules.BOARD_LINES))
+    good = F.filter(lines, lambda p: (F.length(p) >= 20) & p.rlike("[一-鿿]{4,}|[A-Za-z]{8,}"))
+    return F.coalesce(sc.scrub(F.coalesce(F.get(good, 0), F.get(lines, 0)), most), F.lit(""))
 
 
 def last_cell(text: Column) -> Column:

@@ -130,10 +130,103 @@ def within_budget(files: DataFrame, by: str, most: int, most_bytes: int) -> Data
     return small.withColumns({"before": before, "place": F.row_number().over(order)}).where((F.col("before") < most_bytes) & (F.col("place") <= most))
 
 
-def merge_events(rows: DataFrame) -> DataFrame:
-    """One row for each event fingerprint of name: the first in place, with date and name of the first that names a day."""
-    keyed = rows.withColumn("key", f.event_key(F.col("name")))
-    dated = F.struct(F.when(f.has_full_day(F.col("date")), 0).otherwise(1), F.col("seq"))
-    best = F.min_by(F.struct("name", "date"), dated)
-    own = F.min_by(F.struct("url", "board"), "seq")
-    return keyed.groupBy("key").agg(best.alias("b"), own.alias("o"), F.min("seq").alias("position")).select("key", "b.name", "b.date", "o.url", "o.board", "position")
+def known_union(confirmed: DataFrame, known: DataFrame) -> DataFrame:
+    """(seq, board, claim, source_url, vote, injected): confirmed claims with their votes, and known events
+    (seq, board, claim, source_url), which no vote has checked."""
+    columns = ["seq", "board", "claim", "source_url", "vote", "injected"]
+    checked = confirmed.withColumns({"vote": f.vote_label(F.col("valid") - F.col("refuted"), F.col("refuted"), F.lit(False)), "injected": F.lit(False)})
+    return checked.select(columns).unionByName(known.withColumns({"vote": F.lit("—"), "injected": F.lit(True)}).select(columns))
+
+
+def merge_events(rows: DataFrame, run: str = "run") -> DataFrame:
+    """Known events of each run, each event once: (run, position, name, note, claim, quote, date, url, board).
+
+    rows: run, seq, name, note, date, url, board. An event's claim is its name and note, joined by a wide
+    colon. In order of seq, a row is of the first event whose claim, or the part of it before the first
+    wide colon, has the fingerprint of the row's name; then, if the row names a day and the event doesn't, its name,
+    note and date replace the event's. Else it is an event of its own. position: the event's first seq; url and
+    board stay those of the first row. Null names and notes are empty.
+
+    The fold needs a run's order, and a run's known events are few by nature. Of rows with the same
+    three fingerprints, that of the name being that of the claim or its first part, the first and the first dated
+    one reach it: the others are of the same event and change nothing.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    claim = F.concat(text("name"), F.lit("："), text("note"))
+    keyed = rows.withColumns({"_claim": claim, "_key": f.event_key(text("name")), "_whole": f.event_key(claim), "_first": f.event_key(F.split(claim, "：")[0]), "_day": f.has_full_day(F.col("date"))})
+    kept = F.struct("seq", text("name").alias("name"), text("note").alias("note"), F.col("_claim").alias("claim"), "date", "url", "board", F.col("_day").alias("day"), F.col("_key").alias("key"), F.col("_whole").alias("whole"), F.col("_first").alias("first"))
+    alone = F.when((F.col("_key") != F.col("_whole")) & (F.col("_key") != F.col("_first")), F.col("seq"))
+    pairs = keyed.withColumn("_alone", alone).groupBy(run, "_key", "_whole", "_first", "_alone").agg(F.min_by(kept, "seq").alias("a"), F.min_by(kept, F.when(F.col("_day"), F.col("seq"))).alias("b"))
+    own = pairs.groupBy(run).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.array("a", "b"), lambda x: x.isNotNull()))))).alias("rows"))
+    kind = own.schema["rows"].dataType.elementType.simpleString()
+    seq = rows.schema["seq"].dataType.simpleString()
+    event = f"struct<position:{seq},x:{kind}>"
+    fold = f"""aggregate(rows, cast(array() as array<{event}>), (events, r) -> transform(
+        array(array_position(transform(events, e -> e.x.whole = r.key OR e.x.first = r.key), true)),
+        at -> CASE WHEN at = 0 THEN array_append(events, named_struct('position', r.seq, 'x', r))
+                   WHEN r.day AND NOT events[int(at) - 1].x.day THEN transform(events, (e, i) -> IF(i = at - 1,
+                     named_struct('position', e.position, 'x', named_struct('seq', r.seq, 'name', r.name, 'note', r.note, 'claim', r.claim, 'date', r.date, 'url', e.x.url, 'board', e.x.board, 'day', r.day, 'key', r.key, 'whole', r.whole, 'first', r.first)), e))
+                   ELSE events END)[0])"""
+    events = own.select(run, F.explode(F.expr(fold)).alias("e"))
+    return events.select(run, "e.position", "e.x.name", "e.x.note", "e.x.claim", F.col("e.x.note").alias("quote"), "e.x.date", "e.x.url", "e.x.board")
+
+
+def source_statistics(voted: DataFrame) -> DataFrame:
+    """(source_url, claims, confirmed) over voted claims with their part."""
+    return voted.groupBy("source_url").agg(F.count("*").alias("claims"), F.count_if(F.col("part") == "confirmed").alias("confirmed"))
+
+
+def batch_numbers(claims: DataFrame, by: list[str], size: int = 6) -> DataFrame:
+    """Adds batch: claims of each run in order of seq, ``size`` to a batch, from 1."""
+    return claims.withColumn("batch", F.ceil(F.row_number().over(Window.partitionBy(*by).orderBy("seq")) / size).cast("int"))
+
+
+FUNNEL = ("discovered", "fetched", "extracted", "verified", "confirmed", "major_out", "killed", "unverified", "out_of_window", "dupes", "dropped")
+
+
+def funnel(stages: dict[str, DataFrame], by: str = "run") -> DataFrame:
+    """A row for each run, and how many rows each stage has of it: all of FUNNEL, 0 where a stage is absent or empty.
+
+    One pass over all stages: each is counted before the shuffle.
+    """
+    unknown = set(stages) - set(FUNNEL)
+    if unknown or not stages:
+        raise ValueError(f"no such stages: {sorted(unknown)}" if unknown else "no stages")
+    counts = [t.groupBy(by).agg(F.count("*").alias("n")).withColumn("stage", F.lit(name)) for name, t in stages.items()]
+    whole = counts[0]
+    for part in counts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy(by).agg(*[F.coalesce(F.sum(F.when(F.col("stage") == name, F.col("n"))), F.lit(0)).alias(name) for name in FUNNEL])
+
+
+def window_misses(reported: DataFrame, gated: DataFrame, run: str = "run") -> DataFrame:
+    """(run, seq, name, date, part): near misses, each name of a run once: first those that the finders reported (run, seq,
+    name, date), then claims that survived but lie outside the window (run, seq, claim, publish_date, claim_date),
+    by their first 36 characters. Misses without a name don't count. part: 0 reported, 1 gated."""
+    short = F.when(F.length("claim") > 36, F.concat(F.substring("claim", 1, 36), F.lit("…"))).otherwise(F.col("claim"))
+    late = gated.select(run, "seq", short.alias("name"), F.coalesce("publish_date", "claim_date").alias("date"), F.lit(1).alias("part"))
+    both = reported.select(run, "seq", "name", "date", F.lit(0).alias("part")).unionByName(late).where("name <> ''")
+    return first_by(both, [run, "name"], ["part", "seq"])
+
+
+def dedupe_feeds(feeds: DataFrame) -> DataFrame:
+    """(key, label, boards): each feed (url, label, board, seq) once, with its first label and every board that subscribes to it."""
+    return feeds.groupBy(f.norm_url(F.col("url")).alias("key")).agg(F.min_by("label", "seq").alias("label"), F.array_sort(F.collect_set("board")).alias("boards"))
+
+
+def attribute_entries(feeds: DataFrame, entries: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """(seq, grp, key, kind): entries (seq, grp, feed, kind) by their feed's URL; without one, by the group's only feed.
+
+    feeds: grp, key. Of each feed the first ``most`` of each kind (15 entries, 4 recents); of
+    groups without such a feed none.
+    """
+    most = most or {"entry": 15, "recent": 4}
+    feeds = feeds.select("grp", "key").distinct()
+    groups = feeds.groupBy("grp").agg(F.count("*").alias("_n"), F.min("key").alias("_only"))
+    key = F.when(F.col("feed").isNotNull(), f.norm_url(F.col("feed"))).when(F.col("_n") == 1, F.col("_only"))
+    found = entries.join(groups, "grp").withColumn("key", key).join(feeds, ["grp", "key"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("grp", "key", "kind").orderBy("seq"))
+    cap = F.lit(0)
+    for kind, n in most.items():
+        cap = F.when(F.col("kind") == kind, n).otherwise(cap)
+    return found.withColumn("_at", place).where(F.col("_at") <= max(most.values())).where(F.col("_at") <= cap).select("seq", "grp", "key", "kind")

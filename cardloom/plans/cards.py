@@ -24,14 +24,28 @@ def timed(spark, sf):
 
 @P.add("topic_gate", f"SELECT seq, title FROM cards WHERE {t.low('title', rules.TOPIC)} AND NOT {t.low('title', rules.OFF_TOPIC)}")
 def topic_gate(spark, sf):
-    c = view(spark, sf, "cards")
-    return c.where(f.matches_low(F.col("title"), rules.TOPIC) & ~f.matches_low(F.col("title"), rules.OFF_TOPIC)).select("seq", "title")
+    return op.relevant(view(spark, sf, "cards")).select("seq", "title")
+
+
+# as the statement has it: fixed values of the gate over titles and URLs of feeds
+_RELEVANT = "ai|artificial intelligence|llm|gpt|chatgpt|claude|anthropic|openai|deepseek|gemini|mistral|llama|cohere|perplexity|hugging|langchain|rag|agent|codex|cursor|copilot|model|大模型|machine learning|ml|neural|transformer|diffusion|token|reasoning|fine.?tun|rlhf|dpo|grpo|lora|quantization|inference|vllm|ollama|opencode|ide.*ai|ai.*coding|agent.*harness|tool.*use|mcp|function.*call"
+_excluded = [("forum", "关于[“\"「].*(?:类别|分类|板块)|社区准则|邀请函|办卡|运营商|学费|步枪"), ("hosting", "关于[“\"「].*(?:类别|分类|版块)|社区准则|邀请函|办卡|运营商|学费|步枪|收.{0,6}鸡|出.{0,6}鸡|.{0,8}(?:年付|月付|季付|季续|折扣|优惠|促销|特价|活动).{0,8}(?:鸡|机|云|vps|服务器|机场)|留档|测评|测速|tq|nq|溢价|求购|出售|邀请码|纯手工|黑五|bf|闪购|秒杀|充值"), ("developers", "关于[“\"「].*(?:类别|分类|版块)|社区准则|邀请函|.{0,10}(?:合租|拼车|车位|年付|月付|折扣|优惠|促销).{0,10}(?:账号|号|车|会员|chatgpt|gpt)|邀请码|出售.*账号|求购|纯手工")]
+_offers = "title || CASE seq % 9 WHEN 0 THEN ' 年付 vps' WHEN 1 THEN ' 合租 gpt' WHEN 2 THEN ' TQ' WHEN 3 THEN ' 办卡' WHEN 4 THEN ' 收一只鸡' WHEN 5 THEN ' 出售 x 账号' ELSE '' END"
 
 
-@P.add("text_gate", "SELECT seq FROM cards WHERE " + t.low("title || ' ' || url", "gpt|llm|model|api|opencode"))
+@P.add("text_gate", "SELECT seq FROM cards WHERE " + t.low("CASE WHEN seq % 4 = 3 THEN reverse(title) ELSE title END || ' ' || url", _RELEVANT))
 def text_gate(spark, sf):
-    c = view(spark, sf, "cards")
-    return c.where(f.matches_low(F.concat_ws(" ", "title", "url"), "gpt|llm|model|api|opencode")).select("seq")
+    c = view(spark, sf, "cards").withColumn("title", F.when(F.col("seq") % 4 == 3, F.reverse("title")).otherwise(F.col("title")))
+    return op.relevant_text(c).select("seq")
+
+
+@P.add("site_gates", "WITH o AS (SELECT seq, " + _offers + " AS title FROM cards) " + " UNION ALL ".join(f"SELECT '{site}' AS site, seq, title FROM o WHERE {t.low('title', rules.TOPIC)} AND NOT {t.low('title', p)}" for site, p in _excluded))
+def site_gates(spark, sf):
+    """The topic gate with each kind of site's own exclusions."""
+    c = view(spark, sf, "cards").select("seq", F.expr(_offers).alias("title"))
+    gates = {"forum": rules.OFF_TOPIC, "hosting": rules.OFF_TOPIC_HOSTING, "developers": rules.OFF_TOPIC_DEVELOPERS}
+    parts = [op.relevant(c, p).select(F.lit(site).alias("site"), "seq", "title") for site, p in gates.items()]
+    return op.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @P.add("scrub_snippets", f"SELECT seq, {t.scrub('snippet')} AS clean, {t.scrub('title', 200)} AS clean_title FROM cards")
@@ -142,10 +156,10 @@ def combine_cards(spark, sf):
     return op.combine_cards(c.where("created_at IS NOT NULL"), c.where("created_at IS NULL").drop("created_at"), ["day_no"]).select("day_no", "seq", "place")
 
 
-@P.add("first_k_per_provider", f"SELECT provider, day_no, seq FROM (SELECT *, row_number() OVER (PARTITION BY day_no, provider ORDER BY seq) AS n FROM cards WHERE {t.low('title', rules.TOPIC)}) WHERE n <= 5")
+@P.add("first_k_per_provider", f"SELECT provider, day_no, seq FROM (SELECT *, row_number() OVER (PARTITION BY day_no, provider ORDER BY seq) AS n FROM cards WHERE {t.low('title', rules.TOPIC)}) WHERE n <= 2")
 def first_k_per_provider(spark, sf):
-    c = view(spark, sf, "cards").where(f.matches_low(F.col("title"), rules.TOPIC))
-    return op.first_k(c, 5, ["day_no", "provider"], ["seq"]).select("provider", "day_no", "seq")
+    c = op.relevant(view(spark, sf, "cards"), None)
+    return op.first_k(c, 2, ["day_no", "provider"], ["seq"]).select("provider", "day_no", "seq")
 
 
 @P.add("union_providers", "SELECT provider_rank, count(*) AS n, count(publish) AS dated FROM (SELECT 0 AS provider_rank, published_ms AS publish FROM cards WHERE site = 'site0' UNION ALL SELECT 1, NULL FROM urls UNION ALL SELECT 3, NULL FROM claims) GROUP BY 1")
@@ -164,18 +178,17 @@ def merge_ranked_lists(spark, sf):
 
 @P.add("valid_items", f"SELECT seq FROM cards WHERE trim(title) <> '' AND trim(url) <> '' AND prio = 1 AND published_ms >= {DAY_MS}")
 def valid_items(spark, sf):
-    """Title and URL present, the right kind, not before the day's start."""
     c = timed(spark, sf).withColumn("kind", F.when(F.col("prio") == 1, "story").otherwise("job"))
     start = F.to_timestamp(F.lit(f"{DAY} 00:00:00")) - F.make_interval(hours=F.lit(8))
-    return c.where((F.trim("title") != "") & (F.trim("url") != "") & (F.col("kind") == "story") & (F.col("published_at") >= start)).select("seq")
+    return op.valid_items(c, start).select("seq")
 
 
-@P.add("material_window", f"""WITH k AS (SELECT site, prio = 0 AS hard, coalesce(coalesce(published_ms, created_ms) >= {DAY_MS} - grace_days * 86400000, true) AS kept FROM cards WHERE day_no = 2)
-    SELECT site, count(*) FILTER (WHERE hard) AS hard_sources, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, greatest(0, count(*) FILTER (WHERE kept) - count(*) FILTER (WHERE hard)) AS other_sources, count(*) FILTER (WHERE hard) < 8 AS low_material FROM k GROUP BY 1""")
+@P.add("material_window", f"""WITH k AS (SELECT day_no, site, prio = 0 AS hard, coalesce(coalesce(published_ms, created_ms) >= {DAY_MS} - grace_days * 86400000, true) AS kept FROM cards)
+    SELECT day_no, site, count(*) FILTER (WHERE hard) AS hard_sources, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, greatest(0, count(*) FILTER (WHERE kept) - count(*) FILTER (WHERE hard)) AS other_sources, count(*) FILTER (WHERE hard) < 8 AS low_material FROM k GROUP BY 1, 2""")
 def material_window(spark, sf):
     start = F.to_timestamp(F.lit(f"{DAY} 00:00:00")) - F.make_interval(hours=F.lit(8))
-    gated = op.recency_gate(timed(spark, sf).where("day_no = 2"), start).withColumn("hard", F.col("prio") == 0)
-    return op.material_window(gated, ["site"])
+    gated = op.recency_gate(timed(spark, sf), start).withColumn("hard", F.col("prio") == 0)
+    return op.material_window(gated, ["day_no", "site"])
 
 
 @P.add("day_path", f"""WITH a AS ({_merge_sql(40, 25).replace('WITH a AS', 'WITH a0 AS').replace('FROM a WHERE', 'FROM a0 WHERE')}),
@@ -192,13 +205,9 @@ def day_path(spark, sf):
 
 @P.add("headlines", f"SELECT day_no, seq, title, CAST(n AS INTEGER) AS place FROM (SELECT day_no, seq, {t.scrub('title', 200)} AS title, row_number() OVER (PARTITION BY day_no ORDER BY seq) AS n FROM cards WHERE {t.scrub('title', 200)} <> '') WHERE n <= 8")
 def headlines(spark, sf):
-    c = view(spark, sf, "cards").withColumn("title", sc.scrub(F.col("title"), 200)).where("title <> ''")
-    return op.first_k(c, 8, ["day_no"], ["seq"]).select("day_no", "seq", "title", "place")
+    return op.headlines(view(spark, sf, "cards"), ["day_no"]).select("day_no", "seq", "title", "place")
 
 
 @P.add("summary_lines", "SELECT day_no, string_agg('- ' || title, chr(10) ORDER BY score DESC, seq) AS lines FROM (SELECT day_no, seq, title, length(snippet) AS score, row_number() OVER (PARTITION BY day_no ORDER BY length(snippet) DESC NULLS LAST, seq) AS n FROM cards) WHERE n <= 10 GROUP BY 1")
 def summary_lines(spark, sf):
-    c = view(spark, sf, "cards").withColumn("score", F.length("snippet"))
-    top = op.first_k(c, 10, ["day_no"], [F.desc_nulls_last("score"), "seq"])
-    lines = F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- "), "title").alias("line"))))
-    return top.groupBy("day_no").agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("lines"))
+    return op.summary_lines(view(spark, sf, "cards").withColumn("score", F.length("snippet")), ["day_no"])

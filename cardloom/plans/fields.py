@@ -63,12 +63,12 @@ def _tag(e: str, tag: str) -> str:
     SELECT seq, {_entities("title || '&amp;lt;'")} AS decoded, heading, trim(regexp_replace(replace(title || ' \\|  x ', '\\|', '|'), '\\s+', ' ', 'g')) AS cleaned,
     regexp_replace(title, '[^A-Za-z0-9._-]+', '_', 'g') AS file_name,
     CASE WHEN substring(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) = '' THEN 'section' ELSE substring(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) END AS slug,
-    regexp_replace(title, '([\\\\`*_{{}}\\[\\]<>#|])', '\\\\\\1', 'g') AS markdown, regexp_replace(replace(title || '|' || chr(10) || 'x', '|', '\\|'), '[\\r\\n]+', ' ', 'g') AS cell,
+    {t.markdown("title || ' a*b_(c)+d-e!' || chr(10) || '<#|`' || chr(1)")} AS markdown, {t.cell("title || '|' || chr(10) || 'x '")} AS cell, replace(replace(replace(title || '<\\>', '\\', '\\\\'), '<', '\\<'), '>', '\\>') AS target,
     replace(replace(replace(heading, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM p""")
 def page_text_functions(spark, sf):
     p = view(spark, sf, "page_cards").withColumn("heading", f.tag_text(F.col("html"), "h1"))
     title = F.col("title")
-    return p.select("seq", f.decode_entities(F.concat(title, F.lit("&amp;lt;"))).alias("decoded"), "heading", f.clean_title(F.concat(title, F.lit(" \\|  x "))).alias("cleaned"), f.safe_filename(title).alias("file_name"), f.slug(title).alias("slug"), f.escape_markdown(title).alias("markdown"), f.escape_cell(F.concat(title, F.lit("|\nx"))).alias("cell"), f.escape_xml(F.col("heading")).alias("xml"))
+    return p.select("seq", f.decode_entities(F.concat(title, F.lit("&amp;lt;"))).alias("decoded"), "heading", f.clean_title(F.concat(title, F.lit(" \\|  x "))).alias("cleaned"), f.safe_filename(title).alias("file_name"), f.slug(title).alias("slug"), f.escape_markdown(F.concat(title, F.lit(" a*b_(c)+d-e!\n<#|`\x01"))).alias("markdown"), f.escape_cell(F.concat(title, F.lit("|\nx "))).alias("cell"), f.escape_url(F.concat(title, F.lit("<\\>"))).alias("target"), f.escape_xml(F.col("heading")).alias("xml"))
 
 
 _stop = ", ".join(map(t.q, rules.STOP_TOKENS))
@@ -78,11 +78,11 @@ _stop = ", ".join(map(t.q, rules.STOP_TOKENS))
     CAST(len(list_filter(string_split_regex(coalesce(snippet, ''), '[\\s,，;；:：|·]+'), lambda x: regexp_matches(x, '[一-鿿]') OR regexp_matches(x, '^[A-Za-z]{{5,}}$'))) AS INTEGER) AS readable,
     {t.low('title', rules.PROMO)} AS promo, TRY_CAST(replace(CAST(topic_id // 1000 AS VARCHAR) || ',' || lpad(CAST(topic_id % 1000 AS VARCHAR), 3, '0'), ',', '') AS INTEGER) AS number,
     CASE WHEN seq % 5 = 0 THEN '—' ELSE format('{{:,}}', topic_id * 1009) END AS shown,
-    CASE day_no WHEN 0 THEN '高' WHEN 1 THEN '中' WHEN 2 THEN '低' ELSE 'other' END AS confidence, CASE WHEN prio = 2 THEN '—' ELSE CAST(seq % 3 AS VARCHAR) || '-' || CAST(prio AS VARCHAR) END AS vote FROM cards""")
+    CASE day_no % 5 WHEN 0 THEN '高' WHEN 1 THEN '中' WHEN 2 THEN '低' ELSE 'other' END AS confidence, CASE WHEN prio = 2 THEN '—' ELSE CAST(seq % 3 AS VARCHAR) || '-' || CAST(prio AS VARCHAR) END AS vote FROM cards""")
 def snippet_functions(spark, sf):
     c = view(spark, sf, "cards")
     number = F.concat((F.col("topic_id") / 1000).cast("bigint").cast("string"), F.lit(","), F.lpad((F.col("topic_id") % 1000).cast("string"), 3, "0"))
-    word = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low"), F.lit("other"), F.lit("other")), F.col("day_no") + 1)
+    word = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low"), F.lit("other"), F.lit("other")), F.col("day_no") % 5 + 1)
     return c.select("seq", F.array_sort(f.latin_tokens(F.col("title"))).alias("tokens"), f.readable_tokens(F.col("snippet")).alias("readable"), f.is_promo(F.col("title")).alias("promo"), f.int_with_commas(number).alias("number"), f.thousands(F.when(F.col("seq") % 5 != 0, F.col("topic_id") * 1009)).alias("shown"), f.confidence_label(word).alias("confidence"), f.vote_label(F.col("seq") % 3, F.col("prio"), F.col("prio") == 2).alias("vote"))
 
 

@@ -40,12 +40,21 @@ def exploded(df: DataFrame, text: Column, pattern: str, group: int = 0) -> DataF
     return df.select("*", F.posexplode(found).alias("pos", "item"))
 
 
-def extract_links(df: DataFrame, key: str, text: str, profile: SiteProfile) -> DataFrame:
-    """(key, topic_id, url, title, pos): links of a listing, the first of each topic."""
-    rows = exploded(df.select(key, text), f.text_of(F.col(text)), profile.pattern)
+def extract_links(df: DataFrame, key: str | list[str], text: str, profile: SiteProfile) -> DataFrame:
+    """(key, topic_id, url, title, pos): links of a listing, the first of each topic; links without a title or number are none."""
+    key = [key] if isinstance(key, str) else key
+    rows = exploded(df.select(*key, text), f.text_of(F.col(text)), profile.pattern)
     rows = rows.withColumns({"title": f.clean_title(F.regexp_extract("item", profile.pattern, profile.title_group)), "topic_id": F.regexp_extract("item", profile.pattern, profile.id_group).try_cast("bigint")})
     rows = rows.where("title <> '' AND topic_id IS NOT NULL").withColumn("url", F.replace(F.lit(profile.url), F.lit("{id}"), F.col("topic_id").cast("string")))
-    return first_by(rows.select(key, "topic_id", "url", "title", "pos"), [key, "url"], ["pos"])
+    return first_by(rows.select(*key, "topic_id", "url", "title", "pos"), [*key, "url"], ["pos"])
+
+
+def heading_links(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, title, url): every heading of a text that is a link, whatever it links to; titles are cut at 300."""
+    pattern = r"###\s*\[([^\]]+)\]\(([^)]+)\)"
+    rows = exploded(df.select(key, text), f.text_of(F.col(text)), pattern)
+    out = rows.select(key, "pos", F.substring(f.trimmed(F.regexp_extract("item", pattern, 1)), 1, 300).alias("title"), f.trimmed(F.regexp_extract("item", pattern, 2)).alias("url"))
+    return out.where("title <> '' AND url <> ''")
 
 
 # An RFC 822 date and time with a numeric offset or a name for none.
@@ -67,7 +76,7 @@ def parse_rss(df: DataFrame, key: str, text: str, most: int = 20_000) -> DataFra
     rows = exploded(df.select(key, text), F.substring(f.text_of(F.col(text)), 1, most), "(?is)<item>(.*?)</item>", 1)
     item = F.col("item")
     date = F.coalesce(F.nullif(f.tag_text(item, "pubDate"), F.lit("")), f.tag_text(item, "date"))
-    out = rows.select(key, "pos", F.substring(f.decode_entities(f.tag_text(item, "title")), 1, 300).alias("title"), f.decode_entities(f.tag_text(item, "link")).alias("url"), rfc822(date).alias("published_at"))
+    out = rows.select(key, "pos", F.substring(f.decode_entities(f.tag_text(item, "title")), 1, 300).alias("title"), f.decode_entities(f.tag_text(item, "link")).alias("url"), f.bound(date, rfc822).alias("published_at"))
     return out.where("title <> '' AND url <> ''")
 
 

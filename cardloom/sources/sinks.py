@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,20 +11,27 @@ from pyspark.sql import functions as F
 
 
 def overwrite_days(df: DataFrame, path: str, day: str = "run_date") -> None:
-    """Replace exactly the days that df has; other days stay. A rerun gives the same files' contents."""
-    df.repartition(F.col(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    """Replace exactly the days that df has; other days stay. A rerun gives the same rows.
+
+    Rows are dealt by day, so that a small day is one file; the adaptive planner cuts a large day's
+    share into tasks of its advisory size.
+    """
+    df.hint("rebalance", F.col(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
 def write_validated(df: DataFrame, path: str, valid, day: str = "run_date") -> dict[str, int]:
     """Write only the days for which ``valid`` (an aggregate expression) holds; others keep what they have.
 
-    Returns the number of days written and skipped. The check is one aggregation over the days.
+    Returns the number of days written and skipped. df is computed once, into a folder beside
+    path; the check is one aggregation over its days, and the good ones go on from there.
     """
-    checked = df.groupBy(day).agg(F.coalesce(valid, F.lit(False)).alias("_ok"))
+    held = f"{path}-unchecked-{uuid.uuid4().hex}"
+    df.write.parquet(held)
+    rows = df.sparkSession.read.schema(df.schema).parquet(held)
+    checked = rows.groupBy(day).agg(F.coalesce(valid, F.lit(False)).alias("_ok"))
     counts = checked.agg(F.count_if("_ok").alias("written"), F.count_if(~F.col("_ok")).alias("skipped")).first()
-    good = df.join(checked.where("_ok").select(day), day, "left_semi")
     if counts.written:
-        overwrite_days(good, path, day)
+        overwrite_days(rows.join(checked.where("_ok").select(day), day, "left_semi").select(df.columns), path, day)
     return {"written": counts.written, "skipped": counts.skipped}
 
 

@@ -37,8 +37,8 @@ def upsert_days(stream: DataFrame, raw_path: str, path: str, batch: Callable[[Da
     def step(rows: DataFrame, number: int) -> None:
         rows = rows.withColumn("_batch", F.lit(number))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", day).parquet(raw_path)
-        touched = rows.select(day).distinct()
-        whole = rows.sparkSession.read.parquet(raw_path).drop("_batch").join(touched, day, "left_semi")
+        days = [r[0] for r in rows.select(day).distinct().collect()]  # those of one micro-batch
+        whole = rows.sparkSession.read.parquet(raw_path).drop("_batch").where(F.col(day).isin(days))  # reads their folders alone
         overwrite_days(batch(whole), path, day)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
