@@ -116,11 +116,12 @@ class Vocabulary:
 class PieceEncoder:
     """Texts to token ids; ``encode`` gives the ids of unseen pieces: list of str -> (all ids, number of ids of each).
 
-    A seen piece is found by its hash and compared with the code points kept beside it, so a
-    chance collision costs a second encoding and never a wrong id. Slots and pools are of fixed size.
+    A seen piece is found by its hash and compared with its bytes kept beside it, so a chance
+    collision costs a second encoding and never a wrong id. Slots and pools are of fixed size;
+    pieces of over 255 bytes are not kept.
     """
 
-    def __init__(self, added: dict[str, int], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 20, pool: int = 4_000_000):
+    def __init__(self, added: dict[str, int], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 21, pool: int = 5_000_000):
         self.added, self.encode, self.slots, self.pool_limit = added, encode, slots, pool
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.reset()
@@ -128,15 +129,19 @@ class PieceEncoder:
     def reset(self) -> None:
         self.key = np.zeros(self.slots, U64)
         self.at = np.zeros(self.slots, np.int32)  # of its ids in the pool
-        self.size = np.full(self.slots, -1, np.int32)
-        self.text_at = np.zeros(self.slots, np.int32)  # of its code points
-        self.text_size = np.zeros(self.slots, np.int32)
+        self.size = np.zeros(self.slots, np.uint8)
+        self.text_at = np.zeros(self.slots, np.int32)  # of its bytes
+        self.text_size = np.zeros(self.slots, np.uint8)  # 0: a free slot
         self.pool = np.zeros(self.pool_limit, np.int32)
-        self.texts = np.zeros(self.pool_limit, np.uint32)
+        self.texts = np.zeros(3 * self.pool_limit, np.uint8)
         self.used = self.text_used = 0
 
-    def _keep(self, key: np.ndarray, ids: np.ndarray, n_ids: np.ndarray, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+    def _keep(self, key: np.ndarray, ids: np.ndarray, n_ids: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         """Enter pieces with their ids; if the pools are full, start over with these alone, as far as they fit."""
+        short = size < 256  # a byte has one id at most
+        if not short.all():
+            ids = ids[np.repeat(short, n_ids)]
+            key, n_ids, begin, size = key[short], n_ids[short], begin[short], size[short]
         if self.used + len(ids) > len(self.pool) or self.text_used + int(size.sum()) > len(self.texts):
             self.reset()
             fit = (np.cumsum(n_ids) <= len(self.pool)) & (np.cumsum(size) <= len(self.texts))
@@ -144,7 +149,7 @@ class PieceEncoder:
             ids = ids[: int(n_ids.sum())]
         place, text_place = self.used + np.cumsum(n_ids) - n_ids, self.text_used + np.cumsum(size) - size
         self.pool[self.used : self.used + len(ids)] = ids
-        self.texts[self.text_used : self.text_used + int(size.sum())] = points[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)]
+        self.texts[self.text_used : self.text_used + int(size.sum())] = data[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)]
         self.used += len(ids)
         self.text_used += int(size.sum())
         to = (key & U64(self.slots - 1)).astype(np.int64)
@@ -177,27 +182,31 @@ class PieceEncoder:
         h = mixed(span_sums(value, begin, size) + size.astype(U64))
         del value
         slot = (h & U64(self.slots - 1)).astype(np.int64)
-        hit = (self.key[slot] == h) & (self.size[slot] >= 0) & (self.text_size[slot] == size)
-        hit[hit] = same_spans(points, begin[hit], self.texts, self.text_at[slot[hit]], size[hit])
+        data = np.frombuffer(whole.encode(), np.uint8)
+        wide = np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)) if len(data) > len(points) else None
+        at = begin if wide is None else np.r_[0, wide[begin[1:] - 1]]  # of each piece's bytes
+        long = np.diff(np.r_[at, len(data)])
+        hit = (self.key[slot] == h) & (self.text_size[slot] == long)
+        hit[hit] = same_spans(data, at[hit], self.texts, self.text_at[slot[hit]], long[hit])
         count = np.where(hit, self.size[slot], 0).astype(np.int64)
         known = self.pool[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - self.at[slot], count)]
         out = known
         miss = np.flatnonzero(~hit)
         if len(miss):
-            pick, back = exact_groups(h[miss], points, begin[miss], size[miss])
+            pick, back = exact_groups(h[miss], data, at[miss], long[miss])
             first = miss[pick]
             ids, n_ids = self.encode([whole[i : i + k] for i, k in zip(begin[first].tolist(), size[first].tolist(), strict=True)])
             count[miss] = n_ids[back]
-            at = np.cumsum(count) - count
+            to = np.cumsum(count) - count
             out = np.zeros(int(count.sum()), np.int32)
             fresh = np.zeros(len(out), bool)
             n = count[miss]
             run = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            place = run + np.repeat(at[miss], n)
+            place = run + np.repeat(to[miss], n)
             fresh[place] = True
             out[place] = ids[run + np.repeat((np.cumsum(n_ids) - n_ids)[back], n)]
             out[~fresh] = known
-            self._keep(h[first], ids, n_ids, points, begin[first], size[first])
+            self._keep(h[first], ids, n_ids, data, at[first], long[first])
         per_row = np.zeros(len(rows), np.int64)
         row_of_piece = np.searchsorted(row_at, begin, side="right") - 1
         per_row[np.flatnonzero(filled)] = np.bincount(row_of_piece, weights=count, minlength=len(row_at)).astype(np.int64)
