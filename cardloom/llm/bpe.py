@@ -33,7 +33,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, kept, text_chunks, tidy
+from .common import ids_and_texts, kept, small_batches, text_chunks, tidy
 from .presplit import PieceEncoder, Vocabulary
 
 
@@ -272,6 +272,7 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return digests(encoded_and_decoded(docs, public_tokenizers.path("byte_bpe_50k.json")))
 

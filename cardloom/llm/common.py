@@ -9,6 +9,7 @@ millions of tiny records stays compact and every bucket is handled alone.
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,19 +28,17 @@ CHUNK_BYTES = 1 << 20
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is absent (tests, one machine) a temporary folder becomes the
-    checkpoint folder; on a cluster its absence is an error.
+    Where that setting is absent, in a session of one process, it is a temporary folder; on a
+    cluster its absence is an error. Folders are the caller's to clear when the results are used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-cardloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -47,7 +46,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a staged table that nothing reads any more."""
+    spark, path = df.sparkSession, df.staged_at
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 class _Kept:
@@ -110,21 +118,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_a_task(spark: SparkSession, total: int, bucket: int) -> int:
+    """How many buckets each task of an exchange handles, one after the other, so that none has much more than ``bucket`` of ``total``."""
+    return max(1, -(-total // (bucket * partitions(spark))))
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Rows hold whole texts: Arrow batches of 1000 rows, unless the session has its own number."""
+    """Rows hold whole texts: Arrow batches of 1000 rows, unless the session has its own number. Queries and the pipeline
+    set this in their session; operators leave a caller's session as it is and are best called with it."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the needed columns, under fixed names, so that no other column can clash."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in more])
 
 
 def carrying(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
     """The same with the columns named in ``carry`` as a struct ``carried``, whatever their names."""
-    small_batches(docs.sparkSession)
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *more)
 

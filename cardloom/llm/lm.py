@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, PACKED, U64, exchanged, mixed, partitions, raw_bytes, runs, span_hashes, staged, text_chunks, tidy, word_bounds
+from .common import buckets_a_task, IS_SPACE, LOWER, PACKED, U64, exchanged, mixed, partitions, raw_bytes, runs, small_batches, span_hashes, staged, text_chunks, tidy, word_bounds
 
 ORDER = 5
 END, PAD = 0xFE, 0xFF
 SYMBOLS = 255  # every byte but PAD; END is no byte of UTF-8
 ALPHA = 0.1
 BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20  # of text whose paths and words one bucket sums up
 SLICE_BYTES = 1 << 20  # of a block's text handled at once
 
 
@@ -336,8 +337,9 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = partitions(spark)
-    blocks = max(int(total // block_bytes) + 1, buckets)
+    per_task = buckets_a_task(spark, total, BUCKET_BYTES)
+    buckets = partitions(spark) * per_task
+    blocks = max(int(total // block_bytes) + 1, partitions(spark))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     table = rows.where("train").select("text").mapInArrow(_top, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).toArrow()
     keys, counts = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "count"))
@@ -345,7 +347,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     order = np.argsort(keys)
     order = order[keys[order] >= 0]
     top = spark.sparkContext.broadcast((keys[order].astype(U64), counts[order]))
-    answers = exchanged(rows.groupBy("block").applyInArrow(_asked(buckets), PACKED), 1).mapInArrow(_answers(top), "block long, bucket int, known long, payload binary")
+    answers = exchanged(rows.groupBy("block").applyInArrow(_asked(buckets), PACKED), per_task).mapInArrow(_answers(top), "block long, bucket int, known long, payload binary")
     id_type = rows.schema["doc_id"].dataType
     sums = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_added(buckets, train_rows, to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, {RESULT}")
     sums = staged(sums, "lm-scores")
@@ -356,6 +358,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
 
 def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scored(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
 

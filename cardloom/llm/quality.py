@@ -171,7 +171,6 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text scores ``least`` or more; no shuffle."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -184,6 +183,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.3, text_col: str =
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

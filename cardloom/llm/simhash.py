@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, PACKED, U64, carried_type, carrying, exchanged, packed, partitions, raw_bytes, runs, staged, text_chunks, tidy, word_bounds
+from .common import buckets_a_task, IS_SPACE, LOWER, PACKED, U64, carried_type, carrying, exchanged, packed, partitions, raw_bytes, runs, small_batches, staged, text_chunks, tidy, word_bounds
 from .components import connected_components, forest
 
-PER_TASK = 1
+BUCKET_ROWS = 50_000  # each with 66 records of 16 bytes
 
 
 def fingerprints_of(texts: pa.ChunkedArray, words: int) -> np.ndarray:
@@ -163,14 +163,16 @@ def _links(most: int):
     return run
 
 
-def near_links(fps: DataFrame, most: int = 3) -> DataFrame:
+def near_links(fps: DataFrame, most: int = 3, rows: int | None = None) -> DataFrame:
     """(a, b): links between the distinct fingerprints in column ``fp`` (long) that differ in at most
-    ``most`` bits (up to 3), enough of them to keep every connection; null fingerprints have none."""
+    ``most`` bits (up to 3), enough of them to keep every connection; null fingerprints have none.
+    ``rows``: how many there are at most, if that is known; buckets are made of about BUCKET_ROWS each."""
     if not 0 <= most <= 3:
         raise ValueError("two halves with one flipped bit find at most 3 differing bits")
-    per = partitions(fps.sparkSession) * PER_TASK
-    probes = fps.select("fp").where("fp IS NOT NULL").mapInArrow(_probes(per), PACKED)
-    return exchanged(probes, PER_TASK).mapInArrow(_links(most), "a long, b long")
+    spark = fps.sparkSession
+    per_task = buckets_a_task(spark, fps.count() if rows is None else rows, BUCKET_ROWS)
+    probes = fps.select("fp").where("fp IS NOT NULL").mapInArrow(_probes(partitions(spark) * per_task), PACKED)
+    return exchanged(probes, per_task).mapInArrow(_links(most), "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, carry: list[str] = ()) -> DataFrame:
@@ -182,7 +184,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = staged(fingerprints(docs, id_col, text_col, words, carry), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = staged(connected_components(near_links(fps, most), contracted=True), "components")
+    found = staged(connected_components(near_links(fps, most, rows.count()), contracted=True), "components")
     named = fps.join(found, fps.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lows = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = named.join(lows, "component").select(F.col("fp").alias("_fp"), "component_id", "component")
@@ -190,6 +192,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, partitions, raw_bytes, span_hashes, text_chunks, tidy, word_bounds
+from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, partitions, raw_bytes, small_batches, span_hashes, text_chunks, tidy, word_bounds
 
 WORDS, ONE_IN = 5, 8
 
@@ -161,6 +161,7 @@ def sketch_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sketch_of_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -8,6 +8,9 @@ travel as one short text (a fragment); seeds that only one document has are left
 by a round of hashes, and equal fragments of a block of documents are sent once, with their
 smallest id, so a passage that very many documents share costs a record per block.
 
+A seed that very many fragments share (a run of blanks, say) would be one huge group: its strings
+are dealt one by one instead, by a hash of all LENGTH bytes, so equal ones still meet.
+
 Each bucket is sorted in blocks of bounded size: suffixes by their first symbols, long ties
 by ranks, made beforehand, of a difference-cover sample of the block's text. Any two
 suffixes have, within the cover's period, an offset at which both are in the sample, so the
@@ -25,13 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _WEIGHTS, PACKED, U64, carried_type, carrying, exact_groups, exchanged, give_back, inverse_powers, mixed, partitions, powers, raw_bytes, runs, span_sums, tidy
+from .common import buckets_a_task, PACKED, U64, _WEIGHTS, carried_type, carrying, exact_groups, exchanged, give_back, inverse_powers, mixed, partitions, powers, raw_bytes, runs, small_batches, span_sums, tidy
 
 LENGTH = 50
 SEED = 20
 WINDOW = LENGTH - SEED + 1
 SEGMENT = (1 << 20) - 64
 BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20  # of text whose fragments one bucket sorts
 NO_ID = np.iinfo(np.int64).max
 
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo PERIOD is that of two of COVER
@@ -116,44 +120,59 @@ def _bucket(seed: np.ndarray, buckets: int) -> np.ndarray:
     return (seed * U64(buckets) >> U64(40)).astype(np.int64)
 
 
-def _seed_requests(seed: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct seeds in order, whether several of its documents have one, and where each bucket begins."""
-    order = np.argsort(seed, kind="stable")
-    s, d = seed[order], ids[order]
+def _seed_requests(f: Fragments, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct seeds in order, what it says of each, and where each bucket begins. Said: in the highest bit
+    whether several of its documents have the seed, below the binary length of the number of its distinct strings' places."""
+    order = np.argsort(f.seed, kind="stable")
+    s, d = f.seed[order], f.id[order]
+    first = np.zeros(len(s), bool)
+    first[f.pick] = True
+    places = np.where(first, f.count, 0)[order]
     cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-    several = np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts) if len(cuts) else np.zeros(0, bool)
-    return s[cuts], several, np.searchsorted(_bucket(s[cuts], buckets), np.arange(buckets + 1))
+    said = np.zeros(len(cuts), np.uint8)
+    if len(cuts):
+        several = np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts)
+        said = np.frexp(np.add.reduceat(places, cuts).astype(float))[1].astype(np.uint8) | (several.astype(np.uint8) << 7)
+    return s[cuts], said, np.searchsorted(_bucket(s[cuts], buckets), np.arange(buckets + 1))
 
 
 def _ask_seeds(buckets: int):
     @tidy
     def run(table: pa.Table) -> pa.Table:
         f = Fragments(*block_of(ordered(table)))
-        seed, several, cuts = _seed_requests(f.seed, f.id, buckets)
+        seed, said, cuts = _seed_requests(f, buckets)
         low = seed.astype("<u4")
         own = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
-        payload = [np.array([cuts[b + 1] - cuts[b]], "<u8").tobytes() + low[cuts[b] : cuts[b + 1]].tobytes() + np.packbits(several[cuts[b] : cuts[b + 1]]).tobytes() for b in own]
+        payload = [np.array([cuts[b + 1] - cuts[b]], "<u8").tobytes() + low[cuts[b] : cuts[b + 1]].tobytes() + said[cuts[b] : cuts[b + 1]].tobytes() for b in own]
         block = table.column("block")[0].as_py() if table.num_rows else 0
         return pa.table({"bucket": pa.array(own, pa.int32()), "tag": pa.array([block] * len(own), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
     return run
 
 
-@tidy
-def _answer_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits: whether more than one document has the seed (or, rarely, one that looks like it)."""
-    for bucket, table in runs(batches):
-        low, several = [], []
-        for blob in table.column("payload").to_pylist():
-            n = int(np.frombuffer(blob, "<u8", 1)[0])
-            low.append(np.frombuffer(blob, "<u4", n, 8))
-            several.append(np.unpackbits(np.frombuffer(blob, np.uint8, -1, 8 + 4 * n), count=n))
-        _, back, times = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
-        many = times > 1
-        np.logical_or.at(many, back, np.concatenate(several) > 0)
-        shared = many[back]
-        cuts = np.cumsum([0, *map(len, low)])
-        yield pa.record_batch({"block": table.column("tag").combine_chunks(), "bucket": pa.array(np.full(len(low), bucket, np.int32)), "payload": pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+def _answer_seeds(most: int):
+    """most: places of strings with one seed that are sorted together."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two bits a seed: whether more than one document has it (or, rarely, one that looks like it), and whether it is hot."""
+        for bucket, table in runs(batches):
+            low, said = [], []
+            for blob in table.column("payload").to_pylist():
+                n = int(np.frombuffer(blob, "<u8", 1)[0])
+                low.append(np.frombuffer(blob, "<u4", n, 8))
+                said.append(np.frombuffer(blob, np.uint8, n, 8 + 4 * n))
+            _, back, times = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+            says = np.concatenate(said)
+            many = times > 1
+            many[back[says >= 128]] = True
+            places = np.bincount(back, weights=np.ldexp(1.0, (says & 127).astype(np.int32)), minlength=len(times))  # at most twice as many
+            bits = np.stack([many[back], (many & (places > 2 * most))[back]], axis=1).ravel()
+            cuts = np.cumsum([0, *map(len, low)]) * 2
+            yield pa.record_batch({"block": table.column("tag").combine_chunks(), "bucket": pa.array(np.full(len(low), bucket, np.int32)), "payload": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+            give_back()
+
+    return run
 
 
 def _ask_fragments(buckets: int):
@@ -162,31 +181,52 @@ def _ask_fragments(buckets: int):
         table = ordered(table)
         data, offsets, ids = block_of(table)
         f = Fragments(data, offsets, ids)
-        seed, _, cuts = _seed_requests(f.seed, f.id, buckets)
-        shared = np.zeros(len(seed), bool)
+        seed, _, cuts = _seed_requests(f, buckets)
+        bits = np.zeros((len(seed), 2), bool)
         for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True):
-            shared[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=cuts[b + 1] - cuts[b]) > 0
-        of_pick = f.seed[f.pick]
-        ask = np.flatnonzero(shared[np.searchsorted(seed, of_pick)]) if len(seed) else np.zeros(0, np.int64)
-        ask = ask[np.argsort(_bucket(of_pick[ask], buckets), kind="stable")]
-        begin, count = f.at[f.pick[ask]], f.count[f.pick[ask]]
+            n = cuts[b + 1] - cuts[b]
+            bits[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=2 * n).reshape(n, 2) > 0
+        of_pick = bits[np.searchsorted(seed, f.seed[f.pick])] if len(seed) else bits
+        # whole fragments, and of hot seeds single strings, under a hash of the string in place of the seed
+        ask = np.flatnonzero(of_pick[:, 0] & ~of_pick[:, 1])
+        hot = np.flatnonzero(of_pick[:, 1])
+        n = f.count[f.pick[hot]]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        hot = np.repeat(hot, n)
+        single = f.at[f.pick[hot]] + step
+        spread = string_hashes(data, single) >> U64(24)
+        seeds_asked = np.concatenate([f.seed[f.pick[ask]], spread])
+        begin = np.concatenate([f.at[f.pick[ask]], single])
+        count = np.concatenate([f.count[f.pick[ask]], np.ones(len(hot), np.int64)])
+        name = (np.concatenate([ask, hot]) << 5 | np.concatenate([np.zeros(len(ask), np.int64), step])).astype("<u4")
+        least = f.least[np.concatenate([ask, hot])]
+        order = np.argsort(_bucket(seeds_asked, buckets), kind="stable")
+        seeds_asked, begin, count, name, least = (v[order] for v in (seeds_asked, begin, count, name, least))
         size = count + LENGTH - 1
         place = np.cumsum(size) - size
         text = data[np.arange(int(size.sum())) - np.repeat(place - begin, size)]
         place = np.r_[place, len(text)]
-        cut = np.searchsorted(_bucket(of_pick[ask], buckets), np.arange(buckets + 1))
+        cut = np.searchsorted(_bucket(seeds_asked, buckets), np.arange(buckets + 1))
         own = [b for b in range(buckets) if cut[b + 1] > cut[b]]
         payload = []
         for b in own:
             x = slice(cut[b], cut[b + 1])
-            k = ask[x]
-            payload.append(b"".join((np.array([len(k)], "<u8").tobytes(), of_pick[k].tobytes(), f.least[k].tobytes(), k.astype("<u4").tobytes(), count[x].astype(np.uint8).tobytes(), text[place[cut[b]] : place[cut[b + 1]]].tobytes())))
+            payload.append(b"".join((np.array([x.stop - x.start], "<u8").tobytes(), seeds_asked[x].tobytes(), least[x].tobytes(), name[x].tobytes(), count[x].astype(np.uint8).tobytes(), text[place[cut[b]] : place[cut[b + 1]]].tobytes())))
         block = table.column("block")[0].as_py() if table.num_rows else 0
         return pa.table({"bucket": pa.array(own, pa.int32()), "tag": pa.array([block] * len(own), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
     return run
 
 
+def string_hashes(data: np.ndarray, at: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """A hash of the LENGTH bytes from each place on."""
+    out = [np.zeros(0, U64)]
+    for a in range(0, len(at), step):
+        whole = data[at[a : a + step][:, None] + np.arange(LENGTH)[None, :]]
+        out.append(mixed((_WEIGHTS[whole] * powers(LENGTH)[None, :]).sum(axis=1, dtype=U64)))
+    return np.concatenate(out)
+
+
 def packed_symbols(symbols: np.ndarray) -> np.ndarray:
     """Seven symbols of nine bits from every place on, in one number that sorts as they do."""
     one = symbols.astype(U64)
@@ -269,7 +309,7 @@ def text_hashes(text: np.ndarray, place: np.ndarray, size: np.ndarray, step: int
 
 
 def _answer_fragments(most: int):
-    """most: suffixes sorted together (more only if one seed has more)."""
+    """most: suffixes sorted together (somewhat more if one seed has more)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +374,8 @@ def _removed(kind: pa.DataType, as_text: bool):
         mask = np.zeros(len(f.pick), U64)
         for blob in answers.column("payload").to_pylist():
             n = int(np.frombuffer(blob, "<u8", 1)[0])
-            mask[np.frombuffer(blob, "<u4", n, 8)] = np.frombuffer(blob, "<u8", n, 8 + 4 * n)
+            name = np.frombuffer(blob, "<u4", n, 8)
+            np.bitwise_or.at(mask, name >> 5, np.frombuffer(blob, "<u8", n, 8 + 4 * n) << (name & 31).astype(U64))
         edge = np.zeros(len(data) + 1, np.int32)
         later = f.id > f.least[f.of]
         np.add.at(edge, f.at[later], 1)
@@ -392,19 +433,22 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise TypeError(f"{id_col} has to be an integer column: which copy stays is decided by its order")
     rows = carrying(docs, id_col, text_col, carry)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = partitions(docs.sparkSession)
-    blocks = max(int(total // block_bytes) + 1, buckets)
+    spark = docs.sparkSession
+    per_task = buckets_a_task(spark, total, BUCKET_BYTES)
+    buckets = partitions(spark) * per_task
+    blocks = max(int(total // block_bytes) + 1, partitions(spark))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     id_type = rows.schema["doc_id"].dataType
     answer = "block long, bucket int, payload binary"
-    shared = exchanged(rows.groupBy("block").applyInArrow(_ask_seeds(buckets), PACKED), 1).mapInArrow(_answer_seeds, answer)
+    shared = exchanged(rows.groupBy("block").applyInArrow(_ask_seeds(buckets), PACKED), per_task).mapInArrow(_answer_seeds(sorted_together), answer)
     asked = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_fragments(buckets), PACKED)
-    masks = exchanged(asked, 1).mapInArrow(_answer_fragments(sorted_together), answer)
+    masks = exchanged(asked, per_task).mapInArrow(_answer_fragments(sorted_together), answer)
     schema = f"doc_id {id_type.simpleString()}, n_bytes long, spans array<struct<begin:long,end:long>>, n_removed long, kept {'string' if as_text else 'binary'}{carried_type(rows)}"
     return rows.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(_removed(to_arrow_type(id_type), as_text), schema)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = repeats_removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 

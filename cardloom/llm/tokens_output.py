@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import ids_and_texts, kept, partitions, shared_dir, text_chunks, tidy
+from .common import ids_and_texts, kept, partitions, shared_dir, small_batches, text_chunks, tidy
 from .presplit import PieceEncoder, Vocabulary
 
 def library_encoder(path: str) -> PieceEncoder:
@@ -123,6 +123,7 @@ def read_checked(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = shared_dir(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, public_tokenizers.path("byte_bpe_50k.json"), end=2)
     return read_checked(spark, out)

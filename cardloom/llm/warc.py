@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged, tidy
+from .common import shared_dir, small_batches, staged, tidy
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY = MAGIC + b"\0\0\0\0\0\0\xff" + b"\x03\0" + b"\0" * 8
@@ -348,6 +348,7 @@ def damage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op6_warc_splittable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = shared_dir(spark, "warc")
     write_archive(revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), out)
     return read_archive(spark, out).select(F.col("record_id").cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))

@@ -76,12 +76,19 @@ def test_held_out_texts_are_likelier_than_under_the_base(spark):
     assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
 
 
-def test_odd_rows(spark):
+def test_odd_rows(spark, monkeypatch):
     rnd = random.Random(3)
     docs = [(k, "".join(rnd.choice("abC é\t ") for _ in range(rnd.randint(0, 60)))) for k in range(80)] + [(100, None), (101, ""), (102, " \n"), (103, "Ab " * 5000), (104, "zzzÿ")]
     df = spark.createDataFrame([(a, b, True, 1) for a, b in docs], "doc_id long, text string, train boolean, block int")
     same(lm.scored(df, F.col("doc_id") % 3 != 0, block_bytes=2000).collect(), brute(docs, lambda d: d % 3 != 0))
     same(lm.scored(df, F.lit(False)).collect(), brute(docs, lambda d: False))
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 300)  # many buckets in a task
+    again = df.unionByName(spark.createDataFrame([(None, "ab abra", True, 1), (None, None, True, 1), *[(5, docs[5][1], True, 1)] * 3], df.schema))  # null ids, repeated rows
+    rows = lm.scored(again, F.col("doc_id") % 3 != 0, block_bytes=2000).collect()
+    more = brute([*docs, *[(5, docs[5][1])] * 3, (None, "ab abra"), (None, None)], lambda d: d is not None and d % 3 != 0)
+    same([r for r in rows if r.doc_id is not None and r.doc_id != 5], {d: w for d, w in more.items() if d not in (None, 5)})
+    assert len(rows) == len(docs) + 5 and len({(r.score, r.base_score) for r in rows if r.doc_id == 5}) == 1
+    assert sorted(r.n_tokens for r in rows if r.doc_id is None) == [1, 3] and not any(r.held_out is False for r in rows if r.doc_id is None)
     assert lm.scored(df.limit(0), F.lit(True)).count() == 0
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cardloom.llm import suffixes as sx
@@ -95,3 +96,24 @@ def test_equal_hashes_of_unequal_fragments(spark, monkeypatch):
     assert of[30] == of[0] or size[30] != size[0]
     with pytest.raises(TypeError):
         sx.repeats_removed(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_a_hot_seed_is_dealt_string_by_string(spark, monkeypatch):
+    """Long runs of blanks between differing words: one seed with very many strings; several buckets in a task."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 12)))
+    docs = [(k, (" " * 30).join(word() for _ in range(rnd.randint(2, 30)))) for k in range(60)] + [(k, docs_text) for k, docs_text in ((70, "x" + " " * 90 + "y"), (71, "z" + " " * 70), (72, None))]
+    docs += [(80 + k, docs[k][1][: 40 * k] + word()) for k in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs)
+    assert sum(w[2] for w in want) > 1000
+    monkeypatch.setattr(sx, "BUCKET_BYTES", 700)
+    for together in (50, 400, 100_000):
+        assert read(sx.repeats_removed(df, block_bytes=4000, sorted_together=together)) == want
+    # the seed is found to be hot, and only with the smaller bounds
+    table = pa.table({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "text": [t for _, t in docs], "block": pa.array([0] * len(docs), pa.int64())})
+    asked = sx._ask_seeds(1)(table)
+    for together, some in ((400, True), (100_000, False)):
+        answer = next(iter(sx._answer_seeds(together)(iter(asked.to_batches()))))
+        bits = np.unpackbits(np.frombuffer(answer.column("payload")[0].as_py(), np.uint8)).reshape(-1, 2)
+        assert bool(bits[:, 1].any()) == some and bits[:, 0].any()
