@@ -231,16 +231,23 @@ def same_spans(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray,
 
 
 def exact_groups(hashes: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans with the same bytes, told apart by their hashes and then by the bytes themselves: the first
-    of each group, and each span's group. Spans whose hash is another text's are groups of their own."""
-    _, pick, of = np.unique(hashes, return_index=True, return_inverse=True)
-    rest = np.flatnonzero(pick[of] != np.arange(len(of)))
-    first = pick[of[rest]]
-    same = size[rest] == size[first]
-    same[same] = same_spans(data, at[rest[same]], data, at[first[same]], size[rest[same]])
-    odd = rest[~same]
-    of[odd] = len(pick) + np.arange(len(odd))
-    return np.concatenate([pick, odd]), of
+    """Spans (of size above 0) with the same bytes, told apart by their hashes and then by the bytes themselves:
+    the first of each group, and each span's group."""
+    of = np.zeros(len(hashes), np.int64)
+    picks = [np.zeros(0, np.int64)]
+    count = 0
+    todo = np.arange(len(hashes))
+    while len(todo):  # again only for spans whose hash another text has too
+        _, pick, group = np.unique(hashes[todo], return_index=True, return_inverse=True)
+        rest = np.flatnonzero(pick[group] != np.arange(len(todo)))
+        span, first = todo[rest], todo[pick[group[rest]]]
+        same = size[span] == size[first]
+        same[same] = same_spans(data, at[span[same]], data, at[first[same]], size[span[same]])
+        of[todo] = count + group
+        picks.append(todo[pick])
+        count += len(pick)
+        todo = span[~same]
+    return np.concatenate(picks), of
 
 
 def span_sums(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -7,7 +7,8 @@ separator. The shard's index is its Burrows-Wheeler transform in a wavelet matri
 sampled suffix positions. All benchmark windows are searched at once, backwards, one rank
 query for each word and bound; occurrences are located by walking to the nearest sampled
 position, and overlapping or touching spans are merged. Documents never leave their task;
-the benchmark is broadcast in blocks of limited size, over several passes if it is large.
+the benchmark is broadcast in blocks of limited size, over several passes if it is large: a block of
+4 MB of items is some 25 MB in the driver and in each Python worker, and two of them make a pass.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, carried_type, carrying, raw_bytes, small_batches, span_hashes, staged, text_chunks, tidy, word_bounds
+from .common import LOWER, carried_type, carrying, exact_groups, raw_bytes, same_spans, small_batches, span_hashes, staged, text_chunks, tidy, word_bounds
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
@@ -93,12 +94,12 @@ class FMIndex:
         self.order = np.cumsum(sampled) - 1
         self.samples = sa[sampled]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of suffixes that begin with each phrase (a row of symbols above 0)."""
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.rows, np.int64)
-        live = np.arange(len(phrases))
-        for k in range(phrases.shape[1] - 1, -1, -1):
-            c = phrases[live, k]
+    def search(self, symbols: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The range of suffixes that begin with each phrase: ``size`` symbols (above 0) from each start on."""
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.rows, np.int64)
+        live = np.arange(len(starts))
+        for k in range(size - 1, -1, -1):
+            c = symbols[starts[live] + k]
             lo[live] = self.less[c] + self.matrix.rank(c, lo[live])
             hi[live] = self.less[c] + self.matrix.rank(c, hi[live])
             live = live[lo[live] < hi[live]]
@@ -120,35 +121,59 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of some benchmark items, as symbols, and the items of each window."""
+    """The windows of some benchmark items: the items' words as symbols in one array, where each window begins in
+    it, and of which item it is. Some 30 bytes a word, whatever the overlap of windows."""
 
-    def __init__(self, ids: list[str], texts: list[str], window: int):
-        data, offsets = raw_bytes(pa.array(texts, pa.string()))
+    def __init__(self, ids: list[str], texts: pa.Array, window: int):
+        data, offsets = raw_bytes(texts)
         data = LOWER[data]
         is_word = IS_WORD[data]
         starts, stops, row = word_bounds(is_word, offsets)
-        self.vocabulary, symbol = np.unique(span_hashes(data, is_word, starts, stops), return_inverse=True)
-        symbol = symbol.astype(np.int64) + 1
+        pick, word = exact_groups(span_hashes(data, is_word, starts, stops), data, starts, stops - starts)
+        # the vocabulary: every word once with its bytes, in order of its hash
+        hashes = span_hashes(data, is_word, starts, stops)[pick]
+        order = np.argsort(hashes, kind="stable")
+        place = np.zeros(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.hashes = hashes[order]
+        self.size = (stops - starts)[pick][order]
+        self.at = np.cumsum(self.size) - self.size
+        self.words = data[np.arange(int(self.size.sum())) - np.repeat(self.at - starts[pick][order], self.size)]
+        self.symbols = place[word] + np.int32(1)
+        self.ids = np.array(ids, object)
         count = np.bincount(row, minlength=len(ids))
         first = np.cumsum(count) - count
-        found: dict[bytes, set[str]] = {}
-        for k, (a, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
-            size = min(n, window)
-            for b in range(a, a + n - size + 1) if n else ():
-                found.setdefault(symbol[b : b + size].tobytes(), set()).add(ids[k])
-        self.by_size: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for size in sorted({len(p) // 8 for p in found}):
-            own = [p for p in found if len(p) == 8 * size]
-            self.by_size[size] = np.frombuffer(b"".join(own), np.int64).reshape(-1, size), [sorted(found[p]) for p in own]
+        size = np.minimum(count, window)
+        n = np.where(count > 0, count - size + 1, 0)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), n)
+        begin = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first, n)).astype(np.int32)
+        self.by_size = {int(k): (begin[size[owner] == k], owner[size[owner] == k]) for k in np.unique(size[owner])}
+
+    def known(self, data: np.ndarray, is_word: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The symbol of every word, 0 for those that no item has: by hash, then by the bytes."""
+        out = np.zeros(len(starts), np.int64)
+        if not len(self.hashes):
+            return out
+        h = span_hashes(data, is_word, starts, stops)
+        at = np.searchsorted(self.hashes, h)
+        todo = np.flatnonzero((at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == h))
+        while len(todo):  # more than once only where two words of the vocabulary share a hash
+            k = at[todo]
+            same = self.size[k] == (stops - starts)[todo]
+            same[same] = same_spans(data, starts[todo[same]], self.words, self.at[k[same]], self.size[k[same]])
+            out[todo[same]] = k[same] + 1
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < len(self.hashes)]
+            todo = todo[self.hashes[at[todo]] == h[todo]]
+        return out
 
     def hits(self, data: np.ndarray, is_word: np.ndarray, starts: np.ndarray, stops: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
         """First and last word of every occurrence, and the items found in each row."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
         if not self.by_size or not len(starts):
             return none
-        h = span_hashes(data, is_word, starts, stops)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        symbol = np.where(self.vocabulary[at] == h, at + 1, 0)
+        symbol = self.known(data, is_word, starts, stops)
         known = symbol > 0
         if not known.any():
             return none
@@ -166,22 +191,23 @@ class Phrases:
         text[place] = symbol[keep]
         word_at = np.zeros(len(text), np.int64)
         word_at[place] = keep
-        index = FMIndex(text, len(self.vocabulary) + 1)
+        index = FMIndex(text, len(self.hashes) + 1)
         first, last = [], []
         items: dict[int, set[str]] = {}
-        for size, (phrases, owners) in self.by_size.items():
-            lo, hi = index.search(phrases)
-            some = np.flatnonzero(hi > lo)
-            for a in range(0, len(some), 4096):
-                part = some[a : a + 4096]
-                n = hi[part] - lo[part]
-                rows = np.repeat(lo[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                w = word_at[index.locate(rows)]
-                first.append(w)
-                last.append(w + size - 1)
-                pair = np.unique(np.repeat(part, n) * (int(row[-1]) + 1) + row[w])
-                for p, r in zip((pair // (int(row[-1]) + 1)).tolist(), (pair % (int(row[-1]) + 1)).tolist(), strict=True):
-                    items.setdefault(r, set()).update(owners[p])
+        for size, (begin, owner) in self.by_size.items():
+            for low in range(0, len(begin), 1 << 18):
+                lo, hi = index.search(self.symbols, begin[low : low + (1 << 18)], size)
+                some = np.flatnonzero(hi > lo)
+                for a in range(0, len(some), 4096):
+                    part = some[a : a + 4096]
+                    n = hi[part] - lo[part]
+                    rows = np.repeat(lo[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    w = word_at[index.locate(rows)]
+                    first.append(w)
+                    last.append(w + size - 1)
+                    pair = np.unique(np.repeat(owner[low + part].astype(np.int64), n) * (int(row[-1]) + 1) + row[w])
+                    for p, r in zip((pair // (int(row[-1]) + 1)).tolist(), (pair % (int(row[-1]) + 1)).tolist(), strict=True):
+                        items.setdefault(r, set()).add(self.ids[p])
         return (np.concatenate(first), np.concatenate(last), items) if first else none
 
 
@@ -235,7 +261,7 @@ def _scanned(blocks: list, again: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 16 << 20, blocks_a_pass: int = 8, carry: list[str] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 4 << 20, blocks_a_pass: int = 2, carry: list[str] = ()) -> DataFrame:
     """(doc_id, text, n_words, n_hit, spans, items, carried) for every row of docs.
 
     carried: a struct of the row's columns named in ``carry`` (absent if none are).
@@ -257,7 +283,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         blocks = []
         for k in range(begin, min(count, begin + blocks_a_pass)):
             table = numbered.where(F.col("block") == k).select("item", "item_text").toArrow()
-            blocks.append(spark.sparkContext.broadcast(Phrases(table.column(0).to_pylist(), table.column(1).to_pylist(), window)))
+            blocks.append(spark.sparkContext.broadcast(Phrases(table.column(0).to_pylist(), table.column(1).combine_chunks(), window)))
         rows = rows.mapInArrow(_scanned(blocks, begin > 0), schema)
         if begin + blocks_a_pass < count:
             rows = staged(rows, "contamination")

@@ -3,12 +3,14 @@
 Every word shingle whose 64-bit hash lies below a fixed share of the hash range is kept, so
 sketches of texts of very unequal length stay comparable: they are merged by union, and the
 share of one's hashes found in the other estimates containment. Of a text none of whose
-shingles lie below the threshold, the smallest hash alone is kept.
+shingles lie below the threshold, the smallest hash alone is kept, so that no text with words
+is without a sketch; ``merged`` drops such a hash where the other text has some below.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ def sketches(texts: pa.ChunkedArray | pa.Array, words: int = WORDS, one_in: int
     per_row = np.where(count >= words, count - words + 1, np.minimum(count, 1))
     begin = np.repeat(first - np.cumsum(per_row) + per_row, per_row) + np.arange(int(per_row.sum()))
     shingle, owner = mixed(total[begin] + U64(words)), row[begin]
-    keep = shingle < U64((1 << 64) // one_in)
+    keep = shingle <= U64((1 << 64) // one_in - 1)
     some = np.flatnonzero(per_row)
     if len(some):
         cuts = (np.cumsum(per_row) - per_row)[some]
@@ -92,28 +94,48 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+def merged(a: Column, b: Column, one_in: int = ONE_IN) -> Column:
+    """The sketch of two texts' shingles together, from their sketches in text form: the union of what lies below
+    the threshold, or the smallest hash if nothing does."""
+    both = F.array_sort(F.array_union(*[F.expr(f"regexp_extract_all({c}, '.{{16}}', 0)") for c in (a, b)]))
+    limit = f"{(1 << 64) // one_in:016x}"
+    low = F.filter(both, lambda h: h < limit)  # hexadecimal digits of one length sort as numbers do
+    return F.array_join(F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1)), "")
+
+
+def _part_of(x: Column, bounds: list, kind) -> Column:
+    """How many of the bounds (ascending) are at most x: first among every m-th, then among m."""
+    if not bounds:
+        return F.lit(0)
+    m = math.isqrt(len(bounds)) + 1
+    count = lambda cuts: F.size(F.filter(cuts, lambda b: b <= x))
+    every = F.array(*[F.lit(b).cast(kind) for b in bounds])
+    coarse = count(F.array(*[F.lit(b).cast(kind) for b in bounds[m - 1 :: m]])) * m
+    return coarse + count(F.slice(every, coarse + 1, m))
+
+
 def with_next(rows: DataFrame) -> DataFrame:
     """(doc_id, text, ghost) in ascending order of (doc_id, text) over partitions, each followed by the
     first row of the next (ghost = 1; after the last partition comes the first).
 
-    Only range bounds and each range's smallest id, a row for each partition, reach the driver.
+    Ids of any type that can be sorted; the ids alone are dealt by ranges first, and each range's
+    smallest, a row for each partition, reaches the driver: these are the bounds.
     """
     n = partitions(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    bounds = sorted(set(bounds)) if n > 1 else []
-    cuts = F.array(*[F.lit(b).cast(kind) for b in bounds]) if bounds else F.array().cast(f"array<{kind.simpleString()}>")
-    placed = rows.withColumn("part", F.size(F.filter(cuts, lambda b: b < F.col("doc_id"))))
-    firsts = sorted((r.part, r.low.id) for r in placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("low")).collect())
-    parts = [p for p, _ in firsts]
-    low, before = [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
-    for k, (p, x) in enumerate(firsts):
-        low[p], before[p] = x, parts[k - 1]
-    lows = F.array(*[F.lit(x).cast(kind) for x in low])
-    to = F.when(F.col("doc_id").eqNullSafe(F.get(lows, F.col("part"))), F.array(F.struct(F.col("part").alias("to"), F.lit(0).alias("ghost")), F.struct(F.get(F.array(*map(F.lit, before)), F.col("part")).alias("to"), F.lit(1).alias("ghost"))))
-    dealt = placed.withColumn("dealt", F.explode(to.otherwise(F.array(F.struct(F.col("part").alias("to"), F.lit(0).alias("ghost"))))))
-    dealt = dealt.select("doc_id", "text", "dealt.to", "dealt.ghost")
-    return dealt.repartitionById(max(n, len(bounds) + 1), "to").sortWithinPartitions("ghost", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).drop("to")
+    ids = rows.select("doc_id").repartitionByRange(n, F.asc_nulls_first("doc_id"))
+    lows = ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect()
+    bounds = sorted({r.low for r in lows if r.low is not None})
+    nulls = any(r.nulls for r in lows)  # they come first, in a part of their own
+    known = _part_of(F.col("doc_id"), bounds, kind) - (0 if nulls else 1)
+    placed = rows.withColumn("part", F.greatest(F.when(F.col("doc_id").isNull(), 0).otherwise(known), F.lit(0)))
+    count = len(bounds) + nulls
+    low = F.array(*[F.lit(x).cast(kind) for x in ([None] if nulls else []) + bounds]) if count else F.array().cast(f"array<{kind.simpleString()}>")
+    here = F.struct(F.col("part").alias("to"), F.lit(0).alias("ghost"))
+    before = F.struct(F.pmod(F.col("part") - 1, F.lit(max(count, 1))).alias("to"), F.lit(1).alias("ghost"))
+    to = F.when(F.col("doc_id").eqNullSafe(F.get(low, F.col("part"))), F.array(here, before)).otherwise(F.array(here))
+    dealt = placed.select("doc_id", "text", F.explode(to).alias("dealt")).select("doc_id", "text", "dealt.to", "dealt.ghost")
+    return dealt.repartitionById(max(n, count), "to").sortWithinPartitions("ghost", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).drop("to")
 
 
 @tidy

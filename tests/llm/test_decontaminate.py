@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from cardloom.llm import decontaminate as dc
 
@@ -92,7 +93,35 @@ def test_index():
     index = dc.FMIndex(text, 4)
     for size in (1, 2, 3, 5):
         p = rnd.randint(1, 4, (40, size))
-        lo, hi = index.search(p)
+        lo, hi = index.search(p.ravel(), np.arange(40) * size, size)
         for k in range(40):
             want = [i for i in range(len(text) - size + 1) if (text[i : i + size] == p[k]).all()]
             assert sorted(index.locate(np.arange(lo[k], hi[k])).tolist()) == want
+
+
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    """With four hashes for all words the same windows are found."""
+    texts = ["alpha beta gamma delta", "beta beta", None, "other words alpha beta gamma here"]
+    data, offsets = dc.raw_bytes(pa.array(texts))
+    is_word = dc.IS_WORD[data]
+    words = data, is_word, *dc.word_bounds(is_word, offsets)
+
+    def hits():
+        phrases = dc.Phrases(["x", "y", "z"], pa.array(["beta gamma", "", "alpha beta gamma delta"]), 3)
+        first, last, items = phrases.hits(*words)
+        return sorted(zip(first.tolist(), last.tolist(), strict=True)), items
+
+    want = hits()
+    assert want[1] == {0: {"x", "z"}, 3: {"x", "z"}}
+    real = dc.span_hashes
+    monkeypatch.setattr(dc, "span_hashes", lambda *a: real(*a) & np.uint64(3))
+    assert hits() == want
+
+
+def test_memory_of_a_block():
+    """A block's phrases take some tens of bytes a word, windows included."""
+    rnd = np.random.RandomState(2)
+    texts = [" ".join(f"w{k}" for k in rnd.randint(0, 5000, 400)) for _ in range(300)]
+    phrases = dc.Phrases([str(k) for k in range(300)], pa.array(texts), 13)
+    arrays = [phrases.hashes, phrases.size, phrases.at, phrases.words, phrases.symbols, *(x for pair in phrases.by_size.values() for x in pair)]
+    assert sum(a.nbytes for a in arrays) < 30 * 120_000
