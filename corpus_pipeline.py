@@ -22,17 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.llm import bpe, decontaminate, quality, simhash, suffixes
-from cardloom.llm.common import staged
+from cardloom.llm.common import discard, small_batches, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.accepted(docs.select(COLUMNS), model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     key = ["doc_id", "_text"]
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
     found = simhash.near_duplicate_groups(rows, carry=["_text"]).where("doc_id IS NOT NULL")
@@ -48,16 +50,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = suffixes.repeats_removed(docs, carry=["lang", "source"], as_text=True)
     return found.select("doc_id", F.col("kept").alias("text"), "carried.lang", "carried.source").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["lang", "source", "n_chars"])
     return found.where(~decontaminate.contaminated()).select("doc_id", "text", "carried.lang", "carried.source", "carried.n_chars")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows = bpe.encoded_and_decoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.digests(rows)
 
@@ -75,9 +80,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written to the shared folder and those of the one before deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, "pipeline")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), "pipeline")
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
