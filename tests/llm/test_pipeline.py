@@ -53,6 +53,7 @@ def test_stages_against_brute_force(spark, sf):
         else:
             tokenizer = Tokenizer.from_file(cp.public_tokenizers.path("byte_bpe_50k.json"))
             got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in out.collect()}
+            assert sorted(map(tuple, cp.run(spark, sf).collect())) == sorted(map(tuple, out.collect()))  # the same from end to end
             assert got == {d: (len(tokenizer.encode(t, add_special_tokens=False).ids), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows.items()}
             continue
         assert out.columns == cp.COLUMNS
