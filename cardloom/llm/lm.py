@@ -10,7 +10,8 @@ sequence: lower-cased words, one space between them, an end symbol after the las
 The trie is never in one place. Documents are dealt into blocks of some MB. A block's
 distinct (context, symbol) paths and words go, with their training counts, to buckets: a
 path by the hash of its last three context bytes, so that a bucket has whole subtrees of the
-trie of reversed contexts. The bucket sums counts, computes the code length of every path
+trie of reversed contexts; under a context of three bytes that is very frequent, by the last
+four, and the counts of that context itself are broadcast. The bucket sums counts, computes the code length of every path
 asked for, and answers each block; only the trie's top (contexts of two bytes at most, so at
 most 2 ** 24 counts whatever the corpus) is broadcast. The block then adds up its documents.
 """
@@ -32,6 +33,7 @@ SYMBOLS = 255  # every byte but PAD; END is no byte of UTF-8
 ALPHA = 0.1
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20  # of text whose paths and words one bucket sums up
+HOT_COUNT = 16_000_000  # occurrences of a context of three bytes from which on one bucket doesn't take it whole
 SLICE_BYTES = 1 << 20  # of a block's text handled at once
 
 
@@ -178,34 +180,58 @@ def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"key": pa.array(np.r_[keys, -1, -2].astype(np.int64)), "count": pa.array(np.r_[counts, words, rows].astype(np.int64))})
 
 
-def _bucket(keys: np.ndarray, drop: int, buckets: int) -> np.ndarray:
-    return ((mixed((keys >> U64(drop)) + U64(1)) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+def _below(hot: np.ndarray):
+    """Training counts of paths whose context is one of the hot ones (three bytes, latest highest, sorted)."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for chunk in text_chunks(batches):
+            out, _, _, _ = normal_form(chunk.column("text"))
+            at = np.flatnonzero(out != PAD)
+            wide = out.astype(U64)
+            ctx = (wide[at - 1] << U64(16)) | (wide[at - 2] << U64(8)) | wide[at - 3]
+            own = found(hot, ctx)[1]
+            k, c = counted((ctx[own] << U64(8)) | wide[at[own]])
+            both, total, _ = _summed([keys[0], k], [counts[0], c])
+            keys, counts = [both], [total]
+        yield pa.record_batch({"key": pa.array(keys[0].astype(np.int64)), "count": pa.array(counts[0])})
+
+    return run
+
+
+def _bucket(keys: np.ndarray, drop: int, buckets: int, hot: np.ndarray = np.zeros(0, U64)) -> np.ndarray:  # noqa: B008
+    dealt_by = keys >> U64(drop)
+    if len(hot):  # one byte more decides under hot contexts
+        wide = found(hot, dealt_by)[1]
+        dealt_by = np.where(wide, (keys >> U64(drop - 8)) | U64(1 << 40), dealt_by)
+    return ((mixed(dealt_by + U64(1)) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def _dealt(keys: np.ndarray, drop: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _dealt(keys: np.ndarray, drop: int, buckets: int, hot: np.ndarray = np.zeros(0, U64)) -> tuple[np.ndarray, np.ndarray]:  # noqa: B008
     """The order that puts keys bucket by bucket, and where each bucket begins."""
-    bucket = _bucket(keys, drop, buckets)
+    bucket = _bucket(keys, drop, buckets, hot)
     return np.argsort(bucket, kind="stable"), np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
 
 
 WORD_DROP, PATH_DROP = 0, 8 * (ORDER - 2)  # a path is dealt by its last three context bytes
 
 
-def _asked(buckets: int):
+def _asked(buckets: int, hot: np.ndarray):
     @tidy
     def run(table: pa.Table) -> pa.Table:
-        found: tuple[list, list] = ([], [])
+        lists: tuple[list, list] = ([], [])
         for chunk in text_chunks(table.to_batches(), SLICE_BYTES):
             train = np.asarray(chunk.column("train").combine_chunks())
             out, row_at, word, row = normal_form(chunk.column("text"))
             key, at = paths(out)
             for side, keys, mine in ((0, word, train[row]), (1, key, train[np.searchsorted(row_at, at, side="right") - 1])):
                 universe, n = counted(keys)
-                found[side].append((universe, n if mine.all() else placed(universe, *counted(keys[mine]))))
+                lists[side].append((universe, n if mine.all() else placed(universe, *counted(keys[mine]))))
         sides = []
-        for parts, drop in zip(found, (WORD_DROP, PATH_DROP), strict=True):
+        for parts, drop in zip(lists, (WORD_DROP, PATH_DROP), strict=True):
             universe, n, _ = _summed([u for u, _ in parts], [n for _, n in parts])
-            order, cuts = _dealt(universe, drop, buckets)
+            order, cuts = _dealt(universe, drop, buckets, hot if drop else hot[:0])
             sides.append((universe[order], n[order].astype("<u4"), cuts))
         (w, wn, wc), (p, pn, pcut) = sides
         payload, bucket = [], []
@@ -233,7 +259,7 @@ def _answers(top):
         low = None
         for bucket, table in runs(batches):
             if low is None:
-                keys, counts = top.value
+                keys, counts, hot_keys, hot_counts = top.value
                 low = levels_of(keys, counts, 2, range(3), {})
             w, wn, p, pn, sizes = [], [], [], [], []
             for blob in table.column("payload").to_pylist():
@@ -249,7 +275,13 @@ def _answers(top):
             of_word = count[back].astype("<u8")
             path, count, back = _summed(p, pn)
             seen = count > 0
-            levels = levels_of(path[seen], count[seen], ORDER, range(3, ORDER + 1), low)
+            levels = levels_of(path[seen], count[seen], ORDER, range(3, 4), low)
+            if len(hot_keys):  # of hot contexts this bucket has a part only: the whole counts take its place
+                own, cold = levels[3], ~found(distinct(hot_keys >> U64(8)), levels[3].keys >> U64(8))[1]
+                both = np.concatenate([own.keys[cold], hot_keys])
+                order = np.argsort(both)
+                levels[3] = Level(both[order], np.concatenate([own.counts[cold], hot_counts])[order], low[2])
+            levels = levels_of(path[seen], count[seen], ORDER, range(4, ORDER + 1), levels)
             of_path = code_lengths(path, levels)[back].astype("<f4")
             cut_w, cut_p = np.cumsum([0, *(n for n, _ in sizes)]), np.cumsum([0, *(m for _, m in sizes)])
             payload = [np.array([n], "<u8").tobytes() + of_word[a : a + n].tobytes() + of_path[b : b + m].tobytes() for (n, m), a, b in zip(sizes, cut_w, cut_p, strict=False)]
@@ -266,7 +298,7 @@ def _answers(top):
 RESULT = "held_out boolean, n_tokens long, n_known long, part double, score double, known long"
 
 
-def _added(buckets: int, train_rows: int, kind: pa.DataType):
+def _added(buckets: int, hot: np.ndarray, train_rows: int, kind: pa.DataType):
     @tidy
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("bucket")
@@ -299,7 +331,7 @@ def _added(buckets: int, train_rows: int, kind: pa.DataType):
         part = np.bincount(row, weights=np.log10(count + ALPHA)[back], minlength=n) + np.log10(train_rows + ALPHA)
         n_known = np.bincount(row, weights=(count > 0)[back], minlength=n).astype(np.int64) + int(ends)
         universe = np.unique(np.concatenate([distinct(x >> U64(16)) for x in sorted_paths]))
-        order, _ = _dealt(universe, PATH_DROP, buckets)
+        order, _ = _dealt(universe, PATH_DROP, buckets, hot)
         length = np.zeros(len(universe))
         length[order] = np.concatenate(lens)
         score = np.zeros(n)
@@ -323,7 +355,7 @@ def _added(buckets: int, train_rows: int, kind: pa.DataType):
     return run
 
 
-def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot_count: int = HOT_COUNT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     ``train``: boolean column of the rows to learn from (null: not); all of them are. Words are
@@ -346,10 +378,20 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     train_words, train_rows = (int(counts[keys == k].sum()) for k in (-1, -2))
     order = np.argsort(keys)
     order = order[keys[order] >= 0]
-    top = spark.sparkContext.broadcast((keys[order].astype(U64), counts[order]))
-    answers = exchanged(rows.groupBy("block").applyInArrow(_asked(buckets), PACKED), per_task).mapInArrow(_answers(top), "block long, bucket int, known long, payload binary")
+    keys, counts = keys[order].astype(U64), counts[order]
+    # a context of three bytes is as frequent as its last byte after the two before: at most corpus / hot_count are hot
+    often = (counts > hot_count) & ((keys & U64(255)) != U64(END))
+    hot = np.sort(((keys[often] & U64(255)) << U64(16)) | (keys[often] >> U64(8)))
+    hot_keys, hot_counts = np.zeros(0, U64), np.zeros(0, np.int64)
+    if len(hot):
+        table = rows.where("train").select("text").mapInArrow(_below(hot), "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).toArrow()
+        hot_keys, hot_counts = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "count"))
+        order = np.argsort(hot_keys)
+        hot_keys, hot_counts = hot_keys[order].astype(U64), hot_counts[order]
+    top = spark.sparkContext.broadcast((keys, counts, hot_keys, hot_counts))
+    answers = exchanged(rows.groupBy("block").applyInArrow(_asked(buckets, hot), PACKED), per_task).mapInArrow(_answers(top), "block long, bucket int, known long, payload binary")
     id_type = rows.schema["doc_id"].dataType
-    sums = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_added(buckets, train_rows, to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, {RESULT}")
+    sums = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_added(buckets, hot, train_rows, to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, {RESULT}")
     sums = staged(sums, "lm-scores")
     distinct = (sums.agg(F.sum("known")).first()[0] or 0) + (train_rows > 0)
     n = train_words + train_rows

@@ -82,6 +82,8 @@ def test_odd_rows(spark, monkeypatch):
     df = spark.createDataFrame([(a, b, True, 1) for a, b in docs], "doc_id long, text string, train boolean, block int")
     same(lm.scored(df, F.col("doc_id") % 3 != 0, block_bytes=2000).collect(), brute(docs, lambda d: d % 3 != 0))
     same(lm.scored(df, F.lit(False)).collect(), brute(docs, lambda d: False))
+    for hot_count in (0, 5, 200):  # all contexts of three bytes, some, few are dealt by four
+        same(lm.scored(df, F.col("doc_id") % 3 != 0, block_bytes=2000, hot_count=hot_count).collect(), brute(docs, lambda d: d % 3 != 0))
     monkeypatch.setattr(lm, "BUCKET_BYTES", 300)  # many buckets in a task
     again = df.unionByName(spark.createDataFrame([(None, "ab abra", True, 1), (None, None, True, 1), *[(5, docs[5][1], True, 1)] * 3], df.schema))  # null ids, repeated rows
     rows = lm.scored(again, F.col("doc_id") % 3 != 0, block_bytes=2000).collect()
