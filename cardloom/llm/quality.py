@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, raw_bytes, small_batches, span_hashes, text_chunks, tidy, word_bounds
@@ -141,8 +141,9 @@ def held_out(id_col: str = "doc_id", of: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows outside the held-out fifth, chosen by a hash of their id.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000, sample_bytes: int = 48 << 20) -> Model:
+    """Fit on at most ``sample_rows`` labelled rows outside the held-out fifth, chosen by a hash of their id, of which
+    those in that order whose texts sum to at most ``sample_bytes``.
 
     Labels and ids that are null are ignored; of several labels or rows of one id the largest
     label and the first text in order count. Only the sample's texts reach the driver.
@@ -150,8 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out("_id"))
     known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
     rows = ids_and_texts(docs, id_col, text_col)
-    chosen = known.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample_rows)
-    sample = rows.join(F.broadcast(chosen), rows.doc_id == F.col("_id")).groupBy("_id").agg(F.max("_label").alias("label"), F.min("text").alias("text")).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id")
+    place = [F.xxhash64(F.col("_id").cast("string")), F.col("_id")]
+    chosen = known.orderBy(*place).limit(sample_rows)
+    # sizes first: sample_rows small rows in one window
+    sizes = rows.join(F.broadcast(chosen), rows.doc_id == F.col("_id")).groupBy("_id", "_label").agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0)).cast("long").alias("_size"))
+    fit_in = sizes.withColumn("_upto", F.sum("_size").over(Window.orderBy(*place))).where(F.col("_upto") <= sample_bytes).select("_id", "_label")
+    sample = rows.join(F.broadcast(fit_in), rows.doc_id == F.col("_id")).groupBy("_id").agg(F.max("_label").alias("label"), F.min("text").alias("text")).orderBy(*place)
     table = sample.select("label", "text").toArrow()
     return fit(table.column("text").combine_chunks(), np.asarray(table.column("label").combine_chunks()).astype(np.int64))
 

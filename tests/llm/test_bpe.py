@@ -120,3 +120,35 @@ def test_token_files(spark, tmp_path, tokenizer):
     assert got == sorted(want)
     meta = tokens_output.read_metadata(spark, out).where("doc_id is not null").select("doc_id", "start", "n_tokens")
     assert sorted(tuple(r) for r in meta.collect()) == sorted(w[:3] for w in want)
+
+
+def test_layout_of_token_files(spark, tmp_path):
+    """Dictionary-encoded ids, delta-encoded metadata, row groups and pages of set sizes, indexes; metadata are read without the ids."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(2)
+    rows = [(k, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randint(0, 99)) for _ in range(300))) for k in range(3000)]
+    out = str(tmp_path / "t")
+    tokens_output.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), out, PATH, row_group_bytes=256 << 10, page_bytes=16 << 10)
+    groups = 0
+    for name in glob.glob(f"{out}/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        groups = max(groups, meta.num_row_groups)
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            ids = next(c for n, c in columns.items() if n.startswith("ids"))
+            assert ids.has_dictionary_page and ids.has_offset_index and ids.has_column_index and ids.compression == "ZSTD"
+            for n in ("row", "doc_id", "n_tokens", "part"):
+                assert not columns[n].has_dictionary_page and any(e.startswith("DELTA") for e in columns[n].encodings), columns[n].encodings
+                assert columns[n].has_offset_index
+    assert groups > 1
+    plan = tokens_output.read_metadata(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "ids" not in plan.split("ReadSchema", 1)[1].split("\n")[0]
+    starts = {r.doc_id: (r.start, r.n_tokens) for r in tokens_output.read_metadata(spark, out).collect()}
+    # a few rows' ids alone: the filter reaches the scan
+    some = spark.read.parquet(out).where("doc_id BETWEEN 1500 AND 1503").select("doc_id", "ids")
+    assert "PushedFilters: [IsNotNull(doc_id)" in some._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: len(r.ids) for r in some.collect()} == {d: starts[d][1] for d in range(1500, 1504)}
+    assert all(starts[d + 1][0] == starts[d][0] + starts[d][1] for d in range(2999))
