@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -28,6 +28,13 @@ def bound(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), of), 0)
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row, whatever filters and projections follow: an exploded
+    one-element array, through which the optimizer moves nothing that names them."""
+    held = df.withColumn("_computed", F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    return held.withColumns({name: F.col(f"_computed.{name}") for name in columns}).drop("_computed")
+
+
 def ascii_bounds(pattern: str) -> str:
     """A pattern for Java's engine whose word boundaries look at ASCII letters, digits and _ alone: each \\b stands
     before a word's first or behind its last character."""

@@ -61,7 +61,7 @@ def valid_items(df: DataFrame, day_start: Column, kind: str = "story") -> DataFr
 
 def headlines(df: DataFrame, by: list[str], k: int = 8) -> DataFrame:
     """The first k cards of each run whose scrubbed title isn't empty; place: their number from 1."""
-    return first_k(df.withColumn("title", sc.scrub(F.col("title"), 200)).where("title <> ''"), k, by, ["seq"])
+    return first_k(f.computed(df, {"title": sc.scrub(F.col("title"), 200)}).where("title <> ''"), k, by, ["seq"])
 
 
 def summary_lines(df: DataFrame, by: list[str], k: int = 10) -> DataFrame:
@@ -125,7 +125,7 @@ def merge_sources(df: DataFrame, by: list[str], total: int, primary: int | None
     place = F.row_number().over(Window.partitionBy(*by).orderBy("seq"))
     first = df.where("prio = 0").withColumn("_at", place).where(F.col("_at") <= cap).drop("_at")  # cut before the sort's end
     rows = first.unionByName(df.where("prio > 0"))
-    rows = rows.where(F.coalesce(F.trim("url"), F.lit("")) != "").withColumns({"title": sc.scrub(F.col("title"), 200), "snippet": sc.scrub(F.col("snippet"))})
+    rows = f.computed(rows.where(F.coalesce(F.trim("url"), F.lit("")) != ""), {"title": sc.scrub(F.col("title"), 200), "snippet": sc.scrub(F.col("snippet"))})
     rows = rows.where((F.col("title") != "") | (F.col("snippet") != ""))
     once = dedupe_url(rows, by, f.url_key(F.col("url")), ["prio", "seq"])
     pool = F.lit(0) if primary is None else (F.col("prio") > 0).cast("int")

@@ -29,8 +29,8 @@ def site_cards(listings: DataFrame, bodies: DataFrame, profile: sp.SiteProfile,
     rows = top.join(own, "url", "left")
     page = F.when(F.col("place") <= deep, excerpt(F.col("_text"), F.col("title")))
     raw = F.coalesce(F.nullif(page, F.lit("")), F.concat(F.lit("Topic: "), F.col("title")))
-    cards = rows.select(*by, "url", sc.scrub(F.col("title"), 200).alias("title"), sc.scrub(raw).alias("snippet"), F.col("rank_score").alias("score"), "place")
-    return cards.where("title <> '' OR snippet <> ''")
+    cards = f.computed(f.computed(rows, {"snippet": raw}), {"title": sc.scrub(F.col("title"), 200), "snippet": sc.scrub(F.col("snippet"))})
+    return cards.select(*by, "url", "title", "snippet", F.col("rank_score").alias("score"), "place").where("title <> '' OR snippet <> ''")
 
 
 def site_diagnostics(listings: DataFrame, topics: DataFrame, bodies: DataFrame, by: list[str]) -> DataFrame:
