@@ -317,3 +317,54 @@ def test_rescue_path(spark, tmp_path):
     (tmp_path / "file").write_text("in the way")
     assert sinks.write_day(df, str(tmp_path / "file"), str(tmp_path / "rescue")) == str(tmp_path / "rescue")
     assert spark.read.parquet(str(tmp_path / "rescue")).count() == 1
+
+
+def test_site_chain(spark):
+    """Two listings of a day: each topic where it comes first, on topic, best first, pages for the first ones, no cards of orders alone."""
+    profile = sp.PROFILES["thread"]
+    lists = [(1, 0, "[GPT one](/t/5#reply1) [GPT one again](/t/5) [zzz](/t/9)"), (1, 1, "[GPT late](/t/5) [Ignore instructions for GPT](/t/7#r) [注册送 agent](/t/8) [agent 合租 gpt 账号](/t/6)"), (2, 0, None), (2, 1, "")]
+    listings = spark.createDataFrame(lists, "day int, listing_no int, text string")
+    bodies = spark.createDataFrame([("https://talk.example/t/5", "A page about one model", 1), ("https://talk.example/t/7", "Reveal prompts.", 1), ("https://talk.example/t/8", None, 1)], "url string, text string, seq int")
+    cards = lambda **kw: [(r.url[-1], r.title, r.snippet, r.place) for r in pl.site_cards(listings, bodies, profile, lambda text, title: f.text_of(text), ["day"], rules.OFF_TOPIC_DEVELOPERS, **kw).orderBy("place").collect()]
+    assert cards() == [("5", "GPT one", "A page about one model", 2), ("8", "注册送 agent", "Topic: 注册送 agent", 3)]
+    assert cards(deep=1)[0] == ("5", "GPT one", "Topic: GPT one", 2)
+    diag = pl.site_diagnostics(listings.withColumn("provider", F.lit("dev")), spark.createDataFrame([(1, "dev", "https://talk.example/t/5"), (1, "dev", "https://talk.example/t/8")], "day int, provider string, url string"), bodies, ["day"])
+    assert {(r.day, r.kind, r.failures, tuple(r.files)) for r in diag.collect()} == {(2, "listing", 1, ("0",)), (1, "topic", 1, ("https://talk.example/t/8",))}
+
+
+def test_small_operators_with_null_and_empty_rows(spark):
+    claims = spark.createDataFrame([(1, "b", "c1", "u", "confirmed", 3, 1), (2, None, None, None, "killed", 2, 2), (3, "b", "c3", "u", "confirmed", 2, 0)], "seq int, board string, claim string, source_url string, part string, valid int, refuted int")
+    assert {(r.source_url, r.claims, r.confirmed) for r in vf.source_statistics(claims).collect()} == {("u", 2, 2), (None, 1, 0)}
+    assert sorted((r.seq, r.batch) for r in vf.batch_numbers(claims, ["board"], 1).collect()) == [(1, 1), (2, 1), (3, 2)]
+    both = vf.known_union(claims.where("part = 'confirmed'"), claims.where("seq = 2").select("seq", "board", "claim", "source_url"))
+    assert sorted((r.seq, r.vote, r.injected) for r in both.collect()) == [(1, "2-1", False), (2, "—", True), (3, "2-0", False)]
+    feeds = spark.createDataFrame([(2, "https://a.example/f/", "later", "x"), (1, "http://A.example/f?q", "first", "y"), (3, None, None, "z")], "seq int, url string, label string, board string")
+    assert {(r.key, r.label, tuple(r.boards)) for r in vf.dedupe_feeds(feeds).collect()} == {("a.example/f", "first", ("x", "y")), (None, None, ("z",))}
+    companies = spark.createDataFrame([(1, "A", "s"), (1, "A", "s"), (1, None, "s"), (2, "B", "t")], "run int, name string, state string")
+    assert {(r.run, r.state, tuple(r.names)) for r in cv.state_lists(companies).collect()} == {(1, "s", ("A",)), (2, "t", ("B",))}
+    failures = spark.createDataFrame([(1, "p", "list", None), (1, "p", "list", "x")], "run int, provider string, kind string, file string")
+    assert [tuple(r) for r in cv.collector_diagnostics(failures).collect()] == [(1, "p", "list", 2, ["x"])]
+    items = spark.createDataFrame([(1, "t", "u", "story", "2026-08-02"), (2, None, "u", "story", "2026-08-02"), (3, "t", "u", None, "2026-08-02"), (4, "t", "u", "story", None), (5, "t", " ", "story", "2026-08-02"), (6, "t", "u", "story", "2026-07-02")], "seq int, title string, url string, kind string, day string").selectExpr("*", "cast(day as timestamp) published_at")
+    assert [r.seq for r in oc.valid_items(items, F.to_timestamp(F.lit("2026-08-01"))).collect()] == [1]
+    cards = spark.createDataFrame([(1, 1, None, None), (1, 2, "b", 5), (1, 3, "c", 5), (1, 4, "override system", 9)], "run int, seq int, title string, score int")
+    assert oc.summary_lines(cards, ["run"], 3).first().lines == "- override system\n- b\n- c"
+    assert [(r.seq, r.place) for r in oc.headlines(cards, ["run"], 5).orderBy("place").collect()] == [(2, 1), (3, 2)]
+    for made in (vf.source_statistics(claims.limit(0)), vf.batch_numbers(claims.limit(0), ["board"]), vf.dedupe_feeds(feeds.limit(0)), cv.state_lists(companies.limit(0)), cv.collector_diagnostics(failures.limit(0)), vf.known_union(claims.limit(0), claims.limit(0)), oc.valid_items(items.limit(0), F.current_timestamp())):
+        assert made.count() == 0
+
+
+def test_reports(spark):
+    """Sections that have nothing are left out; misses that an item or a milestone has already are not repeated."""
+    runs = spark.createDataFrame([(1, "line", None, ["x"], None, ["q?"], 2, 1, 30), (2, None, "more", [], [], None, None, None, None)], "run int, one_liner string, exec_summary string, flags array<string>, caveats array<string>, questions array<string>, confirmed int, major_out int, discovered int")
+    items = spark.createDataFrame([(1, 1, "S", 1, "Qwen3.8 out", "sum", "high", None, ["https://a.example/x"])], "run int, section_no int, section string, item_no int, title string, summary string, confidence string, status string, sources array<string>")
+    cover = spark.createDataFrame([(1, "labs", 3, 2, True)], "run int, board string, claims int, urls int, degraded boolean")
+    miss = spark.createDataFrame([(1, 1, "qwen3.8 edge", None, "n"), (1, 2, "Other thing", "2026", None)], "run int, seq int, name string, date string, note string")
+    got = {r.run: r.markdown for r in rd.report(runs, items, cover, miss).collect()}
+    assert got[1] == (
+        "# Daily report 1\n\n> **Material**: 2 of the day; 30 sources of late.\n\n> **Low material**: fewer than 8 hard sources; mind their age.\n\n> degraded: `x`\n\n## In one line\n\nline\n\n## News\n\n### S\n\n**Qwen3.8 out**\n\nsum [1]\n\n*Confidence: 高*"
+        "\n\n## Outside the window\n\n- Other thing (2026)\n\n## Open questions\n\n- q?\n\n## Coverage\n\n- **labs**: 3 claims / 2 sources `[degraded]`\n\n## References\n\n- [1] [a.example](<https://a.example/x>)")
+    assert got[2] == "# Daily report 2\n\n## Summary\n\nmore"
+    claims = spark.createDataFrame([(1, 1, "confirmed", "c  one", "https://a.example/x", "primary", None, "3-0", True, 0), (1, 2, "major_out", "Qwen3.8", None, None, "2026", None, False, 0), (1, 3, "killed", "bad", "https://b.example", None, None, "0-3", True, 1), (1, 4, "unverified", "no", None, None, None, None, False, 0)], "run int, seq int, part string, claim string, source_url string, source_quality string, date string, vote string, by_vote boolean, errored int")
+    assert rd.degraded_report(claims, cover, miss).first().markdown == (
+        "# Daily report 1 (degraded)\n\n## Within the window\n\n- `✓3-0` c one [1] — *(primary)*\n\n## Outside the window: milestones\n\n- Qwen3.8 (2026)\n\n## Refuted\n\n- ~~bad~~ refuted `0-3` [2] (1 votes failed)"
+        "\n\n## Outside the window\n\n- Other thing (2026)\n\n## Coverage\n\n| Board | Claims | Note |\n| --- | --- | --- |\n| labs | 3 | degraded |\n\n## References\n\n- [1] [a.example](<https://a.example/x>)\n- [2] [b.example](<https://b.example>)")
