@@ -26,8 +26,10 @@ VIEWS = {
         CAST(CASE WHEN doc_id % 8 = 0 THEN 2 ELSE 0 END AS INT) AS grace_days
         FROM {documents}""",
     "urls": """SELECT page_id AS seq, url FROM {pages}
-        UNION ALL SELECT page_id + 1000000000, 'HTTP://user@WWW.' || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '^www[.]', '') || CASE WHEN page_id % 2 = 0 THEN '?utm=1#frag' ELSE '/' END FROM {pages} WHERE page_id % 5 = 0
-        UNION ALL SELECT page_id + 2000000000, CASE page_id % 4 WHEN 0 THEN 'not a url/' WHEN 1 THEN 'HTTPS://Host.Example:8443/A/b/?q=1' WHEN 2 THEN 'http://h.example/abs/1234.5678v2' ELSE 'ftp://x.example/a b' END FROM {pages} WHERE page_id % 7 = 0""",
+        UNION ALL SELECT page_id + 1000000000, 'HTTP://user@WWW.' || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '^www[.]', '') || CASE WHEN page_id % 2 = 0 THEN '?utm=1#frag' ELSE '/' END FROM {pages}
+      WHERE page_id % 5 = 0
+        UNION ALL SELECT page_id + 2000000000, CASE page_id % 4 WHEN 0 THEN 'not a url/' WHEN 1 THEN 'HTTPS://Host.Example:8443/A/b/?q=1' WHEN 2 THEN 'http://h.example/abs/1234.5678v2' ELSE 'ftp://x.example/a b' END FROM {pages}
+      WHERE page_id % 7 = 0""",
     "page_cards": """SELECT page_id AS seq, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, html, CAST(floor(page_id / 100) AS INT) AS day_no FROM {pages}""",
     "dated": """SELECT event_id AS seq, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS published_at, CASE WHEN event_id % 14 = 0 THEN ts END AS created_at,
         CAST(CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS INT) AS grace_days, event_type AS provider, user_id, value FROM {events}""",
@@ -42,7 +44,8 @@ VIEWS = {
         FROM {events}""",
     "feeds": """SELECT p.page_id AS seq, CASE WHEN p.page_id % 2 = 0 THEN p.url ELSE 'https://feeds.example/f' || CAST(p.page_id % 20 AS STRING) || CASE WHEN p.page_id % 3 = 0 THEN '/' ELSE '?x=1' END END AS url,
         'feed ' || CAST(p.page_id % 20 AS STRING) AS label, n.n_name AS board FROM {pages} p JOIN {nation} n ON n.n_nationkey = p.page_id % 25""",
-    "membership": """SELECT n_name AS board, CAST(n_nationkey AS INT) AS board_no, CAST(n_regionkey AS INT) AS group_no FROM {nation} UNION ALL SELECT n_name, CAST(n_nationkey AS INT), CAST((n_nationkey + 1) % 5 AS INT) FROM {nation} WHERE n_nationkey % 2 = 0 AND n_regionkey <> (n_nationkey + 1) % 5""",
+    "membership": """SELECT n_name AS board, CAST(n_nationkey AS INT) AS board_no, CAST(n_regionkey AS INT) AS group_no FROM {nation}
+      UNION ALL SELECT n_name, CAST(n_nationkey AS INT), CAST((n_nationkey + 1) % 5 AS INT) FROM {nation} WHERE n_nationkey % 2 = 0 AND n_regionkey <> (n_nationkey + 1) % 5""",
     "candidates": """SELECT o_orderkey AS seq, CAST(o_orderdate AS DATE) AS run_date, o_orderpriority AS board, 'https://x.example/' || CAST(o_orderkey % 97 AS STRING) AS url FROM {orders}""",
     "posts": """SELECT conv_id AS topic_id, turn AS post_number, conv_id * 1000 + turn AS post_id, role, text AS cooked FROM {conversations}""",
     "files": """SELECT doc_id AS seq, source AS owner, n_chars AS bytes FROM {documents}""",

@@ -89,7 +89,10 @@ def event_recency_by_type(spark, sf):
 
 
 @P.add("top_topics", f"""SELECT day_no, site, seq, rank_score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY day_no, site ORDER BY rank_score DESC, seq) AS INTEGER) AS place FROM
-    (SELECT *, topic_id - CASE WHEN {t.low('title', rules.PROMO)} THEN 1000000 ELSE 0 END AS rank_score FROM cards WHERE {t.low('title', rules.TOPIC)} AND NOT {t.low('title', rules.OFF_TOPIC)})) WHERE place <= 8""")
+    (SELECT *, topic_id - CASE WHEN {t.low('title', rules.PROMO)} THEN 1000000 ELSE 0 END AS rank_score
+      FROM cards
+      WHERE {t.low('title', rules.TOPIC)} AND NOT {t.low('title', rules.OFF_TOPIC)}))
+      WHERE place <= 8""")
 def top_topics(spark, sf):
     return op.top_topics(view(spark, sf, "cards"), 8, ["day_no", "site"]).select("day_no", "site", "seq", "rank_score", "place")
 
@@ -127,11 +130,13 @@ def fold_events(spark, sf):
     return op.fold_events(view(spark, sf, "cards"), ["day_no"]).select("day_no", "seq", "cluster", "title", "position")
 
 
-def _merge_sql(total: int, primary: int | None) -> str:
+def _merge_sql(total: int, primary: int | None, first: str = "a") -> str:
     pool = "0" if primary is None else "CASE WHEN prio > 0 THEN 1 ELSE 0 END"
     limit = str(total) if primary is None else f"CASE WHEN pool = 0 THEN {primary} ELSE {total} END"
-    return f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY day_no, prio ORDER BY seq) AS n FROM cards),
-    b AS (SELECT day_no, prio, seq, {t.url_key('url')} AS key, {t.scrub('title', 200)} AS title, {t.scrub('snippet')} AS snippet FROM a WHERE (prio > 0 OR n <= {total if primary is None else primary}) AND trim(url) <> ''),
+    return f"""WITH {first} AS (SELECT *, row_number() OVER (PARTITION BY day_no, prio ORDER BY seq) AS n FROM cards),
+    b AS (SELECT day_no, prio, seq, {t.url_key('url')} AS key, {t.scrub('title', 200)} AS title, {t.scrub('snippet')} AS snippet
+      FROM {first}
+      WHERE (prio > 0 OR n <= {total if primary is None else primary}) AND trim(url) <> ''),
     c AS (SELECT *, row_number() OVER (PARTITION BY day_no, key ORDER BY prio, seq) AS k FROM b WHERE title <> '' OR snippet <> ''),
     d AS (SELECT *, {pool} AS pool FROM c WHERE k = 1),
     e AS (SELECT *, row_number() OVER (PARTITION BY day_no, pool ORDER BY prio, seq) AS n FROM d)
@@ -184,18 +189,22 @@ def valid_items(spark, sf):
 
 
 @P.add("material_window", f"""WITH k AS (SELECT day_no, site, prio = 0 AS hard, coalesce(coalesce(published_ms, created_ms) >= {DAY_MS} - grace_days * 86400000, true) AS kept FROM cards)
-    SELECT day_no, site, count(*) FILTER (WHERE hard) AS hard_sources, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, greatest(0, count(*) FILTER (WHERE kept) - count(*) FILTER (WHERE hard)) AS other_sources, count(*) FILTER (WHERE hard) < 8 AS low_material FROM k GROUP BY 1, 2""")
+    SELECT day_no, site, count(*) FILTER (WHERE hard) AS hard_sources, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, greatest(0, count(*) FILTER (WHERE kept) - count(*) FILTER (WHERE hard)) AS other_sources, count(*) FILTER (WHERE hard) < 8 AS low_material
+      FROM k
+      GROUP BY 1, 2""")
 def material_window(spark, sf):
     start = F.to_timestamp(F.lit(f"{DAY} 00:00:00")) - F.make_interval(hours=F.lit(8))
     gated = op.recency_gate(timed(spark, sf), start).withColumn("hard", F.col("prio") == 0)
     return op.material_window(gated, ["day_no", "site"])
 
 
-@P.add("day_path", f"""WITH a AS ({_merge_sql(40, 25).replace('WITH a AS', 'WITH a0 AS').replace('FROM a WHERE', 'FROM a0 WHERE')}),
+@P.add("day_path", f"""WITH a AS ({_merge_sql(40, 25, 'a0')}),
     x AS (SELECT a.day_no, a.seq, a.title, a.snippet, a.place, c.published_ms, c.created_ms, c.grace_days FROM a JOIN cards c ON c.seq = a.seq),
     m AS (SELECT *, {t.cluster('title')} AS cluster, {t.substance('snippet')} AS s FROM x),
     r AS (SELECT *, row_number() OVER (PARTITION BY day_no, cluster ORDER BY s IS NULL, s DESC, place) AS rn, min(place) OVER (PARTITION BY day_no, cluster) AS p FROM m)
-    SELECT day_no, seq, {_headline} AS title, CASE WHEN cluster IS NULL THEN place ELSE p END AS position, coalesce(coalesce(published_ms, created_ms) >= {DAY_MS} - grace_days * 86400000, true) AS kept FROM r WHERE cluster IS NULL OR rn = 1""")
+    SELECT day_no, seq, {_headline} AS title, CASE WHEN cluster IS NULL THEN place ELSE p END AS position, coalesce(coalesce(published_ms, created_ms) >= {DAY_MS} - grace_days * 86400000, true) AS kept
+      FROM r
+      WHERE cluster IS NULL OR rn = 1""")
 def day_path(spark, sf):
     """Merge, then fold, then recency: a stale card may win a fold and then be dropped."""
     merged = op.merge_sources(timed(spark, sf), ["day_no"], 40, 25).withColumnsRenamed({"seq": "card", "place": "seq"})

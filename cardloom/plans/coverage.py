@@ -16,8 +16,13 @@ QUERIES, ORACLES = P.queries, P.oracles
 _returned = "returned AS (SELECT CAST(c_custkey % 3 AS INTEGER) AS run, n_regionkey AS group_no, count(*) % 2 = 0 OR n_regionkey = 2 AS degraded FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey <> c_custkey % 3 AND n_regionkey <> 4 - c_custkey % 3 GROUP BY 1, 2)"
 _saved = "saved AS (SELECT DISTINCT CAST(s_suppkey % 3 AS INTEGER) AS run, n_name AS board FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0)"
 _members = "ms AS (SELECT run, board, board_no, group_no FROM membership, runs)"
-_states = """st AS (SELECT m.run, m.board, bool_or(r.group_no IS NULL) OR bool_or(coalesce(r.degraded, false)) AS degraded, bool_and(r.group_no IS NULL) AND NOT (m.run, m.board) IN (SELECT run, board FROM saved) AS missing,
-    (m.run, m.board) IN (SELECT run, board FROM saved) AND (bool_or(r.group_no IS NULL) OR bool_or(coalesce(r.degraded, false))) AS recovered FROM ms m LEFT JOIN returned r ON r.group_no = m.group_no AND r.run = m.run GROUP BY m.run, m.board)"""
+_states = """st AS (SELECT m.run, m.board, bool_or(r.group_no IS NULL) OR bool_or(coalesce(r.degraded, false)) AS degraded, bool_and(r.group_no IS NULL) AND NOT (m.run, m.board) IN (SELECT run, board
+      FROM saved) AS missing,
+    (m.run, m.board) IN (SELECT run, board
+      FROM saved) AND (bool_or(r.group_no IS NULL) OR bool_or(coalesce(r.degraded, false))) AS recovered
+      FROM ms m
+      LEFT JOIN returned r ON r.group_no = m.group_no AND r.run = m.run
+      GROUP BY m.run, m.board)"""
 _all_states = f"{_returned}, {_saved}, {_members}, {_states}"
 
 
@@ -60,8 +65,12 @@ def recovery(spark, sf):
     return op.recover(members(spark, sf), returned(spark, sf), feeds, entries)
 
 
-@P.add("fallback_recovery", f"""WITH {_returned}, {_members}, fd AS ({_feeds}), e AS (SELECT CAST(seq % 3 AS INTEGER) AS run, {t.norm_url('url')} AS key, 'https://e.example/' || CAST(seq AS VARCHAR) AS url, CASE WHEN seq % 2 = 0 THEN 't' || CAST(seq AS VARCHAR) END AS title FROM urls WHERE seq % 4 <> 0)
-    SELECT DISTINCT m.run, m.group_no, e.url, coalesce(e.title, e.url) AS title, m.board FROM ms m JOIN fd ON fd.run = m.run AND fd.group_no = m.group_no AND list_contains(fd.boards, m.board) JOIN e ON e.key = fd.key AND e.run = m.run
+@P.add("fallback_recovery", f"""WITH {_returned}, {_members}, fd AS ({_feeds}),
+    e AS (SELECT CAST(seq % 3 AS INTEGER) AS run, {t.norm_url('url')} AS key, 'https://e.example/' || CAST(seq AS VARCHAR) AS url, CASE WHEN seq % 2 = 0 THEN 't' || CAST(seq AS VARCHAR) END AS title
+      FROM urls
+      WHERE seq % 4 <> 0)
+    SELECT DISTINCT m.run, m.group_no, e.url, coalesce(e.title, e.url) AS title, m.board
+      FROM ms m JOIN fd ON fd.run = m.run AND fd.group_no = m.group_no AND list_contains(fd.boards, m.board) JOIN e ON e.key = fd.key AND e.run = m.run
     WHERE NOT fd.failed AND (m.run, m.group_no) NOT IN (SELECT run, group_no FROM returned)""")
 def fallback_recovery(spark, sf):
     return recovery(spark, sf)
@@ -99,8 +108,14 @@ def alias_hits(spark, sf):
 
 _company = f"""WITH {_all_states}, {_aliases}, {_texts}, {_hits}, ro AS (SELECT DISTINCT run, a.name, n.n_name AS board FROM aliases a JOIN nation n ON n.n_nationkey = length(a.name) % 25, runs),
     qn AS (SELECT DISTINCT name FROM aliases WHERE ascii(substring(name, length(name), 1)) % 2 = 0),
-    cs AS (SELECT ro.run, ro.name, ro.board, CASE WHEN coalesce(st.missing, false) THEN 'unreached' WHEN ro.name NOT IN (SELECT name FROM qn) OR (ro.run, ro.name) IN (SELECT run, name FROM h) THEN 'has_dynamic' ELSE 'no_dynamic' END AS state,
-      CASE WHEN coalesce(st.missing, false) THEN 'no_discover' WHEN ro.name IN (SELECT name FROM qn) AND (ro.run, ro.name) IN (SELECT run, name FROM h) THEN 'report_match' ELSE 'roster' END AS evidence FROM ro LEFT JOIN st ON st.board = ro.board AND st.run = ro.run)"""
+    cs AS (SELECT ro.run, ro.name, ro.board, CASE WHEN coalesce(st.missing, false) THEN 'unreached' WHEN ro.name NOT IN (SELECT name
+      FROM qn) OR (ro.run, ro.name) IN (SELECT run, name
+      FROM h) THEN 'has_dynamic' ELSE 'no_dynamic' END AS state,
+      CASE WHEN coalesce(st.missing, false) THEN 'no_discover' WHEN ro.name IN (SELECT name
+      FROM qn) AND (ro.run, ro.name) IN (SELECT run, name
+      FROM h) THEN 'report_match' ELSE 'roster' END AS evidence
+      FROM ro
+      LEFT JOIN st ON st.board = ro.board AND st.run = ro.run)"""
 
 
 def companies(spark, sf):
@@ -127,9 +142,15 @@ _stop = "'news', 'note', 'report', 'model', 'models', 'open', 'new', 'blog', 'po
 _tok = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9][a-z0-9.%-]*'), lambda x: length(x) >= 4 AND x NOT IN ({_stop}))"
 
 
-@P.add("near_miss_overlaps", f"""WITH m AS (SELECT seq, seq // 150 AS run, trim(coalesce({_miss}, '')) AS name FROM claims), c AS (SELECT seq // 150 AS run, trim(regexp_replace(claim || CASE WHEN seq % 50 = 0 THEN ' qwen3.8-27b' ELSE '' END, '\\s+', ' ', 'g')) AS claim FROM claims WHERE quality = 0),
+@P.add("near_miss_overlaps", f"""WITH m AS (SELECT seq, seq // 150 AS run, trim(coalesce({_miss}, '')) AS name FROM claims),
+    c AS (SELECT seq // 150 AS run, trim(regexp_replace(claim || CASE WHEN seq % 50 = 0 THEN ' qwen3.8-27b' ELSE '' END, '\\s+', ' ', 'g')) AS claim FROM claims WHERE quality = 0),
     k AS (SELECT run, list_distinct(flatten(list({_tok.format('claim')}))) AS tokens FROM c GROUP BY 1)
-    SELECT m.seq, m.name FROM m LEFT JOIN k ON k.run = m.run WHERE NOT (list_has_any({_tok.format('m.name')}, coalesce(k.tokens, []))) AND NOT EXISTS (SELECT 1 FROM c WHERE c.run = m.run AND m.name <> '' AND contains(c.claim, m.name))""")
+    SELECT m.seq, m.name
+      FROM m
+      LEFT JOIN k ON k.run = m.run
+      WHERE NOT (list_has_any({_tok.format('m.name')}, coalesce(k.tokens, []))) AND NOT EXISTS (SELECT 1
+      FROM c
+      WHERE c.run = m.run AND m.name <> '' AND contains(c.claim, m.name))""")
 def near_miss_overlaps(spark, sf):
     rows = view(spark, sf, "claims").withColumn("run", F.expr("seq div 150"))
     misses = rows.select("seq", "run", F.trim(F.coalesce(F.expr(_miss), F.lit(""))).alias("name"))
@@ -137,7 +158,9 @@ def near_miss_overlaps(spark, sf):
     return op.drop_overlaps(misses, claims).select("seq", "name")
 
 
-@P.add("degraded_flags", f"""WITH {_all_states}, r AS (SELECT run AS day, list_sort(list(board) FILTER (WHERE missing)) AS missing, list_sort(list(board) FILTER (WHERE recovered)) AS recovered, bool_or(degraded) AS bad FROM st GROUP BY 1),
+@P.add("degraded_flags", f"""WITH {_all_states}, r AS (SELECT run AS day, list_sort(list(board) FILTER (WHERE missing)) AS missing, list_sort(list(board) FILTER (WHERE recovered)) AS recovered, bool_or(degraded) AS bad
+      FROM st
+      GROUP BY 1),
     e AS (SELECT user_id AS run, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE value > 90) AS dropped FROM events GROUP BY 1)
     SELECT run, list_filter([CASE WHEN errors > 0 THEN 'verify_agent_errors:' || CAST(errors AS VARCHAR) END, CASE WHEN dropped > 0 THEN 'fetch_budget_dropped:' || CAST(dropped AS VARCHAR) END,
       CASE WHEN len(coalesce(missing, [])) > 0 AND run % 2 = 0 THEN 'discovery_degraded:missing_' || array_to_string(missing, '+') WHEN bad THEN 'discovery_degraded' END,
@@ -157,7 +180,8 @@ _run = ", ".join(f"event_id % {k} {'<>' if c in ('search_ok', 'have_sources') el
 @P.add("run_outcomes", f"""WITH r AS (SELECT event_id, {_run} FROM events), u AS (SELECT *, zero_citation AND source_count = 0 AND NOT synthesized AND NOT degraded_dump AS unfounded FROM r)
     SELECT event_id, (search_ok OR synthesized) AND NOT synth_failed AND NOT unfounded AS ok,
     CASE WHEN synth_failed THEN 'synthesis_failed' WHEN synthesized THEN 'synthesized' WHEN no_credentials THEN 'no_credentials' WHEN NOT search_ok AND timed_out THEN 'search_timeout' WHEN NOT search_ok THEN 'search_failed' WHEN degraded_dump THEN 'degraded_dump' WHEN unfounded THEN 'unfounded' WHEN zero_citation THEN 'no_citation' ELSE 'success' END AS reason,
-    have_sources AND NOT (degraded_dump AND community_count = 0) AND ((search_ok AND zero_citation) OR (NOT search_ok AND community_count > 0) OR (degraded_dump AND community_count > 0)) AS resynthesize FROM u""")
+    have_sources AND NOT (degraded_dump AND community_count = 0) AND ((search_ok AND zero_citation) OR (NOT search_ok AND community_count > 0) OR (degraded_dump AND community_count > 0)) AS resynthesize
+      FROM u""")
 def run_outcomes(spark, sf):
     r = table(spark, sf, "events").selectExpr("event_id", *_run.split(", "))
     return op.classify_run(r).select("event_id", "ok", "reason", "resynthesize")

@@ -14,7 +14,8 @@ QUERIES, ORACLES = P.queries, P.oracles
 
 
 @P.add("url_functions", f"""SELECT seq, {t.norm_url('url')} AS norm, {t.url_key('url')} AS key, {t.host_of('url')} AS host,
-    CASE WHEN regexp_matches(url, '(?i)^https?://[^\\x00-\\x20\\x7F]+$') THEN url ELSE '' END AS safe, regexp_replace(regexp_replace(url, '(?i)v[0-9]+$', ''), '^http:', 'https:') AS unversioned FROM urls""")
+    CASE WHEN regexp_matches(url, '(?i)^https?://[^\\x00-\\x20\\x7F]+$') THEN url ELSE '' END AS safe, regexp_replace(regexp_replace(url, '(?i)v[0-9]+$', ''), '^http:', 'https:') AS unversioned
+      FROM urls""")
 def url_functions(spark, sf):
     u = F.col("url")
     return view(spark, sf, "urls").select("seq", f.norm_url(u).alias("norm"), f.url_key(u).alias("key"), f.host_of(u).alias("host"), f.safe_url(u).alias("safe"), f.strip_version(u).alias("unversioned"))
@@ -78,7 +79,8 @@ _stop = ", ".join(map(t.q, rules.STOP_TOKENS))
     CAST(len(list_filter(string_split_regex(coalesce(snippet, ''), '[\\s,，;；:：|·]+'), lambda x: regexp_matches(x, '[一-鿿]') OR regexp_matches(x, '^[A-Za-z]{{5,}}$'))) AS INTEGER) AS readable,
     {t.low('title', rules.PROMO)} AS promo, TRY_CAST(replace(CAST(topic_id // 1000 AS VARCHAR) || ',' || lpad(CAST(topic_id % 1000 AS VARCHAR), 3, '0'), ',', '') AS INTEGER) AS number,
     CASE WHEN seq % 5 = 0 THEN '—' ELSE format('{{:,}}', topic_id * 1009) END AS shown,
-    CASE day_no % 5 WHEN 0 THEN '高' WHEN 1 THEN '中' WHEN 2 THEN '低' ELSE 'other' END AS confidence, CASE WHEN prio = 2 THEN '—' ELSE CAST(seq % 3 AS VARCHAR) || '-' || CAST(prio AS VARCHAR) END AS vote FROM cards""")
+    CASE day_no % 5 WHEN 0 THEN '高' WHEN 1 THEN '中' WHEN 2 THEN '低' ELSE 'other' END AS confidence, CASE WHEN prio = 2 THEN '—' ELSE CAST(seq % 3 AS VARCHAR) || '-' || CAST(prio AS VARCHAR) END AS vote
+      FROM cards""")
 def snippet_functions(spark, sf):
     c = view(spark, sf, "cards")
     number = F.concat((F.col("topic_id") / 1000).cast("bigint").cast("string"), F.lit(","), F.lpad((F.col("topic_id") % 1000).cast("string"), 3, "0"))
@@ -89,7 +91,8 @@ def snippet_functions(spark, sf):
 _fenced = "CASE doc_id % 3 WHEN 0 THEN '```json' || chr(10) || '{\"a\": ' || CAST(doc_id AS STRING) || '}' || chr(10) || '```' WHEN 1 THEN '---' || chr(10) || 'k: v' || chr(10) || '---' || chr(10) || substring(text, 1, 50) ELSE '{\"a\": \"x\"}' END"
 
 
-@P.add("fence_functions", f"""WITH d AS (SELECT doc_id, {_fenced} AS raw FROM documents), s AS (SELECT doc_id, raw, trim(regexp_replace(regexp_replace(raw, '(?i)^\\s*```(?:json)?\\s*', ''), '\\s*```\\s*$', '')) AS bare FROM d)
+@P.add("fence_functions", f"""WITH d AS (SELECT doc_id, {_fenced} AS raw FROM documents),
+    s AS (SELECT doc_id, raw, trim(regexp_replace(regexp_replace(raw, '(?i)^\\s*```(?:json)?\\s*', ''), '\\s*```\\s*$', '')) AS bare FROM d)
     SELECT doc_id, bare, CASE WHEN regexp_extract(raw, '(?s)```[a-z]*\\n(.*?)```', 1) <> '' THEN trim(regexp_extract(raw, '(?s)```[a-z]*\\n(.*?)```', 1)) ELSE trim(regexp_replace(raw, '(?s)^---\\n.*?\\n---\\n', '')) END AS fenced,
     CASE WHEN json_valid(bare) THEN json_extract_string(bare, '$.a') END AS a FROM s""")
 def fence_functions(spark, sf):

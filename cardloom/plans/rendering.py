@@ -26,8 +26,10 @@ def items(spark, sf):
 
 _items = """items AS (SELECT seq % 7 AS run, ascii(substring(board, length(board), 1)) AS section_no, seq AS item_no, substring(claim, 1, 30) AS title, substring(quote, 1, 60) AS summary,
     CASE seq % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS confidence, CASE seq % 9 WHEN 0 THEN '【窗口外．重大】' WHEN 1 THEN 'checked' END AS status,
-    CASE WHEN seq % 11 = 0 THEN ['(consensus)'] WHEN seq % 13 = 0 THEN [] ELSE [source_url, CASE WHEN seq % 5 = 0 THEN '(consensus)' ELSE 'https://Extra.example/' || (seq % 30) END, source_url] END AS sources FROM claims)"""
-_cites = f"""x AS (SELECT run, section_no, item_no, unnest(sources) AS url, generate_subscripts(sources, 1) AS pos FROM items), w AS (SELECT run, url, min((section_no, item_no, pos)) AS at_ FROM x WHERE regexp_matches(url, {t.q(rules.WEB_URL)}) GROUP BY 1, 2),
+    CASE WHEN seq % 11 = 0 THEN ['(consensus)'] WHEN seq % 13 = 0 THEN [] ELSE [source_url, CASE WHEN seq % 5 = 0 THEN '(consensus)' ELSE 'https://Extra.example/' || (seq % 30) END, source_url] END AS sources
+      FROM claims)"""
+_cites = f"""x AS (SELECT run, section_no, item_no, unnest(sources) AS url, generate_subscripts(sources, 1) AS pos FROM items),
+    w AS (SELECT run, url, min((section_no, item_no, pos)) AS at_ FROM x WHERE regexp_matches(url, {t.q(rules.WEB_URL)}) GROUP BY 1, 2),
     cites AS (SELECT run, url, CAST(row_number() OVER (PARTITION BY run ORDER BY at_) AS INTEGER) AS n, {t.host_of('url')} AS title FROM w)"""
 _badges = "b AS (SELECT i.*, coalesce((SELECT ' ' || string_agg('[' || n || ']', '' ORDER BY n) FROM cites c WHERE c.run = i.run AND list_contains(i.sources, c.url)), '') AS badge FROM items i)"
 
@@ -64,7 +66,10 @@ _tok = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9][a-z0-9.%-]*'), la
 def _near(named: str) -> str:
     """The list of misses that no text of ``named`` (run, claim) has."""
     return f"""nm AS (SELECT run, string_agg('- ' || name || ' (' || coalesce(date, 'undated') || ')' || coalesce(': ' || note, ''), chr(10) ORDER BY seq) AS t FROM ms m
-    WHERE NOT EXISTS (SELECT 1 FROM {named} c WHERE c.run = m.run AND (contains(trim(regexp_replace(c.claim, '\\s+', ' ', 'g')), trim(m.name)) OR list_has_any({_tok.format('m.name')}, {_tok.format('c.claim')}))) GROUP BY 1)"""
+    WHERE NOT EXISTS (SELECT 1
+      FROM {named} c
+      WHERE c.run = m.run AND (contains(trim(regexp_replace(c.claim, '\\s+', ' ', 'g')), trim(m.name)) OR list_has_any({_tok.format('m.name')}, {_tok.format('c.claim')})))
+      GROUP BY 1)"""
 
 
 def misses(spark, sf):
@@ -76,15 +81,23 @@ def misses(spark, sf):
 _refs = "rf AS (SELECT run, string_agg('- [' || n || '] [' || title || '](<' || url || '>)', chr(10) ORDER BY n) AS t FROM cites GROUP BY 1)"
 
 
-@P.add("daily_report", f"""WITH {_items}, {_cites}, {_badges}, {_cover}, {_misses}, {_near('(SELECT run, title AS claim FROM items)')}, s AS (SELECT run, section_no, string_agg({_block}, chr(10) || chr(10) ORDER BY item_no) AS body FROM b GROUP BY 1, 2),
+@P.add("daily_report", f"""WITH {_items}, {_cites}, {_badges}, {_cover}, {_misses}, {_near('(SELECT run, title AS claim FROM items)')}, s AS (SELECT run, section_no, string_agg({_block}, chr(10) || chr(10) ORDER BY item_no) AS body
+      FROM b
+      GROUP BY 1, 2),
     sec AS (SELECT run, string_agg('### Section ' || section_no || {_nl} || body, {_nl} ORDER BY section_no) AS t FROM s GROUP BY 1), {_refs},
-    co AS (SELECT run, string_agg('- **' || board || '**: ' || claims || ' claims / ' || urls || ' sources' || CASE WHEN degraded THEN ' `[degraded]`' ELSE '' END, chr(10) ORDER BY board) AS t FROM cv GROUP BY 1)
+    co AS (SELECT run, string_agg('- **' || board || '**: ' || claims || ' claims / ' || urls || ' sources' || CASE WHEN degraded THEN ' `[degraded]`' ELSE '' END, chr(10) ORDER BY board) AS t
+      FROM cv
+      GROUP BY 1)
     SELECT co.run, '# Daily report ' || co.run
       || CASE WHEN co.run < 5 THEN {_nl} || '> **Material**: ' || CASE WHEN co.run = 3 THEN '?' ELSE CAST(co.run * 2 AS VARCHAR) END || ' of the day; ' || (co.run + 40) || ' sources of late.' ELSE '' END
       || CASE WHEN co.run < 5 AND (CASE WHEN co.run = 3 THEN 0 ELSE co.run * 2 END) + co.run < 8 THEN {_nl} || '> **Low material**: fewer than 8 hard sources; mind their age.' ELSE '' END
       || CASE WHEN co.run % 2 = 0 THEN {_nl} || '> degraded: `a`, `b`' ELSE '' END || {_nl} || '## In one line' || {_nl} || 'All of it.' || CASE WHEN co.run % 3 > 0 THEN {_nl} || '## Summary' || {_nl} || 'More of ' || co.run ELSE '' END || {_nl} || '## News' || {_nl} || sec.t
       || CASE WHEN co.run % 2 = 1 THEN {_nl} || '## Unverified and limits' || {_nl} || '- weak' || chr(10) || '- weaker' ELSE '' END || coalesce({_nl} || '## Outside the window' || {_nl} || nm.t, '') || CASE WHEN co.run % 3 = 1 THEN {_nl} || '## Open questions' || {_nl} || '- why?' ELSE '' END
-      || {_nl} || '## Coverage' || {_nl} || co.t || coalesce({_nl} || '## References' || {_nl} || rf.t, '') AS markdown FROM co LEFT JOIN sec USING (run) LEFT JOIN rf USING (run) LEFT JOIN nm USING (run)""")
+      || {_nl} || '## Coverage' || {_nl} || co.t || coalesce({_nl} || '## References' || {_nl} || rf.t, '') AS markdown
+      FROM co
+      LEFT JOIN sec USING (run)
+      LEFT JOIN rf USING (run)
+      LEFT JOIN nm USING (run)""")
 def daily_report(spark, sf):
     i = items(spark, sf)
     none = F.array().cast("array<string>")
@@ -102,15 +115,31 @@ _outcome = "CASE WHEN seq % 10 = 7 THEN 'major_out' ELSE part END"
 _one_line = "trim(regexp_replace(claim, '\\s+', ' ', 'g'))"
 
 
-@P.add("degraded_report", f"""WITH {_voted}, {_cover}, {_misses}, d AS (SELECT seq % 7 AS run, seq, {_outcome} AS part, claim, CASE WHEN seq % 6 = 5 THEN NULL ELSE source_url END AS source_url, CASE WHEN seq % 4 > 0 THEN source_quality END AS q, publish_date AS date, CASE WHEN seq % 10 = 7 THEN NULL ELSE {_vote} END AS vote, seq % 3 > 0 AS by_vote, errored FROM p),
-    w AS (SELECT run, source_url AS url, min((CASE WHEN part = 'killed' THEN 1 ELSE 0 END, seq)) AS at_ FROM d WHERE source_url IS NOT NULL AND part IN ('confirmed', 'major_out', 'killed') GROUP BY 1, 2), cites AS (SELECT run, url, row_number() OVER (PARTITION BY run ORDER BY at_) AS n, {t.host_of('url')} AS title FROM w),
-    x AS (SELECT d.*, {_one_line} AS line, coalesce(' [' || c.n || ']', '') AS badge, CASE WHEN errored > 0 THEN ' (' || errored || ' votes failed)' ELSE '' END AS bad FROM d LEFT JOIN cites c ON c.run = d.run AND c.url = d.source_url WHERE part IN ('confirmed', 'major_out', 'killed')),
+@P.add("degraded_report", f"""WITH {_voted}, {_cover}, {_misses}, d AS (SELECT seq % 7 AS run, seq, {_outcome} AS part, claim, CASE WHEN seq % 6 = 5 THEN NULL ELSE source_url END AS source_url, CASE WHEN seq % 4 > 0 THEN source_quality END AS q, publish_date AS date, CASE WHEN seq % 10 = 7 THEN NULL ELSE {_vote} END AS vote, seq % 3 > 0 AS by_vote, errored
+      FROM p),
+    w AS (SELECT run, source_url AS url, min((CASE WHEN part = 'killed' THEN 1 ELSE 0 END, seq)) AS at_
+      FROM d
+      WHERE source_url IS NOT NULL AND part IN ('confirmed', 'major_out', 'killed')
+      GROUP BY 1, 2),
+    cites AS (SELECT run, url, row_number() OVER (PARTITION BY run ORDER BY at_) AS n, {t.host_of('url')} AS title FROM w),
+    x AS (SELECT d.*, {_one_line} AS line, coalesce(' [' || c.n || ']', '') AS badge, CASE WHEN errored > 0 THEN ' (' || errored || ' votes failed)' ELSE '' END AS bad
+      FROM d
+      LEFT JOIN cites c ON c.run = d.run AND c.url = d.source_url
+      WHERE part IN ('confirmed', 'major_out', 'killed')),
     {_near("(SELECT run, claim FROM d WHERE part = 'major_out')")}, {_refs},
-    co AS (SELECT run, '| Board | Claims | Note |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || {t.cell('board')} || ' | ' || claims || ' | ' || CASE WHEN degraded THEN 'degraded' ELSE '' END || ' |', chr(10) ORDER BY board) AS t FROM cv GROUP BY 1),
+    co AS (SELECT run, '| Board | Claims | Note |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || {t.cell('board')} || ' | ' || claims || ' | ' || CASE WHEN degraded THEN 'degraded' ELSE '' END || ' |', chr(10) ORDER BY board) AS t
+      FROM cv
+      GROUP BY 1),
     ls AS (SELECT run, coalesce({_nl} || '## Within the window' || {_nl} || string_agg('- ' || CASE WHEN by_vote THEN '`✓' ELSE '`◇' END || coalesce(vote, '?') || '` ' || line || badge || ' — *(' || coalesce(q, '?') || ')*' || bad, chr(10) ORDER BY seq) FILTER (WHERE part = 'confirmed'), '')
       || coalesce({_nl} || '## Outside the window: milestones' || {_nl} || string_agg('- ' || line || ' (' || coalesce(date, '?') || ')', chr(10) ORDER BY seq) FILTER (WHERE part = 'major_out'), '')
-      || coalesce({_nl} || '## Refuted' || {_nl} || string_agg('- ~~' || line || '~~ refuted `' || coalesce(vote, '?') || '`' || badge || bad, chr(10) ORDER BY seq) FILTER (WHERE part = 'killed'), '') AS t FROM x GROUP BY 1)
-    SELECT run, '# Daily report ' || run || ' (degraded)' || ls.t || coalesce({_nl} || '## Outside the window' || {_nl} || nm.t, '') || {_nl} || '## Coverage' || {_nl} || co.t || coalesce({_nl} || '## References' || {_nl} || rf.t, '') AS markdown FROM ls LEFT JOIN co USING (run) LEFT JOIN nm USING (run) LEFT JOIN rf USING (run)""")
+      || coalesce({_nl} || '## Refuted' || {_nl} || string_agg('- ~~' || line || '~~ refuted `' || coalesce(vote, '?') || '`' || badge || bad, chr(10) ORDER BY seq) FILTER (WHERE part = 'killed'), '') AS t
+      FROM x
+      GROUP BY 1)
+    SELECT run, '# Daily report ' || run || ' (degraded)' || ls.t || coalesce({_nl} || '## Outside the window' || {_nl} || nm.t, '') || {_nl} || '## Coverage' || {_nl} || co.t || coalesce({_nl} || '## References' || {_nl} || rf.t, '') AS markdown
+      FROM ls
+      LEFT JOIN co USING (run)
+      LEFT JOIN nm USING (run)
+      LEFT JOIN rf USING (run)""")
 def degraded_report(spark, sf):
     v = voted(spark, sf).withColumns({"run": F.col("seq") % 7, "part": F.expr(_outcome), "date": F.col("publish_date"), "by_vote": F.col("seq") % 3 > 0})
     v = v.withColumns({"source_url": F.when(F.col("seq") % 6 != 5, F.col("source_url")), "source_quality": F.when(F.col("seq") % 4 > 0, F.col("source_quality")), "vote": F.when(F.col("seq") % 10 != 7, f.vote_label(F.col("valid") - F.col("refuted"), F.col("refuted"), F.lit(False)))})
@@ -144,8 +173,11 @@ def _xml(e: str) -> str:
     return f"replace(replace(replace({e}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@P.add("model_inputs", f"""WITH s AS (SELECT day_no, seq, provider, url, {t.scrub('snippet', 800)} AS clean, {t.scrub('title', 200)} AS head FROM cards WHERE prio = 0), c AS (SELECT *, CASE WHEN {_obscure} AND head <> '' THEN {t.scrub("head || '。' || clean", 800)} ELSE clean END AS body, row_number() OVER (PARTITION BY day_no ORDER BY seq) AS n FROM s)
-    SELECT day_no, string_agg('<untrusted-source index="' || n || '" provider="' || {_xml('provider')} || '">' || chr(10) || {_xml('head')} || chr(10) || {_xml('url')} || chr(10) || {_xml('body')} || chr(10) || '</untrusted-source>', chr(10) ORDER BY n) AS prompt FROM c GROUP BY 1""")
+@P.add("model_inputs", f"""WITH s AS (SELECT day_no, seq, provider, url, {t.scrub('snippet', 800)} AS clean, {t.scrub('title', 200)} AS head FROM cards WHERE prio = 0),
+    c AS (SELECT *, CASE WHEN {_obscure} AND head <> '' THEN {t.scrub("head || '。' || clean", 800)} ELSE clean END AS body, row_number() OVER (PARTITION BY day_no ORDER BY seq) AS n FROM s)
+    SELECT day_no, string_agg('<untrusted-source index="' || n || '" provider="' || {_xml('provider')} || '">' || chr(10) || {_xml('head')} || chr(10) || {_xml('url')} || chr(10) || {_xml('body')} || chr(10) || '</untrusted-source>', chr(10) ORDER BY n) AS prompt
+      FROM c
+      GROUP BY 1""")
 def model_inputs(spark, sf):
     return op.model_input(view(spark, sf, "cards").where("prio = 0"), ["day_no"])
 

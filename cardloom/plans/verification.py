@@ -21,7 +21,8 @@ _window = f"""CASE WHEN {t.day_num('publish_date')} IS NULL AND {t.day_num('clai
     WHEN coalesce({t.day_num('publish_date')} BETWEEN {LOW} AND {HIGH}, true) AND coalesce({t.day_num('claim_date')} BETWEEN {LOW} AND {HIGH}, true) THEN 'in' ELSE 'out' END"""
 _tally = """SELECT claim_id, count(*) FILTER (WHERE NOT errored) AS valid, count(*) FILTER (WHERE NOT errored AND refuted) AS refuted, count(*) FILTER (WHERE errored) AS errored,
     count(*) FILTER (WHERE NOT errored) >= 2 AND count(*) FILTER (WHERE NOT errored AND refuted) < 2 AS survives, count(*) FILTER (WHERE NOT errored AND refuted) >= 2 AS is_refuted FROM"""
-_adaptive = """(SELECT * FROM (SELECT *, count(*) FILTER (WHERE vote_no <= 2 AND NOT errored AND refuted) OVER (PARTITION BY claim_id) AS no_, count(*) FILTER (WHERE vote_no <= 2 AND NOT errored AND NOT refuted) OVER (PARTITION BY claim_id) AS yes_
+_adaptive = """(SELECT *
+      FROM (SELECT *, count(*) FILTER (WHERE vote_no <= 2 AND NOT errored AND refuted) OVER (PARTITION BY claim_id) AS no_, count(*) FILTER (WHERE vote_no <= 2 AND NOT errored AND NOT refuted) OVER (PARTITION BY claim_id) AS yes_
     FROM votes WHERE vote_no <= 3) WHERE vote_no <= 2 OR (no_ < 2 AND yes_ < 2))"""
 
 
@@ -49,7 +50,10 @@ def adaptive_tally(spark, sf):
     return op.tally(op.adaptive_votes(view(spark, sf, "votes")))
 
 
-_voted = f"""v AS ({_tally} {_adaptive} GROUP BY 1), c AS (SELECT *, {_window} AS "window", seq % (SELECT count(DISTINCT claim_id) FROM votes) AS claim_id FROM claims), p AS (SELECT c.*, v.valid, v.refuted, v.errored, v.survives, CASE WHEN survives THEN CASE WHEN "window" = 'out' THEN 'out_of_window' ELSE 'confirmed' END WHEN is_refuted THEN 'killed' ELSE 'unverified' END AS part FROM c JOIN v USING (claim_id))"""
+_voted = f"""v AS ({_tally} {_adaptive} GROUP BY 1),
+    c AS (SELECT *, {_window} AS "window", seq % (SELECT count(DISTINCT claim_id) FROM votes) AS claim_id FROM claims),
+    p AS (SELECT c.*, v.valid, v.refuted, v.errored, v.survives, CASE WHEN survives THEN CASE WHEN "window" = 'out' THEN 'out_of_window' ELSE 'confirmed' END WHEN is_refuted THEN 'killed' ELSE 'unverified' END AS part
+      FROM c JOIN v USING (claim_id))"""
 
 
 def voted(spark, sf):
@@ -82,10 +86,12 @@ BUDGET = 25
 _quota_sql = f"""WITH RECURSIVE s AS (SELECT seq % 3 AS run, board, min(seq) AS first, count(*) AS n FROM claims WHERE quality = 1 OR board IN ('src3', 'src5', 'src7') GROUP BY 1, 2),
     o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY first, board) AS i, sum(n) OVER (PARTITION BY run) AS total FROM s),
     a AS (SELECT run, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS used FROM o WHERE i = 1
-      UNION ALL SELECT o.run, o.i, x.q, CAST(a.used + x.q AS BIGINT) FROM a JOIN o ON o.run = a.run AND o.i = a.i + 1, LATERAL (SELECT CAST(least(CASE WHEN {BUDGET} * o.n // o.total = 0 AND a.used < {BUDGET} THEN 1 ELSE {BUDGET} * o.n // o.total END, o.n) AS BIGINT) AS q) x),
+      UNION ALL SELECT o.run, o.i, x.q, CAST(a.used + x.q AS BIGINT)
+      FROM a JOIN o ON o.run = a.run AND o.i = a.i + 1, LATERAL (SELECT CAST(least(CASE WHEN {BUDGET} * o.n // o.total = 0 AND a.used < {BUDGET} THEN 1 ELSE {BUDGET} * o.n // o.total END, o.n) AS BIGINT) AS q) x),
     b AS (SELECT o.run, o.board, o.n, a.q, row_number() OVER (PARTITION BY o.run ORDER BY o.n - a.q DESC, o.first, o.board) AS i FROM a JOIN o USING (run, i)),
     r AS (SELECT run, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, CAST({BUDGET} - max(used) AS BIGINT) AS room FROM a GROUP BY run
-      UNION ALL SELECT b.run, b.i, x.t, CAST(r.room - x.t AS BIGINT) FROM r JOIN b ON b.run = r.run AND b.i = r.i + 1, LATERAL (SELECT CAST(greatest(0, least(b.n - b.q, r.room)) AS BIGINT) AS t) x),
+      UNION ALL SELECT b.run, b.i, x.t, CAST(r.room - x.t AS BIGINT)
+      FROM r JOIN b ON b.run = r.run AND b.i = r.i + 1, LATERAL (SELECT CAST(greatest(0, least(b.n - b.q, r.room)) AS BIGINT) AS t) x),
     q AS (SELECT b.run, b.board, b.q + r.t AS quota FROM b JOIN r USING (run, i))"""
 
 
@@ -104,7 +110,8 @@ def claims_within_quota(spark, sf):
     return op.within_quota(quota_claims(spark, sf), BUDGET).select("run", "board", "seq", "place")
 
 
-@P.add("round_robin_disjoint", """WITH c AS (SELECT seq, date_trunc('month', run_date)::DATE AS run_date, board, url || '/' || board AS url, row_number() OVER (PARTITION BY date_trunc('month', run_date), board, url ORDER BY seq) AS k FROM candidates),
+@P.add("round_robin_disjoint", """WITH c AS (SELECT seq, date_trunc('month', run_date)::DATE AS run_date, board, url || '/' || board AS url, row_number() OVER (PARTITION BY date_trunc('month', run_date), board, url ORDER BY seq) AS k
+      FROM candidates),
     r AS (SELECT run_date, board, seq, row_number() OVER (PARTITION BY run_date, board ORDER BY seq) AS n FROM c WHERE k = 1),
     o AS (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY n, board) AS slot FROM r) SELECT run_date AS run, board, seq, CAST(slot AS INTEGER) AS slot FROM o WHERE slot <= 12""")
 def round_robin_disjoint(spark, sf):
@@ -116,7 +123,9 @@ def round_robin_disjoint(spark, sf):
 # one slot after the other: the state of a run is the list of keys taken and, for each board, the slot of its last turn
 _round_robin = f"""WITH RECURSIVE c AS (SELECT date_trunc('month', run_date)::DATE AS run, board, ascii(board) AS board_no, seq, {t.norm_url('url')} AS key FROM candidates),
     f AS (SELECT run, board, board_no, key, min(seq) AS seq FROM c GROUP BY ALL),
-    b AS (SELECT run, board, board_no, row_number() OVER (PARTITION BY run ORDER BY board_no, board) AS i, count(*) OVER (PARTITION BY run) AS boards FROM (SELECT DISTINCT run, board, board_no FROM f)),
+    b AS (SELECT run, board, board_no, row_number() OVER (PARTITION BY run ORDER BY board_no, board) AS i, count(*) OVER (PARTITION BY run) AS boards
+      FROM (SELECT DISTINCT run, board, board_no
+      FROM f)),
     l AS (SELECT b.run, b.i, b.boards, b.board, list({{'seq': seq, 'key': key}} ORDER BY seq) AS urls FROM b JOIN f USING (run, board, board_no) GROUP BY ALL),
     s AS (SELECT run, CAST(0 AS BIGINT) AS turn, 0 AS slot, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS board FROM (SELECT DISTINCT run FROM l)
       UNION ALL SELECT s.run, s.turn + 1, CASE WHEN u IS NULL THEN s.slot ELSE s.slot + 1 END, CASE WHEN u IS NULL THEN s.taken ELSE list_append(s.taken, u.key) END, u.seq, l.board
@@ -132,8 +141,10 @@ def round_robin(spark, sf):
     return op.round_robin(c, 12)
 
 
-@P.add("budget_dropped", """WITH c AS (SELECT seq, date_trunc('month', run_date)::DATE AS run_date, board, url || '/' || board AS url FROM candidates), d AS (SELECT *, row_number() OVER (PARTITION BY run_date, url ORDER BY seq) AS k FROM c),
-    r AS (SELECT *, row_number() OVER (PARTITION BY run_date, board ORDER BY seq) AS n FROM d WHERE k = 1), o AS (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY n, board) AS slot FROM r)
+@P.add("budget_dropped", """WITH c AS (SELECT seq, date_trunc('month', run_date)::DATE AS run_date, board, url || '/' || board AS url FROM candidates),
+    d AS (SELECT *, row_number() OVER (PARTITION BY run_date, url ORDER BY seq) AS k FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY run_date, board ORDER BY seq) AS n FROM d WHERE k = 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY n, board) AS slot FROM r)
     SELECT c.seq, c.board FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE slot <= 12 AND o.run_date = c.run_date AND o.url = c.url)""")
 def budget_dropped(spark, sf):
     c = view(spark, sf, "candidates").withColumns({"run": F.trunc("run_date", "month"), "url": F.concat("url", F.lit("/"), "board"), "board_no": F.ascii("board")})
@@ -141,13 +152,18 @@ def budget_dropped(spark, sf):
 
 
 @P.add("duplicate_urls", f"""WITH c AS (SELECT *, date_trunc('month', run_date)::DATE AS run, {t.norm_url('url')} AS key FROM candidates)
-    SELECT run, key, copies, board, seq FROM (SELECT *, count(*) OVER (PARTITION BY run, key) AS copies, row_number() OVER (PARTITION BY run, key ORDER BY ascii(board), seq) AS k FROM c) WHERE k = 1 AND copies > 1""")
+    SELECT run, key, copies, board, seq
+      FROM (SELECT *, count(*) OVER (PARTITION BY run, key) AS copies, row_number() OVER (PARTITION BY run, key ORDER BY ascii(board), seq) AS k
+      FROM c)
+      WHERE k = 1 AND copies > 1""")
 def duplicate_urls(spark, sf):
     c = view(spark, sf, "candidates").withColumns({"run": F.trunc("run_date", "month"), "board_no": F.ascii("board")})
     return op.duplicate_urls(c)
 
 
-@P.add("within_byte_budget", """WITH s AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY owner ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY owner ORDER BY seq) AS place FROM files WHERE bytes <= 8000)
+@P.add("within_byte_budget", """WITH s AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY owner ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY owner ORDER BY seq) AS place
+      FROM files
+      WHERE bytes <= 8000)
     SELECT owner, seq, bytes, CAST(before AS BIGINT) AS before FROM s WHERE before < 30000 AND place <= 20""")
 def within_byte_budget(spark, sf):
     small = view(spark, sf, "files").where("bytes <= 8000")
@@ -157,8 +173,11 @@ def within_byte_budget(spark, sf):
 _note = "CASE WHEN seq % 4 = 1 THEN NULL ELSE 'noted by ' || board END"
 _known_name = f"CASE WHEN seq % 5 = 3 THEN 'x' || (seq % 3) || '：' || ({_names}) ELSE ({_names}) END"
 _known = f"""n AS (SELECT CAST(seq // 100 AS BIGINT) AS run, seq, coalesce({_known_name}, '') AS name, coalesce({_note}, '') AS note, claim_date AS date, source_url AS url, board FROM claims),
-    k AS (SELECT *, name || '：' || note AS claim, {_fingerprint('name')} AS key, {_fingerprint("name || '：' || note")} AS whole_, {_fingerprint("string_split(name || '：' || note, '：')[1]")} AS first_, coalesce(regexp_matches(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), false) AS full_day, row_number() OVER (PARTITION BY run ORDER BY seq) AS i FROM n),
-    r AS (SELECT run, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(pos BIGINT, name VARCHAR, note VARCHAR, date VARCHAR, whole_ VARCHAR, first_ VARCHAR, full_day BOOLEAN, url VARCHAR, board VARCHAR)[]) AS ev FROM (SELECT DISTINCT run FROM k)
+    k AS (SELECT *, name || '：' || note AS claim, {_fingerprint('name')} AS key, {_fingerprint("name || '：' || note")} AS whole_, {_fingerprint("string_split(name || '：' || note, '：')[1]")} AS first_, coalesce(regexp_matches(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), false) AS full_day, row_number() OVER (PARTITION BY run ORDER BY seq) AS i
+      FROM n),
+    r AS (SELECT run, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(pos BIGINT, name VARCHAR, note VARCHAR, date VARCHAR, whole_ VARCHAR, first_ VARCHAR, full_day BOOLEAN, url VARCHAR, board VARCHAR)[]) AS ev
+      FROM (SELECT DISTINCT run
+      FROM k)
       UNION ALL SELECT r.run, k.i, CASE WHEN at_ IS NULL THEN list_append(r.ev, {{'pos': k.seq, 'name': k.name, 'note': k.note, 'date': k.date, 'whole_': k.whole_, 'first_': k.first_, 'full_day': k.full_day, 'url': k.url, 'board': k.board}})
           WHEN k.full_day AND NOT r.ev[at_].full_day THEN list_concat(list_concat(r.ev[: at_ - 1], [{{'pos': r.ev[at_].pos, 'name': k.name, 'note': k.note, 'date': k.date, 'whole_': k.whole_, 'first_': k.first_, 'full_day': true, 'url': r.ev[at_].url, 'board': r.ev[at_].board}}]), r.ev[at_ + 1 :]) ELSE r.ev END
       FROM r JOIN k ON k.run = r.run AND k.i = r.i + 1, LATERAL (SELECT list_position(list_transform(r.ev, lambda e: e.whole_ = k.key OR e.first_ = k.key), true) AS p, CASE WHEN p > 0 THEN p END AS at_) q),
@@ -214,10 +233,15 @@ def feed_dedupe(spark, sf):
     return op.dedupe_feeds(view(spark, sf, "feeds"))
 
 
-@P.add("feed_attribution", f"""WITH fd AS (SELECT DISTINCT label AS grp, {t.norm_url('url')} AS key FROM feeds WHERE seq % 2 = 1), g AS (SELECT grp, count(*) AS n, min(key) AS only_key FROM fd GROUP BY 1),
-    e AS (SELECT d.doc_id AS seq, 'feed ' || (d.doc_id % 20) AS grp, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE 'http://feeds.example/f' || (d.doc_id % 23) || '?y' END AS feed, CASE WHEN d.doc_id % 7 < 3 THEN 'recent' ELSE 'entry' END AS kind FROM documents d),
+@P.add("feed_attribution", f"""WITH fd AS (SELECT DISTINCT label AS grp, {t.norm_url('url')} AS key FROM feeds WHERE seq % 2 = 1),
+    g AS (SELECT grp, count(*) AS n, min(key) AS only_key FROM fd GROUP BY 1),
+    e AS (SELECT d.doc_id AS seq, 'feed ' || (d.doc_id % 20) AS grp, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE 'http://feeds.example/f' || (d.doc_id % 23) || '?y' END AS feed, CASE WHEN d.doc_id % 7 < 3 THEN 'recent' ELSE 'entry' END AS kind
+      FROM documents d),
     a AS (SELECT e.seq, e.grp, e.kind, CASE WHEN e.feed IS NOT NULL THEN {t.norm_url('e.feed')} WHEN g.n = 1 THEN g.only_key END AS key FROM e JOIN g ON g.grp = e.grp)
-    SELECT seq, grp, key, kind FROM (SELECT a.*, row_number() OVER (PARTITION BY a.grp, a.key, a.kind ORDER BY a.seq) AS k FROM a JOIN fd ON fd.grp = a.grp AND fd.key = a.key) WHERE k <= CASE kind WHEN 'entry' THEN 15 ELSE 4 END""")
+    SELECT seq, grp, key, kind
+      FROM (SELECT a.*, row_number() OVER (PARTITION BY a.grp, a.key, a.kind ORDER BY a.seq) AS k
+      FROM a JOIN fd ON fd.grp = a.grp AND fd.key = a.key)
+      WHERE k <= CASE kind WHEN 'entry' THEN 15 ELSE 4 END""")
 def feed_attribution(spark, sf):
     feeds = view(spark, sf, "feeds").where("seq % 2 = 1").select(F.col("label").alias("grp"), f.norm_url(F.col("url")).alias("key"))
     feed = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("http://feeds.example/f"), (F.col("doc_id") % 23).cast("string"), F.lit("?y")))

@@ -26,12 +26,23 @@ def write_validated(df: DataFrame, path: str, valid, day: str = "run_date") -> d
     path; the check is one aggregation over its days, and the good ones go on from there.
     """
     held = f"{path}-unchecked-{uuid.uuid4().hex}"
-    df.write.parquet(held)
-    rows = df.sparkSession.read.schema(df.schema).parquet(held)
+    try:
+        df.write.parquet(held)
+        return _write_good_days(df.sparkSession.read.schema(df.schema).parquet(held), path, valid, day)
+    finally:
+        _delete(df.sparkSession, held)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write_good_days(rows: DataFrame, path: str, valid, day: str) -> dict[str, int]:
     checked = rows.groupBy(day).agg(F.coalesce(valid, F.lit(False)).alias("_ok"))
     counts = checked.agg(F.count_if("_ok").alias("written"), F.count_if(~F.col("_ok")).alias("skipped")).first()
     if counts.written:
-        overwrite_days(rows.join(checked.where("_ok").select(day), day, "left_semi").select(df.columns), path, day)
+        overwrite_days(rows.join(checked.where("_ok").select(day), day, "left_semi").select(rows.columns), path, day)
     return {"written": counts.written, "skipped": counts.skipped}
 
 

@@ -214,6 +214,8 @@ def test_archive_needs_all_sets(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_archive({"confirmed": df}, str(tmp_path / "a"))
     assert sinks.write_validated(df, str(tmp_path / "v"), F.max("n") > 5) == {"written": 0, "skipped": 1}
+    assert sinks.write_validated(df, str(tmp_path / "v"), F.max("n") > 0) == {"written": 1, "skipped": 0}
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["v"]  # nothing else is left behind
 
 
 def test_empty_tables(spark):
