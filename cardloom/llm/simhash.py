@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_a_task, IS_SPACE, LOWER, PACKED, U64, carried_type, carrying, exchanged, packed, partitions, raw_bytes, runs, small_batches, staged, text_chunks, tidy, word_bounds
+from .common import IS_SPACE, LOWER, PACKED, U64, buckets_a_task, carried_type, carrying, exchanged, mixed, packed, partitions, raw_bytes, runs, small_batches, staged, text_chunks, tidy, word_bounds
 from .components import connected_components, forest
 
 BUCKET_ROWS = 50_000  # each with 66 records of 16 bytes
 
 
-def fingerprints_of(texts: pa.ChunkedArray, words: int) -> np.ndarray:
-    """The fingerprint of each text, as uint64."""
+def shingle_hashes(texts: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles, row by row, and how many each row has."""
     data, offsets = raw_bytes(texts)
     n = len(offsets) - 1
     data = LOWER[data]
@@ -46,7 +46,12 @@ def fingerprints_of(texts: pa.ChunkedArray, words: int) -> np.ndarray:
     end = begin + np.repeat(np.minimum(count, words), per_row) - 1
     whole, digest = line.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(whole[a:b], 42) for a, b in zip(at[begin].tolist(), (at[end] + lens[end] - 1).tolist(), strict=True)), U64, len(begin))
-    out = np.zeros(n, U64)
+    return hashes, per_row
+
+
+def majority(hashes: np.ndarray, per_row: np.ndarray) -> np.ndarray:
+    """For each row the bits set in over half of its hashes; 0 without any."""
+    out = np.zeros(len(per_row), U64)
     some = np.flatnonzero(per_row)
     if len(some):
         cuts = np.r_[0, np.cumsum(per_row[some])]
@@ -61,21 +66,29 @@ def fingerprints_of(texts: pa.ChunkedArray, words: int) -> np.ndarray:
     return out
 
 
-def _fingerprint_rows(words: int):
+def fingerprints_of(texts: pa.ChunkedArray, words: int, prints: int = 1) -> list[np.ndarray]:
+    """The fingerprints of each text, as uint64: the first is that of the hashes, others of the hashes mixed anew."""
+    hashes, per_row = shingle_hashes(texts, words)
+    return [majority(mixed(hashes + U64(k)) if k else hashes, per_row) for k in range(prints)]
+
+
+def _fingerprint_rows(words: int, prints: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
+            fps = fingerprints_of(chunk.column("text"), words, prints)
             yield pa.record_batch({
                 "doc_id": chunk.column("doc_id").combine_chunks(),
-                "fp": pa.array(fingerprints_of(chunk.column("text"), words).view(np.int64)),
+                **{_name(k): pa.array(fp.view(np.int64)) for k, fp in enumerate(fps)},
                 **({"carried": chunk.column("carried").combine_chunks()} if "carried" in chunk.column_names else {}),
             })
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, carry: list[str] = ()) -> DataFrame:
-    """(doc_id, fp: the fingerprint's 64 bits as a signed long, carried), a row for each row of docs.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, carry: list[str] = (), prints: int = 1) -> DataFrame:
+    """(doc_id, fp: the fingerprint's 64 bits as a signed long, fp1 and so on with more ``prints``, carried), a row for
+    each row of docs.
 
     carried: a struct of the row's columns named in ``carry`` (absent if none are).
 
@@ -84,7 +97,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words (null, empty, blank) has fingerprint 0.
     """
     rows = carrying(docs, id_col, text_col, carry)
-    return rows.mapInArrow(_fingerprint_rows(words), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long{carried_type(rows)}")
+    names = ", ".join(f"{_name(k)} long" for k in range(prints))
+    return rows.mapInArrow(_fingerprint_rows(words, prints), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {names}{carried_type(rows)}")
+
+
+def _name(k: int) -> str:
+    return f"fp{k or ''}"
 
 
 def _probes(per: int):
@@ -175,20 +193,40 @@ def near_links(fps: DataFrame, most: int = 3, rows: int | None = None) -> DataFr
     return exchanged(probes, per_task).mapInArrow(_links(most), "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, carry: list[str] = ()) -> DataFrame:
+def _classes(rows: DataFrame, name: str, most: int, n: int) -> DataFrame:
+    """(name, class): every distinct fingerprint and the smallest that it reaches over links."""
+    fps = rows.select(name).distinct()
+    found = staged(connected_components(near_links(fps.select(F.col(name).alias("fp")), most, n), contracted=True), "components")
+    return fps.join(found, fps[name] == found.node, "left").select(name, F.coalesce("component", name).alias("_class"))
+
+
+def _united(rows: DataFrame, classes: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """classes (fp, class) after classes that rows of one class of ``more`` (name, class) have are made one."""
+    pairs = staged(rows.select("fp", name).distinct().join(classes, "fp").join(more.withColumnRenamed("_class", "_other"), name).select("_class", "_other").distinct(), "pairs")
+    low = pairs.groupBy("_other").agg(F.min("_class").alias("b"), F.count("*").alias("n")).where("n > 1")
+    star = pairs.join(low, "_other").select(F.col("_class").alias("a"), "b")
+    found = staged(connected_components(star), "components")
+    return classes.join(found, classes._class == found.node, "left").select("fp", F.coalesce("component", "_class").alias("_class"))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, carry: list[str] = (), prints: int = 1) -> DataFrame:
     """(doc_id, fp, carried, component_id, component): the smallest doc_id reachable over links of ``most``
     bits, and a number that the group's rows alone have (several groups can have one smallest id).
 
+    With more ``prints`` rows are linked if any of their fingerprints are, each kind searched in a
+    table of its own: of looser near copies many more are found, for as much more work.
     Equal fingerprints are one node. Rows with a null id take part but name no group: a
     group of such rows alone has component_id null. Repeated rows are returned as often.
     """
-    rows = staged(fingerprints(docs, id_col, text_col, words, carry), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = staged(connected_components(near_links(fps, most, rows.count()), contracted=True), "components")
-    named = fps.join(found, fps.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    rows = staged(fingerprints(docs, id_col, text_col, words, carry, prints), "fingerprints")
+    n = rows.count()
+    classes = _classes(rows, "fp", most, n)
+    for k in range(1, prints):
+        classes = _united(rows, classes, _classes(rows, _name(k), most, n), _name(k))
+    named = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes.withColumnRenamed("_class", "component"), "fp")
     lows = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = named.join(lows, "component").select(F.col("fp").alias("_fp"), "component_id", "component")
-    return rows.join(of_fp, rows.fp == F.col("_fp"), "left").drop("_fp")
+    return rows.join(of_fp, rows.fp == F.col("_fp"), "left").drop("_fp", *[_name(k) for k in range(1, prints)])
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

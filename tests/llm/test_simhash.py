@@ -75,3 +75,36 @@ def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "only here, with other words"), (3, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(df).collect()), key=str)
     assert got == sorted([(None, 7), (7, 7), (7, 7), (None, None), (3, 3)], key=str)
+
+
+def test_more_fingerprints_link_more(spark):
+    """Rows are one group if any kind of fingerprint links them; groups over several kinds by brute force."""
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    base = [[rnd.choice("abcdefghijklmnop") + str(rnd.randint(0, 60)) for _ in range(150)] for _ in range(12)]
+    docs = []
+    for words in base:
+        for _ in range(6):
+            copy = list(words)
+            for i in rnd.sample(range(150), rnd.randint(0, 6)):
+                copy[i] = f"z{rnd.randint(0, 999)}"
+            docs.append((len(docs), " ".join(copy)))
+    docs += [(200, None), (201, ""), (None, docs[3][1]), (3, docs[3][1])]
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, fp1 string")
+    sizes = []
+    for prints in (1, 2, 3):
+        fps = simhash.fingerprints_of(pa.chunked_array([[t for _, t in docs]]), 3, prints)
+        group = list(range(len(docs)))
+        for i in range(len(docs)):
+            for j in range(i):
+                if any((int(f[i]) ^ int(f[j])).bit_count() <= 3 for f in fps) and group[i] != group[j]:
+                    low, high = sorted((group[i], group[j]))
+                    group = [low if g == high else g for g in group]
+        least = {g: min((docs[i][0] for i in range(len(docs)) if group[i] == g and docs[i][0] is not None), default=None) for g in group}
+        want = sorted((str(docs[i][0]), least[group[i]]) for i in range(len(docs)))
+        assert sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicate_groups(df, prints=prints).collect()) == want
+        sizes.append(len(set(group)))
+    assert sizes[0] > sizes[1] >= sizes[2]
