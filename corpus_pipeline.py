@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each over all that its predecessor kept.
 
 1. quality classifier: documents that score below 0.3 go;
-2. SimHash near-dedup: of each group of near copies the row with the smallest id stays;
+2. SimHash near-dedup: of each group of near copies, linked by either of two fingerprints, the row with the smallest id stays;
 3. suffix-array dedup: every byte covered by a 50-byte string that also starts in a document
    with a smaller id goes, and what is left of code points that this cuts (the document stays,
    with an empty text if nothing is left);
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     key = ["doc_id", "_text"]
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
-    found = simhash.near_duplicate_groups(rows, carry=["_text"]).where("doc_id IS NOT NULL")
+    found = simhash.near_duplicate_groups(rows, carry=["_text"], prints=2).where("doc_id IS NOT NULL")
     groups = staged(found.select("doc_id", "carried._text", "component", "component_id"), "copies")
     again = groups.where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("_text").alias("_first"), F.count("*").alias("n")).where("n > 1")
     later = groups.join(again, ["doc_id", "component"]).where("_text <> _first")
