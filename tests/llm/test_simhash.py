@@ -7,15 +7,27 @@ from cardloom.llm import simhash
 from cardloom.llm.components import connected_components
 
 
-def brute_fp(text, k=3):
+def brute_mix(h, kind):
+    """The hash for the fingerprint of another kind, in plain integers."""
+    m = (1 << 64) - 1
+    h = h + kind & m
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & m
+    h = (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 & m
+    return h ^ h >> 32
+
+
+def brute_fp(text, k=3, kind=0):
     words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
     shingles = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [b" ".join(words)] if words else []
     hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    hs = [brute_mix(h, kind) for h in hs] if kind else hs
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
 
-def brute(docs):
+def brute(docs, prints=1):
+    """Groups over links of any kind of fingerprint."""
     fps = {d: brute_fp(t) for d, t in docs}
+    more = {d: [brute_fp(t, kind=kind) for kind in range(1, prints)] for d, t in docs}
     out = {}
     for d in fps:
         if d in out:
@@ -24,7 +36,7 @@ def brute(docs):
         while todo:
             x = todo.pop()
             for y in fps:
-                if y not in seen and (fps[x] ^ fps[y]).bit_count() <= 3:
+                if y not in seen and any((a ^ b).bit_count() <= 3 for a, b in zip([fps[x], *more[x]], [fps[y], *more[y]], strict=True)):
                     seen.add(y)
                     todo.append(y)
         out |= dict.fromkeys(seen, min(seen))
