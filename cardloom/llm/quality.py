@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, raw_bytes, small_batches, span_hashes, text_chunks, tidy, word_bounds
+from .common import IS_SPACE, LOWER, U64, give_back, ids_and_texts, mixed, raw_bytes, small_batches, span_hashes, text_chunks, tidy, word_bounds
 
 BITS = 18
 SLICE = 250  # sample texts whose features are made at once
@@ -158,7 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     fit_in = sizes.withColumn("_upto", F.sum("_size").over(Window.orderBy(*place))).where(F.col("_upto") <= sample_bytes).select("_id", "_label")
     sample = rows.join(F.broadcast(fit_in), rows.doc_id == F.col("_id")).groupBy("_id").agg(F.max("_label").alias("label"), F.min("text").alias("text")).orderBy(*place)
     table = sample.select("label", "text").toArrow()
-    return fit(table.column("text").combine_chunks(), np.asarray(table.column("label").combine_chunks()).astype(np.int64))
+    model = fit(table.column("text").combine_chunks(), np.asarray(table.column("label").combine_chunks()).astype(np.int64))
+    del table
+    give_back()  # the driver goes on after this
+    return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
