@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lm", "simhash", "tokens_output", "bpe", "sharding", "warc", "sketch", "quality", "suffixes", "decontaminate")
+MODULES = ("lm", "simhash", "tokens_output", "bpe", "sharding", "warc", "sketch", "quality", "suffixes", "decontaminate", "repair", "chat", "whitening")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
