@@ -6,6 +6,7 @@ Order is data: ``seq`` settles every tie.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import fields as f
 from ..functions import scrub as sc
+from ..functions.patterns import literals_of
+from .containment import pairs
 
 
 def union_sources(tables: dict[str, DataFrame], enabled: dict[str, bool] | None = None) -> DataFrame:
@@ -87,18 +90,67 @@ def match_rules(df: DataFrame, clusters=rules.CLUSTERS) -> DataFrame:
     return df.withColumn("cluster", key)
 
 
+#: Rules of a table that need no certain string, and so are tried on every title; more are an error.
+LOOSE_RULES = 200
+
+
+def match_rule_table(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds cluster, rule and rewrite, of the rule with the smallest (rule, key) whose pattern the lower-case title
+    matches without its exclusion; else nulls.
+
+    table: rule (its priority), key, match, exclude (or null), rewrite (or null); patterns are of lower-case texts. Thousands
+    of rules are no chain of conditions: a rule meets the distinct titles that have a string which its pattern needs, one
+    for each of its alternatives, and only then are the patterns tried. A null title counts as empty, a null key or pattern
+    is no rule.
+    """
+    low = F.lower(f.text_of(F.col("title")))
+    known = table.where("key IS NOT NULL AND match IS NOT NULL").select("rule", "key", "match", "exclude", "rewrite").withColumn("_needed", literals_of("match"))
+    titles = df.select(low.alias("_low")).distinct()
+    loose = known.where("_needed IS NULL").drop("_needed").orderBy("rule", "key").limit(LOOSE_RULES + 1).collect()
+    if len(loose) > LOOSE_RULES:
+        raise ValueError(f"more than {LOOSE_RULES} rules have alternatives that need no certain string")
+    keyed = known.select("rule", "key", "match", "exclude", "rewrite", F.explode("_needed").alias("needle"))
+    c = F.col
+    hits = lambda match, exclude: F.rlike("_low", match) & ~F.coalesce(F.rlike("_low", exclude), F.lit(False))
+    best = F.min(F.struct("rule", "key", "rewrite")).alias("_best")
+    found = pairs(titles, "_low", keyed, "needle", carry=("_low",)).join(keyed, "needle").where(hits(c("match"), c("exclude"))).groupBy("_low").agg(best)
+    if loose:
+        first = F.lit(None)
+        kinds = table.schema
+        for r in reversed(loose):
+            this = F.struct(F.lit(r.rule).cast(kinds["rule"].dataType).alias("rule"), F.lit(r.key).alias("key"), F.lit(r.rewrite).cast("string").alias("rewrite"))
+            first = F.when(hits(F.lit(r.match), F.lit(r.exclude).cast("string")), this).otherwise(first)
+        more = titles.select("_low", first.alias("_best")).where("_best IS NOT NULL")
+        found = found.unionByName(more).groupBy("_low").agg(F.min("_best").alias("_best"))
+    rows = df.withColumn("_title", low).join(found, c("_title") == c("_low"), "left")
+    return rows.withColumns({"cluster": c("_best.key"), "rule": c("_best.rule"), "rewrite": c("_best.rewrite")}).drop("_title", "_low", "_best")
+
+
 def fold_events(df: DataFrame, by: list[str], clusters=rules.CLUSTERS) -> DataFrame:
     """One card for each cluster: the most substantial snippet (ties: first), in the first member's place, under the
     cluster's headline. Other cards pass. position orders the result."""
-    names = df.columns
-    marked = match_rules(df, clusters).withColumn("_substance", sc.substance(F.col("snippet")))
+    headline = F.col("title")
+    for name, _, _, text in clusters:
+        headline = F.when(F.col("cluster") == name, text).otherwise(headline)
+    return fold_matched(match_rules(df, clusters), df.columns, by, headline)
+
+
+def fold_by_table(df: DataFrame, by: list[str], table: DataFrame, rewrite: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The same under a table of rules, see ``match_rule_table``. ``rewrite`` makes the headline of the representative's
+    title and the rule's text; without it that is the text, or the title where the rule has none. Headlines are scrubbed."""
+    made = rewrite or (lambda title, text: F.coalesce(text, title))
+    return fold_matched(match_rule_table(df, table), df.columns, by, sc.scrub(made(F.col("title"), F.col("rewrite")), 200), ["rewrite"])
+
+
+def fold_matched(marked: DataFrame, names: list[str], by: list[str], headline: Column, more: list[str] = ()) -> DataFrame:
+    """Cards (names, cluster, and columns ``more`` that the headline reads) folded by cluster."""
+    marked = marked.withColumn("_substance", sc.substance(F.col("snippet")))
     plain = marked.where("cluster IS NULL").select(*names, "cluster", F.col("seq").alias("position"))
     best = F.struct(F.col("_substance").isNotNull(), "_substance", -F.col("seq"))
-    folded = marked.where("cluster IS NOT NULL").groupBy(*by, "cluster").agg(F.max_by(F.struct(*names), best).alias("_row"), F.min("seq").alias("position"))
-    folded = folded.select(*[F.col(f"_row.{c}").alias(c) for c in names], "cluster", "position")
-    for name, _, _, headline in clusters:
-        folded = folded.withColumn("title", F.when(F.col("cluster") == name, headline).otherwise(F.col("title")))
-    return plain.unionByName(folded)
+    held = [*names, *more]
+    folded = marked.where("cluster IS NOT NULL").groupBy(*by, "cluster").agg(F.max_by(F.struct(*held), best).alias("_row"), F.min("seq").alias("position"))
+    folded = folded.select(*[F.col(f"_row.{c}").alias(c) for c in held], "cluster", "position").withColumn("title", headline)
+    return plain.unionByName(folded.drop(*more))
 
 
 def recency_gate(df: DataFrame, day_start: Column) -> DataFrame:

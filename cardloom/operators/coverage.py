@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields as f
+from .containment import pairs
 
 RUN = ("run",)
-#: Aliases that are searched in one pass, and bytes of them that are broadcast.
-ALIASES, ALIAS_BYTES = 1000, 1 << 20
 
 
 def board_states(membership: DataFrame, returned: DataFrame, recovered: DataFrame | None = None, by=RUN) -> DataFrame:
@@ -61,23 +60,11 @@ def coverage(boards: DataFrame, sources: DataFrame, claims: DataFrame, by=RUN) -
 def alias_hits(aliases: DataFrame, texts: DataFrame, by=RUN) -> DataFrame:
     """(by, name): names of which some alias occurs in some text of the run, case and all.
 
-    aliases: name, alias, the same for all runs; texts: by, text; nulls and empty aliases hit nothing.
-    Blocks of aliases, bounded in number and bytes, are broadcast to where the texts are; beyond one
-    block the texts, staged by the caller or a table, are read once a block. Hits are made distinct
-    before they are shuffled.
+    aliases: name, alias, the same for all runs; texts: by, text; nulls and empty aliases hit nothing. A text is run
+    through once for all aliases, see ``containment``.
     """
-    rows = aliases.where("alias <> '' AND name IS NOT NULL").select("name", "alias").distinct()
-    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("alias") + F.octet_length("name"))).first()
-    blocks = max(-(-n // ALIASES), -(-(size or 0) // ALIAS_BYTES), 1)
-    found = None
-    for k in range(blocks):
-        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == k)
-        own = block.agg(F.collect_list(F.struct("name", "alias")).alias("own"))
-        hit = texts.select(*by, "text").join(F.broadcast(own), F.lit(True))
-        names = F.array_distinct(F.transform(F.filter("own", lambda a: F.contains(F.col("text"), a["alias"])), lambda a: a["name"]))
-        part = hit.select(*by, F.explode(names).alias("name")).distinct()
-        found = part if found is None else found.unionByName(part).distinct()
-    return found
+    rows = aliases.where("alias <> '' AND name IS NOT NULL").select("name", F.col("alias").alias("needle")).distinct()
+    return pairs(texts, "text", rows, "needle", carry=tuple(by)).join(rows, "needle").select(*by, "name").distinct()
 
 
 def company_states(roster: DataFrame, no_news: DataFrame, states: DataFrame, hits: DataFrame, by=RUN) -> DataFrame:
@@ -101,28 +88,17 @@ def collector_diagnostics(failures: DataFrame, by=RUN) -> DataFrame:
     return failures.groupBy(*by, "provider", "kind").agg(F.count("*").alias("failures"), F.array_sort(F.collect_set("file")).alias("files"))
 
 
-def _grams(text, q: int):
-    """All runs of q characters of a text, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
-
-
-def drop_overlaps(misses: DataFrame, claims: DataFrame, run: str = "run", gram: int = 4) -> DataFrame:
+def drop_overlaps(misses: DataFrame, claims: DataFrame, run: str = "run") -> DataFrame:
     """Misses (run, name) that no claim of their run contains and that share no distinctive Latin token with one.
 
-    A name that is contained has its first ``gram`` characters in the claim: claims and names of a run meet
-    on those, and only then are compared whole; shorter names meet runs of their own length. An empty or null name overlaps nothing.
+    Names meet the claims of their run on their rarest gram, see ``containment``; an empty or null name overlaps nothing.
     """
     named = misses.withColumn("_name", F.trim(F.coalesce("name", F.lit(""))))
     tokens = claims.select(run, F.explode(f.latin_tokens(F.col("claim"))).alias("_token")).distinct()
     shared = named.select(run, "_name", F.explode(f.latin_tokens(F.col("_name"))).alias("_token")).join(tokens, [run, "_token"], "left_semi").select(run, "_name").distinct()
     left = named.join(shared, [run, "_name"], "left_anti")
-    texts = claims.select(run, F.trim(F.regexp_replace("claim", "\\s+", " ")).alias("_claim")).where("_claim <> ''").distinct()
-    names = left.where("_name <> ''").select(run, "_name").distinct().withColumn("_gram", F.substring("_name", 1, gram))
-    keys = names.select(run, "_gram").distinct()
-    # of the claims' runs only those that some name begins with go on, before the texts are carried along
-    sizes = F.flatten(F.array(*[_grams(F.col("_claim"), q) for q in range(1, gram + 1)]))
-    near = texts.withColumn("_gram", F.explode(sizes)).join(keys, [run, "_gram"], "left_semi")
-    inside = names.join(near, [run, "_gram"]).where(F.contains("_claim", "_name")).select(run, "_name").distinct()
+    texts = claims.select(run, F.trim(F.regexp_replace("claim", "\\s+", " ")).alias("_claim"))
+    inside = pairs(texts, "_claim", left.select(run, "_name"), "_name", by=(run,)).withColumnRenamed("needle", "_name")
     return left.join(inside, [run, "_name"], "left_anti").drop("_name")
 
 

@@ -120,6 +120,34 @@ def substance_scores(spark, sf):
     return view(spark, sf, "cards").select("seq", sc.substance(F.col("snippet")).alias("substance"))
 
 
+# a rule for each word that a title begins with: some want more, some have a second alternative, some exclude, some need no certain string
+_rule_words = """SELECT CAST(min(seq) AS BIGINT) AS rule, word FROM (SELECT seq, lower(regexp_extract(title, '^[^ .,!?;:()*+|^$-]+', 0)) AS word FROM cards) w WHERE length(word) >= 2 AND instr(word, chr(123)) + instr(word, chr(91)) + instr(word, chr(92)) + instr(word, chr(125)) + instr(word, chr(93)) = 0 GROUP BY word"""
+_rule_table = """SELECT rule, 'w:' || word AS key, CASE rule % 4 WHEN 0 THEN word || '.*gpt' WHEN 1 THEN 'zz' || CAST(rule AS STRING) || '|' || word || '|115 +api' WHEN 2 THEN word || '.*(?:token|llm)' ELSE CASE WHEN rule % 16 = 3 THEN '(?:' || word || '|zzyzx) ' ELSE word END END AS match,
+    CASE WHEN rule % 3 = 0 THEN 'token|password' END AS exclude, CASE WHEN rule % 5 > 0 THEN 'Event: ' || word END AS rewrite FROM ({words}) r"""
+
+
+def rule_table(spark, sf):
+    words = spark.sql(_rule_words.replace("FROM cards", "FROM {cards}"), cards=view(spark, sf, "cards"))
+    return spark.sql(_rule_table.replace("({words})", "{words}"), words=words)
+
+
+_ruled = f"""t AS ({_rule_table.replace('STRING', 'VARCHAR').format(words=_rule_words)}),
+    h AS (SELECT c.seq, min({{'rule': t.rule, 'key': t.key, 'rewrite': t.rewrite}}) AS best FROM cards c JOIN t ON regexp_matches(lower(c.title), t.match) AND NOT coalesce(regexp_matches(lower(c.title), t.exclude), false) GROUP BY 1)"""
+
+
+@P.add("rule_table_match", f"WITH {_ruled} SELECT c.seq, h.best.rule AS rule, h.best.key AS cluster, h.best.rewrite AS rewrite FROM cards c LEFT JOIN h ON h.seq = c.seq")
+def rule_table_match(spark, sf):
+    return op.match_rule_table(view(spark, sf, "cards"), rule_table(spark, sf)).select("seq", "rule", "cluster", "rewrite")
+
+
+@P.add("rule_table_fold", f"""WITH {_ruled}, m AS (SELECT c.*, h.best.key AS cluster, h.best.rewrite AS rewrite, {t.substance('c.snippet')} AS s FROM cards c LEFT JOIN h ON h.seq = c.seq),
+    r AS (SELECT *, row_number() OVER (PARTITION BY day_no, cluster ORDER BY s IS NULL, s DESC, seq) AS rn, min(seq) OVER (PARTITION BY day_no, cluster) AS first_seq FROM m)
+    SELECT day_no, seq, cluster, CASE WHEN cluster IS NULL THEN title ELSE {t.scrub("coalesce(rewrite, 'Several: ' || title)", 200)} END AS title, CASE WHEN cluster IS NULL THEN seq ELSE first_seq END AS position FROM r WHERE cluster IS NULL OR rn = 1""")
+def rule_table_fold(spark, sf):
+    headline = lambda title, text: F.coalesce(text, F.concat(F.lit("Several: "), title))
+    return op.fold_by_table(view(spark, sf, "cards"), ["day_no"], rule_table(spark, sf), headline).select("day_no", "seq", "cluster", "title", "position")
+
+
 _headline = "CASE cluster " + " ".join(f"WHEN '{k}' THEN {t.q(h)}" for k, _, _, h in rules.CLUSTERS) + " ELSE title END"
 
 
