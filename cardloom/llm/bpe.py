@@ -16,10 +16,13 @@ gone takes with it all that would have entered through it later; with arcs numbe
 of "enters through", siblings by age, an arc and all that it takes along are one interval. A state's row
 is the list of intervals that it lacks: what its right part lacked when it was made, and one for each gadget that
 took an arc from it. 50,000 merges make some 10^6 intervals, where 50,000 x 50,000 arcs would
-be no table. A transition is a binary search in the row; labels are spelled by a byte trie in a hashed table.
+be no table. A transition is a binary search in the row; labels are spelled by a byte trie in a hashed table, whose nodes have
+failure links (the longest end of the node's bytes that is a node too) and links to the next shorter token that ends there.
 
-Pre-split pieces of equal length go through the tables together (numpy); decoding emits the
-labels of the arcs.
+Encoding takes one step a byte: on along the trie, over failure links where need be, and among the tokens that end
+at the new node, from the longest down, the one that the state before it has an arc for. There is one such token
+for each place, since the automaton is deterministic, so a place keeps one token, whatever the piece's length. Pre-split
+pieces of equal length go through the tables together (numpy), few or long ones each alone; decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ from .common import ids_and_texts, kept, small_batches, text_chunks, tidy
 from .presplit import PieceEncoder, Vocabulary
 
 
+#: Pieces of one length that are worth a step of numpy for each byte.
+TOGETHER = 32
+
+
 class Arcs:
     """The compiled transitions: which arcs (tokens) each state (token) has."""
 
@@ -106,6 +113,7 @@ class Arcs:
 class Automaton:
     def __init__(self, vocabulary: Vocabulary):
         self.added = vocabulary.added
+        self.plain = None
         size = max(vocabulary.label) + 1
         self.size = size
         self.arcs = Arcs(size, vocabulary.merges)
@@ -126,6 +134,22 @@ class Automaton:
                     token.append(-1)
             token[node] = i
         self.token = np.array(token, np.int32)
+        # by depth: a node's failure link is that of the node before it, taken on by the same byte
+        fail = [0] * len(nodes)
+        upper = [(0, b, n) for b, n in nodes[0].items()]
+        shorter = [0] * len(nodes)  # the longest proper end of a node that is a token
+        while upper:
+            lower = []
+            for parent, b, node in upper:
+                link = fail[parent]
+                while parent and link and b not in nodes[link]:
+                    link = fail[link]
+                link = nodes[link].get(b, 0) if parent else 0
+                fail[node] = link
+                shorter[node] = link if token[link] >= 0 else shorter[link]
+                lower += [(node, c, n) for c, n in nodes[node].items()]
+            upper = lower
+        self.fail, self.shorter = np.array(fail, np.int32), np.array(shorter, np.int32)
         # the trie by (node, byte), hashed with linear probing; at most a fifth of it is filled
         self.arc_key = np.full(1 << max(8, (5 * len(nodes)).bit_length()), -1, np.int32)
         self.arc_to = np.zeros(len(self.arc_key), np.int32)
@@ -160,27 +184,33 @@ class Automaton:
     def _same_length(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces of one length: a matrix filled from the right with -1 before, and the counts."""
         n, size = rows.shape
+        spans = np.diff(self.label_at)
         last = np.full((size + 1, n), -1, np.int32)
-        for s in range(size):
+        node = np.zeros(n, np.int64)
+        for e in range(size):
+            byte = rows[:, e]
+            to = self.goto(node, byte)
+            todo = np.flatnonzero((to == 0) & (node > 0))
+            while len(todo):
+                node[todo] = self.fail[node[todo]]
+                to[todo] = self.goto(node[todo], byte[todo])
+                todo = todo[(to[todo] == 0) & (node[todo] > 0)]
+            node = to.astype(np.int64)
+            at = np.where(self.token[node] >= 0, node, self.shorter[node])
             who = np.arange(n)
-            node = np.zeros(n, np.int64)
-            for e in range(s, size):
-                node = self.goto(node, rows[who, e]).astype(np.int64)
-                on = node > 0
-                if not on.all():
-                    who, node = who[on], node[on]
-                if not len(who):
-                    break
-                token = self.token[node]
-                can = np.flatnonzero(token >= 0)
-                if s and len(can):
-                    can = can[self.arcs.has(last[s, who[can]], token[can])]
-                last[e + 1, who[can]] = token[can]
+            while len(who):
+                token = self.token[at[who]]
+                begin = e + 1 - spans[token]
+                fits = begin == 0
+                inner = np.flatnonzero(~fits)
+                fits[inner] = self.arcs.has(last[begin[inner], who[inner]], token[inner])
+                last[e + 1, who[fits]] = token[fits]
+                who = who[~fits]
+                at[who] = self.shorter[at[who]]
         out = np.full((n, size), -1, np.int32)
         count = np.zeros(n, np.int64)
         end = np.full(n, size)
         who = np.arange(n)
-        spans = np.diff(self.label_at)
         while len(who):
             token = last[end[who], who]
             count[who] += 1
@@ -189,6 +219,45 @@ class Automaton:
             who = who[end[who] > 0]
         return out, count
 
+    def _alone(self, piece: bytes) -> list[int]:
+        """Ids of one piece, by the same steps; transitions that were looked up are remembered, up to a bound."""
+        if self.plain is None:
+            full = self.arc_key >= 0
+            arcs = dict(zip(self.arc_key[full].tolist(), self.arc_to[full].tolist(), strict=True))
+            self.plain = arcs, self.fail.tolist(), self.shorter.tolist(), self.token.tolist(), np.diff(self.label_at).tolist(), {}
+        arcs, fail, shorter, tokens, spans, known = self.plain
+        if len(known) > 1 << 19:
+            known.clear()
+        size = self.size
+        last = array("i", [-1]) * (len(piece) + 1)
+        node = 0
+        for e, byte in enumerate(piece, 1):
+            to = arcs.get(node << 8 | byte)
+            while to is None and node:
+                node = fail[node]
+                to = arcs.get(node << 8 | byte)
+            node = at = to or 0
+            if tokens[at] < 0:
+                at = shorter[at]
+            while True:
+                token = tokens[at]
+                begin = e - spans[token]
+                if not begin:
+                    break
+                key = last[begin] * size + token
+                fits = known.get(key)
+                if fits is None:
+                    fits = known[key] = bool(self.arcs.has(np.array([last[begin]]), np.array([token]))[0])
+                if fits:
+                    break
+                at = shorter[at]
+            last[e] = token
+        out, end = [], len(piece)
+        while end:
+            out.append(last[end])
+            end -= spans[last[end]]
+        return out[::-1]
+
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces in order, and how many each has."""
         raw = [p.encode() for p in pieces]
@@ -205,6 +274,12 @@ class Automaton:
             lens[special] = 0
         for size in np.unique(lens[lens > 0]).tolist():
             who = np.flatnonzero(lens == size)
+            if len(who) < TOGETHER:
+                for w in who.tolist():
+                    ids = np.array(self._alone(raw[w]), np.int32)
+                    counts[w] = len(ids)
+                    done.append((np.array([w]), ids))
+                continue
             step = max(1, 1_000_000 // max(size, 20))
             for a in range(0, len(who), step):
                 w = who[a : a + step]

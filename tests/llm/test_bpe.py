@@ -1,4 +1,6 @@
+import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -152,3 +154,44 @@ def test_layout_of_token_files(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id)" in some._jdf.queryExecution().executedPlan().toString()
     assert {r.doc_id: len(r.ids) for r in some.collect()} == {d: starts[d][1] for d in range(1500, 1504)}
     assert all(starts[d + 1][0] == starts[d][0] + starts[d][1] for d in range(2999))
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.automaton(PATH)[1]
+
+
+def test_one_long_piece_is_read_in_one_pass(tokenizer, encoder):
+    """Pieces of one kind of character, as rules of dashes and lines of base64 are: a step a byte, whatever their tokens' length."""
+    rng = random.Random(8)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(20_000))
+    for text in ("-" * 20_000, "a" * 100_000, "=" * 777, "の" * 5_000, letters, "-=" * 3_000, "1" * 4_000, " " * 3_000, "x" + " \n" * 500):
+        begin = time.perf_counter()
+        ids, counts = encoder([text])
+        took = time.perf_counter() - begin
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+        assert took < 10, (text[:5], took)
+
+
+def test_alone_and_together_agree():
+    compiled = bpe.automaton(PATH)[0]
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice(" aetho-1é汉") for _ in range(12)).encode()[:12] for _ in range(200)]
+    for size in {len(p) for p in pieces}:
+        own = [p for p in pieces if len(p) == size]
+        ids, counts = compiled._same_length(np.array([list(p) for p in own], np.uint8))
+        assert [row[row >= 0].tolist() for row in ids] == [compiled._alone(p) for p in own]
+
+
+def test_queries_over_documents_against_the_library(spark, sf, tokenizer):
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    ids = {d: tokenizer.encode(t, add_special_tokens=False).ids for d, t in docs}
+    raw = lambda x: b"".join(i.to_bytes(4, "little") for i in x)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op4_bpe_round_trip(spark, sf).collect()}
+    assert got == {d: (len(x), hashlib.sha256(raw(x)).hexdigest(), hashlib.sha256(tokenizer.decode(x, skip_special_tokens=False).encode()).hexdigest()) for d, x in ids.items()}
+    start, want = 0, {}
+    for d, _ in docs:
+        own = [*ids[d], 2]
+        want[d] = (start, len(own), zlib.crc32(raw(own)))
+        start += len(own)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokens_output.op3_token_id_output(spark, sf).collect()} == want
