@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, U64, give_back, ids_and_texts, mixed, raw_bytes, small_batches, span_hashes, text_chunks, tidy, word_bounds
+from .common import IS_SPACE, LOWER, U64, ids_and_texts, mixed, raw_bytes, small_batches, span_hashes, text_chunks, tidy, word_bounds
 
 BITS = 18
 SLICE = 250  # sample texts whose features are made at once
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     those in that order whose texts sum to at most ``sample_bytes``.
 
     Labels and ids that are null are ignored; of several labels or rows of one id the largest
-    label and the first text in order count. Only the sample's texts reach the driver.
+    label and the first text in order count. The sample meets in one task; only the weights reach the driver.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out("_id"))
     known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
@@ -156,12 +156,23 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     # sizes first: sample_rows small rows in one window
     sizes = rows.join(F.broadcast(chosen), rows.doc_id == F.col("_id")).groupBy("_id", "_label").agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0)).cast("long").alias("_size"))
     fit_in = sizes.withColumn("_upto", F.sum("_size").over(Window.orderBy(*place))).where(F.col("_upto") <= sample_bytes).select("_id", "_label")
-    sample = rows.join(F.broadcast(fit_in), rows.doc_id == F.col("_id")).groupBy("_id").agg(F.max("_label").alias("label"), F.min("text").alias("text")).orderBy(*place)
-    table = sample.select("label", "text").toArrow()
-    model = fit(table.column("text").combine_chunks(), np.asarray(table.column("label").combine_chunks()).astype(np.int64))
-    del table
-    give_back()  # the driver goes on after this
-    return model
+    sample = rows.join(F.broadcast(fit_in), rows.doc_id == F.col("_id")).groupBy("_id").agg(F.max("_label").alias("label"), F.min("text").alias("text"))
+    one = sample.repartition(1).sortWithinPartitions(*place).select("label", "text")
+    found = one.mapInArrow(_fitted, "weights binary, bias double, slope double, shift double").collect()
+    if not found:
+        return fit(pa.array([], pa.string()), np.zeros(0, np.int64))
+    return Model(np.frombuffer(found[0].weights, float), found[0].bias, found[0].slope, found[0].shift)
+
+
+@tidy
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (label, text) of a partition, as one row."""
+    held = list(batches)
+    if sum(b.num_rows for b in held):
+        table = pa.Table.from_batches(held)
+        del held
+        model = fit(table.column("text").combine_chunks(), np.asarray(table.column("label").combine_chunks()).astype(np.int64))
+        yield pa.record_batch({"weights": pa.array([np.asarray(model.weights, float).tobytes()], pa.binary()), "bias": pa.array([float(model.bias)]), "slope": pa.array([float(model.slope)]), "shift": pa.array([float(model.shift)])})
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
