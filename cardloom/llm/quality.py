@@ -141,12 +141,12 @@ def held_out(id_col: str = "doc_id", of: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000, sample_bytes: int = 48 << 20) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows outside the held-out fifth, chosen by a hash of their id, of which
-    those in that order whose texts sum to at most ``sample_bytes``.
+def sampled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000, sample_bytes: int = 48 << 20) -> DataFrame:
+    """(label, text) of at most ``sample_rows`` labelled rows outside the held-out fifth, chosen by a hash of their id, of
+    which those in that order whose texts sum to at most ``sample_bytes``; one partition, in that order.
 
     Labels and ids that are null are ignored; of several labels or rows of one id the largest
-    label and the first text in order count. The sample meets in one task; only the weights reach the driver.
+    label and the first text in order count.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out("_id"))
     known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
@@ -157,8 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     sizes = rows.join(F.broadcast(chosen), rows.doc_id == F.col("_id")).groupBy("_id", "_label").agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0)).cast("long").alias("_size"))
     fit_in = sizes.withColumn("_upto", F.sum("_size").over(Window.orderBy(*place))).where(F.col("_upto") <= sample_bytes).select("_id", "_label")
     sample = rows.join(F.broadcast(fit_in), rows.doc_id == F.col("_id")).groupBy("_id").agg(F.max("_label").alias("label"), F.min("text").alias("text"))
-    one = sample.repartition(1).sortWithinPartitions(*place).select("label", "text")
-    found = one.mapInArrow(_fitted, "weights binary, bias double, slope double, shift double").collect()
+    return sample.repartition(1).sortWithinPartitions(*place).select("label", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000, sample_bytes: int = 48 << 20) -> Model:
+    """The model fitted on ``sampled``, in one task; only the weights reach the driver."""
+    sample = sampled(docs, labels, label_col, id_col, text_col, sample_rows, sample_bytes)
+    found = sample.mapInArrow(_fitted, "weights binary, bias double, slope double, shift double").collect()
     if not found:
         return fit(pa.array([], pa.string()), np.zeros(0, np.int64))
     return Model(np.frombuffer(found[0].weights, float), found[0].bias, found[0].slope, found[0].shift)

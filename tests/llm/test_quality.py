@@ -83,14 +83,10 @@ def test_ratios_scores_and_repeated_labels(spark):
     assert min(s for i, s in got if i in (7, 59)) > max(s for i, s in got if i in (0, 58))
 
 
-def test_the_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
     docs = spark.createDataFrame([(k, f"w{k} " * 100) for k in range(40)] + [(40, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(41)], "doc_id long, quality int")
-    seen = []
-    monkeypatch.setattr(quality, "fit", lambda texts, y: seen.append(texts.to_pylist()))
-    quality.train(docs, labels)
-    quality.train(docs, labels, sample_rows=10)
-    quality.train(docs, labels, sample_bytes=2000)
-    whole, few, small = seen
+    texts = lambda **bound: [r.text for r in quality.sampled(docs, labels, **bound).collect()]
+    whole, few, small = texts(), texts(sample_rows=10), texts(sample_bytes=2000)
     assert len(whole) > 25 and few == whole[:10] and 0 < len(small) < 8 and small == whole[: len(small)]
     assert sum(len(t or "") for t in small) <= 2000 < sum(len(t or "") for t in whole[: len(small) + 1])
