@@ -1,4 +1,4 @@
-"""What a regular expression needs: strings without one of which it can't match."""
+"""What a regular expression needs: strings without which it can't match."""
 
 from __future__ import annotations
 
@@ -7,78 +7,104 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def alternatives(pattern: str) -> list[list[str]]:
-    """The runs of plain characters that every match of each top-level alternative has, in the order of the pattern.
+def _class_end(pattern: str, k: int) -> int:
+    """The place of the bracket that ends the class that begins at k."""
+    k += 1
+    k += pattern[k : k + 1] == "^"
+    k += pattern[k : k + 1] == "]"
+    while k < len(pattern) and pattern[k] != "]":
+        k += 2 if pattern[k] == "\\" else 1
+    return k
 
-    Groups, classes and what a quantifier may leave out break a run and count for nothing; so does an escape
-    that isn't of a sign. What is within a group needs no care: it's left out whole.
+
+def _group_end(pattern: str, k: int) -> int:
+    depth = 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "[":
+            k = _class_end(pattern, k)
+        elif c == "\\":
+            k += 1
+        else:
+            depth += (c == "(") - (c == ")")
+            if not depth:
+                break
+        k += 1
+    return k
+
+
+def _optional(pattern: str, k: int) -> bool:
+    """Whether the quantifier at k, if there is one, allows none."""
+    return pattern[k : k + 1] in ("?", "*") and pattern[k : k + 1] != "" or pattern[k : k + 1] == "{" and pattern[k + 1 :].split("}")[0].split(",")[0].strip() in ("", "0")
+
+
+def requirements(pattern: str) -> list[list[frozenset[str]]]:
+    """For each top-level alternative, in lower case: sets of strings of each of which all its matches have one.
+
+    A run of plain characters is such a set of its own, a group that can't be left out one of a string for each of its
+    alternatives. Classes, what a quantifier may leave out, look-arounds and escapes of more than a sign count for nothing.
     """
-    out: list[list[str]] = [[""]]
-    k, n = 0, len(pattern)
+    out: list[list[frozenset[str]]] = [[]]
+    run, k, n = "", 0, len(pattern)
+
+    def ended() -> str:
+        if run:
+            out[-1].append(frozenset([run.lower()]))
+        return ""
+
     while k < n:
         c = pattern[k]
-        last, was = out[-1], False
+        literal = None
         if c == "|":
-            out.append([""])
+            run = ended()
+            out.append([])
         elif c == "[":
-            k += 2 if pattern[k + 1 : k + 2] in ("]", "^") else 1
-            while k < n and pattern[k] != "]":
-                k += 2 if pattern[k] == "\\" else 1
-            last.append("")
+            run = ended()
+            k = _class_end(pattern, k)
         elif c == "(":
-            depth = 0
-            while k < n:
-                inside = pattern[k]
-                if inside == "\\":
-                    k += 1
-                elif inside == "[":
-                    k += 2 if pattern[k + 1 : k + 2] in ("]", "^") else 1
-                    while k < n and pattern[k] != "]":
-                        k += 2 if pattern[k] == "\\" else 1
-                else:
-                    depth += (inside == "(") - (inside == ")")
-                    if not depth:
-                        break
-                k += 1
-            last.append("")
-        elif c in ".^$":
-            last.append("")
-        elif c in "?*":
-            last[-1] = last[-1][:-1]
-            last.append("")
-        elif c == "+":
-            last.append("")
-        elif c == "{":
-            end = pattern.find("}", k)
-            if pattern[k + 1 : end].split(",")[0].strip() in ("", "0"):
-                last[-1] = last[-1][:-1]
-            last.append("")
-            k = end if end > 0 else n
+            run = ended()
+            end = _group_end(pattern, k)
+            inside = pattern[k + 1 : end]
+            if not inside.startswith("?") or inside.startswith("?:"):
+                inner = requirements(inside.removeprefix("?:"))
+                if all(inner) and not _optional(pattern, end + 1):
+                    out[-1].append(frozenset().union(*[max(x, key=_weight) for x in inner]))
+            k = end
+        elif c in ".^$?*+{":
+            run = ended()
+            k = max(pattern.find("}", k), k) if c == "{" else k
         elif c == "\\":
             k += 1
             if k < n and not pattern[k].isalnum():
-                was, c = True, pattern[k]
+                literal = pattern[k]
             else:
-                last.append("")
-                if pattern[k : k + 1] in ("x", "u", "p", "P", "0", "c", "k"):  # a code, a class or a name: what belongs to it is skipped
-                    if pattern[k + 1 : k + 2] == "{":
-                        k = max(pattern.find("}", k), k)
-                    elif pattern[k : k + 1] in ("x", "u"):
-                        k += 2 if pattern[k] == "x" else 4
-                    else:
-                        return [[]]
+                run = ended()
+                c = pattern[k : k + 1]
+                if c in ("0", "c", "k", "Q"):
+                    return [[]]  # nothing is said of such patterns
+                if c in ("x", "u", "p", "P"):
+                    k = max(pattern.find("}", k), k) if pattern[k + 1 : k + 2] == "{" else k + {"x": 2, "u": 4}.get(c, 1)
         else:
-            was = True
-        if was:
-            last[-1] += c
+            literal = c
+        if literal is not None:
+            if _optional(pattern, k + 1):
+                run = ended()
+            else:
+                run += literal
         k += 1
-    return [[run for run in runs if run] for runs in out]
+    ended()
+    return out
+
+
+def _weight(strings: frozenset[str]) -> tuple[int, int]:
+    """A set tells as much as its shortest string."""
+    return min(map(len, strings)), -len(strings)
 
 
 def literals(pattern: str) -> list[str] | None:
-    """A string for each top-level alternative, in lower case, that its matches have: its longest run; None if some has none."""
-    runs = [max(found, key=len).lower() if found else "" for found in alternatives(pattern)]
-    return sorted(set(runs)) if all(runs) else None
+    """Strings of which each match has one, in lower case: for each alternative those that tell most; None if some has none."""
+    found = requirements(pattern)
+    return sorted(frozenset().union(*[max(x, key=_weight) for x in found])) if all(found) else None
 
 
 def _literals(patterns: pd.Series) -> pd.Series:

@@ -1,51 +1,54 @@
-"""Snippets without orders to a model, and readable ones. Native expressions.
+"""Snippets without orders to a model, and readable ones.
 
-Most texts hold nothing suspicious: one search of the whole text tells, and only the others
-are taken apart into paragraphs and sentences.
+Most texts hold nothing suspicious: a search of the lower-case text for the words that the patterns need tells, in Arrow
+batches, where a plain search costs a tenth of the engine's own. Only the others are taken apart into paragraphs, and those
+with such words are tried with the patterns themselves. All else is native.
 """
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .fields import ascii_bounds, bound, readable_tokens, text_of, trimmed
+from .fields import ascii_bounds, bound, text_of, trimmed
+from .patterns import requirements
 
 SIGNATURES = "(?i)" + "|".join(f"(?:{ascii_bounds(p)})" for p in rules.INSTRUCTIONS)
 ORDER = "(?i)" + ascii_bounds(rules.ORDER)
-#: What an order is aimed at: a text without any of these (lower case) holds none.
+#: What an order is aimed at and its verbs: a text without one of each (lower case) holds none.
 TARGETS = ["system", "instruction", "rule", "prompt", "系统", "指令", "规则", "提示"]
+VERBS = ["ignore", "disregard", "override", "replace", "follow", "obey", "reveal", "publish", "output", "tell", "忽略", "无视", "覆盖", "改为输出", "不要遵守", "发布", "告诉"]
 
 
-def needed(pattern: str) -> str:
-    """The longest run of characters, in lower case, that every match of a pattern without top-level alternatives has."""
-    bare = re.sub(r"\[[^\]]*\][?*+]?", " ", re.sub(r"\\[\[\]]", " ", pattern))
-    while "(" in bare:
-        bare = re.sub(r"\([^()]*\)[?*+]?", " ", bare)
-    bare = re.sub(r"\\[bsS][*+?]?|\.[*+]|\\?.\?|\^|\$|\{[^}]*\}", " ", bare)
-    return max(re.split(r"[\s\\]+", bare), key=len).lower()
+#: For each pattern sets of words, of each of which a match has one; the first set tells most.
+_NEEDED = [[TARGETS, VERBS]] + [sorted((sorted({w.strip() for w in need}) for need in needs), key=lambda need: -min(map(len, need))) for pattern in rules.INSTRUCTIONS for needs in requirements(pattern)]
+_FIRST = sorted({word for needs in _NEEDED for word in needs[0]})
 
 
-def suspicious(text: Column) -> Column:
-    """True for every text with a paragraph that looks injected, whatever marks lead it, and for few others.
+def _seen(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> bool:
+        low = (text or "").lower()
+        if not any(word in low for word in _FIRST):
+            return False
+        return any(all(any(word in low for word in need) for need in needs) for needs in _NEEDED)
 
-    Each signature is searched for, without its anchors and word boundaries, only where the words
-    that it needs occur: a plain search for those costs a fraction of the pattern's.
-    """
+    return texts.map(one).astype(bool)
 
-    def over(c: Column) -> Column:
-        some = F.lit(False)
-        for p in [x for signature in rules.INSTRUCTIONS for x in ([signature] if "(" in signature else signature.split("|"))]:
-            some = some | (F.contains(c["low"], F.lit(needed(p))) & c["text"].rlike("(?i)" + p.replace("^", "").replace("\\b", "")))
-        aimed = F.lit(False)
-        for word in TARGETS:
-            aimed = aimed | F.contains(c["low"], F.lit(word))
-        return some | (aimed & c["text"].rlike("(?i)" + rules.ORDER.replace("\\b", "")))
 
-    return bound(F.struct(text.alias("text"), F.lower(text).alias("low")), over)
+def _hint(low: Column) -> Column:
+    """True for every text in which a pattern matches, and for few others, from the text in lower case."""
+    has = lambda need: reduce(or_, [F.contains(low, F.lit(word)) for word in need])
+    return reduce(or_, [reduce(and_, map(has, needs)) for needs in _NEEDED])
+
+
+def suspicious(text: Column) -> Column:
+    """The same as ``_hint`` by a search in Arrow batches; not for lambdas."""
+    return F.pandas_udf(_seen, "boolean")(text)
 
 
 def looks_injected(s: Column) -> Column:
@@ -59,36 +62,45 @@ def _apart(text: Column) -> Column:
     def clean(p: Column) -> Column:
         parts = F.transform(F.split(p, "(?<=[。！？!?])\\s*|(?<=[.])\\s+"), trimmed)
         good = F.filter(parts, lambda s: (s != "") & ~s.rlike("^[0-9]+[.)]?$") & ~looks_injected(s))
-        return F.when(looks_injected(p), F.array_join(good, " ")).otherwise(p)
+        return F.when(bound(F.lower(p), _hint) & looks_injected(p), F.array_join(good, " ")).otherwise(p)
 
     return F.array_join(F.filter(F.transform(F.filter(lines, lambda p: p != ""), clean), lambda p: p != ""), " ")
 
 
 def _whole(text: Column) -> Column:
-    """The same for a text without anything suspicious: marks off every line, lines joined."""
+    """The same for a text without anything suspicious, before runs of white space are squeezed: marks off every line, lines joined."""
+    marked = F.contains(text, F.lit(">")) | F.contains(text, F.lit("-")) | F.contains(text, F.lit("*"))
     bare = F.regexp_replace(F.regexp_replace(text, "(?dm)^>[^\\S\n]?", ""), "(?dm)^[^\\S\n]*[-*][^\\S\n]+", "")
-    return F.regexp_replace(bare, "\\s*\n\\s*", " ")
+    return F.replace(F.when(marked, bare).otherwise(text), F.lit("\n"), F.lit(" "))
 
 
-def scrub(text: Column, most: int = 1000) -> Column:
+def scrub(text: Column, most: int = 1000, inside: bool = False) -> Column:
     """The text without sentences that read as orders to a model, on one line, cut at ``most`` characters.
 
     Paragraphs are lines without quote and list marks. Only a paragraph that looks injected is
-    taken apart into sentences; of these, bare numbers and injected ones go. Null gives empty.
+    taken apart into sentences; of these, bare numbers and injected ones go. Null gives empty. ``inside``: native
+    throughout, for lambdas and short texts.
     """
     plain = F.replace(text_of(text), F.lit("\r"), F.lit(""))
-    kept = F.when(suspicious(plain), _apart(plain)).otherwise(_whole(plain))
+    if inside:
+        kept = bound(plain, lambda p: F.when(bound(F.lower(p), _hint), _apart(p)).otherwise(_whole(p)))
+    else:
+        kept = F.when(suspicious(plain), _apart(plain)).otherwise(_whole(plain))
     return F.substring(trimmed(F.regexp_replace(kept, "\\s{2,}", " ")), 1, most)
 
 
+#: Signs between tokens.
+BREAKS = "\\s,，;；:：|·"
+
+
 def is_obscure(clean: Column) -> Column:
-    """No Han character and no longer word, but something."""
-    return (clean != "") & ~clean.rlike("[一-鿿]") & (readable_tokens(clean) == 0) & clean.rlike("[^\\s,，;；:：|·]")
+    """No Han character and no token of five Latin letters or more and nothing else, but something."""
+    return (clean != "") & ~clean.rlike(f"[一-鿿]|(?:^|[{BREAKS}])[A-Za-z]{{5,}}(?:[{BREAKS}]|$)") & clean.rlike(f"[^{BREAKS}]")
 
 
 def clarify(snippet: Column, title: Column, most: int = 1000) -> Column:
     """The scrubbed snippet, led by the title if it is obscure. An empty snippet stays empty."""
-    led = lambda c: F.when(is_obscure(c["clean"]) & (c["head"] != ""), scrub(F.concat(c["head"], F.lit("。"), c["clean"]), most)).otherwise(c["clean"])
+    led = lambda c: F.when(is_obscure(c["clean"]) & (c["head"] != ""), scrub(F.concat(c["head"], F.lit("。"), c["clean"]), most, inside=True)).otherwise(c["clean"])
     return bound(F.struct(scrub(snippet, most).alias("clean"), scrub(title, 200).alias("head")), led)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import scrub as sc
-from ..functions.fields import norm_url, text_of, trimmed
+from ..functions.fields import bound, norm_url, text_of, trimmed
 
 
 def brief(text: Column, most: int = 100) -> Column:
@@ -51,8 +51,10 @@ def best_paragraph(text: Column, title: Column, most: int = 500) -> Column:
     fit = F.filter(paragraphs(text, rules.FORUM_CUTS), lambda p: (F.length(p) >= 24) & ~chrome(p) & p.rlike("[一-鿿A-Za-z0-9]") & ((name == "") | ~F.contains(squeeze(p), name)))
     weak = lambda p: ~((F.length(p) >= 40) & p.rlike("[一-鿿]{6,}|[A-Za-z]{12,}"))
     ranked = F.array_sort(F.transform(fit, lambda p, i: F.struct(weak(p).alias("weak"), (-F.length(p)).alias("n"), i.alias("i"), p.alias("p"))))
-    clean = F.filter(F.transform(ranked, lambda r: sc.scrub(r["p"], most)), lambda p: p != "")
-    return F.coalesce(F.get(clean, 0), F.lit(""))
+    clean = lambda r: sc.scrub(r["p"], most, inside=True)
+    # the others only where scrubbing leaves nothing of the first
+    later = lambda r: F.get(F.filter(F.transform(F.slice(r, 2, 1 << 30), clean), lambda p: p != ""), 0)
+    return bound(ranked, lambda r: bound(F.coalesce(clean(F.get(r, 0)), F.lit("")), lambda first: F.when(first != "", first).otherwise(F.coalesce(later(r), F.lit("")))))
 
 
 def first_paragraph(text: Column, most: int = 500) -> Column:

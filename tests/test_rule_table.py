@@ -14,13 +14,14 @@ CARD = "seq long, day_no int, title string, snippet string"
 def test_what_a_pattern_needs():
     cases = {
         "重置|reset": ["reset", "重置"], "115.*api.*暂停": ["115"], "a(?:b|c)defg": ["defg"], "colou?r": ["colo"], "ab*cde": ["cde"], "x+yy": ["yy"],
-        r"v4\.5 pro": ["v4.5 pro"], r"\bword\b": ["word"], "[ab]cd|ef{0,2}g": ["cd", "e"], "a{2,}bc": ["bc"], "(a|b)": None, "x|.*": None, "": None, "a?": None, r"\d+": None,
-        r"\x41bc": ["bc"], r"[^\]]long": ["long"], r"(?:a[)]b)cc": ["cc"], "A|B": ["a", "b"], r"\p{L}tail": ["tail"], "苹果.*千问": ["千问"],
+        r"v4\.5 pro": ["v4.5 pro"], r"\bword\b": ["word"], "[ab]cd|ef{0,2}g": ["cd", "e"], "a{2,}bc": ["bc"], "(a|b)": ["a", "b"], "x|.*": None, "": None, "a?": None, r"\d+": None,
+        r"\x41bc": ["bc"], r"[^\]]long": ["long"], r"(?:a[)]b)cc": ["cc"], "A|B": ["a", "b"], r"\p{L}tail": ["tail"], "苹果.*千问": ["苹果"], "(?:long|other)x": ["long", "other"],
+        "(?:left)?in": ["in"], "(?=ahead)go": ["go"], "(?:a|.)": None, "(one(?:two|three))+": ["three", "two"], r"\Qa.b\E": None,
     }
     for pattern, want in cases.items():
-        assert pt.literals(pattern) == want or (want and pt.literals(pattern) and len(pt.literals(pattern)) == len(want) and set(map(len, pt.literals(pattern))) == set(map(len, want))), pattern
+        assert pt.literals(pattern) == want, pattern
     # whatever it says must be in each match
-    for pattern, text in [("colou?r", "color"), ("ab*cde", "acde"), ("a{2,}bc", "aabc"), ("(?:x|y)z+w", "yzzw"), ("115.*api", "115 api"), (r"q\?z", "q?z"), ("[ab]]c", "a]c"), ("e{0}fg", "fg")]:
+    for pattern, text in [("colou?r", "color"), ("ab*cde", "acde"), ("a{2,}bc", "aabc"), ("(?:x|y)z+w", "yzzw"), ("115.*api", "115 api"), (r"q\?z", "q?z"), ("[ab]]c", "a]c"), ("e{0}fg", "fg"), ("(?:ab|cd)+", "cd"), ("a|(?:b(?:cc|dd)?)", "b")]:
         found = pt.literals(pattern)
         assert re.search(pattern, text) and (found is None or any(x in text for x in found)), pattern
 
