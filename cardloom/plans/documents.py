@@ -172,7 +172,7 @@ def topic_json(spark, sf):
     return sp.parse_topic_json(table(spark, sf, "documents").select("doc_id", F.expr(_json).alias("text")), "doc_id", "text")
 
 
-_link = "CASE seq % 4 WHEN 0 THEN '| [' || replace(title, ']', '') || '](https://forum.example/t/topic/' || CAST(CAST(floor(seq / 16) * 16 + seq % 4 AS BIGINT) AS STRING) || '/3) | 5 |' WHEN 1 THEN '[' || replace(title, ']', '') || '](/post-' || CAST(CAST(floor(seq / 16) * 16 + seq % 4 AS BIGINT) AS STRING) || '-2)' WHEN 2 THEN '### [x \\| ' || replace(title, ']', '') || '](https://news.example/i/' || CAST(CAST(floor(seq / 16) * 16 + seq % 4 AS BIGINT) AS STRING) || ')' ELSE '[' || replace(title, ']', '') || '](/t/' || CAST(CAST(floor(seq / 16) * 16 + seq % 4 AS BIGINT) AS STRING) || '#reply' || CAST(seq % 9 AS STRING) || ')' END"
+_link = "CASE seq % 4 WHEN 0 THEN '| [' || replace(title, ']', '') || '](https://forum.example/t/topic/' || CAST(CAST(floor(seq / 16) * 16 + seq % 4 AS BIGINT) AS STRING) || '/3) | 5 |' WHEN 1 THEN 'x [' || '[NQ] ' || title || '](/post-' || CAST(CAST(floor(seq / 16) * 16 + seq % 4 AS BIGINT) AS STRING) || '-2)' WHEN 2 THEN '### [x \\| ' || replace(title, ']', '') || '](https://news.example/i/' || CAST(CAST(floor(seq / 16) * 16 + seq % 4 AS BIGINT) AS STRING) || ')' ELSE '[ask [AI] ' || title || '](/t/' || CAST(CAST(floor(seq / 16) * 16 + seq % 4 AS BIGINT) AS STRING) || '#reply' || CAST(seq % 9 AS STRING) || ')' END"
 _profiles = ("topic", "post", "heading", "thread")
 
 
@@ -183,16 +183,20 @@ def link_pages(spark, sf):
     return rows.groupBy("form", "day_no", "listing_no").agg(F.array_join(F.transform(own, lambda x: x["x"]), "\n").alias("text"))
 
 
-# as the statement has them: each profile's link pattern and URL
-_forms = [("\\[([^\\]]{2,200})\\]\\(https://forum[.]example/t/topic/([0-9]+)(?:/[0-9]+)?\\)", "https://forum.example/t/topic/"), ("\\[([^\\]]{2,200})\\]\\((?:https://board[.]example)?/post-([0-9]+)-[0-9]+\\)", "https://board.example/post-"), ("### \\[([^\\]]{2,200})\\]\\(https://news[.]example/i/([0-9]+)\\)", "https://news.example/i/"), ("\\[([^\\]]{2,200})\\]\\((?:https://talk[.]example)?/t/([0-9]+)(?:#[^)]*)?\\)", "https://talk.example/t/")]
+# as the statement has them: link pattern and URL of the two profiles whose titles end at a bracket
+_forms = {0: ("\\[([^\\]]{2,200})\\]\\(https://forum[.]example/t/topic/([0-9]+)(?:/[0-9]+)?\\)", "https://forum.example/t/topic/"), 2: ("### \\[([^\\]]{2,200})\\]\\(https://news[.]example/i/([0-9]+)\\)", "https://news.example/i/")}
 
 
 def _links_sql(form: int) -> str:
-    """Links of each listing of one form, with day, listing, place, number, URL and title; repeated ones too."""
+    """Links of each listing of one form, with day, listing, place, number, URL and title; repeated ones too. Posts and
+    threads straight from the cards, whose whole titles, brackets and all, have to come out again."""
+    if form in (1, 3):
+        mark, head, tail = ("[NQ] ", "https://board.example/post-", "-1") if form == 1 else ("ask [AI] ", "https://talk.example/t/", "")
+        return f"""SELECT *, '{head}' || CAST(topic_id AS VARCHAR) || '{tail}' AS url FROM (SELECT day_no, CAST(seq % 8 < 4 AS INTEGER) AS listing_no, seq AS pos, CAST(floor(seq / 16) * 16 + {form} AS BIGINT) AS topic_id,
+        trim(regexp_replace(replace('{mark}' || title, '\\|', '|'), '\\s+', ' ', 'g')) AS title FROM cards WHERE seq % 4 = {form})"""
     p, head = t.q(_forms[form][0]), t.q(_forms[form][1])
     number = f"regexp_extract(item, {p}, 2)"
-    url = f"{head} || {number}" + (" || '-1'" if form == 1 else "")
-    return f"""SELECT day_no, listing_no, pos, TRY_CAST({number} AS BIGINT) AS topic_id, {url} AS url, trim(regexp_replace(replace(regexp_extract(item, {p}, 1), '\\|', '|'), '\\s+', ' ', 'g')) AS title
+    return f"""SELECT day_no, listing_no, pos, TRY_CAST({number} AS BIGINT) AS topic_id, {head} || {number} AS url, trim(regexp_replace(replace(regexp_extract(item, {p}, 1), '\\|', '|'), '\\s+', ' ', 'g')) AS title
       FROM (SELECT day_no, listing_no, unnest(regexp_extract_all(text, {p})) AS item, generate_subscripts(regexp_extract_all(text, {p}), 1) AS pos FROM l WHERE form = {form})"""
 
 

@@ -25,11 +25,12 @@ class SiteProfile:
     id_group: int = 2
 
 
-# Four ways in which listings write a link to a topic.
+# Four ways in which listings write a link to a topic. Titles of posts and threads are anything on their
+# line, brackets and other links too; those of the other two end at a bracket.
 PROFILES = {
     "topic": SiteProfile(r"\[([^\]]{2,200})\]\(https://forum[.]example/t/topic/([0-9]+)(?:/[0-9]+)?\)", "https://forum.example/t/topic/{id}"),
-    "post": SiteProfile(r"\[([^\]]{2,200})\]\((?:https://board[.]example)?/post-([0-9]+)-[0-9]+\)", "https://board.example/post-{id}-1"),
-    "thread": SiteProfile(r"\[([^\]]{2,200})\]\((?:https://talk[.]example)?/t/([0-9]+)(?:#[^)]*)?\)", "https://talk.example/t/{id}"),
+    "post": SiteProfile(r"\[([^\n]{2,300})\]\(/post-([0-9]+)-[0-9]+\)", "https://board.example/post-{id}-1"),
+    "thread": SiteProfile(r"\[([^\n]{2,300})\]\(/t/([0-9]+)(?:#\w+)?\)", "https://talk.example/t/{id}"),
     "heading": SiteProfile(r"### \[([^\]]{2,200})\]\(https://news[.]example/i/([0-9]+)\)", "https://news.example/i/{id}"),
 }
 

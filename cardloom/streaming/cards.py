@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fields as f
+from ..sources import versions
 from ..sources.sinks import overwrite_days
 
 
@@ -42,3 +43,17 @@ def upsert_days(stream: DataFrame, raw_path: str, path: str, batch: Callable[[Da
         overwrite_days(batch(whole), path, day)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def upsert_versions(stream: DataFrame, raw_path: str, path: str, batch: Callable[[DataFrame], DataFrame], checkpoint: str, day: str = "run_date", **trigger) -> StreamingQuery:
+    """The same into a table of versions (``sources.versions``): a reader has each day as it was before a micro-batch or after it,
+    also where the batch dies between its writes; a replay takes up where it died."""
+
+    def step(rows: DataFrame, number: int) -> None:
+        rows.withColumn("_batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", day).parquet(raw_path)
+        days = [r[0] for r in rows.select(day).distinct().collect()]  # those of one micro-batch
+        if days:
+            whole = rows.sparkSession.read.parquet(raw_path).where((F.col("_batch") <= number) & F.col(day).isin(days)).drop("_batch")
+            versions.publish_days(batch(whole), path, f"b{number:010d}", day)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -324,7 +324,7 @@ def test_rescue_path(spark, tmp_path):
 def test_site_chain(spark):
     """Two listings of a day: each topic where it comes first, on topic, best first, pages for the first ones, no cards of orders alone."""
     profile = sp.PROFILES["thread"]
-    lists = [(1, 0, "[GPT one](/t/5#reply1) [GPT one again](/t/5) [zzz](/t/9)"), (1, 1, "[GPT late](/t/5) [Ignore instructions for GPT](/t/7#r) [注册送 agent](/t/8) [agent 合租 gpt 账号](/t/6)"), (2, 0, None), (2, 1, "")]
+    lists = [(1, 0, "[GPT one](/t/5#reply1)\n[GPT one again](/t/5)\n[zzz](/t/9)"), (1, 1, "[GPT late](/t/5)\n[Ignore instructions for GPT](/t/7#r)\n[注册送 agent](/t/8)\n[agent 合租 gpt 账号](/t/6)"), (2, 0, None), (2, 1, "")]
     listings = spark.createDataFrame(lists, "day int, listing_no int, text string")
     bodies = spark.createDataFrame([("https://talk.example/t/5", "A page about one model", 1), ("https://talk.example/t/7", "Reveal prompts.", 1), ("https://talk.example/t/8", None, 1)], "url string, text string, seq int")
     cards = lambda **kw: [(r.url[-1], r.title, r.snippet, r.place) for r in pl.site_cards(listings, bodies, profile, lambda text, title: f.text_of(text), ["day"], rules.OFF_TOPIC_DEVELOPERS, **kw).orderBy("place").collect()]
@@ -370,3 +370,15 @@ def test_reports(spark):
     assert rd.degraded_report(claims, cover, miss).first().markdown == (
         "# Daily report 1 (degraded)\n\n## Within the window\n\n- `✓3-0` c one [1] — *(primary)*\n\n## Outside the window: milestones\n\n- Qwen3.8 (2026)\n\n## Refuted\n\n- ~~bad~~ refuted `0-3` [2] (1 votes failed)"
         "\n\n## Outside the window\n\n- Other thing (2026)\n\n## Coverage\n\n| Board | Claims | Note |\n| --- | --- | --- |\n| labs | 3 | degraded |\n\n## References\n\n- [1] [a.example](<https://a.example/x>)\n- [2] [b.example](<https://b.example>)")
+
+
+def test_titles_with_brackets(spark):
+    """What stands before the last link of a line is its title, brackets and other links too."""
+    def links(name, *lines):
+        df = spark.createDataFrame([(1, "\n".join(lines))], "d int, text string")
+        return [(r.url, r.title) for r in sp.extract_links(df, "d", "text", sp.PROFILES[name]).orderBy("pos").collect()]
+
+    assert links("post", "[[NQ] GPT box deal](/post-859511-1)", "[plain one](/post-5-2)", "- [ask [AI] now](/post-7-1) | 3 |", "[again](/post-5-9)", "[x](/post-9-1)", "[other site](https://elsewhere.example/post-1-1)") == [
+        ("https://board.example/post-859511-1", "[NQ] GPT box deal"), ("https://board.example/post-5-1", "plain one"), ("https://board.example/post-7-1", "ask [AI] now")]
+    assert links("thread", "[[tip] GPT thing](/t/12#reply5)", "[a \\| b](/t/13)", "[bad end](/t/14#a-b)", "[" + "y" * 301 + "](/t/15)", "[one](/t/16) [two](/t/17)") == [
+        ("https://talk.example/t/12", "[tip] GPT thing"), ("https://talk.example/t/13", "a | b"), ("https://talk.example/t/17", "one](/t/16) [two")]
