@@ -15,6 +15,7 @@ from . import sqltext as t
 from .base import Plans, table, view, with_views
 from .cards import _RELEVANT, _excluded
 from .fields import _entities, _tag
+from .streams import workspace
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
@@ -120,6 +121,29 @@ def atom_entries(spark, sf):
     return sp.parse_atom(feeds_of(spark, sf, _entry), "feed", "text").withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
+# as files: every eleventh entry has a sign that XML doesn't allow
+_raw_entry = f"CASE WHEN seq % 11 = 0 THEN replace({_entry}, ' paper', ' paper & <b') ELSE {_entry} END"
+
+
+def _bare_sign(e: str) -> str:
+    return f"contains(regexp_replace({e}, '&(amp|lt|gt|quot|#39|#x27);', '', 'g'), '&')"
+
+
+@P.add("atom_files", f"""WITH i AS (SELECT CAST({_feed} AS BIGINT) AS feed, {_entry} AS item, seq % 11 = 0 OR {_bare_sign('title')} OR {_bare_sign('substring(title, 1, 30)')} AS bad FROM page_cards)
+    SELECT feed, substring({_entities(_tag('item', 'title'))}, 1, 300) AS title, regexp_replace(regexp_replace({_tag('item', 'id')}, '(?i)v[0-9]+$', ''), '^http:', 'https:') AS url, {_entities(_tag('item', 'summary'))} AS snippet,
+      TRY_CAST(replace({_tag('item', 'published')}, 'Z', '') AS TIMESTAMP) AS published_at, CAST(0 AS BIGINT) AS malformed FROM i WHERE NOT bad AND {_tag('item', 'title')} <> ''
+    UNION ALL SELECT feed, NULL, NULL, NULL, NULL, count(*) FROM i WHERE bad GROUP BY 1""")
+def atom_files(spark, sf):
+    """Entries of XML files, and how many of each feed aren't well formed."""
+    out = workspace(spark, "feeds")
+    rows = view(spark, sf, "page_cards").select(F.expr(_feed).cast("bigint").alias("feed"), "seq", F.expr(_raw_entry).alias("value"))
+    rows.repartition("feed").sortWithinPartitions("feed", "seq").select("value", "feed").write.partitionBy("feed").text(out)
+    found = sp.read_feed_files(spark, out).withColumn("feed", F.col("feed").cast("bigint")).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+    good = found.where("malformed IS NULL").withColumn("malformed", F.lit(0).cast("long"))
+    bad = found.where("malformed IS NOT NULL").groupBy("feed").agg(F.count("*").alias("malformed"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 # feeds of three kinds: RSS, papers, and texts of links, every third of which has RSS items instead
 _heads = "'### [ ' || title || ' ](' || url || ')'"
 _kinds = "CASE feed % 3 WHEN 0 THEN 'link' WHEN 1 THEN 'rss' ELSE 'atom' END"

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields as f
-from ..sources import sinks
+from ..sources import parsing, sinks, versions
 from ..streaming import cards as sc
+from ..streaming import late
 from .base import Plans, table, view
 
 P = Plans()
@@ -123,3 +124,60 @@ def stream_day_upsert(spark, sf):
     q = sc.upsert_days(stream.drop("slice"), f"{out}/raw", f"{out}/days", lambda rows: rows.groupBy("run_date", "provider").agg(F.count("*").alias("n")), f"{out}/ck2")
     q.awaitTermination()
     return spark.read.parquet(f"{out}/days").select("run_date", "provider", "n")
+
+
+@P.add("stream_version_upsert", "SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS run_date, event_type AS provider, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_version_upsert(spark, sf):
+    """The same day tables in versions, which readers see whole."""
+    make = lambda e: e.select("event_id", F.col("event_type").alias("provider"), f.local_day(F.col("published_at")).alias("run_date"), (F.col("event_id") % 3).alias("slice"))
+    stream, out = stream_of(spark, sf, make)
+    q = sc.upsert_versions(stream.drop("slice"), f"{out}/raw", f"{out}/days", lambda rows: rows.groupBy("run_date", "provider").agg(F.count("*").alias("n")), f"{out}/ck2")
+    q.awaitTermination()
+    return versions.read_days(spark, f"{out}/days").select("run_date", "provider", "n")
+
+
+_arrived = """SELECT event_type AS provider, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, date_diff('day', DATE '1970-01-01', CAST(ts + to_hours(event_id % 200) AS DATE)) AS arrival FROM events"""
+
+
+@P.add("stream_late_by_watermark", f"""WITH a AS ({_arrived}), b AS (SELECT *, max(day) OVER (PARTITION BY provider ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a),
+    ends AS (SELECT provider, max(before) AS closed FROM b GROUP BY 1), m AS (SELECT b.provider, day, coalesce(day < before - 2, false) AS late, closed FROM b JOIN ends e ON e.provider = b.provider)
+    SELECT provider, day, late, count(*) AS n FROM m WHERE late OR day < closed - 2 GROUP BY 1, 2, 3""")
+def stream_late_by_watermark(spark, sf):
+    """Day counts as arrivals close them, and late rows counted apart; files of ten days of arrivals come one after the other."""
+    out = workspace(spark, "late")
+    e = table(spark, sf, "events").withColumn("published_at", F.col("ts").cast("timestamp"))
+    rows = e.select(F.col("event_type").alias("provider"), "published_at", F.unix_date(F.to_date(F.col("published_at") + F.make_interval(hours=(F.col("event_id") % 200).cast("int")))).alias("arrival"))
+    first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    for begin in range(first or 0, (last or -1) + 1, 10):
+        rows.where(F.col("arrival").between(begin, begin + 9)).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    name, value = late.PROVIDER
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        done = finish(late.day_counts_and_late(stream, ["provider"]), out)
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+    return done.groupBy("provider", "day", "late").agg(F.sum("n").alias("n"))
+
+
+@P.add("validated_outcomes", """WITH d AS (SELECT CAST(DATE '2026-08-01' + day_no AS VARCHAR) AS day, day_no % 5 <> 3 AS good, count(*) AS n FROM cards WHERE day_no % 5 <> 3 OR site <> 'site0' GROUP BY 1, 2)
+    SELECT 1 AS run, day, n AS "rows", CASE WHEN good THEN 'written' ELSE 'skipped' END AS outcome FROM d
+    UNION ALL SELECT 2, day, CASE WHEN good THEN NULL ELSE n END, CASE WHEN good THEN 'from_cache' ELSE 'skipped' END FROM d""")
+def validated_outcomes(spark, sf):
+    """What became of each day of two runs, the second of which keeps what is there."""
+    out = workspace(spark, "outcomes")
+    rows = dated(spark, sf).where("day_no % 5 <> 3 OR site <> 'site0'").select("seq", "site", "run_date")
+    runs = [versions.publish_validated(rows, out, f"v{k}", F.count_if(F.col("site") == "site0") > 0, refresh=k == 1).select(F.lit(k).alias("run"), "day", "rows", "outcome") for k in (1, 2)]
+    return runs[0].unionByName(runs[1])
+
+
+@P.add("day_range_scan", "SELECT event_id, user_id FROM events WHERE CAST(ts + INTERVAL 8 HOUR AS DATE) = DATE '2024-01-10' AND ts >= TIMESTAMP '2024-01-09 20:00:00' AND ts < TIMESTAMP '2024-01-10 03:30:00'")
+def day_range_scan(spark, sf):
+    """Some hours of one day, from files sorted by time."""
+    out = workspace(spark, "range")
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("published_at")).withColumn("run_date", f.local_day(F.col("published_at")))
+    versions.publish_days(rows, out, "v1", sort_by="published_at")
+    at = lambda s: F.to_timestamp(F.lit(s))
+    found = versions.scan_range(spark, out, "2024-01-10", "published_at", at("2024-01-09 20:00:00"), at("2024-01-10 03:30:00"))
+    return found.select("event_id", "user_id")

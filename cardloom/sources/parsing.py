@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -90,6 +90,32 @@ def parse_atom(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.where("title <> '' AND url <> ''")
 
 
+def read_feed_files(spark: SparkSession, path: str, kind: str = "atom") -> DataFrame:
+    """(title, url, snippet, published_at, malformed, and the columns of a partitioned folder) of every entry of XML files,
+    by Spark's XML reader, which cuts files at entries, so a large file is read by several tasks.
+
+    kind ``atom``: entry, id without its version as URL; ``rss``: item, link, no snippet. An entry that isn't well formed has
+    ``malformed`` set to its text and nulls else; well-formed ones without a title or URL go. Entities are decoded by the
+    reader, each once; tags inside are dropped and white space is squeezed. Bad dates are null.
+    """
+    tag, fields_ = ("entry", ["title", "id", "summary", "published"]) if kind == "atom" else ("item", ["title", "link", "pubDate", "date"])
+    schema = ", ".join([*(f"{c} string" for c in fields_), "_malformed string"])
+    rows = spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed").schema(schema).load(path)
+    more = [c for c in rows.columns if c not in (*fields_, "_malformed")]
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(f.text_of(F.col(c)), "<[^>]+>", ""), "\\s+", " "))
+    if kind == "atom":
+        columns = [F.substring(plain("title"), 1, 300).alias("title"), f.strip_version(plain("id")).alias("url"), F.substring(plain("summary"), 1, 500).alias("snippet"), F.try_to_timestamp(plain("published")).alias("published_at")]
+    else:
+        date = F.coalesce(F.nullif(plain("pubDate"), F.lit("")), plain("date"))
+        columns = [F.substring(plain("title"), 1, 300).alias("title"), plain("link").alias("url"), F.lit(None).cast("string").alias("snippet"), f.bound(date, rfc822).alias("published_at")]
+    # the parser of that option cuts at the tags first, so an entry that isn't well formed doesn't end its file;
+    # the reader refuses to give the malformed texts alone, so a field goes along with them
+    malformed = F.when(F.coalesce(F.length("title"), F.lit(0)) >= 0, F.col("_malformed"))
+    bad = malformed.isNotNull()
+    out = rows.select(*more, *[F.when(~bad, c).alias(n) for c, n in zip(columns, ("title", "url", "snippet", "published_at"), strict=True)], malformed.alias("malformed"))
+    return out.where("malformed IS NOT NULL OR (title <> '' AND url <> '')")
+
+
 TOPIC_JSON = "struct<topic_list: struct<topics: array<struct<id: bigint, title: string, created_at: string, excerpt: string>>>>"
 
 

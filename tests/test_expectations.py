@@ -382,3 +382,15 @@ def test_titles_with_brackets(spark):
         ("https://board.example/post-859511-1", "[NQ] GPT box deal"), ("https://board.example/post-5-1", "plain one"), ("https://board.example/post-7-1", "ask [AI] now")]
     assert links("thread", "[[tip] GPT thing](/t/12#reply5)", "[a \\| b](/t/13)", "[bad end](/t/14#a-b)", "[" + "y" * 301 + "](/t/15)", "[one](/t/16) [two](/t/17)") == [
         ("https://talk.example/t/12", "[tip] GPT thing"), ("https://talk.example/t/13", "a | b"), ("https://talk.example/t/17", "one](/t/16) [two")]
+
+
+def test_feed_files(spark, tmp_path):
+    """Entries of XML files; one that isn't well formed is counted and doesn't hide those after it."""
+    (tmp_path / "a.xml").write_text("<feed><entry><title>One &amp; <![CDATA[two <b>x</b>]]>\n three</title><id>http://p.example/1v2</id><summary>s <i>t</i></summary><published>2026-08-03T01:00:00Z</published></entry>"
+                                    "<entry><title>Bad & sign</title><id>x</id></entry><entry><title>Late</title><id>http://p.example/2</id><published>soon</published></entry><entry><title></title><id>http://p.example/3</id></entry></feed>")
+    rows = sp.read_feed_files(spark, str(tmp_path / "a.xml")).collect()
+    assert sorted((r.title, r.url, r.snippet, r.published_at and r.published_at.isoformat()) for r in rows if not r.malformed) == [("Late", "https://p.example/2", "", None), ("One & two x three", "https://p.example/1", "s t", "2026-08-03T01:00:00")]
+    assert [("Bad & sign" in r.malformed, r.title) for r in rows if r.malformed] == [(True, None)]
+    (tmp_path / "b.xml").write_text("<rss><channel><title>feed</title><item><title>T</title><link>https://l.example/1</link><pubDate>Mon, 03 Aug 2026 10:00:00 +0800</pubDate></item><item><title>no link</title></item></channel></rss>")
+    rss = sp.read_feed_files(spark, str(tmp_path / "b.xml"), "rss").collect()
+    assert [(r.title, r.url, r.published_at.isoformat(), r.malformed) for r in rss] == [("T", "https://l.example/1", "2026-08-03T02:00:00", None)]
