@@ -43,19 +43,37 @@ def site_diagnostics(listings: DataFrame, topics: DataFrame, bodies: DataFrame,
     return collector_diagnostics(lists.unionByName(pages), by)
 
 
+def feed_label(url: Column) -> Column:
+    """The label of a vendor's feed by its URL; a null URL has the last label."""
+    out = F.lit(rules.FEED_LABELS[-1][1])
+    for word, label in reversed(rules.FEED_LABELS[:-1]):
+        out = F.when(F.contains(f.text_of(url), F.lit(word)), label).otherwise(out)
+    return out
+
+
 def feed_cards(texts: DataFrame, day_start: Column, now: Column, k: int = 5) -> DataFrame:
-    """(feed, pos, url, title, snippet, provider, published_at): the first k cards of each feed (feed, kind, text).
+    """(feed, pos, url, title, snippet, provider, published_at, grace_days): the first k cards of each feed (feed, feed_url, kind, text).
 
     kind ``link``: rows of Markdown links first, undated and so of ``now``; only a text without any is read as RSS. kind
-    ``rss``: items, undated ones of ``now``. kind ``atom``: papers, all on topic, undated ones go. Items
-    before the day's start and, but for papers, off topic go.
+    ``rss``: items, undated ones of ``now``. kind ``atom``: papers, all on topic, undated ones go. Of each text the first
+    characters are read, as many as its kind has. Items from before the day's start less their kind's days of grace and, but
+    for papers, off topic go. provider: the kind's label, or that of the feed's own URL.
     """
-    first = texts.where("kind = 'link'")
-    links = sp.heading_links(first, "feed", "text").withColumns({"published_at": F.lit(None).cast("timestamp"), "snippet": F.substring("title", 1, 500)})
+    part = lambda kind: texts.where(F.col("kind") == kind).withColumn("text", F.substring("text", 1, rules.FEED_KINDS[kind][0]))
+    first = part("link")
+    title = F.substring("title", 1, 500)
+    links = sp.heading_links(first, "feed", "text").withColumns({"published_at": F.lit(None).cast("timestamp"), "snippet": title})
     bare = first.join(links.select("feed").distinct(), "feed", "left_anti")
-    items = sp.parse_rss(bare.select("feed", "text").unionByName(texts.where("kind = 'rss'").select("feed", "text")), "feed", "text").withColumn("snippet", F.substring("title", 1, 500))
+    most = max(m for m, _, _ in rules.FEED_KINDS.values())
+    items = sp.parse_rss(bare.select("feed", "text").unionByName(part("rss").select("feed", "text")), "feed", "text", most).withColumn("snippet", title)
     news = links.unionByName(items).withColumn("published_at", F.coalesce("published_at", now))
-    papers = sp.parse_atom(texts.where("kind = 'atom'"), "feed", "text").where("published_at IS NOT NULL")
+    papers = sp.parse_atom(part("atom"), "feed", "text").where("published_at IS NOT NULL")
     columns = ["feed", "pos", "url", "title", "snippet", "published_at"]
-    rows = oc.relevant_text(news).select(columns).unionByName(papers.select(columns)).where(F.col("published_at") >= day_start)
-    return oc.first_k(rows.withColumn("provider", f.host_of(F.col("url"))), k, ["feed"], ["pos"]).drop("place")
+    rows = oc.relevant_text(news).select(columns).unionByName(papers.select(columns))
+    kind, grace, label = F.col("kind"), F.lit(0), F.lit(None).cast("string")
+    for name, (_, days, own) in rules.FEED_KINDS.items():
+        grace = F.when(kind == name, days).otherwise(grace)
+        label = F.when(kind == name, F.lit(own)).otherwise(label)
+    feeds = texts.select("feed", grace.alias("grace_days"), F.coalesce(label, feed_label(F.col("feed_url"))).alias("provider")).distinct()
+    kept = rows.join(feeds, "feed").where(F.col("published_at") >= day_start - F.make_interval(days=F.col("grace_days")))
+    return oc.first_k(kept, k, ["feed"], ["pos"]).drop("place")

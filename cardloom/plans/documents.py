@@ -150,16 +150,19 @@ _kinds = "CASE feed % 3 WHEN 0 THEN 'link' WHEN 1 THEN 'rss' ELSE 'atom' END"
 _feed_text = f"CASE {_kinds} WHEN 'rss' THEN {_item} WHEN 'atom' THEN {_entry} ELSE CASE WHEN feed % 2 = 0 THEN {_heads} ELSE {_item} END END"
 
 
+_feed_url = "CASE feed % 4 WHEN 0 THEN 'https://openai.example/feed' WHEN 1 THEN 'https://blog.google.example/rss' WHEN 2 THEN 'https://huggingface.example/feed' ELSE 'https://vendor.example/rss' END"
+
+
 _heading = "'###\\s*\\[([^\\]]+)\\]\\(([^)]+)\\)'"
 
 
 @P.add("feed_cards", f"""WITH n AS (SELECT *, CAST({_feed} AS BIGINT) AS feed FROM page_cards),
     d AS (SELECT feed, {_kinds} AS kind, string_agg({_feed_text}, chr(10) ORDER BY seq) AS text FROM n GROUP BY 1, 2),
-    l AS (SELECT feed, unnest(regexp_extract_all(text, {_heading})) AS item, generate_subscripts(regexp_extract_all(text, {_heading}), 1) - 1 AS pos FROM d WHERE kind = 'link'),
+    l AS (SELECT feed, unnest(regexp_extract_all(text, {_heading})) AS item, generate_subscripts(regexp_extract_all(text, {_heading}), 1) - 1 AS pos FROM (SELECT feed, kind, substring(text, 1, 20000) AS text FROM d) WHERE kind = 'link'),
     links AS (SELECT feed, pos, substring({t.trimmed(f'regexp_extract(item, {_heading}, 1)')}, 1, 300) AS title, regexp_extract(item, {_heading}, 2) AS url, CAST(NULL AS TIMESTAMP) AS at_
       FROM l),
-    i AS (SELECT feed, unnest(regexp_extract_all(substring(text, 1, 20000), '(?is)<item>(.*?)</item>', 1)) AS item, generate_subscripts(regexp_extract_all(substring(text, 1, 20000), '(?is)<item>(.*?)</item>', 1), 1) - 1 AS pos
-      FROM d
+    i AS (SELECT feed, unnest(regexp_extract_all(text, '(?is)<item>(.*?)</item>', 1)) AS item, generate_subscripts(regexp_extract_all(text, '(?is)<item>(.*?)</item>', 1), 1) - 1 AS pos
+      FROM (SELECT feed, kind, substring(text, 1, CASE kind WHEN 'rss' THEN 60000 ELSE 20000 END) AS text FROM d)
       WHERE kind = 'rss' OR (kind = 'link' AND feed NOT IN (SELECT feed
       FROM links))),
     items AS (SELECT feed, pos, substring({_entities(_tag('item', 'title'))}, 1, 300) AS title, {_entities(_tag('item', 'link'))} AS url, {_tag('item', 'pubDate')} AS date FROM i),
@@ -168,23 +171,23 @@ _heading = "'###\\s*\\[([^\\]]+)\\]\\(([^)]+)\\)'"
       FROM items)
       WHERE title <> '' AND url <> ''),
     x AS (SELECT feed, unnest(regexp_extract_all(text, '(?is)<entry>(.*?)</entry>', 1)) AS item, generate_subscripts(regexp_extract_all(text, '(?is)<entry>(.*?)</entry>', 1), 1) - 1 AS pos
-      FROM d
+      FROM (SELECT feed, kind, substring(text, 1, 80000) AS text FROM d)
       WHERE kind = 'atom'),
     papers AS (SELECT feed, pos, substring({_tag('item', 'title')}, 1, 300) AS title, regexp_replace(regexp_replace({_tag('item', 'id')}, '(?i)v[0-9]+$', ''), '^http:', 'https:') AS url, substring({_tag('item', 'summary')}, 1, 500) AS snippet, TRY_CAST(replace({_tag('item', 'published')}, 'Z', '') AS TIMESTAMP) AS at_
       FROM x
       WHERE {_tag('item', 'title')} <> ''),
-    whole AS (SELECT * FROM news WHERE {t.low("title || ' ' || url", _RELEVANT)} UNION ALL SELECT * FROM papers WHERE at_ IS NOT NULL)
-    SELECT feed, CAST(pos AS INTEGER) AS pos, url, title, snippet, {t.host_of('url')} AS provider, at_ AS published_at
+    whole AS (SELECT *, CASE feed % 3 WHEN 0 THEN 0 ELSE 1 END AS grace FROM news WHERE {t.low("title || ' ' || url", _RELEVANT)} UNION ALL SELECT *, 2 FROM papers WHERE at_ IS NOT NULL)
+    SELECT feed, CAST(pos AS INTEGER) AS pos, url, title, snippet, CASE feed % 3 WHEN 0 THEN '36kr' WHEN 2 THEN 'arxiv' ELSE CASE feed % 4 WHEN 0 THEN 'openai-blog' WHEN 1 THEN 'google-blog' WHEN 2 THEN 'hf-blog' ELSE 'vendor-blog' END END AS provider, at_ AS published_at, CAST(grace AS INTEGER) AS grace_days
       FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY pos) AS k
       FROM whole
-      WHERE at_ >= TIMESTAMP '2026-08-01 16:00:00')
+      WHERE at_ >= TIMESTAMP '2026-08-02 16:00:00' - to_days(CAST(grace AS INTEGER)))
       WHERE k <= 5""")
 def feed_cards(spark, sf):
     """Feed items of the day or later (undated: of the ingest time), on topic, the first five of each feed."""
     rows = view(spark, sf, "page_cards").withColumn("feed", F.expr(_feed).cast("bigint"))
     rows = rows.select("feed", F.expr(_kinds).alias("kind"), F.struct("seq", F.expr(_feed_text).alias("x")).alias("i"))
-    texts = rows.groupBy("feed", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["x"]), "\n").alias("text"))
-    cards = op.feed_cards(texts, F.to_timestamp(F.lit("2026-08-01 16:00:00")), F.to_timestamp(F.lit("2026-08-05 12:00:00")))
+    texts = rows.groupBy("feed", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["x"]), "\n").alias("text")).withColumn("feed_url", F.expr(_feed_url))
+    cards = op.feed_cards(texts, F.to_timestamp(F.lit("2026-08-02 16:00:00")), F.to_timestamp(F.lit("2026-08-05 12:00:00")))
     return cards.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 

@@ -290,8 +290,15 @@ def test_feed_chain(spark):
     atom = "<entry><title>Groups</title><id>http://p.example/abs/1v2</id><published>2026-08-03T00:00:00Z</published></entry><entry><title>No day</title><id>http://p.example/abs/2v1</id></entry>"
     rows = [(1, "link", "### [GPT one](https://l.example/1)\n" + rss), (2, "link", rss), (3, "rss", rss + "<item><title>zzz</title><link>https://h.example/q</link></item>"), (4, "atom", atom), (5, "rss", None), (6, "link", "")]
     start, now = F.to_timestamp(F.lit("2026-08-01 00:00:00")), F.to_timestamp(F.lit("2026-08-05 00:00:00"))
-    got = {(r.feed, r.url, r.provider) for r in pl.feed_cards(spark.createDataFrame(rows, "feed int, kind string, text string"), start, now).collect()}
-    assert got == {(1, "https://l.example/1", "l.example"), (2, "https://a.example/1", "a.example"), (3, "https://a.example/1", "a.example"), (4, "https://p.example/abs/1", "p.example")}
+    urls = {1: "https://k.example/feed", 3: "https://openai.example/rss", 4: "https://papers.example/q"}
+    feeds = spark.createDataFrame([(*r, urls.get(r[0])) for r in rows], "feed int, kind string, text string, feed_url string")
+    got = {(r.feed, r.url, r.provider, r.grace_days) for r in pl.feed_cards(feeds, start, now).collect()}
+    assert got == {(1, "https://l.example/1", "36kr", 0), (2, "https://a.example/1", "36kr", 0), (3, "https://a.example/1", "openai-blog", 1), (4, "https://p.example/abs/1", "arxiv", 2)}
+    # the label is the feed's own, whatever it links to; a day of grace for vendors, two for papers
+    dated = "<item><title>GPT %s</title><link>https://same.example/%s</link><pubDate>Fri, 31 Jul 2026 0%s:00:00 +0000</pubDate></item>"
+    more = [(1, "rss", dated % (1, 1, 1), "https://huggingface.example/x"), (2, "rss", dated % (2, 2, 2), "https://blog.google.example"), (3, "link", dated % (3, 3, 3), None), (4, "rss", "x" * 59_900 + dated % (4, 4, 4), None), (5, "rss", "x" * 60_000 + dated % (5, 5, 5), None)]
+    cards = pl.feed_cards(spark.createDataFrame(more, "feed int, kind string, text string, feed_url string"), start, now).collect()
+    assert {(r.feed, r.provider) for r in cards} == {(1, "hf-blog"), (2, "google-blog")}
 
 
 def test_lists_tables_and_empty_runs(spark):
