@@ -137,8 +137,8 @@ def report(runs: DataFrame, items: DataFrame, coverage: DataFrame, misses: DataF
     item's title has, open questions, coverage, references; empty sections are left out.
 
     runs: run, one_liner, exec_summary, flags, caveats, questions (arrays), confirmed, major_out,
-    discovered (counts or null; without all three no banner); items: run, section_no, section, item_no, title, summary,
-    confidence, status, sources; coverage: run, board, claims, urls, degraded; misses: run, seq, name, date, note.
+    discovered (counts or null; without all three no banner), and perhaps window, which the flags follow on its line; items: run, section_no, section, item_no, title, summary,
+    confidence, status, sources; coverage: run, board, claims, urls, degraded, and perhaps the board's title; misses: run, seq, name, date, note.
     """
     cites = citations(items, run)
     marked = badges(items, cites, run)
@@ -146,7 +146,7 @@ def report(runs: DataFrame, items: DataFrame, coverage: DataFrame, misses: DataF
     sections = marked.groupBy(run, "section_no", "section").agg(ordered("item_no", block, "\n\n").alias("body"))
     body = sections.groupBy(run).agg(ordered("section_no", F.concat(F.lit("### "), "section", F.lit("\n\n"), "body"), "\n\n").alias("sections"))
     mark = F.when(F.coalesce("degraded", F.lit(False)), " `[degraded]`").otherwise("")
-    cover = coverage.groupBy(run).agg(ordered("board", F.concat(F.lit("- **"), "board", F.lit("**: "), F.col("claims").cast("string"), F.lit(" claims / "), F.col("urls").cast("string"), F.lit(" sources"), mark)).alias("coverage"))
+    cover = coverage.groupBy(run).agg(ordered("board", F.concat(F.lit("- **"), board_title(coverage), F.lit("**: "), F.col("claims").cast("string"), F.lit(" claims / "), F.col("urls").cast("string"), F.lit(" sources"), mark)).alias("coverage"))
     near = near_misses(misses, items.select(run, F.col("title").alias("claim")), run)
     rows = runs
     for part in (body, numbered_references(cites, run), cover, near):
@@ -156,7 +156,7 @@ def report(runs: DataFrame, items: DataFrame, coverage: DataFrame, misses: DataF
     banner = F.when(known, F.concat(F.lit("> **Material**: "), count("confirmed"), F.lit(" of the day; "), count("discovered"), F.lit(" sources of late.")))
     scarce = F.coalesce("confirmed", F.lit(0)) + F.coalesce("major_out", F.lit(0)) < low
     thin = F.when((known | F.col("major_out").isNotNull()) & scarce, F.lit(f"> **Low material**: fewer than {low} hard sources; mind their age."))
-    flags = F.when(F.size("flags") > 0, F.concat(F.lit("> degraded: `"), F.array_join("flags", "`, `"), F.lit("`")))
+    flags = window_line(runs)
     text = joined(
         F.concat(F.lit("# Daily report "), F.col(run).cast("string")), banner, thin, flags,
         section("In one line", F.col("one_liner")), section("Summary", F.col("exec_summary")), section("News", F.col("sections")), section("Unverified and limits", bullets(F.col("caveats"))),
@@ -164,9 +164,25 @@ def report(runs: DataFrame, items: DataFrame, coverage: DataFrame, misses: DataF
     return rows.select(run, text.alias("markdown"))
 
 
-def degraded_report(claims: DataFrame, coverage: DataFrame, misses: DataFrame, run: str = "run") -> DataFrame:
-    """(run, markdown) without a model: confirmed, major and refuted claims with votes and badges, near misses that no
-    major claim has, the coverage matrix and references; empty sections are left out.
+def board_title(coverage: DataFrame) -> Column:
+    return F.coalesce("title", "board") if "title" in coverage.columns else F.col("board")
+
+
+def window_line(runs: DataFrame) -> Column:
+    """The line with a run's window and flags; null without both."""
+    window = F.col("window") if "window" in runs.columns else F.lit(None).cast("string")
+    flags = F.when(F.size("flags") > 0, F.concat(F.lit("degraded: `"), F.array_join("flags", "`, `"), F.lit("`")))
+    parts = F.filter(F.array(F.concat(F.lit("window "), window), flags), lambda x: x.isNotNull())
+    return F.when(F.size(parts) > 0, F.concat(F.lit("> "), F.array_join(parts, "; ")))
+
+
+def degraded_report(claims: DataFrame, coverage: DataFrame, misses: DataFrame, run: str = "run", runs: DataFrame | None = None, quiet_board: str = "labs") -> DataFrame:
+    """(run, markdown) without a model: window and flags, the reason, confirmed, major and refuted claims with their number,
+    votes and badges, near misses that no major claim has, the coverage matrix with the boards' titles and references; but
+    for the confirmed claims and the matrix, empty sections are left out.
+
+    runs: run, window, flags (array), reason (null: none is known), quiet (array of companies without news, noted in the
+    row of ``quiet_board``); every one of them has a report. Without ``runs`` those that have claims get one without the first parts.
 
     claims: run, seq, part (confirmed, major_out, killed), claim, source_url, source_quality, date, vote,
     by_vote (whether votes settled it), errored; coverage: run, board, claims, degraded; misses: run, seq, name, date, note.
@@ -184,13 +200,27 @@ def degraded_report(claims: DataFrame, coverage: DataFrame, misses: DataFrame, r
         "major_out": F.concat(F.lit("- "), claim, F.lit(" ("), F.coalesce("date", F.lit("?")), F.lit(")")),
         "killed": F.concat(F.lit("- ~~"), claim, F.lit("~~ refuted `"), F.coalesce("vote", F.lit("?")), F.lit("`"), "badge", errors),
     }
-    lists = marked.groupBy(run).agg(*[ordered("seq", F.when(F.col("part") == name, line)).alias(name) for name, line in lines.items()])
-    cover = table(coverage, [run], "board", {"Board": F.col("board"), "Claims": F.col("claims"), "Note": F.when(F.coalesce("degraded", F.lit(False)), "degraded")}).withColumnRenamed("markdown", "coverage")
+    counted = [c for name, line in lines.items() for c in (ordered("seq", F.when(F.col("part") == name, line)).alias(name), F.count_if(F.col("part") == name).alias(f"n_{name}"))]
+    lists = marked.groupBy(run).agg(*counted)
+    if runs is None:
+        rows = lists.withColumns({"_line": F.lit(None).cast("string"), "_why": F.lit(None).cast("string"), "quiet": F.lit(None).cast("array<string>")})
+    else:
+        reason = F.coalesce(F.nullif(f.trimmed(F.regexp_replace(f.text_of(F.col("reason")), "\\s+", " ")), F.lit("")), F.lit("no complete report was made"))
+        why = F.concat(F.lit("Reason: "), reason, F.lit(". What follows is put together from the checked claims, one by one."))
+        rows = runs.select(run, window_line(runs).alias("_line"), why.alias("_why"), "quiet").join(lists, run, "left")
+    board = coverage.join(rows.select(run, "quiet"), run) if runs is not None else coverage.withColumn("quiet", F.lit(None).cast("array<string>"))
+    quiet = F.when((F.col("board") == quiet_board) & (F.size("quiet") > 0), F.concat(F.lit("no news: "), F.array_join("quiet", ", ")))
+    note = F.coalesce(quiet, F.when(F.coalesce("degraded", F.lit(False)), "degraded"))
+    cover = table(board, [run], "board", {"Board": F.col("board"), "Title": board_title(coverage), "Claims": F.col("claims"), "Note": note}).withColumnRenamed("markdown", "coverage")
     near = near_misses(misses, own.where("part = 'major_out'"), run)
-    rows = lists
     for part in (cover, near, numbered_references(cites, run)):
         rows = rows.join(part, run, "left")
-    text = joined(F.concat(F.lit("# Daily report "), F.col(run).cast("string"), F.lit(" (degraded)")), section("Within the window", F.col("confirmed")), section("Outside the window: milestones", F.col("major_out")), section("Refuted", F.col("killed")), section("Outside the window", F.col("near")), section("Coverage", F.col("coverage")), section("References", F.col("references")))
+    number = lambda name: F.coalesce(F.col(f"n_{name}"), F.lit(0)).cast("string")
+    headed = lambda head, name, tail: F.when(F.coalesce(F.col(name), F.lit("")) != "", F.concat(F.lit(f"## {head} ("), number(name), F.lit(f"{tail})\n\n"), F.col(name)))
+    within = F.concat(F.lit("## Within the window ("), number("confirmed"), F.lit(", confirmed by votes)"), F.when(F.coalesce("confirmed", F.lit("")) != "", F.concat(F.lit("\n\n"), "confirmed")).otherwise(""))
+    text = joined(
+        F.concat(F.lit("# Daily report "), F.col(run).cast("string"), F.lit(" (degraded)")), F.col("_line"), F.col("_why"), within, headed("Outside the window: milestones", "major_out", ", not voted on"),
+        headed("Refuted", "killed", ", voted down"), section("Outside the window", F.col("near")), section("Coverage", F.col("coverage")), section("References", F.col("references")))
     return rows.select(run, text.alias("markdown"))
 
 

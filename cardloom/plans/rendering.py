@@ -81,17 +81,28 @@ def misses(spark, sf):
 _refs = "rf AS (SELECT run, string_agg('- [' || n || '] [' || title || '](<' || url || '>)', chr(10) ORDER BY n) AS t FROM cites GROUP BY 1)"
 
 
+def _head(run: str) -> str:
+    """The line with window and flags of a run."""
+    return f"CASE WHEN {run} % 3 > 0 AND {run} % 2 = 0 THEN {_nl} || '> window w' || {run} || '; degraded: `a`, `b`' WHEN {run} % 3 > 0 THEN {_nl} || '> window w' || {run} WHEN {run} % 2 = 0 THEN {_nl} || '> degraded: `a`, `b`' ELSE '' END"
+
+
+def headed(runs):
+    """Runs with the columns of that line."""
+    none = F.array().cast("array<string>")
+    return runs.withColumns({"window": F.when(F.col("run") % 3 > 0, F.concat(F.lit("w"), "run")), "flags": F.when(F.col("run") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(none)})
+
+
 @P.add("daily_report", f"""WITH {_items}, {_cites}, {_badges}, {_cover}, {_misses}, {_near('(SELECT run, title AS claim FROM items)')}, s AS (SELECT run, section_no, string_agg({_block}, chr(10) || chr(10) ORDER BY item_no) AS body
       FROM b
       GROUP BY 1, 2),
     sec AS (SELECT run, string_agg('### Section ' || section_no || {_nl} || body, {_nl} ORDER BY section_no) AS t FROM s GROUP BY 1), {_refs},
-    co AS (SELECT run, string_agg('- **' || board || '**: ' || claims || ' claims / ' || urls || ' sources' || CASE WHEN degraded THEN ' `[degraded]`' ELSE '' END, chr(10) ORDER BY board) AS t
+    co AS (SELECT run, string_agg('- **' || upper(board) || '**: ' || claims || ' claims / ' || urls || ' sources' || CASE WHEN degraded THEN ' `[degraded]`' ELSE '' END, chr(10) ORDER BY board) AS t
       FROM cv
       GROUP BY 1)
     SELECT co.run, '# Daily report ' || co.run
       || CASE WHEN co.run < 5 THEN {_nl} || '> **Material**: ' || CASE WHEN co.run = 3 THEN '?' ELSE CAST(co.run * 2 AS VARCHAR) END || ' of the day; ' || (co.run + 40) || ' sources of late.' ELSE '' END
       || CASE WHEN co.run < 5 AND (CASE WHEN co.run = 3 THEN 0 ELSE co.run * 2 END) + co.run < 8 THEN {_nl} || '> **Low material**: fewer than 8 hard sources; mind their age.' ELSE '' END
-      || CASE WHEN co.run % 2 = 0 THEN {_nl} || '> degraded: `a`, `b`' ELSE '' END || {_nl} || '## In one line' || {_nl} || 'All of it.' || CASE WHEN co.run % 3 > 0 THEN {_nl} || '## Summary' || {_nl} || 'More of ' || co.run ELSE '' END || {_nl} || '## News' || {_nl} || sec.t
+      || {_head('co.run')} || {_nl} || '## In one line' || {_nl} || 'All of it.' || CASE WHEN co.run % 3 > 0 THEN {_nl} || '## Summary' || {_nl} || 'More of ' || co.run ELSE '' END || {_nl} || '## News' || {_nl} || sec.t
       || CASE WHEN co.run % 2 = 1 THEN {_nl} || '## Unverified and limits' || {_nl} || '- weak' || chr(10) || '- weaker' ELSE '' END || coalesce({_nl} || '## Outside the window' || {_nl} || nm.t, '') || CASE WHEN co.run % 3 = 1 THEN {_nl} || '## Open questions' || {_nl} || '- why?' ELSE '' END
       || {_nl} || '## Coverage' || {_nl} || co.t || coalesce({_nl} || '## References' || {_nl} || rf.t, '') AS markdown
       FROM co
@@ -103,11 +114,11 @@ def daily_report(spark, sf):
     none = F.array().cast("array<string>")
     run = F.col("run")
     columns = {
-        "one_liner": F.lit("All of it."), "exec_summary": F.when(run % 3 > 0, F.concat(F.lit("More of "), run)), "flags": F.when(run % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(none),
+        "one_liner": F.lit("All of it."), "exec_summary": F.when(run % 3 > 0, F.concat(F.lit("More of "), run)), 
         "caveats": F.when(run % 2 == 1, F.array(F.lit("weak"), F.lit("weaker"))), "questions": F.when(run % 3 == 1, F.array(F.lit("why?"))).otherwise(none),
         "confirmed": F.when((run < 5) & (run != 3), run * 2), "major_out": F.when(run < 5, run), "discovered": F.when(run < 5, run + 40),
     }
-    return op.report(i.select("run").distinct().withColumns(columns), i, cover(spark, sf), misses(spark, sf))
+    return op.report(headed(i.select("run").distinct()).withColumns(columns), i, cover(spark, sf).withColumn("title", F.upper("board")), misses(spark, sf))
 
 
 _vote = "CAST(valid - refuted AS VARCHAR) || '-' || CAST(refuted AS VARCHAR)"
@@ -127,23 +138,26 @@ _one_line = "trim(regexp_replace(claim, '\\s+', ' ', 'g'))"
       LEFT JOIN cites c ON c.run = d.run AND c.url = d.source_url
       WHERE part IN ('confirmed', 'major_out', 'killed')),
     {_near("(SELECT run, claim FROM d WHERE part = 'major_out')")}, {_refs},
-    co AS (SELECT run, '| Board | Claims | Note |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || {t.cell('board')} || ' | ' || claims || ' | ' || CASE WHEN degraded THEN 'degraded' ELSE '' END || ' |', chr(10) ORDER BY board) AS t
+    co AS (SELECT run, '| Board | Title | Claims | Note |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || {t.cell('board')} || ' | ' || upper(board) || ' | ' || claims || ' | ' || CASE WHEN board = 'src1' AND run % 2 = 1 THEN 'no news: X, Y' WHEN degraded THEN 'degraded' ELSE '' END || ' |', chr(10) ORDER BY board) AS t
       FROM cv
       GROUP BY 1),
-    ls AS (SELECT run, coalesce({_nl} || '## Within the window' || {_nl} || string_agg('- ' || CASE WHEN by_vote THEN '`✓' ELSE '`◇' END || coalesce(vote, '?') || '` ' || line || badge || ' — *(' || coalesce(q, '?') || ')*' || bad, chr(10) ORDER BY seq) FILTER (WHERE part = 'confirmed'), '')
-      || coalesce({_nl} || '## Outside the window: milestones' || {_nl} || string_agg('- ' || line || ' (' || coalesce(date, '?') || ')', chr(10) ORDER BY seq) FILTER (WHERE part = 'major_out'), '')
-      || coalesce({_nl} || '## Refuted' || {_nl} || string_agg('- ~~' || line || '~~ refuted `' || coalesce(vote, '?') || '`' || badge || bad, chr(10) ORDER BY seq) FILTER (WHERE part = 'killed'), '') AS t
+    ls AS (SELECT run, {_nl} || '## Within the window (' || count(*) FILTER (WHERE part = 'confirmed') || ', confirmed by votes)' || coalesce({_nl} || string_agg('- ' || CASE WHEN by_vote THEN '`✓' ELSE '`◇' END || coalesce(vote, '?') || '` ' || line || badge || ' — *(' || coalesce(q, '?') || ')*' || bad, chr(10) ORDER BY seq) FILTER (WHERE part = 'confirmed'), '')
+      || coalesce({_nl} || '## Outside the window: milestones (' || count(*) FILTER (WHERE part = 'major_out') || ', not voted on)' || {_nl} || string_agg('- ' || line || ' (' || coalesce(date, '?') || ')', chr(10) ORDER BY seq) FILTER (WHERE part = 'major_out'), '')
+      || coalesce({_nl} || '## Refuted (' || count(*) FILTER (WHERE part = 'killed') || ', voted down)' || {_nl} || string_agg('- ~~' || line || '~~ refuted `' || coalesce(vote, '?') || '`' || badge || bad, chr(10) ORDER BY seq) FILTER (WHERE part = 'killed'), '') AS t
       FROM x
       GROUP BY 1)
-    SELECT run, '# Daily report ' || run || ' (degraded)' || ls.t || coalesce({_nl} || '## Outside the window' || {_nl} || nm.t, '') || {_nl} || '## Coverage' || {_nl} || co.t || coalesce({_nl} || '## References' || {_nl} || rf.t, '') AS markdown
-      FROM ls
-      LEFT JOIN co USING (run)
+    SELECT run, '# Daily report ' || run || ' (degraded)' || {_head('run')} || {_nl} || 'Reason: ' || CASE WHEN run % 4 = 1 THEN 'it timed out' ELSE 'no complete report was made' END || '. What follows is put together from the checked claims, one by one.'
+      || coalesce(ls.t, {_nl} || '## Within the window (0, confirmed by votes)') || coalesce({_nl} || '## Outside the window' || {_nl} || nm.t, '') || {_nl} || '## Coverage' || {_nl} || co.t || coalesce({_nl} || '## References' || {_nl} || rf.t, '') AS markdown
+      FROM co
+      LEFT JOIN ls USING (run)
       LEFT JOIN nm USING (run)
       LEFT JOIN rf USING (run)""")
 def degraded_report(spark, sf):
     v = voted(spark, sf).withColumns({"run": F.col("seq") % 7, "part": F.expr(_outcome), "date": F.col("publish_date"), "by_vote": F.col("seq") % 3 > 0})
     v = v.withColumns({"source_url": F.when(F.col("seq") % 6 != 5, F.col("source_url")), "source_quality": F.when(F.col("seq") % 4 > 0, F.col("source_quality")), "vote": F.when(F.col("seq") % 10 != 7, f.vote_label(F.col("valid") - F.col("refuted"), F.col("refuted"), F.lit(False)))})
-    return op.degraded_report(v, cover(spark, sf), misses(spark, sf))
+    c = cover(spark, sf).withColumn("title", F.upper("board"))
+    runs = headed(c.select("run").distinct()).withColumns({"reason": F.when(F.col("run") % 4 == 1, "it  timed\nout"), "quiet": F.when(F.col("run") % 2 == 1, F.array(F.lit("X"), F.lit("Y")))})
+    return op.degraded_report(v, c, misses(spark, sf), runs=runs, quiet_board="src1")
 
 
 @P.add("front_matter", "SELECT source, '---' || chr(10) || 'date: 2026-08-01' || chr(10) || coalesce('lang: ' || max(CASE WHEN lang = 'es' AND doc_id % 50 = 3 THEN lang END) || chr(10), '') || 'tags: [' || array_to_string(list_sort(list_distinct(list(lang))), ', ') || ']' || chr(10) || '---' AS text FROM documents GROUP BY 1")

@@ -375,8 +375,8 @@ def test_reports(spark):
     assert got[2] == "# Daily report 2\n\n## Summary\n\nmore"
     claims = spark.createDataFrame([(1, 1, "confirmed", "c  one", "https://a.example/x", "primary", None, "3-0", True, 0), (1, 2, "major_out", "Qwen3.8", None, None, "2026", None, False, 0), (1, 3, "killed", "bad", "https://b.example", None, None, "0-3", True, 1), (1, 4, "unverified", "no", None, None, None, None, False, 0)], "run int, seq int, part string, claim string, source_url string, source_quality string, date string, vote string, by_vote boolean, errored int")
     assert rd.degraded_report(claims, cover, miss).first().markdown == (
-        "# Daily report 1 (degraded)\n\n## Within the window\n\n- `✓3-0` c one [1] — *(primary)*\n\n## Outside the window: milestones\n\n- Qwen3.8 (2026)\n\n## Refuted\n\n- ~~bad~~ refuted `0-3` [2] (1 votes failed)"
-        "\n\n## Outside the window\n\n- Other thing (2026)\n\n## Coverage\n\n| Board | Claims | Note |\n| --- | --- | --- |\n| labs | 3 | degraded |\n\n## References\n\n- [1] [a.example](<https://a.example/x>)\n- [2] [b.example](<https://b.example>)")
+        "# Daily report 1 (degraded)\n\n## Within the window (1, confirmed by votes)\n\n- `✓3-0` c one [1] — *(primary)*\n\n## Outside the window: milestones (1, not voted on)\n\n- Qwen3.8 (2026)\n\n## Refuted (1, voted down)\n\n- ~~bad~~ refuted `0-3` [2] (1 votes failed)"
+        "\n\n## Outside the window\n\n- Other thing (2026)\n\n## Coverage\n\n| Board | Title | Claims | Note |\n| --- | --- | --- | --- |\n| labs | labs | 3 | degraded |\n\n## References\n\n- [1] [a.example](<https://a.example/x>)\n- [2] [b.example](<https://b.example>)")
 
 
 def test_titles_with_brackets(spark):
@@ -401,3 +401,18 @@ def test_feed_files(spark, tmp_path):
     (tmp_path / "b.xml").write_text("<rss><channel><title>feed</title><item><title>T</title><link>https://l.example/1</link><pubDate>Mon, 03 Aug 2026 10:00:00 +0800</pubDate></item><item><title>no link</title></item></channel></rss>")
     rss = sp.read_feed_files(spark, str(tmp_path / "b.xml"), "rss").collect()
     assert [(r.title, r.url, r.published_at.isoformat(), r.malformed) for r in rss] == [("T", "https://l.example/1", "2026-08-03T02:00:00", None)]
+
+
+def test_reports_say_window_reason_and_quiet_companies(spark):
+    claims = spark.createDataFrame([(1, 1, "confirmed", "c", None, None, None, "2-0", True, 0)], "run int, seq int, part string, claim string, source_url string, source_quality string, date string, vote string, by_vote boolean, errored int")
+    cover = spark.createDataFrame([(1, "labs", "Labs", 1, 1, True), (1, "news", None, 0, 0, True), (2, "labs", "Labs", 0, 0, True)], "run int, board string, title string, claims int, urls int, degraded boolean")
+    none = spark.createDataFrame([], "run int, seq int, name string, date string, note string")
+    runs = spark.createDataFrame([(1, "1 to 2 Aug", ["f", "g"], " broken\npipe ", ["Acme", "Bolt"]), (2, None, [], None, [])], "run int, window string, flags array<string>, reason string, quiet array<string>")
+    tail = ". What follows is put together from the checked claims, one by one.\n\n## Within the window ("
+    got = {r.run: r.markdown for r in rd.degraded_report(claims, cover, none, runs=runs).collect()}
+    assert got[1] == "# Daily report 1 (degraded)\n\n> window 1 to 2 Aug; degraded: `f`, `g`\n\nReason: broken pipe" + tail + "1, confirmed by votes)\n\n- `✓2-0` c — *(?)*\n\n## Coverage\n\n| Board | Title | Claims | Note |\n| --- | --- | --- | --- |\n| labs | Labs | 1 | no news: Acme, Bolt |\n| news | news | 0 | degraded |"
+    assert got[2] == "# Daily report 2 (degraded)\n\nReason: no complete report was made" + tail + "0, confirmed by votes)\n\n## Coverage\n\n| Board | Title | Claims | Note |\n| --- | --- | --- | --- |\n| labs | Labs | 0 | degraded |"
+    full = runs.selectExpr("run", "'l' one_liner", "null exec_summary", "flags", "null caveats", "null questions", "cast(null as int) confirmed", "cast(null as int) major_out", "cast(null as int) discovered", "window").withColumns({c: F.col(c).cast("array<string>") for c in ("caveats", "questions")}).withColumn("exec_summary", F.col("exec_summary").cast("string"))
+    items = spark.createDataFrame([], "run int, section_no int, section string, item_no int, title string, summary string, confidence string, status string, sources array<string>")
+    whole = {r.run: r.markdown for r in rd.report(full, items, cover, none).collect()}
+    assert whole[1] == "# Daily report 1\n\n> window 1 to 2 Aug; degraded: `f`, `g`\n\n## In one line\n\nl\n\n## Coverage\n\n- **Labs**: 1 claims / 1 sources `[degraded]`\n- **news**: 0 claims / 0 sources `[degraded]`"
