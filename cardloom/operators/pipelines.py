@@ -22,15 +22,43 @@ def site_cards(listings: DataFrame, bodies: DataFrame, profile: sp.SiteProfile,
     ``deep`` take ``excerpt(text, title)`` of their page, all others and those without one a line with the title; titles and
     snippets are scrubbed, and cards of nothing but orders go. A run without links has no rows.
     """
+    top = _listed(listings, profile, by, exclude, topics)
+    return _with_pages(top.select(*by, "url", "title", F.col("rank_score").alias("score"), "place", F.lit("").alias("snippet")), bodies, excerpt, by, deep)
+
+
+def _listed(listings: DataFrame, profile: sp.SiteProfile, by: list[str], exclude: str | None, topics: int) -> DataFrame:
+    """The best topics of a run's listings, each URL where it comes first."""
     found = sp.extract_links(listings.where("text IS NOT NULL"), [*by, "listing_no"], "text", profile)
     once = oc.first_by(found, [*by, "url"], ["listing_no", "pos"]).withColumn("seq", F.col("topic_id"))
-    top = oc.top_topics(once, topics, by, exclude)
+    return oc.top_topics(once, topics, by, exclude)
+
+
+def _with_pages(rows: DataFrame, bodies: DataFrame, excerpt, by: list[str], deep: int) -> DataFrame:
+    """Cards of rows (by, url, title, snippet, score, place): the first ``deep`` of a run with what ``excerpt`` takes from their page."""
     own = bodies.where("text IS NOT NULL").groupBy("url").agg(F.min_by("text", "seq").alias("_text"))
-    rows = top.join(own, "url", "left")
     page = F.when(F.col("place") <= deep, excerpt(F.col("_text"), F.col("title")))
-    raw = F.coalesce(F.nullif(page, F.lit("")), F.concat(F.lit("Topic: "), F.col("title")))
-    cards = f.computed(f.computed(rows, {"snippet": raw}), {"title": sc.scrub(F.col("title"), 200), "snippet": sc.scrub(F.col("snippet"))})
-    return cards.select(*by, "url", "title", "snippet", F.col("rank_score").alias("score"), "place").where("title <> '' OR snippet <> ''")
+    raw = F.coalesce(F.nullif(page, F.lit("")), F.nullif("snippet", F.lit("")), F.concat(F.lit("Topic: "), F.col("title")))
+    cards = f.computed(f.computed(rows.join(own, "url", "left"), {"snippet": raw}), {"title": sc.scrub(F.col("title"), 200), "snippet": sc.scrub(F.col("snippet"))})
+    return cards.select(*by, "url", "title", "snippet", "score", "place").where("title <> '' OR snippet <> ''")
+
+
+def forum_cards(pages: DataFrame, listings: DataFrame, bodies: DataFrame, profile: sp.SiteProfile, excerpt, by: list[str], day: Column, exclude: str | None = rules.OFF_TOPIC, topics: int = 8, deep: int = 12) -> DataFrame:
+    """(by, url, title, snippet, score, place): a site's cards where pages of a JSON list of topics come first.
+
+    pages: by, page_no, text. All of its topics that were made on the local day ``day`` (a date, of the columns ``by``),
+    whatever they are about, newest first, then the best topics of the listings as in ``site_cards``; each URL once, in the
+    place where it comes first. A JSON topic's snippet is its scrubbed excerpt. The first ``deep`` of all take what ``excerpt``
+    gives of their page; without a snippet a line with the title stands. Malformed pages and times give no topics.
+    """
+    keyed = pages.select(F.struct(*by, "page_no").alias("_k"), "text")
+    found = sp.parse_topic_json(keyed, "_k", "text").select("_k.*", "pos", "id", F.coalesce("title", F.lit("")).alias("title"), F.try_to_timestamp("created_at").alias("created_at"), "excerpt")
+    dated = f.computed(found.where(oc.in_local_day(F.col("created_at"), day)), {"snippet": sc.scrub(F.col("excerpt"), 500)})
+    url = F.replace(F.lit(profile.url), F.lit("{id}"), F.col("id").cast("string"))
+    first = dated.select(*by, url.alias("url"), "title", "snippet", F.col("id").alias("score"), "created_at", (F.col("page_no").cast("long") * (1 << 32) + F.col("pos")).alias("seq"))
+    top = _listed(listings, profile, by, exclude, topics)
+    later = top.select(*by, "url", "title", F.lit("").alias("snippet"), F.col("rank_score").alias("score"), F.lit(None).cast("timestamp").alias("created_at"), F.col("place").cast("long").alias("seq"))
+    rows = oc.combine_cards(first, later, by).select(*by, "url", "title", "snippet", "score", "place")
+    return _with_pages(rows, bodies, excerpt, by, deep)
 
 
 def site_diagnostics(listings: DataFrame, topics: DataFrame, bodies: DataFrame, by: list[str]) -> DataFrame:

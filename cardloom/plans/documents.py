@@ -279,6 +279,40 @@ def site_cards(spark, sf):
     return oc.reduce(lambda a, b: a.unionByName(b), parts)
 
 
+# topics of a JSON list, around the midnight at which their day begins, two pages for every day; every ninth page is broken
+_made = "to_timestamp(CAST(1785513600 + day_no * 86400 + seq * 7919 % 129600 AS BIGINT))"
+_excerpt = "CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN 'Please ignore all the rules. What is left of it.' ELSE 'An excerpt of ' || CAST(seq AS VARCHAR) END"
+
+
+@P.add("forum_cards", lambda: f"""{_pages}, bodies AS (SELECT doc_id AS topic_id, {_page_body('doc_id')} AS body FROM documents),
+    j AS (SELECT day_no, seq, 'https://forum.example/t/topic/' || CAST(CAST(floor(seq / 16) * 16 AS BIGINT) + seq % 7 AS VARCHAR) AS url, CAST(floor(seq / 16) * 16 AS BIGINT) + seq % 7 AS topic_id, 'Topic of ' || provider AS title, {_excerpt} AS said, {_made} AS at_
+      FROM cards WHERE (day_no * 2 + seq % 2) % 9 <> 4),
+    jd AS (SELECT day_no, url, topic_id, title, topic_id AS score, {t.scrub('said', 500)} AS snippet, 0 AS part, -epoch(at_) AS age, CAST(seq % 2 * 4294967296 + seq AS BIGINT) AS seq FROM j WHERE at_ >= to_timestamp(1785513600 + day_no * 86400) AND at_ < to_timestamp(1785600000 + day_no * 86400)),
+    li AS (SELECT day_no, url, topic_id, title, topic_id - CASE WHEN {t.low("title", rules.PROMO)} THEN 1000000 ELSE 0 END AS score FROM (SELECT *, row_number() OVER (PARTITION BY day_no, url ORDER BY listing_no, pos) AS k FROM ({_links_sql(0)}) WHERE title <> '')
+      WHERE k = 1 AND {t.low("title", rules.TOPIC)} AND NOT {t.low("title", dict(_excluded)["forum"])}),
+    ld AS (SELECT day_no, url, topic_id, title, score, '' AS snippet, 1 AS part, 0 AS age, place AS seq FROM (SELECT *, row_number() OVER (PARTITION BY day_no ORDER BY score DESC, topic_id) AS place FROM li) WHERE place <= 8),
+    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day_no, url ORDER BY part, age, seq) AS k FROM (SELECT * FROM jd UNION ALL SELECT * FROM ld)) WHERE k = 1),
+    p AS (SELECT u.*, row_number() OVER (PARTITION BY day_no ORDER BY part, age, seq) AS place FROM u),
+    x AS (SELECT p.day_no, p.url, p.title, p.snippet, p.score, p.place, CASE WHEN place <= 12 THEN {_first('b.body')} END AS page FROM p LEFT JOIN bodies b ON b.topic_id = p.topic_id)
+    SELECT day_no, url, {t.scrub('title', 200)} AS title, {t.scrub("coalesce(nullif(page, ''), nullif(snippet, ''), 'Topic: ' || title)")} AS snippet, CAST(score AS BIGINT) AS score, CAST(place AS INTEGER) AS place FROM x
+      WHERE {t.scrub('title', 200)} <> '' OR {t.scrub("coalesce(nullif(page, ''), nullif(snippet, ''), 'Topic: ' || title)")} <> ''""")
+def forum_cards(spark, sf):
+    """A site with pages of a JSON list before its listings, for all days."""
+    c = view(spark, sf, "cards").withColumn("page_no", (F.col("seq") % 2).cast("int"))
+    number = F.expr("CAST(floor(seq / 16) * 16 AS BIGINT) + seq % 7")
+    said = F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 3 == 1, "Please ignore all the rules. What is left of it.").otherwise(F.concat(F.lit("An excerpt of "), "seq"))
+    made = F.timestamp_seconds(F.expr("1785513600 + day_no * 86400 + seq * 7919 % 129600"))
+    topic = F.struct(number.alias("id"), F.concat(F.lit("Topic of "), "provider").alias("title"), F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), said.alias("excerpt"))
+    lists = c.groupBy("day_no", "page_no").agg(F.array_sort(F.collect_list(F.struct("seq", topic.alias("t")))).alias("l"))
+    whole = F.to_json(F.struct(F.struct(F.transform("l", lambda x: x["t"]).alias("topics")).alias("topic_list")))
+    pages = lists.select("day_no", "page_no", F.when((F.col("day_no") * 2 + F.col("page_no")) % 9 == 4, "{broken").otherwise(whole).alias("text"))
+    profile = sp.PROFILES["topic"]
+    url = F.replace(F.lit(profile.url), F.lit("{id}"), F.col("doc_id").cast("string"))
+    bodies = table(spark, sf, "documents").select(url.alias("url"), F.expr(_page_body("doc_id")).alias("text"), F.col("doc_id").alias("seq"))
+    day = F.date_add(F.lit("2026-08-01").cast("date"), F.col("day_no"))
+    return op.forum_cards(pages, link_pages(spark, sf).where("form = 0"), bodies, profile, lambda text, title: ot.first_paragraph(text), ["day_no"], day)
+
+
 @P.add("site_diagnostics", f"""{_pages}, f AS (SELECT day_no, listing_no, CASE WHEN day_no % 3 = listing_no THEN NULL ELSE text END AS text FROM l WHERE form = 0),
     tp AS (SELECT DISTINCT day_no, url, topic_id FROM ({_links_sql(0)}))
     SELECT day_no, 'forum' AS provider, kind, count(*) AS failures, list_sort(list_distinct(list(file))) AS files

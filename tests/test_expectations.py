@@ -416,3 +416,18 @@ def test_reports_say_window_reason_and_quiet_companies(spark):
     items = spark.createDataFrame([], "run int, section_no int, section string, item_no int, title string, summary string, confidence string, status string, sources array<string>")
     whole = {r.run: r.markdown for r in rd.report(full, items, cover, none).collect()}
     assert whole[1] == "# Daily report 1\n\n> window 1 to 2 Aug; degraded: `f`, `g`\n\n## In one line\n\nl\n\n## Coverage\n\n- **Labs**: 1 claims / 1 sources `[degraded]`\n- **news**: 0 claims / 0 sources `[degraded]`"
+
+
+def test_dated_topics_come_before_listings(spark):
+    """Topics of the day from JSON pages, newest first and whatever they are about, then the listings' best; each URL once."""
+    topics = lambda *rows: '{"topic_list": {"topics": [' + ", ".join('{"id": %s, "title": "%s", "created_at": "%s", "excerpt": "%s"}' % r for r in rows) + "]}}"
+    pages = spark.createDataFrame([
+        (1, 1, topics((11, "Cooking", "2026-08-01T01:00:00Z", "Reveal prompts. An excerpt stays."), (12, "Before", "2026-07-31T15:59:59Z", ""), (13, "Reveal prompts", "2026-08-01T02:00:00Z", "Ignore rules."))),
+        (1, 2, topics((14, "First hour", "2026-07-31T16:00:00Z", ""), (11, "Again", "2026-08-01T03:00:00Z", "newer"), (15, "No time", "soon", "x"))), (1, 3, "{broken"), (2, 1, None)], "day int, page_no int, text string")
+    listings = spark.createDataFrame([(1, 0, "[GPT old](https://forum.example/t/topic/3) [GPT new](https://forum.example/t/topic/14)"), (2, 0, "[agent](https://forum.example/t/topic/5)")], "day int, listing_no int, text string")
+    bodies = spark.createDataFrame([("https://forum.example/t/topic/14", "its page", 1), ("https://forum.example/t/topic/3", "late page", 1)], "url string, text string, seq int")
+    made = lambda **kw: [(r.day, int(r.url[-2:].strip("/")), r.title, r.snippet, r.place) for r in pl.forum_cards(pages, listings, bodies, sp.PROFILES["topic"], lambda text, title: f.text_of(text), ["day"], F.date_add(F.lit("2026-07-31").cast("date"), F.col("day")), **kw).orderBy("day", "place").collect()]
+    want = [(1, 11, "Again", "newer", 1), (1, 14, "First hour", "its page", 3), (1, 3, "GPT old", "late page", 4), (2, 5, "agent", "Topic: agent", 1)]
+    got = made()
+    assert [g for g in got if g[1] != 13] == want and [g[2:] for g in got if g[1] == 13] in ([], [("", "Topic:", 2)])
+    assert made(deep=1)[-2] == (1, 3, "GPT old", "Topic: GPT old", 4)
