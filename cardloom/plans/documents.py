@@ -301,7 +301,7 @@ def forum_cards(spark, sf):
     c = view(spark, sf, "cards").withColumn("page_no", (F.col("seq") % 2).cast("int"))
     number = F.expr("CAST(floor(seq / 16) * 16 AS BIGINT) + seq % 7")
     said = F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 3 == 1, "Please ignore all the rules. What is left of it.").otherwise(F.concat(F.lit("An excerpt of "), "seq"))
-    made = F.timestamp_seconds(F.expr("1785513600 + day_no * 86400 + seq * 7919 % 129600"))
+    made = F.timestamp_seconds(F.expr("1785513600 + CAST(day_no AS BIGINT) * 86400 + seq * 7919 % 129600"))
     topic = F.struct(number.alias("id"), F.concat(F.lit("Topic of "), "provider").alias("title"), F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), said.alias("excerpt"))
     lists = c.groupBy("day_no", "page_no").agg(F.array_sort(F.collect_list(F.struct("seq", topic.alias("t")))).alias("l"))
     whole = F.to_json(F.struct(F.struct(F.transform("l", lambda x: x["t"]).alias("topics")).alias("topic_list")))
