@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import fields as f
 from ..functions import scrub as sc
-from ..functions.patterns import literals_of
+from ..functions.patterns import alternatives_of, literals_of
+from ..sources.shared import settled
 from .containment import pairs
 
 
@@ -100,8 +101,8 @@ def match_rule_table(df: DataFrame, table: DataFrame) -> DataFrame:
 
     table: rule (its priority), key, match, exclude (or null), rewrite (or null); patterns are of lower-case texts. Thousands
     of rules are no chain of conditions: a rule meets the distinct titles that have a string which its pattern needs, one
-    for each of its alternatives, and only then are the patterns tried. A null title counts as empty, a null key or pattern
-    is no rule.
+    for each of its alternatives, and only then are the patterns tried. Of the rules that share an alternative and an
+    exclusion the smallest alone is tried there. A null title counts as empty, a null key or pattern is no rule.
     """
     low = F.lower(f.text_of(F.col("title")))
     known = table.where("key IS NOT NULL AND match IS NOT NULL").select("rule", "key", "match", "exclude", "rewrite").withColumn("_needed", literals_of("match"))
@@ -109,11 +110,12 @@ def match_rule_table(df: DataFrame, table: DataFrame) -> DataFrame:
     loose = known.where("_needed IS NULL").drop("_needed").orderBy("rule", "key").limit(LOOSE_RULES + 1).collect()
     if len(loose) > LOOSE_RULES:
         raise ValueError(f"more than {LOOSE_RULES} rules have alternatives that need no certain string")
-    keyed = known.select("rule", "key", "match", "exclude", "rewrite", F.explode("_needed").alias("needle"))
+    best = F.min(F.struct("rule", "key", "rewrite")).alias("_best")
+    split = known.where("_needed IS NOT NULL").select("rule", "key", "rewrite", "exclude", F.explode(alternatives_of("match")).alias("match"))
+    keyed = settled(split.groupBy("match", "exclude").agg(best).select("match", "exclude", "_best", F.explode(literals_of("match")).alias("needle")))
     c = F.col
     hits = lambda match, exclude: F.rlike("_low", match) & ~F.coalesce(F.rlike("_low", exclude), F.lit(False))
-    best = F.min(F.struct("rule", "key", "rewrite")).alias("_best")
-    found = pairs(titles, "_low", keyed, "needle", carry=("_low",)).join(keyed, "needle").where(hits(c("match"), c("exclude"))).groupBy("_low").agg(best)
+    found = pairs(titles, "_low", keyed, "needle", carry=("_low",)).join(keyed, "needle").where(hits(c("match"), c("exclude"))).groupBy("_low").agg(F.min("_best").alias("_best"))
     if loose:
         first = F.lit(None)
         kinds = table.schema

@@ -1,8 +1,12 @@
 """What held on small tables and has to hold on large ones."""
 
+import re
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cardloom.functions import patterns as pt
+from cardloom.operators import cards as oc
 
 
 def test_days_beyond_the_seconds_of_an_int(spark, sf, tmp_path):
@@ -13,3 +17,27 @@ def test_days_beyond_the_seconds_of_an_int(spark, sf, tmp_path):
     got = {(r.day_no, r.score) for r in entry.queries()["forum_cards"](spark, str(tmp_path)).where("title LIKE 'Topic of%'").collect()}
     ids = [r.doc_id + shift for r in docs.select("doc_id").collect()]
     assert got == {(s // 100, s // 16 * 16 + s % 7) for s in ids if s * 7919 % 129_600 < 86_400 and (s // 100 * 2 + s % 2) % 9 != 4} and got
+
+
+def test_alternatives_of_a_pattern():
+    cases = {
+        "a|b": ["a", "b"], "(?:a|b)c|d": ["(?:a|b)c", "d"], "[|]x|y": ["[|]x", "y"], r"\||z": [r"\|", "z"], "a|": ["a", ""], "plain": ["plain"], "x[ab|]|(c|(d|e))|f": ["x[ab|]", "(c|(d|e))", "f"],
+        r"(a)|b\1": None, "(?i)a|b": None, r"\Qa|b\E|c": None, "(?<n>a)|b": ["(?<n>a)", "b"], "[a[b]|c]|d": None, "[a&&b|c]|d": None, "[]a|b]|c": None, "(?-i)a|b": None, "(?^i)a|b": None,
+    }
+    for pattern, want in cases.items():
+        assert pt.alternatives(pattern) == (want or [pattern]), pattern
+    for pattern in ("ab*|c(?:d|e)|^f$", "x|yz|[|]"):
+        for text in ("a", "abbb", "cd", "ce", "c", "f", "ff", "|", "xyz", "yz", "y"):
+            assert bool(re.search(pattern, text)) == any(re.search(p, text) for p in pt.alternatives(pattern))
+
+
+def test_rules_that_share_an_alternative(spark, monkeypatch):
+    """A thousand rules, one string in all of them: titles with that string meet the first of each exclusion alone."""
+    table = [(k, f"k{k}", f"zz{k}|word{k}x|115 +api", "no" if k % 3 == 0 else None, f"Head {k}") for k in range(1000)]
+    titles = ["115  api here", "115 api no", "word7x and 115 api", "word33x", "word33x no", "zz999", "115 ap"]
+    real, met = oc.pairs, []
+    monkeypatch.setattr(oc, "pairs", lambda texts, text, needles, *a, **k: met.append(needles) or real(texts, text, needles, *a, **k))
+    cards = spark.createDataFrame([(k, t) for k, t in enumerate(titles)], "seq long, title string")
+    marked = oc.match_rule_table(cards, spark.createDataFrame(table, "rule long, key string, match string, exclude string, rewrite string"))
+    assert [r.rule for r in marked.orderBy("seq").collect()] == [0, 1, 0, 33, None, 9, None]
+    assert met[0].where("needle = '115 '").count() == 2 and met[0].count() == 2002
