@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cardloom.functions import patterns as pt
 from cardloom.operators import cards as oc
+from cardloom.sources import versions as vs
 
 
 def test_days_beyond_the_seconds_of_an_int(spark, sf, tmp_path):
@@ -41,3 +42,26 @@ def test_rules_that_share_an_alternative(spark, monkeypatch):
     marked = oc.match_rule_table(cards, spark.createDataFrame(table, "rule long, key string, match string, exclude string, rewrite string"))
     assert [r.rule for r in marked.orderBy("seq").collect()] == [0, 1, 0, 33, None, 9, None]
     assert met[0].where("needle = '115 '").count() == 2 and met[0].count() == 2002
+
+
+def test_many_days_are_pointed_to_at_once(spark, tmp_path, monkeypatch):
+    """A validated write makes one file for all its days; pointers of single days before and after it count by their order."""
+    path, calls, real = str(tmp_path / "t"), [], vs._write
+    monkeypatch.setattr(vs, "_write", lambda *a: calls.append(a) or real(*a))
+    rows = lambda n, *days: spark.createDataFrame([(f"2026-08-{d:02}", n) for d in days], "run_date string, n long")
+    held = lambda: {d[-2:]: v for d, v in vs.current(spark, path).items()}
+    vs.publish_days(rows(1, 1, 2), path, "v1")
+    calls.clear()
+    done = vs.publish_validated(rows(2, *range(2, 29)), path, "v2", F.max("n") > 0)
+    assert len(calls) == 1 and done.where("outcome = 'written'").count() == 27
+    assert held() == {"01": "v1"} | {f"{d:02}": "v2" for d in range(2, 29)}
+    vs.publish_days(rows(3, 3), path, "v3")
+    vs.publish_validated(rows(4, 4), path, "v4", F.max("n") > 0)
+    want = {"01": "v1", "03": "v3", "04": "v4"} | {f"{d:02}": "v2" for d in (2, *range(5, 29))}
+    assert held() == want and vs.read_days(spark, path).count() == 28
+    assert vs.remove_old(spark, path) == [] and held() == want
+
+    monkeypatch.setattr(vs, "_commits", lambda *a, all=vs._commits: all(*a) if calls else all(*a)[:-1])  # another writer was faster
+    calls.clear()
+    vs._point_all(spark, path, ["2026-08-05"], "v3")
+    assert len(calls) == 2 and held() == want | {"05": "v3"}
