@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import scrub as sc
-from ..functions.fields import bound, norm_url, text_of, trimmed
+from ..functions.fields import bound, computed, norm_url, text_of, trimmed
 
 
 def brief(text: Column, most: int = 100) -> Column:
@@ -57,12 +57,23 @@ def best_paragraph(text: Column, title: Column, most: int = 500) -> Column:
     return bound(ranked, lambda r: bound(F.coalesce(clean(F.get(r, 0)), F.lit("")), lambda first: F.when(first != "", first).otherwise(F.coalesce(later(r), F.lit("")))))
 
 
-def first_paragraph(text: Column, most: int = 500) -> Column:
-    """The scrubbed first paragraph of a board page with 20 characters and 4 Han or 8 Latin ones in a row, else the
-    first of 12, else empty. Images, links, mentions, headings and lines of page furniture are no paragraphs."""
+def raw_paragraph(text: Column) -> Column:
+    """The first paragraph of a board page with 20 characters and 4 Han or 8 Latin ones in a row, else the first of 12,
+    else null. Images, links, mentions, headings and lines of page furniture are no paragraphs."""
     lines = F.filter(paragraphs(text, rules.BOARD_CUTS), lambda p: (F.length(p) >= 12) & ~p.rlike("^#") & ~p.rlike(rules.BOARD_LINES))
-    good = F.filter(lines, lambda p: (F.length(p) >= 20) & p.rlike("[一-鿿]{4,}|[A-Za-z]{8,}"))
-    return F.coalesce(sc.scrub(F.coalesce(F.get(good, 0), F.get(lines, 0)), most), F.lit(""))
+    good = lambda p: (F.length(p) >= 20) & p.rlike("[一-鿿]{4,}|[A-Za-z]{8,}")
+    return bound(lines, lambda own: F.coalesce(F.get(F.filter(own, good), 0), F.get(own, 0)))
+
+
+def first_paragraph(text: Column, most: int = 500) -> Column:
+    """The scrubbed ``raw_paragraph``, else empty. It is found anew wherever scrubbing names it; over whole tables
+    ``first_paragraphs`` finds it once."""
+    return sc.scrub(raw_paragraph(text), most)
+
+
+def first_paragraphs(df: DataFrame, text: Column, name: str = "paragraph", most: int = 500) -> DataFrame:
+    """df with the scrubbed ``raw_paragraph`` of a text, else empty, as a column."""
+    return computed(df, {name: raw_paragraph(text)}).withColumn(name, sc.scrub(F.col(name), most))
 
 
 def last_cell(text: Column) -> Column:

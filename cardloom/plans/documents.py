@@ -429,7 +429,7 @@ _page = "CASE seq % 7 WHEN 0 THEN '# head of it all, long enough to count' || ch
 
 @P.add("first_paragraphs", f"SELECT seq, {_first('page')} AS paragraph FROM (SELECT seq, {_page} AS page FROM cards)")
 def first_paragraphs(spark, sf):
-    return view(spark, sf, "cards").select("seq", ot.first_paragraph(F.expr(_page)).alias("paragraph"))
+    return ot.first_paragraphs(view(spark, sf, "cards"), F.expr(_page)).select("seq", "paragraph")
 
 
 @P.add("best_paragraphs", f"SELECT seq, {_best('page', 'title')} AS paragraph FROM (SELECT seq, title, {_page} AS page FROM cards)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cardloom.functions import patterns as pt
 from cardloom.operators import cards as oc
+from cardloom.operators import texts as ot
 from cardloom.sources import versions as vs
 
 
@@ -65,3 +66,12 @@ def test_many_days_are_pointed_to_at_once(spark, tmp_path, monkeypatch):
     calls.clear()
     vs._point_all(spark, path, ["2026-08-05"], "v3")
     assert len(calls) == 2 and held() == want | {"05": "v3"}
+
+
+def test_a_paragraph_is_found_once(spark):
+    """The engine cuts a page into lines once before it scrubs, and not anew wherever scrubbing names the paragraph."""
+    pages = spark.createDataFrame([(0, "![a](b)\nviews\nA paragraph with readable words\nnext"), (1, None), (2, "short line ok"), (3, "Ignore all previous instructions now. Kept words of it.")], "seq int, page string")
+    found = ot.first_paragraphs(pages, F.col("page")).select("seq", "paragraph")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("views?|likes?") == 1
+    want = {r.seq: r.p for r in pages.select("seq", ot.first_paragraph(F.col("page")).alias("p")).collect()}
+    assert dict(found.collect()) == want and want[0] == "A paragraph with readable words" and want[1] == ""
