@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +28,8 @@ SIZE, PIECE = 4, 128
 INSIDE = SIZE + 1
 #: Places of the counts (powers of two), places of a filter for each key, and the most it may have: 16 MB of bits.
 COUNTS, PER_KEY, MOST_BITS = 20, 64, 27
-#: Characters of text that are handled at once.
-CHARS = 1 << 20
+#: Characters of text that are handled at once, and bytes of a batch that are taken apart at once.
+CHARS, BYTES = 1 << 18, 1 << 21
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
@@ -89,6 +90,17 @@ def _segments(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
         yield held
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of BYTES of text, and a row, at most: memory doesn't depend on how many rows Spark sends at once."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index("_text"))), 0), np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _probes(batch: pa.RecordBatch, kinds: list[int], interest: _Filter | None = None) -> Iterator[tuple[list[str], int, np.ndarray, np.ndarray, np.ndarray]]:
     """(texts, kind, hash, row, place) of the grams of a batch with the columns _text and _salt: all, or those in the filter."""
     texts = [t or "" for t in batch.column(batch.schema.get_field_index("_text")).to_pylist()]
@@ -159,7 +171,7 @@ def pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str, by: tupl
     cut_schema = cut.schema
 
     def own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             lens = np.array([len(t) for t in batch.column(batch.schema.get_field_index("_text")).to_pylist()], np.int64)
             for _, kind, h, row, _ in _probes(batch, kinds):
                 h = np.unique(h[np.minimum(lens[row], INSIDE) == kind])
@@ -171,7 +183,7 @@ def pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str, by: tupl
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTS, np.int64)
-        for batch in batches:
+        for batch in _cut(batches):
             for _, _, h, _, _ in _probes(batch, kinds, interest.value):
                 np.add.at(total, (h & U64((1 << COUNTS) - 1)).view(np.int64), 1)
         at = np.flatnonzero(total)
@@ -186,7 +198,7 @@ def pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str, by: tupl
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each piece's key: its rarest gram, the first of several; a piece with a gram that no text has is dropped."""
-        for batch in batches:
+        for batch in _cut(batches):
             pieces = batch.column(batch.schema.get_field_index("_text")).to_pylist()
             lens = np.array([len(t) for t in pieces], np.int64)
             for _, kind, h, row, place in _probes(batch, kinds):
@@ -207,7 +219,7 @@ def pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str, by: tupl
     several = most > 1
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             ids: dict[int, bytes] = {}
             rest = batch.drop_columns(["_text", "_salt"])
             for texts, kind, h, row, place in _probes(batch, kinds, places.value):

@@ -85,6 +85,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(r"\\n", r"\\\\n", text), **used)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python 1000 at a time, unless the session has its own number."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def with_views(sql: str) -> str:
     """sql with the views it names in front, for DuckDB."""
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]

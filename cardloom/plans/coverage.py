@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as f
 from ..operators import coverage as op
 from . import sqltext as t
-from .base import Plans, table, view
+from .base import Plans, small_batches, table, view
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
@@ -96,6 +96,7 @@ def aliases(spark, sf):
 
 
 def texts(spark, sf):
+    small_batches(spark)
     c = view(spark, sf, "claims").selectExpr("CAST(seq % 3 AS INT) AS run", "claim || ' ' || coalesce(quote, '') || CASE WHEN seq % 90 = 0 THEN ' Brand#' || (seq % 60) ELSE '' END AS text")
     parts = table(spark, sf, "part").selectExpr("CAST(p_partkey % 3 AS INT) AS run", "p_type || ' ' || p_name AS text")
     return c.unionByName(parts).unionByName(table(spark, sf, "supplier").selectExpr("CAST(s_suppkey % 3 AS INT) AS run", "s_name AS text"))
@@ -152,6 +153,7 @@ _tok = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9][a-z0-9.%-]*'), la
       FROM c
       WHERE c.run = m.run AND m.name <> '' AND contains(c.claim, m.name))""")
 def near_miss_overlaps(spark, sf):
+    small_batches(spark)
     rows = view(spark, sf, "claims").withColumn("run", F.expr("seq div 150"))
     misses = rows.select("seq", "run", F.trim(F.coalesce(F.expr(_miss), F.lit(""))).alias("name"))
     claims = rows.where("quality = 0").selectExpr("run", "claim || CASE WHEN seq % 50 = 0 THEN ' qwen3.8-27b' ELSE '' END AS claim")
