@@ -17,7 +17,7 @@ from ..functions import fields as f
 from ..functions import scrub as sc
 from ..functions.patterns import alternatives_of, literals_of
 from ..sources.shared import settled
-from .containment import pairs
+from .held import pairs
 
 
 def union_sources(tables: dict[str, DataFrame], enabled: dict[str, bool] | None = None) -> DataFrame:
@@ -93,6 +93,8 @@ def match_rules(df: DataFrame, clusters=rules.CLUSTERS) -> DataFrame:
 
 #: Rules of a table that need no certain string, and so are tried on every title; more are an error.
 LOOSE_RULES = 200
+#: What makes a pattern more than a string.
+SIGNS = r"[\\^$.|?*+()\[\]{}]"
 
 
 def match_rule_table(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -100,32 +102,29 @@ def match_rule_table(df: DataFrame, table: DataFrame) -> DataFrame:
     matches without its exclusion; else nulls.
 
     table: rule (its priority), key, match, exclude (or null), rewrite (or null); patterns are of lower-case texts. Thousands
-    of rules are no chain of conditions: a rule meets the distinct titles that have a string which its pattern needs, one
-    for each of its alternatives, and only then are the patterns tried. Of the rules that share an alternative and an
-    exclusion the smallest alone is tried there. A null title counts as empty, a null key or pattern is no rule.
+    of rules are no chain of conditions: a rule is tried on the titles that have a string which its pattern needs, one
+    for each of its alternatives, and only up to the first that is no more than such a string (see ``held``). Of the rules that share
+    an alternative and an exclusion the smallest alone is tried there. A null title counts as empty, a null key or pattern is no rule.
     """
-    low = F.lower(f.text_of(F.col("title")))
-    known = table.where("key IS NOT NULL AND match IS NOT NULL").select("rule", "key", "match", "exclude", "rewrite").withColumn("_needed", literals_of("match"))
-    titles = df.select(low.alias("_low")).distinct()
+    c = F.col
+    known = settled(table.where("key IS NOT NULL AND match IS NOT NULL").select("rule", "key", "match", "exclude", "rewrite").withColumn("_needed", literals_of("match")))
     loose = known.where("_needed IS NULL").drop("_needed").orderBy("rule", "key").limit(LOOSE_RULES + 1).collect()
     if len(loose) > LOOSE_RULES:
         raise ValueError(f"more than {LOOSE_RULES} rules have alternatives that need no certain string")
     best = F.min(F.struct("rule", "key", "rewrite")).alias("_best")
     split = known.where("_needed IS NOT NULL").select("rule", "key", "rewrite", "exclude", F.explode(alternatives_of("match")).alias("match"))
-    keyed = settled(split.groupBy("match", "exclude").agg(best).select("match", "exclude", "_best", F.explode(literals_of("match")).alias("needle")))
-    c = F.col
-    hits = lambda match, exclude: F.rlike("_low", match) & ~F.coalesce(F.rlike("_low", exclude), F.lit(False))
-    found = pairs(titles, "_low", keyed, "needle", carry=("_low",)).join(keyed, "needle").where(hits(c("match"), c("exclude"))).groupBy("_low").agg(F.min("_best").alias("_best"))
+    keyed = split.groupBy("match", "exclude").agg(best).select("match", "exclude", "_best", F.explode(literals_of("match")).alias("needle"))
+    keyed = keyed.withColumn("_sure", (c("match") == c("needle")) & ~c("match").rlike(SIGNS) & c("exclude").isNull())
+    hits = lambda low, match, exclude: F.rlike(low, match) & ~F.coalesce(F.rlike(low, exclude), F.lit(False))
+    rows = pairs(df.withColumn("_low", F.lower(f.text_of(c("title")))), "_low", keyed, "needle", "_best", "_sure", lambda low, r: hits(low, r["match"], r["exclude"]))
     if loose:
         first = F.lit(None)
         kinds = table.schema
         for r in reversed(loose):
             this = F.struct(F.lit(r.rule).cast(kinds["rule"].dataType).alias("rule"), F.lit(r.key).alias("key"), F.lit(r.rewrite).cast("string").alias("rewrite"))
-            first = F.when(hits(F.lit(r.match), F.lit(r.exclude).cast("string")), this).otherwise(first)
-        more = titles.select("_low", first.alias("_best")).where("_best IS NOT NULL")
-        found = found.unionByName(more).groupBy("_low").agg(F.min("_best").alias("_best"))
-    rows = df.withColumn("_title", low).join(found, c("_title") == c("_low"), "left")
-    return rows.withColumns({"cluster": c("_best.key"), "rule": c("_best.rule"), "rewrite": c("_best.rewrite")}).drop("_title", "_low", "_best")
+            first = F.when(hits(c("_low"), F.lit(r.match), F.lit(r.exclude).cast("string")), this).otherwise(first)
+        rows = f.computed(rows, {"_loose": first}).withColumn("_best", F.least("_best", "_loose")).drop("_loose")
+    return rows.withColumns({"cluster": c("_best.key"), "rule": c("_best.rule"), "rewrite": c("_best.rewrite")}).drop("_low", "_best")
 
 
 def fold_events(df: DataFrame, by: list[str], clusters=rules.CLUSTERS) -> DataFrame:

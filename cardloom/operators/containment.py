@@ -75,12 +75,12 @@ class _Filter:
         return found
 
 
-def _segments(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
-    """(row, where it begins, characters): whole texts, or parts of long ones that overlap by a gram, some CHARS together."""
+def _segments(texts: list[str], over: int = SIZE - 1) -> Iterator[list[tuple[int, int, str]]]:
+    """(row, where it begins, characters): whole texts, or parts of long ones that overlap by ``over``, some CHARS together."""
     held, size = [], 0
     for row, text in enumerate(texts):
-        for a in range(0, max(len(text) - SIZE + 1, 1), CHARS):
-            part = text if len(text) <= CHARS else text[a : a + CHARS + SIZE - 1]
+        for a in range(0, max(len(text) - over, 1), CHARS):
+            part = text if len(text) <= CHARS else text[a : a + CHARS + over]
             held.append((row, a, part))
             size += len(part)
             if size >= CHARS:
