@@ -133,19 +133,21 @@ def fold_events(df: DataFrame, by: list[str], clusters=rules.CLUSTERS) -> DataFr
     headline = F.col("title")
     for name, _, _, text in clusters:
         headline = F.when(F.col("cluster") == name, text).otherwise(headline)
-    return fold_matched(match_rules(df, clusters), df.columns, by, headline)
+    return fold_matched(match_rules(df, clusters).withColumn("_substance", sc.substance(F.col("snippet"))), df.columns, by, headline)
 
 
-def fold_by_table(df: DataFrame, by: list[str], table: DataFrame, rewrite: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def fold_by_table(df: DataFrame, by: list[str], table: DataFrame, rewrite: Callable[[Column, Column], Column] | None = None, names: list[str] | None = None) -> DataFrame:
     """The same under a table of rules, see ``match_rule_table``. ``rewrite`` makes the headline of the representative's
-    title and the rule's text; without it that is the text, or the title where the rule has none. Headlines are scrubbed."""
+    title and the rule's text; without it that is the text, or the title where the rule has none. Headlines are scrubbed.
+    ``names``: df's columns in the result (title, seq and by among them), all by default. Others, such as the snippet, aren't dealt out."""
     made = rewrite or (lambda title, text: F.coalesce(text, title))
-    return fold_matched(match_rule_table(df, table), df.columns, by, sc.scrub(made(F.col("title"), F.col("rewrite")), 200), ["rewrite"])
+    names = names or df.columns
+    scored = df.select(*names, sc.substance(F.col("snippet")).alias("_substance"))
+    return fold_matched(match_rule_table(scored, table), names, by, sc.scrub(made(F.col("title"), F.col("rewrite")), 200), ["rewrite"])
 
 
 def fold_matched(marked: DataFrame, names: list[str], by: list[str], headline: Column, more: list[str] = ()) -> DataFrame:
-    """Cards (names, cluster, and columns ``more`` that the headline reads) folded by cluster."""
-    marked = marked.withColumn("_substance", sc.substance(F.col("snippet")))
+    """Cards (names, cluster, _substance of the snippet, and columns ``more`` that the headline reads) folded by cluster."""
     plain = marked.where("cluster IS NULL").select(*names, "cluster", F.col("seq").alias("position"))
     best = F.struct(F.col("_substance").isNotNull(), "_substance", -F.col("seq"))
     held = [*names, *more]

@@ -145,7 +145,7 @@ def rule_table_match(spark, sf):
     SELECT day_no, seq, cluster, CASE WHEN cluster IS NULL THEN title ELSE {t.scrub("coalesce(rewrite, 'Several: ' || title)", 200)} END AS title, CASE WHEN cluster IS NULL THEN seq ELSE first_seq END AS position FROM r WHERE cluster IS NULL OR rn = 1""")
 def rule_table_fold(spark, sf):
     headline = lambda title, text: F.coalesce(text, F.concat(F.lit("Several: "), title))
-    return op.fold_by_table(view(spark, sf, "cards").select("day_no", "seq", "title", "snippet"), ["day_no"], rule_table(spark, sf), headline).select("day_no", "seq", "cluster", "title", "position")
+    return op.fold_by_table(view(spark, sf, "cards").select("day_no", "seq", "title", "snippet"), ["day_no"], rule_table(spark, sf), headline, ["day_no", "seq", "title"]).select("day_no", "seq", "cluster", "title", "position")
 
 
 _headline = "CASE cluster " + " ".join(f"WHEN '{k}' THEN {t.q(h)}" for k, _, _, h in rules.CLUSTERS) + " ELSE title END"

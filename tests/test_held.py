@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cardloom.operators import cards as oc
 from cardloom.operators import held as hd
@@ -90,3 +91,16 @@ def test_a_string_alone_needs_no_test(spark):
     titles = {"a+b": None, "aab": 1, "plain": 2, "plain but": 7, "UPPER": 4, "xzy": 5, "q.z": 6, "qaz": None, "another": 7}
     cards = spark.createDataFrame(list(enumerate(titles)), "seq long, title string")
     assert {r.title: r.rule for r in oc.match_rule_table(cards, spark.createDataFrame(table, TABLE)).collect()} == titles
+
+
+def test_folding_deals_out_narrow_rows(spark):
+    """Columns that the result doesn't have, such as the snippet, are gone before rows are dealt to their clusters."""
+    table = spark.createDataFrame([(1, "a", "alpha", None, "Alpha news")], TABLE)
+    cards = spark.createDataFrame([(1, 0, "alpha one", "x"), (2, 0, "alpha two", "longer words here"), (3, 0, "other", None)], "seq long, day_no int, title string, snippet string")
+    folded = oc.fold_by_table(cards, ["day_no"], table, names=["day_no", "seq", "title"])
+    assert sorted(map(tuple, folded.select("seq", "title", "cluster", "position").collect()), key=repr) == [(2, "Alpha news", "a", 1), (3, "other", None, 3)]
+    assert set(folded.columns) == {"day_no", "seq", "title", "cluster", "position"}
+    lines = [x for x in folded._jdf.queryExecution().executedPlan().toString().split("\n") if "max_by" in x]
+    assert lines and not any("snippet" in x for x in lines)
+    whole = oc.fold_by_table(cards, ["day_no"], table).where(F.col("seq") == 2).first()
+    assert whole.snippet == "longer words here"
